@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from evplace.llm import decontaminate, secrets, token_files, urls
+from evplace.llm import decontaminate, neardup, secrets, token_files, urls
 
 QUERIES = {
     "op2_token_files": token_files.op2_token_files,
+    "op3_near_duplicates": neardup.op3_near_duplicates,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_secrets": secrets.op9_secrets,
     "op10_url_filter": urls.op10_url_filter,
