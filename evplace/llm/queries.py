@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from evplace.llm import decontaminate, neardup, secrets, token_files, urls
+from evplace.llm import decontaminate, neardup, secrets, substrings, token_files, urls
 
 QUERIES = {
     "op2_token_files": token_files.op2_token_files,
     "op3_near_duplicates": neardup.op3_near_duplicates,
+    "op6_substring_dedup": substrings.op6_substring_dedup,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_secrets": secrets.op9_secrets,
     "op10_url_filter": urls.op10_url_filter,
