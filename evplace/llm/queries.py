@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from evplace.llm import decontaminate, neardup, secrets, substrings, token_files, urls
+from evplace.llm import decontaminate, lm, neardup, secrets, substrings, token_files, urls
 
 QUERIES = {
+    "op1_lm_scores": lm.op1_lm_scores,
     "op2_token_files": token_files.op2_token_files,
     "op3_near_duplicates": neardup.op3_near_duplicates,
     "op6_substring_dedup": substrings.op6_substring_dedup,
