@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from evplace.llm import decontaminate, lm, neardup, secrets, substrings, token_files, urls
+from evplace.llm import ann, decontaminate, lm, neardup, secrets, substrings, token_files, urls
 
 QUERIES = {
     "op1_lm_scores": lm.op1_lm_scores,
     "op2_token_files": token_files.op2_token_files,
     "op3_near_duplicates": neardup.op3_near_duplicates,
+    "op4_nearest_neighbours": ann.op4_nearest_neighbours,
     "op6_substring_dedup": substrings.op6_substring_dedup,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_secrets": secrets.op9_secrets,
