@@ -37,20 +37,36 @@ class PieceEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a worker for each core
         self.tokenizer, self.seen = Tokenizer.from_file(path), {}
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        special = [(i, t.content) for i, t in sorted(self.tokenizer.get_added_tokens_decoder().items()) if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
+        #: a special token that may stand between pieces, so that one call encodes many
+        self.between = special[0] if special else None
+
+    def _encode(self, pieces: list[str]) -> list[np.ndarray]:
+        if self.between:
+            sep_id, sep = self.between
+            ids = np.array(self.tokenizer.encode_batch_fast([sep.join(pieces)], add_special_tokens=False)[0].ids, self.dtype)
+            cuts = np.flatnonzero(ids == sep_id)
+            if len(cuts) == len(pieces) - 1:
+                starts, ends = np.append(0, cuts + 1), np.append(cuts, len(ids))
+                return [ids[s:e] for s, e in zip(starts.tolist(), ends.tolist())]
+        return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
     def __call__(self, texts: list[str | None], end_id: int) -> list[bytes]:
         seen, end = self.seen, np.array([end_id], self.dtype).tobytes()
-        if len(seen) > REMEMBERED:
-            seen.clear()
         pieces = [t.encode().split() if t else [] for t in texts]
-        new = list({p for ps in pieces for p in ps if p not in seen})
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            for p, e in zip(some, self.tokenizer.encode_batch([p.decode() for p in some], add_special_tokens=False)):
-                seen[p] = np.array(e.ids, self.dtype).tobytes()
-        return [b"".join([seen[p] for p in ps]) + end for ps in pieces]
+        new, own = list({p for ps in pieces for p in ps if p not in seen}), {}
+        odd = self.between[1].encode() if self.between else b""
+        for some in ([p for p in new if odd not in p], [p for p in new if odd in p]) if odd else (new,):
+            for at in range(0, len(some), 5_000):
+                part = some[at : at + 5_000]
+                own.update(zip(part, (ids.tobytes() for ids in self._encode([p.decode() for p in part]))))
+        if len(seen) < REMEMBERED:  # frequent pieces come early; once full, rarer ones are encoded anew
+            seen.update(own)
+            own = seen
+        return [b"".join([own[p] if p in own else seen[p] for p in ps]) + end for ps in pieces]
 
 
 def _encoder(path: str) -> PieceEncoder:
