@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evplace.llm import ann, decontaminate, lm, neardup, secrets, substrings, token_files, urls
+from evplace.llm import ann, decontaminate, lm, neardup, quality, secrets, substrings, token_files, urls
 
 QUERIES = {
     "op1_lm_scores": lm.op1_lm_scores,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_near_duplicates": neardup.op3_near_duplicates,
     "op4_nearest_neighbours": ann.op4_nearest_neighbours,
     "op6_substring_dedup": substrings.op6_substring_dedup,
+    "op7_quality": quality.op7_quality,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_secrets": secrets.op9_secrets,
     "op10_url_filter": urls.op10_url_filter,
