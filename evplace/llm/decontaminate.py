@@ -100,6 +100,14 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     )
 
 
+def clean_rows(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
+               item_text: str = "text", window: int = 10, broadcast_bytes: int = 32 << 20) -> DataFrame:
+    """The rows of docs without any hit, with the columns of docs. Rows with null or empty texts stay."""
+    hits = window_hits(docs, items, doc_id, text, item_id, item_text, window, broadcast_bytes)
+    hit = hits.select(F.col("did").alias("_did"), F.col("key").alias("_hit")).distinct()
+    return docs.join(hit, F.col(doc_id).eqNullSafe(F.col("_did")) & (F.xxhash64(text) == F.col("_hit")), "left_anti")
+
+
 def op8_decontaminate(spark, sf_dir: str) -> DataFrame:
     return contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 

@@ -197,10 +197,10 @@ def fit(d: DataFrame, labels: DataFrame | None, sample: tuple[int, int] = SAMPLE
     return weights, learned
 
 
-def scores(d: DataFrame, weights: np.ndarray, schema: str, extra=()) -> DataFrame:
-    """d's columns (the second is the text) with p_low and p_toxic added."""
+def scores(d: DataFrame, weights: np.ndarray, schema: str, text: str = "text") -> DataFrame:
+    """d's columns with p_low and p_toxic added, which must not be among them."""
     shared = d.sparkSession.sparkContext.broadcast(weights)
-    at = d.columns.index("text")
+    at = d.columns.index(text)
 
     def run(batches):
         w, seen = shared.value.astype(np.float64), {}
@@ -241,5 +241,12 @@ def classified(docs: DataFrame, labels: DataFrame | None = None, doc_id: str = "
     return out.select(F.col("id").alias(doc_id), "p_low", "p_toxic", ((F.col("p_low") < threshold) & (F.col("p_toxic") < threshold)).alias("kept"))
 
 
+def kept_rows(docs: DataFrame, labels: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text", sample: tuple[int, int] = SAMPLE, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs that classified() keeps, with the columns of docs."""
+    weights, _ = fit(docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")), labels, sample)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", p_low double, p_toxic double"
+    return scores(docs, weights, schema, text).where((F.col("p_low") < threshold) & (F.col("p_toxic") < threshold)).select(docs.columns)
+
+
 def op7_quality(spark, sf_dir: str) -> DataFrame:
     return classified(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from evplace.llm import ann, decontaminate, lm, neardup, quality, secrets, substrings, token_files, urls
+from evplace.llm import ann, decontaminate, lm, mixing, neardup, quality, secrets, substrings, token_files, urls
 
 QUERIES = {
     "op1_lm_scores": lm.op1_lm_scores,
     "op2_token_files": token_files.op2_token_files,
     "op3_near_duplicates": neardup.op3_near_duplicates,
     "op4_nearest_neighbours": ann.op4_nearest_neighbours,
+    "op5_mixture": mixing.op5_mixture,
     "op6_substring_dedup": substrings.op6_substring_dedup,
     "op7_quality": quality.op7_quality,
     "op8_decontaminate": decontaminate.op8_decontaminate,
@@ -17,5 +18,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op5_mixture": mixing.OP5_SQL,
     "op8_decontaminate": decontaminate.OP8_SQL,
 }
