@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evplace.llm._shared import dropped, written
+
 #: Hashed features of the scorer, and texts of each label and axis that it is fitted on, at most.
 FEATURES, SAMPLE = 1 << 18, (3000, 6000)
 AXES = ("low", "toxic")
@@ -157,7 +159,7 @@ def fit(d: DataFrame, labels: DataFrame | None, sample: tuple[int, int] = SAMPLE
     texts of posterior 0.9 or more and sample[1] of 0.1 or less, by a hash of their ids.
     """
     spark = d.sparkSession
-    votes = _votes(d, labels)
+    votes = written(_votes(d, labels), "votes")
     learned, chosen, priors = {}, None, []
     for axis in AXES:
         rows = votes.groupBy(axis).count().collect()
@@ -189,6 +191,7 @@ def fit(d: DataFrame, labels: DataFrame | None, sample: tuple[int, int] = SAMPLE
         w = fit_linear(list(pdf["features"]), pdf["label"].to_numpy(dtype=np.float64), priors[key[0]])
         return pd.DataFrame({"axis": [key[0]], "w": [w.astype(np.float32).tobytes()]})
 
+    dropped(votes)
     got = d.mapInArrow(features, "axis int, label int, features array<int>").groupBy("axis").applyInPandas(train, "axis int, w binary").collect()
     weights = np.zeros((len(AXES), FEATURES + 1), np.float32)
     weights[:, -1] = [np.log(max(p, 1e-6) / max(1 - p, 1e-6)) for p in priors]
