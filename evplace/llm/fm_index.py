@@ -85,25 +85,48 @@ def reach(index: FMIndex, text: np.ndarray, at: np.ndarray, stop: np.ndarray, st
 def repeated_spans(texts: list[list], window: int) -> list[tuple[int, int, int]]:
     """(text, start, end): the longest spans of at least ``window`` symbols that occur elsewhere too.
 
-    texts are lists of hashable symbols; a text that occurs twice in the list is repeated itself. Searches
-    run over all texts in step: backward from the right end to the first symbol with
+    texts are lists of hashable symbols; a text that occurs twice in the list is repeated itself. A symbol that
+    occurs once is in no repeated span, so texts are first cut there and their short rests dropped.
+    Searches then run over all texts in step: backward from the right end to the first symbol with
     which the span is unique, then forward from that symbol to find the next right end.
     """
     ids: dict = {}
-    flat = [ids.setdefault(w, len(ids) + 1) for t in texts for w in (*t, None)]
-    # None ends every text; it gets one symbol that no search takes
-    text = np.array(flat, dtype=np.int64)
-    ends = np.flatnonzero(text == ids[None]) if texts else np.empty(0, np.int64)
-    starts = np.concatenate([[0], ends[:-1] + 1]) if texts else ends
-    depth = int((ends - starts).max(initial=0)) + 1
-    symbols = len(ids) + 1
-    back, forth = FMIndex(text, symbols, depth), FMIndex(text[::-1], symbols, depth)
-    out, on, right = [], np.arange(len(texts)), ends.copy()
+    text = np.array([ids.setdefault(w, len(ids) + 1) for t in texts for w in t], dtype=np.int64)
+    length = np.array([len(t) for t in texts], dtype=np.int64)
+    place = np.repeat(np.arange(len(texts)), length)
+    offset = np.arange(len(text)) - np.repeat(np.cumsum(length) - length, length)
+    for _ in range(3):
+        if not len(text):
+            return []
+        often = np.bincount(text)[text] > 1
+        # runs of such symbols, in one text and without gaps
+        joined = np.zeros(len(text), dtype=bool)
+        joined[1:] = often[1:] & often[:-1] & (place[1:] == place[:-1]) & (offset[1:] == offset[:-1] + 1)
+        run = np.cumsum(~joined)
+        keep = often & (np.bincount(run)[run] >= window)
+        text, place, offset, run = text[keep], place[keep], offset[keep], run[keep]
+    if not len(text):
+        return []
+    text = np.unique(text, return_inverse=True)[1] + 1
+    joined = np.zeros(len(text), dtype=bool)
+    joined[1:] = run[1:] == run[:-1]
+    first = np.flatnonzero(~joined)
+    # one symbol, which no search takes, ends every run
+    spread = np.arange(len(text)) + np.cumsum(~joined) - 1
+    flat = np.zeros(len(text) + len(first), dtype=np.int64)
+    flat[spread] = text
+    starts, ends = spread[first], np.append(spread[first[1:]] - 1, len(flat) - 1)
+    symbols = int(text.max()) + 1
+    back, forth = FMIndex(flat, symbols, int((ends - starts).max()) + 1), FMIndex(flat[::-1], symbols, int((ends - starts).max()) + 1)
+    out, on, right = [], np.arange(len(starts)), ends.copy()
+    owner, shift = place[first], offset[first] - starts
     while len(on := on[right[on] - starts[on] >= window]):
-        left = reach(back, text, right[on] - 1, starts[on] - 1, -1) + 1
+        left = reach(back, flat, right[on] - 1, starts[on] - 1, -1) + 1
         long = right[on] - left >= window
-        out += zip(on[long].tolist(), (left - starts[on])[long].tolist(), (right[on] - starts[on])[long].tolist())
+        some = on[long]
+        out += zip(owner[some].tolist(), (left[long] + shift[some]).tolist(), (right[some] + shift[some]).tolist())
         more = left > starts[on]
         on, left = on[more], left[more]
-        right[on] = reach(forth, text, left - 1, right[on], 1)
+        if len(on):
+            right[on] = reach(forth, flat, left - 1, right[on], 1)
     return out

@@ -7,11 +7,10 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evplace.llm._shared import WordHashes, bloom_of, in_bloom, mix64, written
+from evplace.llm._shared import WordHashes, bloom_of, dropped, in_bloom, mix64, written
 from evplace.llm.fm_index import repeated_spans
 from evplace.llm.neardup import _blocks
 
@@ -38,15 +37,20 @@ def segments(words: list[list[bytes]], window: int, anchor: int = ANCHOR):
     g = np.zeros(grams, dtype=np.uint64)
     for k in range(anchor):
         g = g * _BASE + h[k : k + grams]
-    g = mix64(g)
     per = window - anchor + 1
     doc = np.repeat(np.arange(len(n)), n)[: len(h) - window + 1]
     start = np.arange(len(doc))
     ok = start + window <= ends[doc]
-    at = np.empty(len(doc), dtype=np.int64)
-    for a in range(0, len(doc), 1 << 16):
-        at[a : a + (1 << 16)] = sliding_window_view(g[a : a + (1 << 16) + per - 1], per).argmin(axis=1)
-    at += start
+    # least hash of every ``per`` grams in turn, by doubling; its low bits hold the place, so the leftmost wins
+    low = np.uint64((1 << max(20, int(grams).bit_length())) - 1)
+    g = mix64(g)
+    least = (g & ~low) | np.arange(grams, dtype=np.uint64)
+    wide = 1
+    while 2 * wide <= per:
+        least = np.minimum(least[:-wide], least[wide:])
+        wide *= 2
+    least = np.minimum(least[: len(doc)], least[per - wide : per - wide + len(doc)])
+    at = (least & low).astype(np.int64)
     doc, start, at = doc[ok], start[ok], at[ok]
     new = np.ones(len(at), dtype=bool)
     new[1:] = (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])
@@ -66,7 +70,7 @@ _OCC = pa.list_(pa.struct([("m", pa.int64()), ("h", pa.int64()), ("p", pa.int32(
 
 
 def _scan(window: int):
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("sha", pa.string()), ("occ", _OCC)])
+    schema = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("sha", pa.string()), ("occ", _OCC)])
 
     def scan(batches):
         for batch in batches:
@@ -76,36 +80,44 @@ def _scan(window: int):
                 offsets = np.concatenate([[0], np.cumsum(np.bincount(d, minlength=len(words)))]).astype(np.int32)
                 occ = pa.StructArray.from_arrays([pa.array(m.view(np.int64)), pa.array(h.view(np.int64)), pa.array(s.astype(np.int32)), pa.array(l.astype(np.int32))], ["m", "h", "p", "l"])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(w) for w in words], pa.int64()), pa.array([hashlib.sha256(b" ".join(w)).hexdigest() for w in words]), pa.ListArray.from_arrays(offsets, occ)], schema=schema)
+                    [part.column(0), part.column(2), pa.array([len(w) for w in words], pa.int64()), pa.array([hashlib.sha256(b" ".join(w)).hexdigest() for w in words]), pa.ListArray.from_arrays(offsets, occ)], schema=schema)
 
     return scan
 
 
-def _contents(window: int, bits):
-    """m, h, content of the segments that may be asked for, once for each task's stretch of rows."""
-    schema = pa.schema([("m", pa.int64()), ("h", pa.int64()), ("content", pa.binary())])
+def _contents(d: DataFrame, rows: DataFrame, at: DataFrame, asked: DataFrame) -> DataFrame:
+    """m, h, content, d of the segments asked for, each cut from one text that has it.
 
-    def flush(found):
-        keys = list(found)
-        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(list(found.values()), pa.binary())], schema=schema)
+    Texts are read again, but a Bloom filter of fixed size, broadcast, spares those that none is cut from.
+    """
+    spark = d.sparkSession
+    chosen = at.join(asked, ["m", "h"]).groupBy("m", "h").agg(F.min(F.struct("sha", "p", "l", "d")).alias("x"))
+    cuts = written(chosen.groupBy("x.sha").agg(F.collect_list(F.struct("m", "h", "x.p", "x.l", "x.d")).alias("cuts")), "cuts")
+    bits = spark.sparkContext.broadcast(bloom_of(rows.join(cuts.select("sha"), "sha", "left_semi").select("key").distinct(), "key"))
 
-    def contents(batches):
-        found: dict = {}
+    def cut(batches):
         for batch in batches:
-            for part in _blocks(batch):
-                words = [t.encode().split() if t else [] for t in part.column(1).to_pylist()]
-                d, s, l, m, h = segments(words, window)  # noqa: E741
-                some = np.flatnonzero(in_bloom(bits.value, mix64(h ^ m)))
-                for i, j, k, x, y in zip(d[some].tolist(), s[some].tolist(), l[some].tolist(), m[some].view(np.int64).tolist(), h[some].view(np.int64).tolist()):
-                    if (x, y) not in found:
-                        found[x, y] = b" ".join(words[i][j : j + k])
-                if len(found) > 40_000:
-                    yield flush(found)
-                    found = {}
-        if found:
-            yield flush(found)
+            for r in batch.to_pylist():
+                words = r["text"].encode().split()
+                x = r["cuts"]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([c["m"] for c in x], pa.int64()), pa.array([c["h"] for c in x], pa.int64()), pa.array([b" ".join(words[c["p"] : c["p"] + c["l"]]) for c in x], pa.binary()), pa.array([c["d"] for c in x], pa.int64())],
+                    ["m", "h", "content", "d"])
 
-    return contents
+    found = d.mapInArrow(_texts_in(bits), "sha string, text string").dropDuplicates(["sha"])
+    return written(found.join(cuts, "sha").select("text", "cuts").mapInArrow(cut, "m long, h long, content binary, d long"), "contents")
+
+
+def _texts_in(bits):
+    """sha, text of the rows (id, text, key) whose key may be in the filter."""
+    def texts(batches):
+        for batch in batches:
+            part = batch.filter(pa.array(in_bloom(bits.value, np.asarray(batch.column(2)).view(np.uint64))))
+            for at in range(0, part.num_rows, 512):
+                some = part.column(1).slice(at, 512)
+                yield pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(b" ".join(t.encode().split() if t else [])).hexdigest() for t in some.to_pylist()], pa.string()), some], ["sha", "text"])
+
+    return texts
 
 
 def repeated_segments(contents: DataFrame, window: int, segments_of: int, crowd: int = CROWD, shard: int = SHARD) -> DataFrame:
@@ -154,8 +166,8 @@ def removed_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     none, are rows like others. An empty table gives no rows. Extra columns are ignored.
     """
     spark = docs.sparkSession
-    d = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    rows = written(d.mapInArrow(_scan(window), "id long, n long, sha string, occ array<struct<m:long,h:long,p:int,l:int>>"), "segments")
+    d = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("key"))
+    rows = written(d.mapInArrow(_scan(window), "id long, key long, n long, sha string, occ array<struct<m:long,h:long,p:int,l:int>>"), "segments")
     classes = written(rows.groupBy("sha").agg(F.count("*").alias("copies"), F.first("occ").alias("occ")), "texts")
     at = classes.select("sha", "copies", F.explode("occ").alias("x")).select("sha", "copies", "x.*")
     seen = at.groupBy("m", "h").agg(F.count("*").alias("c"), F.max("l").alias("l"))
@@ -163,14 +175,13 @@ def removed_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     live = written(seen.join(live, "m"), "anchors")
     whole = live.where("c > 1").select("m", "h", F.lit(0).alias("s"), F.col("l").alias("e"))
     asked = live.where("d > 1").select("m", "h", "d")
-    bits = spark.sparkContext.broadcast(bloom_of(asked.mapInArrow(_keys, "key long"), "key", 25))
-    contents = d.mapInArrow(_contents(window, bits), "m long, h long, content binary").join(asked, ["m", "h"])
+    contents = _contents(d, rows, at, asked)
     spans = whole.unionByName(repeated_segments(contents, window, asked.count(), crowd, shard))
     # texts that go whole need no spans
     part = at.where("copies = 1").select("sha", "m", "h", "p").join(spans, ["m", "h"]).select("sha", (F.col("p") + F.col("s")).alias("s"), (F.col("p") + F.col("e")).alias("e"))
     cut = written(part.groupBy("sha").agg(F.collect_set(F.struct("s", "e")).alias("spans")), "spans")
-    bits = spark.sparkContext.broadcast(bloom_of(cut.select(F.xxhash64("sha").alias("key")), "key"))
-    kept = _kept(d, cut, bits)
+    dropped(contents)
+    kept = _kept(d, rows, cut)
     out = rows.select("id", "n", "sha").join(classes.select("sha", "copies"), "sha").join(kept, "sha", "left")
     gone = (F.col("copies") > 1) & (F.col("n") >= window)
     return out.select(
@@ -180,26 +191,9 @@ def removed_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     )
 
 
-def _keys(batches):
-    for batch in batches:
-        m, h = (np.asarray(batch.column(k)).view(np.uint64) for k in range(2))
-        yield pa.RecordBatch.from_arrays([pa.array(mix64(h ^ m).view(np.int64))], ["key"])
-
-
-def _kept(d: DataFrame, cut: DataFrame, bits) -> DataFrame:
+def _kept(d: DataFrame, rows: DataFrame, cut: DataFrame) -> DataFrame:
     """sha, lost (words), left (digest of the kept words) for the texts that have spans to lose."""
-    def texts(batches):
-        import xxhash
-
-        for batch in batches:
-            out, shas = [], []
-            for t in batch.column(1).to_pylist():
-                if t:
-                    sha = hashlib.sha256(b" ".join(t.encode().split())).hexdigest()
-                    if in_bloom(bits.value, np.array([xxhash.xxh64_intdigest(sha.encode(), 42)], np.uint64))[0]:
-                        out.append(t)
-                        shas.append(sha)
-            yield pa.RecordBatch.from_arrays([pa.array(shas, pa.string()), pa.array(out, pa.string())], ["sha", "text"])
+    bits = d.sparkSession.sparkContext.broadcast(bloom_of(rows.join(cut.select("sha"), "sha", "left_semi").select("key").distinct(), "key"))
 
     def remove(batches):
         for batch in batches:
@@ -213,7 +207,7 @@ def _kept(d: DataFrame, cut: DataFrame, bits) -> DataFrame:
                 left.append(hashlib.sha256(b" ".join([words[i] for i in np.flatnonzero(keep)])).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lost, pa.int64()), pa.array(left, pa.string())], ["sha", "lost", "left"])
 
-    found = d.mapInArrow(texts, "sha string, text string")
+    found = d.mapInArrow(_texts_in(bits), "sha string, text string")
     return found.join(cut, "sha").select("sha", "text", "spans").mapInArrow(remove, "sha string, lost long, left string")
 
 
