@@ -54,8 +54,9 @@ def nearest_blocks(ref: DataFrame, query: DataFrame, k: int = 50, metric: str =
     rb, qb = max(1, -(-n_ref // block)), max(1, -(-n_query // block))
     part = lambda n: F.pmod(F.xxhash64("frame_idx"), F.lit(n)).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    r = ref.select(*keys, "frame_idx", "vec", part(rb).alias("rb")).withColumn("qb", spread(qb))
-    q = query.select(*keys, "frame_idx", "vec", part(qb).alias("qb")).withColumn("rb", spread(rb))
+    own = lambda df: df.select(*[F.col(c).alias(c) for c in (*keys, "frame_idx", "vec")])  # noqa: E731  both sides may come from one table
+    r = own(ref).withColumn("rb", part(rb)).withColumn("qb", spread(qb))
+    q = own(query).withColumn("qb", part(qb)).withColumn("rb", spread(rb))
     types = {f.name: f.dataType.simpleString() for f in query.schema}
     empty = pd.DataFrame({c: [] for c in (*keys, "query_idx", "ref_idx", "dist")})
 

@@ -1,13 +1,524 @@
-"""Every query of the place-recognition operators, with SQL that gives the same rows."""
+"""Every query of the place-recognition operators, with SQL that gives the same rows where SQL can."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from evplace.functions import vectors
+from evplace.operators import descriptors as ds
+from evplace.operators import evaluate, frames, images, rerank, similarity
+from evplace.plans import fixtures as fx
+from evplace.sources import events as ev_src
+from evplace.sources import features as ft_src
+from evplace.sources.shared import new_path
+
+H, W, DT_MS, SCALE, DT = fx.H, fx.W, fx.DT_MS, fx.SCALE, fx.DT
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+FRAME = ["seq", "frame_idx"]
+
+
+def query(name: str, sql: str | None = None):
+    """Register a query; ``sql`` selects from the fixtures' SQL."""
+    def put(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE_SQL[name] = fx.SQL + sql
+        return f
+
+    return put
+
+
+def r6(c, name: str):
+    return F.round(c if not isinstance(c, str) else F.col(c), 6).alias(name)
+
+
+def text6(vec) -> F.Column:
+    """An array of doubles as text of values in millionths, so that engines compare alike."""
+    return F.array_join(F.transform(vec, lambda x: F.round(x * 1e6).cast("long").cast("string")), ",")
+
+
+SQL_TEXT6 = "array_to_string(list_transform({}, lambda x: CAST(CAST(round(x * 1e6) AS BIGINT) AS VARCHAR)), ',')"
+
+
+def shortlist(spark, sf, k: int = 10) -> DataFrame:
+    return similarity.topk_similarity(fx.descriptors(spark, sf, "ref"), fx.descriptors(spark, sf, "query"), k)
+
+
+def packs(spark, sf, seq: str) -> DataFrame:
+    return ft_src.pack_keypoints(fx.keypoints(spark, sf, seq), fx.descriptors(spark, sf, seq), 170)
+
+
+def candidates(spark, sf) -> DataFrame:
+    return similarity.attach_keypoints(shortlist(spark, sf), packs(spark, sf, "ref"), packs(spark, sf, "query"))
+
+
+def fused(spark, sf) -> DataFrame:
+    return rerank.fuse_inliers(shortlist(spark, sf), rerank.translation_inliers(rerank.mutual_nn_matches(candidates(spark, sf))))
+
+
+def flagship(spark: SparkSession, sf: str) -> DataFrame:
+    """Recall@K before and after re-ranking."""
+    base = similarity.topk_similarity(fx.descriptors(spark, sf, "ref"), fx.descriptors(spark, sf, "query"), 10)
+    return evaluate.compare_recall(base, fused(spark, sf), fx.gt(spark, sf))
+
+
+QUERIES["flagship"] = flagship
+ORACLE_SQL["flagship"] = fx.SQL + """, rr AS (SELECT query_idx, ref_idx, row_number() OVER (PARTITION BY query_idx ORDER BY new_dist, ref_idx) AS rank FROM fused),
+r2 AS (SELECT k, avg(CASE WHEN first <= k THEN 1.0 ELSE 0.0 END) AS reranked FROM (SELECT q.query_idx, min(CASE WHEN gt.ref_idx IS NOT NULL THEN rank END) AS first FROM (SELECT DISTINCT query_idx FROM gt) q JOIN rr ON rr.query_idx = q.query_idx LEFT JOIN gt ON gt.query_idx = rr.query_idx AND gt.ref_idx = rr.ref_idx GROUP BY q.query_idx), (SELECT unnest([1, 5, 10]) AS k) GROUP BY k)
+SELECT k, recall AS base, reranked FROM recall JOIN r2 USING (k)"""
+
+
+# sources
+
+@query("resolve_event_columns", "SELECT t, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, p FROM ev")
+def _(s, d):
+    e = fx.sensor_events(s, d)
+    nested = e.select(F.struct(F.struct(F.col("t").alias("timestamps"), F.col("x").alias("u"), F.col("y").alias("row"), F.col("p").alias("polarity")).alias("events"), F.lit(1).alias("t")).alias("davis"))
+    return ev_src.resolve_event_columns(nested)
+
+
+@query("read_events", "SELECT seq, count(*) AS n, CAST(sum(t % 1000003) AS BIGINT) AS t, CAST(sum(x) AS BIGINT) AS x, CAST(sum(y) AS BIGINT) AS y, CAST(sum(p) AS BIGINT) AS p FROM ev GROUP BY seq")
+def _(s, d):
+    path = new_path(s, "events")
+    fx.sensor_events(s, d).select("seq", F.col("t").alias("timestamp"), F.col("x").alias("col"), F.col("y").alias("row"), F.col("p").alias("polarity")).write.csv(path, header=True)
+    e = ev_src.read_events(s, path, "csv", keep=("seq",), header=True)
+    return e.groupBy("seq").agg(F.count("*").alias("n"), F.sum(F.col("t") % 1000003).alias("t"), F.sum("x").alias("x"), F.sum("y").alias("y"), F.sum("p").alias("p"))
+
+
+@query("infer_resolution", "SELECT CAST(max(y) + 1 AS BIGINT) AS h, CAST(max(x) + 1 AS BIGINT) AS w FROM ev")
+def _(s, d):
+    return ev_src.infer_resolution(fx.sensor_events(s, d))
+
+
+@query("read_descriptors", f"SELECT seq, frame_idx, {SQL_TEXT6.format('vec')} AS vec FROM dn")
+def _(s, d):
+    path = new_path(s, "descriptors")
+    ft_src.write_descriptors(fx.descriptors(s, d).select("seq", "frame_idx", "vec"), path)
+    return ft_src.read_descriptors(s, path).select("seq", "frame_idx", text6(F.col("vec")).alias("vec"))
+
+
+@query("pack_keypoints", "SELECT seq, frame_idx, CAST(count(*) AS INTEGER) AS n, string_agg(CAST(kp_idx AS VARCHAR), ',' ORDER BY score DESC, kp_idx) AS kps FROM (SELECT *, row_number() OVER (PARTITION BY seq, frame_idx ORDER BY score DESC, kp_idx) AS r FROM kp) WHERE r <= 5 GROUP BY ALL")
+def _(s, d):
+    p = ft_src.pack_keypoints(fx.keypoints(s, d), fx.descriptors(s, d), 5)
+    return p.select("seq", "frame_idx", "n", F.array_join(F.transform("kps", lambda k: k["kp_idx"].cast("string")), ",").alias("kps"))
+
+
+@query("unpack_keypoints", "SELECT seq, frame_idx, kp_idx, x, y, round(score, 6) AS score FROM kp")
+def _(s, d):
+    p = ft_src.pack_keypoints(fx.keypoints(s, d), fx.descriptors(s, d), 170)
+    return ft_src.unpack_keypoints(p).select("seq", "frame_idx", "kp_idx", "x", "y", r6("score", "score"))
+
+
+@query("densify_index", "SELECT i AS frame_idx, coalesce(n_events, -1) AS n_events FROM (SELECT unnest(generate_series(0, (SELECT max(frame_idx) FROM frames WHERE seq = 'ref' AND frame_idx % 3 <> 1))) AS i) LEFT JOIN (SELECT frame_idx, n_events FROM frames WHERE seq = 'ref' AND frame_idx % 3 <> 1) ON frame_idx = i")
+def _(s, d):
+    return ft_src.densify_index(fx.spine(s, d).where("seq = 'ref' and frame_idx % 3 <> 1").select("frame_idx", "n_events")).fillna(-1)
+
+
+@query("write_shortlist", "SELECT query_idx, rank, ref_idx, round(dist, 6) AS dist, 'ref' AS ref_seq, 'query' AS query_seq FROM cand")
+def _(s, d):
+    path = new_path(s, "shortlist")
+    ft_src.write_shortlist(shortlist(s, d).withColumns({"ref_seq": F.lit("ref"), "query_seq": F.lit("query")}), path)
+    return s.read.parquet(path).select("query_idx", F.col("rank").cast("long").alias("rank"), "ref_idx", r6("dist", "dist"), "ref_seq", "query_seq")
+
+
+# projections, filters
+
+@query("clip_to_sensor", f"SELECT seq, event_idx, t, x, y, p FROM ev WHERE x >= 0 AND x < {W} AND y >= 0 AND y < {H}")
+def _(s, d):
+    return frames.clip_to_sensor(fx.sensor_events(s, d), H, W)
+
+
+@query("with_pixel_index", f"SELECT event_idx, y * {W} + x AS lin, p AS channel, y * {W} + x + p * {H * W} AS idx FROM fc")
+def _(s, d):
+    return frames.with_pixel_index(fx.framed(s, d), H, W).select("event_idx", "lin", "channel", "idx")
+
+
+@query("ticks", "SELECT event_id, CAST(round_even(value / 0.4, 0) AS BIGINT) AS ticks, round(epoch_us(ts) * 1e-6, 3) AS sec FROM events")
+def _(s, d):
+    e = fx.table(s, d, "events")
+    t = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
+    return e.select("event_id", vectors.ticks(F.col("value"), 0.4).alias("ticks"), F.round(vectors.to_seconds(t, 1e-6), 3).alias("sec"))
+
+
+@query("center_crop", "SELECT event_idx, x - 3 AS x, y - 1 AS y FROM fc WHERE x >= 3 AND x < 19 AND y >= 1 AND y < 17")
+def _(s, d):
+    return frames.center_crop(fx.framed(s, d), H, W, 8).select("event_idx", "x", "y")
+
+
+@query("undo_crop", "SELECT seq, frame_idx, kp_idx, x + 3 AS x, y + 1 AS y FROM kp")
+def _(s, d):
+    o = frames.crop_offsets(H, W, 8)
+    return frames.undo_crop(fx.keypoints(s, d), o["top"], o["left"]).select("seq", "frame_idx", "kp_idx", "x", "y")
+
+
+@query("skip_frames", "SELECT seq, frame_idx FROM frames WHERE frame_idx % 4 = 0")
+def _(s, d):
+    return frames.skip_frames(fx.spine(s, d), 4).select(*FRAME)
+
+
+@query("drop_warmup", "SELECT seq, frame_idx FROM frames WHERE frame_idx >= 10")
+def _(s, d):
+    return frames.drop_warmup(fx.spine(s, d)).select(*FRAME)
+
+
+@query("hot_pixel_filter", ", pc AS (SELECT seq, x, y, count(*) AS n FROM ev GROUP BY ALL), lim AS (SELECT seq, avg(n) + 2 * stddev_pop(n) AS l FROM pc GROUP BY seq) SELECT ev.seq, event_idx, ev.x, ev.y FROM ev JOIN pc ON ev.seq = pc.seq AND ev.x = pc.x AND ev.y = pc.y JOIN lim ON lim.seq = ev.seq WHERE n <= l")
+def _(s, d):
+    return frames.hot_pixel_filter(fx.sensor_events(s, d)).select("seq", "event_idx", "x", "y")
+
+
+@query("clamp_counts", "SELECT seq, frame_idx, y, x, least(value, 2.0) AS value FROM cnt")
+def _(s, d):
+    return frames.clamp_counts(images.event_count_frame(fx.framed(s, d)), 2.0)
+
+
+@query("usable_frames", "SELECT seq, frame_idx FROM d WHERE frame_idx % 6 + 3 >= 4")
+def _(s, d):
+    return frames.usable_frames(ft_src.pack_keypoints(fx.keypoints(s, d), fx.descriptors(s, d), 170)).select(*FRAME)
+
+
+# time windows
+
+@query("assign_frames", "SELECT seq, event_idx, frame_idx FROM fe")
+def _(s, d):
+    return frames.assign_frames(fx.sensor_events(s, d), DT_MS, SCALE).select("seq", "event_idx", "frame_idx")
+
+
+@query("frame_spine", "SELECT seq, frame_idx, w_start, w_end, n_events FROM frames")
+def _(s, d):
+    return fx.spine(s, d).select("seq", "frame_idx", "w_start", "w_end", "n_events")
+
+
+@query("frame_triplets", "SELECT seq, frame_idx, frame_idx - 3 AS f0, frame_idx - 2 AS f1, frame_idx - 1 AS f2 FROM frames WHERE frame_idx >= 3")
+def _(s, d):
+    return frames.frame_triplets(fx.spine(s, d))
+
+
+@query("ema", """, RECURSIVE_BASE AS (SELECT seq, frame_idx, CAST(n_events AS DOUBLE) AS v FROM frames)
+SELECT seq, frame_idx, round(list_reduce(list(v) OVER (PARTITION BY seq ORDER BY frame_idx), lambda e, x: 0.9 * e + 0.1 * x), 6) AS ema FROM RECURSIVE_BASE""")
+def _(s, d):
+    return frames.ema(fx.spine(s, d), "n_events", "frame_idx").select("seq", "frame_idx", r6("ema", "ema"))
+
+
+# images
+
+@query("polarity_frame", "SELECT seq, frame_idx, p AS channel, y, x, CAST(count(*) AS DOUBLE) AS value FROM fc GROUP BY ALL")
+def _(s, d):
+    return images.polarity_frame(fx.framed(s, d))
+
+
+@query("event_count_frame", "SELECT * FROM cnt")
+def _(s, d):
+    return images.event_count_frame(fx.framed(s, d))
+
+
+@query("signed_frame", "SELECT seq, frame_idx, y, x, v AS value, CAST(trunc((v + 5) / 10.0 * 255) AS INTEGER) AS gray FROM (SELECT seq, frame_idx, y, x, CAST(greatest(least(sum(2 * p - 1), 5), -5) AS INTEGER) AS v FROM fc GROUP BY ALL)")
+def _(s, d):
+    return images.signed_frame(fx.framed(s, d))
+
+
+@query("time_surface", """, l AS (SELECT seq, frame_idx, 1 - p AS g, y, x, max(t) AS t FROM fc GROUP BY ALL), dtt AS (SELECT l.*, (w_end - t) * 1e-6 AS dt FROM l JOIN frames USING (seq, frame_idx))
+SELECT seq, frame_idx, g * 4 + s AS channel, y, x, round(exp(-dt / win), 6) AS value FROM dtt, (SELECT unnest([0, 1, 2, 3]) AS s, unnest([21600.0, 43200.0, 64800.0, 86400.0]) AS win) WHERE dt <= win""")
+def _(s, d):
+    return images.time_surface(fx.framed(s, d), fx.spine(s, d), fx.WINDOWS, SCALE).withColumn("value", F.round("value", 6))
+
+
+@query("tencode", """, sp AS (SELECT seq, frame_idx, min(t) AS a, max(t) AS b FROM fc GROUP BY ALL), l AS (SELECT seq, frame_idx, y, x, max_by(p, (t, event_idx)) AS p, max(t) AS t FROM fc GROUP BY ALL)
+SELECT seq, frame_idx, y, x, 255.0 * p AS r, round(255 * (1 - CASE WHEN b > a THEN (t - a) / (b - a) ELSE 0 END), 6) AS g, 255.0 * (1 - p) AS b FROM l JOIN sp USING (seq, frame_idx)""".replace("255.0 * p", "CAST(255 * p AS DOUBLE)").replace("255.0 * (1 - p)", "CAST(255 * (1 - p) AS DOUBLE)"))
+def _(s, d):
+    return images.tencode(fx.framed(s, d)).withColumn("g", F.round("g", 6))
+
+
+_K = min(max(int(0.6 * H * W), 1), H * W)
+
+
+@query("robust_normalize", f""", rk AS (SELECT *, row_number() OVER (PARTITION BY seq, frame_idx ORDER BY value, y, x) AS rank, count(*) OVER (PARTITION BY seq, frame_idx) AS m FROM cnt),
+rr AS (SELECT seq, frame_idx, greatest(coalesce(max(CASE WHEN rank = {_K} - ({H * W} - m) THEN value END), 0), 1) AS r FROM rk GROUP BY ALL)
+SELECT cnt.seq, cnt.frame_idx, y, x, round(least(value, r) / r * 2 - 1, 6) AS value FROM cnt JOIN rr ON cnt.seq = rr.seq AND cnt.frame_idx = rr.frame_idx""")
+def _(s, d):
+    return images.robust_normalize(images.event_count_frame(fx.framed(s, d)), H, W, 0.6).withColumn("value", F.round("value", 6))
+
+
+@query("resize_frame", """, ax AS (SELECT n, o, i, sum(w) AS w FROM (SELECT n, o, unnest([CAST(floor(src) AS INTEGER), CAST(least(floor(src) + 1, n - 1) AS INTEGER)]) AS i, unnest([1 - (src - floor(src)), src - floor(src)]) AS w
+  FROM (SELECT n, o, least(greatest((o + 0.5) * n / m - 0.5, 0), n - 1) AS src FROM (SELECT 18 AS n, 7 AS m UNION ALL SELECT 22, 9), (SELECT unnest(generate_series(0, 8)) AS o) WHERE o < m)) WHERE w > 0 GROUP BY ALL)
+SELECT seq, frame_idx, CAST(a.o AS INTEGER) AS y, CAST(b.o AS INTEGER) AS x, round(sum(value * a.w * b.w), 6) AS value FROM cnt JOIN ax a ON a.n = 18 AND a.i = cnt.y JOIN ax b ON b.n = 22 AND b.i = cnt.x GROUP BY ALL""")
+def _(s, d):
+    return images.resize_frame(images.event_count_frame(fx.framed(s, d)), (H, W), (7, 9)).withColumn("value", F.round("value", 6))
+
+
+def _means(s, d):
+    n = fx.spine(s, d).groupBy("seq").agg(F.count("*").alias("n"))
+    return images.pixel_mean(images.event_count_frame(fx.framed(s, d)), n)
+
+
+@query("pixel_mean", "SELECT seq, y, x, round(mean, 6) AS mean FROM means")
+def _(s, d):
+    return _means(s, d).withColumn("mean", F.round("mean", 6))
+
+
+@query("sampling_probabilities", "SELECT pcut.seq, y, x, round(v / t, 9) AS prob FROM pcut JOIN (SELECT seq, sum(v) AS t FROM pcut GROUP BY seq) q ON q.seq = pcut.seq")
+def _(s, d):
+    return images.sampling_probabilities(_means(s, d), H, W).withColumn("prob", F.round("prob", 9))
+
+
+@query("sample_pixels")
+def _(s, d):
+    return images.sample_pixels(images.sampling_probabilities(_means(s, d), H, W), 8, 3.0)
+
+
+_GRID = [(y, x) for y in (2, 5, 9, 13) for x in (1, 7, 12, 20)]
+
+
+def _gathered(s, d):
+    pixels = s.createDataFrame([(i, y, x) for i, (y, x) in enumerate(_GRID)], "pixel int, y int, x int")
+    return images.gather_pixels(images.event_count_frame(fx.framed(s, d)), fx.spine(s, d), pixels, 10)
+
+
+@query("gather_pixels", "SELECT frames.seq, frames.frame_idx, string_agg(CAST(CAST(least(coalesce(value, 0), 10) AS BIGINT) AS VARCHAR), ',' ORDER BY pixel) AS vec FROM frames CROSS JOIN grid LEFT JOIN cnt ON cnt.seq = frames.seq AND cnt.frame_idx = frames.frame_idx AND cnt.y = grid.y AND cnt.x = grid.x GROUP BY ALL")
+def _(s, d):
+    return _gathered(s, d).select(*FRAME, F.array_join(F.transform("vec", lambda v: v.cast("long").cast("string")), ",").alias("vec"))
+
+
+# descriptors
+
+@query("l2_normalize", f"SELECT seq, frame_idx, {SQL_TEXT6.format('vec')} AS vec FROM dn")
+def _(s, d):
+    return fx.descriptors(s, d).select(*FRAME, text6(vectors.l2_normalize(F.col("vec"))).alias("vec"))
+
+
+@query("gem_pool", "SELECT seq, frame_idx, i AS channel, round(pow(avg(pow(greatest(v, 1e-6), 5)), 0.2), 6) AS value FROM (SELECT seq, frame_idx, unnest(generate_series(0, 7)) AS i, unnest(desc_) AS v FROM kp) GROUP BY ALL")
+def _(s, d):
+    x = fx.keypoints(s, d).select(*FRAME, F.posexplode("desc").alias("channel", "value"))
+    return ds.gem_pool(x).select(*FRAME, F.col("channel").cast("long").alias("channel"), r6("value", "value"))
+
+
+@query("whitening")
+def _(s, d):
+    return ds.apply_whitening(fx.descriptors(s, d), ds.fit_whitening(fx.descriptors(s, d, "ref"))).select(*FRAME, "vec")
+
+
+@query("topk_keypoints", "SELECT seq, frame_idx, kp_idx, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY seq, frame_idx ORDER BY score DESC, kp_idx) AS r FROM kp) WHERE r <= 4")
+def _(s, d):
+    return ds.topk_keypoints(fx.keypoints(s, d), 4).select(*FRAME, "kp_idx", "rank")
+
+
+@query("sample_grid", f""", cells AS (SELECT seq, frame_idx, y, x, [value, 1.0, value * value] AS v FROM cnt), q AS (SELECT seq, frame_idx, kp_idx, x / 10 AS x, y / 10 AS y FROM kp),
+c AS (SELECT q.*, CAST(floor(y) + dy AS INTEGER) AS cy, CAST(floor(x) + dx AS INTEGER) AS cx, (CASE WHEN dy = 1 THEN y - floor(y) ELSE 1 - (y - floor(y)) END) * (CASE WHEN dx = 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END) AS w FROM q, (SELECT unnest([0, 1]) AS dy), (SELECT unnest([0, 1]) AS dx)),
+z AS (SELECT c.seq, c.frame_idx, kp_idx, [sum(w * v[1]), sum(w * v[2]), sum(w * v[3])] AS v FROM c JOIN cells ON cells.seq = c.seq AND cells.frame_idx = c.frame_idx AND cells.y = cy AND cells.x = cx WHERE w > 0 GROUP BY ALL)
+SELECT seq, frame_idx, kp_idx, {SQL_TEXT6.format('list_transform(v, lambda q: q / greatest(sqrt(list_dot_product(v, v)), 1e-12))')} AS vec FROM z""")
+def _(s, d):
+    cells = images.event_count_frame(fx.framed(s, d)).select(*FRAME, "y", "x", F.array("value", F.lit(1.0), F.col("value") * F.col("value")).alias("vec"))
+    kps = fx.keypoints(s, d).withColumn("x", F.col("x") / 10).withColumn("y", F.col("y") / 10)
+    return ds.sample_grid(cells, kps).select(*FRAME, "kp_idx", text6(F.col("vec")).alias("vec"))
+
+
+@query("vlad_pool", f""", z AS (SELECT seq, frame_idx, kp_idx, cluster, desc_ AS v, c, 100 * list_dot_product(desc_, c) AS z FROM kp, ctr), e AS (SELECT *, exp(z - max(z) OVER (PARTITION BY seq, frame_idx, kp_idx)) AS e FROM z),
+a AS (SELECT *, e / sum(e) OVER (PARTITION BY seq, frame_idx, kp_idx) AS a FROM e), x AS (SELECT seq, frame_idx, cluster, a, unnest(generate_series(1, 8)) AS i, unnest(v) AS v, unnest(c) AS c FROM a),
+sm AS (SELECT seq, frame_idx, cluster, i, sum(a * (v - c)) AS v FROM x GROUP BY ALL), g AS (SELECT seq, frame_idx, cluster, list(v ORDER BY i) AS v FROM sm GROUP BY ALL)
+SELECT seq, frame_idx, cluster, array_to_string(list_transform(v, lambda q: CAST(CAST(round(q / greatest(sqrt(list_dot_product(v, v)), 1e-12) * 1e4) AS BIGINT) AS VARCHAR)), ',') AS vec FROM g WHERE list_dot_product(v, v) > 1e-12""")
+def _(s, d):
+    # a cluster with next to no weight has a residual of noise, whose direction means nothing
+    k, c = fx.keypoints(s, d), fx.centroids(s, d)
+    out = ds.vlad_pool(k, c)
+    weight = _vlad_weight(k, c)
+    return out.join(weight, ["seq", "frame_idx", "cluster"]).select(*FRAME, "cluster", F.array_join(F.transform("vec", lambda x: F.round(x * 1e4).cast("long").cast("string")), ",").alias("vec"))
+
+
+def _vlad_weight(k, c):
+    from pyspark.sql import Window
+
+    x = k.select(*FRAME, "kp_idx", F.col("desc").alias("v")).crossJoin(F.broadcast(c.select("cluster", F.col("vec").alias("c")))).withColumn("z", 100 * vectors.dot(F.col("v"), F.col("c")))
+    one = Window.partitionBy(*FRAME, "kp_idx")
+    x = x.withColumn("e", F.exp(F.col("z") - F.max("z").over(one))).withColumn("a", F.col("e") / F.sum("e").over(one))
+    x = x.select(*FRAME, "cluster", "a", F.posexplode(F.zip_with("v", "c", lambda v, c: v - c)).alias("i", "d")).groupBy(*FRAME, "cluster", "i").agg(F.sum(F.col("a") * F.col("d")).alias("v"))
+    return x.groupBy(*FRAME, "cluster").agg(F.sum(F.col("v") * F.col("v")).alias("q")).where("q > 1e-12").drop("q")
+
+
+@query("fit_alpha", ", z AS (SELECT seq, frame_idx, kp_idx, list_dot_product(desc_, c) AS z FROM kp, ctr), r AS (SELECT *, row_number() OVER (PARTITION BY seq, frame_idx, kp_idx ORDER BY z DESC) AS r FROM z) SELECT round(-ln(0.01) / avg(gap), 6) AS alpha FROM (SELECT max(z) - min(z) AS gap FROM r WHERE r <= 2 GROUP BY seq, frame_idx, kp_idx)")
+def _(s, d):
+    return ds.fit_alpha(fx.keypoints(s, d), fx.centroids(s, d)).select(r6("alpha", "alpha"))
+
+
+# similarity
+
+@query("similarity_pairs", "SELECT ref_idx, query_idx, round(sim, 6) AS sim FROM pairs")
+def _(s, d):
+    return similarity.similarity_pairs(fx.descriptors(s, d, "ref"), fx.descriptors(s, d, "query")).withColumn("sim", F.round("sim", 6))
+
+
+@query("topk_similarity", "SELECT query_idx, CAST(rank AS INTEGER) AS rank, ref_idx, round(sim, 6) AS sim, round(dist, 6) AS dist FROM ranked WHERE rank <= 50")
+def _(s, d):
+    return shortlist(s, d, 50).select("query_idx", "rank", "ref_idx", r6("sim", "sim"), r6("dist", "dist"))
+
+
+@query("shortlist_from_pairs", "SELECT query_idx, CAST(rank AS INTEGER) AS rank, ref_idx, round(dist, 6) AS dist FROM cand")
+def _(s, d):
+    p = similarity.similarity_pairs(fx.descriptors(s, d, "ref"), fx.descriptors(s, d, "query")).withColumn("dist", 1 - F.col("sim"))
+    return similarity.shortlist_from_pairs(p, 10).select("query_idx", "rank", "ref_idx", r6("dist", "dist"))
+
+
+_SQL_DISTANCE = {
+    "cosine": "1 - list_dot_product(a, b) / greatest(sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b)), 1e-8)",
+    "euclidean": "list_distance(a, b)",
+    "cityblock": "list_sum(list_transform(list_zip(a, b), lambda z: abs(z[1] - z[2])))",
+}
+for _metric, _sql in _SQL_DISTANCE.items():
+    @query(f"pairwise_distance_{_metric}", f", ab AS (SELECT r.frame_idx AS ref_idx, q.frame_idx AS query_idx, r.vec AS a, q.vec AS b FROM d r, d q WHERE r.seq = 'ref' AND q.seq = 'query') SELECT ref_idx, query_idx, round({_sql}, 6) AS dist FROM ab")
+    def _(s, d, metric=_metric):
+        return similarity.pairwise_distance(fx.descriptors(s, d, "ref"), fx.descriptors(s, d, "query"), metric).withColumn("dist", F.round("dist", 6))
+
+    @query(f"nearest_blocks_{_metric}", f", ab AS (SELECT r.frame_idx AS ref_idx, q.frame_idx AS query_idx, r.vec AS a, q.vec AS b FROM d r, d q WHERE r.seq = 'ref' AND q.seq = 'query'), x AS (SELECT ref_idx, query_idx, {_sql} AS dist FROM ab), y AS (SELECT *, row_number() OVER (PARTITION BY query_idx ORDER BY dist, ref_idx) AS r FROM x) SELECT query_idx, CAST(r AS INTEGER) AS rank, ref_idx, round(dist, 6) AS dist FROM y WHERE r <= 5")
+    def _(s, d, metric=_metric):
+        return similarity.nearest_blocks(fx.descriptors(s, d, "ref"), fx.descriptors(s, d, "query"), 5, metric, block=128).select("query_idx", "rank", "ref_idx", r6("dist", "dist"))
+
+
+@query("attach_keypoints", "SELECT query_idx, ref_idx, CAST(query_idx % 6 + 3 AS INTEGER) AS query_n, CASE WHEN ref_idx % 5 = 0 THEN -1 ELSE CAST(ref_idx % 6 + 3 AS INTEGER) END AS ref_n FROM cand")
+def _(s, d):
+    r = packs(s, d, "ref").where("frame_idx % 5 <> 0")
+    return similarity.attach_keypoints(shortlist(s, d), r, packs(s, d, "query")).select("query_idx", "ref_idx", "query_n", "ref_n").fillna(-1, ["ref_n"])
+
+
+@query("plan_pairs", """, pr AS (SELECT 'ref' AS ref_seq, 'query' AS query_seq UNION ALL SELECT 'ref', 'ref'), x AS (SELECT ref_seq, query_seq, q.frame_idx AS query_idx, r.frame_idx AS ref_idx, 1 - list_dot_product(r.vec, q.vec) AS dist FROM pr JOIN dn r ON r.seq = ref_seq JOIN dn q ON q.seq = query_seq),
+y AS (SELECT *, row_number() OVER (PARTITION BY ref_seq, query_seq, query_idx ORDER BY round(dist, 9), ref_idx) AS r FROM x) SELECT ref_seq, query_seq, query_idx, CAST(r AS INTEGER) AS rank, ref_idx FROM y WHERE r <= 3""")
+def _(s, d):
+    pairs = s.createDataFrame([("ref", "query"), ("ref", "ref")], "ref_seq string, query_seq string")
+    r, q = similarity.plan_pairs(fx.descriptors(s, d), pairs)
+    return similarity.nearest_blocks(r, q, 3, keys=("ref_seq", "query_seq")).select("ref_seq", "query_seq", "query_idx", "rank", "ref_idx")
+
+
+# matching and re-ranking
+
+@query("mutual_nn_matches", "SELECT query_idx, ref_idx, i, j, round(dist, 5) AS dist FROM mutual")
+def _(s, d):
+    return rerank.mutual_nn_matches(candidates(s, d)).select("query_idx", "ref_idx", "i", "j", F.round("dist", 5).alias("dist"))
+
+
+@query("ratio_matches", "SELECT query_idx, ref_idx, i, j, round(dist, 5) AS dist FROM ratio")
+def _(s, d):
+    return rerank.ratio_matches(candidates(s, d)).select("query_idx", "ref_idx", "i", "j", F.round("dist", 5).alias("dist"))
+
+
+@query("translation_inliers", "SELECT query_idx, ref_idx, inliers FROM inl")
+def _(s, d):
+    return rerank.translation_inliers(rerank.mutual_nn_matches(candidates(s, d)))
+
+
+@query("homography_inliers")
+def _(s, d):
+    return rerank.homography_inliers(rerank.mutual_nn_matches(candidates(s, d)))
+
+
+@query("fuse_inliers", "SELECT query_idx, ref_idx, inliers, round(new_dist, 6) AS new_dist FROM fused")
+def _(s, d):
+    return fused(s, d).select("query_idx", "ref_idx", "inliers", r6("new_dist", "new_dist"))
+
+
+@query("full_column", "SELECT p.query_idx, p.ref_idx, round(coalesce(new_dist, 1 - sim), 6) AS new_dist FROM pairs p LEFT JOIN fused f ON f.query_idx = p.query_idx AND f.ref_idx = p.ref_idx")
+def _(s, d):
+    p = similarity.similarity_pairs(fx.descriptors(s, d, "ref"), fx.descriptors(s, d, "query")).withColumn("dist", 1 - F.col("sim"))
+    return rerank.full_column(p, fused(s, d)).withColumn("new_dist", F.round("new_dist", 6))
+
+
+@query("best_match", ", o AS (SELECT *, row_number() OVER (PARTITION BY query_idx ORDER BY new_dist, rank) AS r FROM fused) SELECT query_idx, ref_idx, round(new_dist, 6) AS new_dist, inliers FROM o WHERE r = 1")
+def _(s, d):
+    return rerank.best_match(fused(s, d)).withColumn("new_dist", F.round("new_dist", 6))
+
+
+@query("mutual_mean_distance", "SELECT cand.query_idx, cand.ref_idx, round(coalesce(avg(mutual.dist), 1), 5) AS dist FROM cand LEFT JOIN mutual ON mutual.query_idx = cand.query_idx AND mutual.ref_idx = cand.ref_idx GROUP BY ALL")
+def _(s, d):
+    return rerank.mutual_mean_distance(candidates(s, d)).withColumn("dist", F.round("dist", 5))
+
+
+def _depth_candidates(s, d):
+    """Frames of the depth maps, as neighbours in time."""
+    f = fx.spine(s, d)
+    q, r = (f.where(F.col("seq") == x).select(F.col("frame_idx").alias(c)) for x, c in (("query", "query_idx"), ("ref", "ref_idx")))
+    return q.join(r, F.abs(F.col("query_idx") - F.col("ref_idx")) <= 2).withColumn("dist", F.abs(F.col("query_idx") - F.col("ref_idx")) / 10.0)
+
+
+def _depth(s, d, seq):
+    return fx.depth(s, d).where(F.col("seq") == seq)
+
+
+@query("depth_rerank")
+def _(s, d):
+    return rerank.depth_rerank(_depth_candidates(s, d), _depth(s, d, "ref"), _depth(s, d, "query"))
+
+
+@query("masked_ssim_error")
+def _(s, d):
+    q = _depth(s, d, "query").select(F.col("frame_idx").alias("query_idx"), "h", "w", F.col("px").alias("a"))
+    r = _depth(s, d, "ref").select(F.col("frame_idx").alias("ref_idx"), F.col("px").alias("b"))
+    return rerank.masked_ssim_error(_depth_candidates(s, d).join(q, "query_idx").join(r, "ref_idx"))
+
+
+@query("area_downsample", """, cells AS (SELECT seq, frame_idx, yy AS y, xx AS x, CASE WHEN (xx + yy) % 7 = 0 THEN 0 ELSE 1 + coalesce(value, 0) END AS v FROM frames CROSS JOIN (SELECT unnest(generate_series(0, 17)) AS yy) CROSS JOIN (SELECT unnest(generate_series(0, 21)) AS xx) LEFT JOIN (SELECT seq, frame_idx, y AS cy, x AS cx, value FROM cnt) c USING (seq, frame_idx) WHERE false)
+SELECT seq, frame_idx, y // 3 AS y, x // 2 AS x, round(avg(v), 6) AS value FROM (SELECT f.seq, f.frame_idx, yy AS y, xx AS x, CASE WHEN (xx + yy) % 7 = 0 THEN 0 ELSE 1 + coalesce(value, 0) END AS v FROM frames f CROSS JOIN (SELECT unnest(generate_series(0, 17)) AS yy) CROSS JOIN (SELECT unnest(generate_series(0, 21)) AS xx) LEFT JOIN cnt ON cnt.seq = f.seq AND cnt.frame_idx = f.frame_idx AND cnt.y = yy AND cnt.x = xx) GROUP BY ALL""".replace(""", cells AS (SELECT seq, frame_idx, yy AS y, xx AS x, CASE WHEN (xx + yy) % 7 = 0 THEN 0 ELSE 1 + coalesce(value, 0) END AS v FROM frames CROSS JOIN (SELECT unnest(generate_series(0, 17)) AS yy) CROSS JOIN (SELECT unnest(generate_series(0, 21)) AS xx) LEFT JOIN (SELECT seq, frame_idx, y AS cy, x AS cx, value FROM cnt) c USING (seq, frame_idx) WHERE false)
+""", ""))
+def _(s, d):
+    small = rerank.area_downsample(fx.depth(s, d), (6, 11))
+    cells = small.select(*FRAME, F.posexplode("px").alias("i", "value"))
+    return cells.select(*FRAME, F.expr("cast(i div 11 as long)").alias("y"), (F.col("i") % 11).cast("long").alias("x"), r6("value", "value"))
+
+
+@query("gate_features", f""", v AS (SELECT query_idx, list(sim ORDER BY rank) AS v, avg(sim) AS m, greatest(stddev_samp(sim), 1e-6) AS sd FROM ranked WHERE rank <= 50 GROUP BY query_idx), p AS (SELECT *, list_transform(v, lambda x: exp(x - v[1]) / list_sum(list_transform(v, lambda y: exp(y - v[1])))) AS p FROM v)
+SELECT query_idx, {SQL_TEXT6.format('list_concat(v, [v[1], v[2], v[5], v[10], v[1] - v[2], v[1] - v[5], v[1] - v[10], m, sd, (v[1] - m) / sd, -list_sum(list_transform(p, lambda x: x * ln(greatest(x, 1e-12)))), list_max(p)])')} AS features FROM p""")
+def _(s, d):
+    return rerank.gate_features(shortlist(s, d, 50)).select("query_idx", text6(F.col("features")).alias("features"))
+
+
+@query("gate_decide", ", g AS (SELECT frame_idx AS query_idx, unnest(vec[1:5]) * 10 AS logit FROM d WHERE seq = 'query'), h AS (SELECT query_idx, avg(1 / (1 + exp(-logit))) AS p, var_pop(1 / (1 + exp(-logit))) AS var FROM g GROUP BY query_idx) SELECT query_idx, round(p, 6) AS p, round(var, 6) AS var, p < 0.5 OR var > 0.05 AS rerank FROM h")
+def _(s, d):
+    return rerank.gate_decide(fx.gate_logits(s, d)).select("query_idx", r6("p", "p"), r6("var", "var"), "rerank")
+
+
+# evaluation
+
+@query("recall_at_k", "SELECT k, recall FROM recall")
+def _(s, d):
+    return evaluate.recall_at_k(shortlist(s, d), fx.gt(s, d))
+
+
+@query("recall_within_tolerance", """, f AS (SELECT query_idx, min(rank) AS first FROM ranked c WHERE rank <= 10 AND EXISTS (SELECT 1 FROM gt WHERE abs(gt.ref_idx - c.ref_idx) <= 1 AND abs(gt.query_idx - c.query_idx) <= 1 AND gt.ref_idx % 9 = 0) GROUP BY query_idx),
+q AS (SELECT DISTINCT query_idx FROM ranked r WHERE EXISTS (SELECT 1 FROM gt WHERE abs(gt.query_idx - r.query_idx) <= 1 AND gt.ref_idx % 9 = 0)) SELECT k, avg(CASE WHEN first <= k THEN 1.0 ELSE 0.0 END) AS recall FROM q LEFT JOIN f USING (query_idx), (SELECT unnest([1, 5, 10]) AS k) GROUP BY k""")
+def _(s, d):
+    return evaluate.recall_at_k(shortlist(s, d), fx.gt(s, d).where("ref_idx % 9 = 0"), tol=1)
+
+
+@query("dilate_gt", ", n AS (SELECT (SELECT count(*) FROM d WHERE seq = 'ref') AS r, (SELECT count(*) FROM d WHERE seq = 'query') AS q), g AS (SELECT * FROM gt WHERE (ref_idx + query_idx) % 11 = 0) SELECT DISTINCT ref_idx + a AS ref_idx, query_idx + b AS query_idx FROM g, n, (SELECT unnest([-1, 0, 1]) AS a), (SELECT unnest([-1, 0, 1]) AS b) WHERE ref_idx + a BETWEEN 0 AND r - 1 AND query_idx + b BETWEEN 0 AND q - 1")
+def _(s, d):
+    n = {r["seq"]: r["count"] for r in fx.descriptors(s, d).groupBy("seq").count().collect()}
+    return evaluate.dilate_gt(fx.gt(s, d).where("(ref_idx + query_idx) % 11 = 0"), 1, n["ref"], n["query"])
+
+
+@query("resize_gt", ", n AS (SELECT (SELECT count(*) FROM d WHERE seq = 'ref') AS r, (SELECT count(*) FROM d WHERE seq = 'query') AS q), a AS (SELECT o, CAST(floor((o + 0.5) * r / 60) AS BIGINT) AS i FROM n, (SELECT unnest(generate_series(0, 59)) AS o)), b AS (SELECT o, CAST(floor((o + 0.5) * q / 60) AS BIGINT) AS i FROM n, (SELECT unnest(generate_series(0, 59)) AS o)) SELECT a.o AS ref_idx, b.o AS query_idx FROM gt JOIN a ON a.i = gt.ref_idx JOIN b ON b.i = gt.query_idx")
+def _(s, d):
+    n = {r["seq"]: r["count"] for r in fx.descriptors(s, d).groupBy("seq").count().collect()}
+    return evaluate.resize_gt(fx.gt(s, d), (n["ref"], n["query"]), (60, 60))
+
+
+QUERIES["compare_recall"] = flagship
+ORACLE_SQL["compare_recall"] = ORACLE_SQL["flagship"]
+
+
+@query("latency_summary", "SELECT stage, count(*) AS n, round(avg(ms), 6) AS mean, round(quantile_cont(ms, 0.5), 6) AS median, round(quantile_cont(ms, 0.95), 6) AS p95, max(ms) AS max FROM tim GROUP BY stage")
+def _(s, d):
+    return evaluate.latency_summary(fx.timings(s, d)).select("stage", "n", r6("mean", "mean"), r6("median", "median"), r6("p95", "p95"), "max")
+
+
+@query("over_budget", "SELECT count(*) AS frames, CAST(sum(CASE WHEN ms > 50 THEN 1 ELSE 0 END) AS BIGINT) AS over, round(1000 / greatest(avg(ms), 1e-6), 6) AS hz FROM (SELECT frame_idx, sum(ms) AS ms FROM tim GROUP BY frame_idx)")
+def _(s, d):
+    return evaluate.over_budget(fx.timings(s, d), 50.0).withColumn("hz", F.round("hz", 6))
+
 
+# whole workloads
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").agg(F.count("*").alias("n"))
+@query("sparse_pixel_baseline", """, v AS (SELECT frames.seq, frames.frame_idx, list(least(coalesce(value, 0), 10) ORDER BY pixel) AS v FROM frames CROSS JOIN grid LEFT JOIN cnt ON cnt.seq = frames.seq AND cnt.frame_idx = frames.frame_idx AND cnt.y = grid.y AND cnt.x = grid.x GROUP BY ALL),
+x AS (SELECT q.frame_idx AS query_idx, r.frame_idx AS ref_idx, list_sum(list_transform(list_zip(r.v, q.v), lambda z: abs(z[1] - z[2]))) AS dist FROM v r, v q WHERE r.seq = 'ref' AND q.seq = 'query'),
+y AS (SELECT *, row_number() OVER (PARTITION BY query_idx ORDER BY dist, ref_idx) AS r FROM x) SELECT query_idx, CAST(r AS INTEGER) AS rank, ref_idx, round(dist, 6) AS dist FROM y WHERE r <= 5""")
+def _(s, d):
+    v = _gathered(s, d)
+    return similarity.nearest_blocks(v.where("seq = 'ref'"), v.where("seq = 'query'"), 5, "cityblock").select("query_idx", "rank", "ref_idx", r6("dist", "dist"))
