@@ -52,18 +52,21 @@ def packs(spark, sf, seq: str) -> DataFrame:
     return ft_src.pack_keypoints(fx.keypoints(spark, sf, seq), fx.descriptors(spark, sf, seq), 170)
 
 
-def candidates(spark, sf) -> DataFrame:
-    return similarity.attach_keypoints(shortlist(spark, sf), packs(spark, sf, "ref"), packs(spark, sf, "query"))
+def candidates(spark, sf, base: DataFrame | None = None) -> DataFrame:
+    return similarity.attach_keypoints(shortlist(spark, sf) if base is None else base, packs(spark, sf, "ref"), packs(spark, sf, "query"))
 
 
-def fused(spark, sf) -> DataFrame:
-    return rerank.fuse_inliers(shortlist(spark, sf), rerank.translation_inliers(rerank.mutual_nn_matches(candidates(spark, sf))))
+def fused(spark, sf, base: DataFrame | None = None) -> DataFrame:
+    """The shortlist with inliers; it is used twice, so it is kept for the session."""
+    base = shortlist(spark, sf).persist() if base is None else base
+    return rerank.fuse_inliers(base, rerank.translation_inliers(rerank.mutual_nn_matches(candidates(spark, sf, base))))
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Recall@K before and after re-ranking."""
-    base = similarity.topk_similarity(fx.descriptors(spark, sf, "ref"), fx.descriptors(spark, sf, "query"), 10)
-    return evaluate.compare_recall(base, fused(spark, sf), fx.gt(spark, sf))
+    base = shortlist(spark, sf).persist()
+    reranked = fused(spark, sf, base).persist()
+    return evaluate.compare_recall(base, reranked, fx.gt(spark, sf))
 
 
 QUERIES["flagship"] = flagship
