@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,13 +18,27 @@ def ascii_lower(col):
     return F.translate(col, UPPER, LOWER)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, after making the session hand texts to Python in batches of some MB, whatever their lengths."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    return df
+
+
+#: Temporary folders of sessions that name no shared one, by application.
+_temporary: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share, with its scheme; a temporary one only where the session names none (tests)."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        d = "file://" + tempfile.mkdtemp(prefix="evplace-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    return d.rstrip("/")
+        app = spark.sparkContext.applicationId
+        d = _temporary[app] = _temporary.get(app) or "file://" + tempfile.mkdtemp(prefix="evplace-")
+    path = spark._jvm.org.apache.hadoop.fs.Path(d)
+    full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub(r"^file:/+", "file:///", full).rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -60,7 +75,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHashes:
     """64-bit hashes of words, remembered for up to ``room`` words."""
 
-    def __init__(self, room: int = 300_000):
+    def __init__(self, room: int = 200_000):
         import xxhash
 
         self.fn, self.room, self.seen = xxhash.xxh3_64_intdigest, room, {}

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from evplace.llm._shared import small_batches
+
 #: Base kinds in the order in which they are listed, then the parts that linking adds.
 KINDS = ("assign", "access", "hex", "endpoint", "key_id", "key_part")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
@@ -76,7 +78,7 @@ def secret_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sc
     Null and empty texts have no spans. Repeated rows and null ids give a row each. Extra columns
     are ignored, whatever their names.
     """
-    d = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    d = small_batches(docs).select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     found = d.mapInArrow(_parts, f"id {d.schema['id'].dataType.simpleString()}, parts {_PART}").withColumn("row", F.monotonically_increasing_id())
     x = found.select("row", "id", F.explode_outer("parts").alias("x")).select("row", "id", "x.*")
     role = F.element_at(F.array(*[F.lit(ROLES.index(ROLE[k])) for k in KINDS]), F.col("k") + 1)

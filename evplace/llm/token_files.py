@@ -19,10 +19,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evplace.llm._shared import new_path
+from evplace.llm._shared import new_path, small_batches
 
 #: Pieces in one generation of a worker's cache, for each tokenizer; it keeps two.
-REMEMBERED = 350_000
+REMEMBERED = 250_000
 _MARKS = frozenset(".,;:!?")
 _encoders: dict = {}
 
@@ -139,7 +139,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, out: str, doc_id: st
             fs.move(name + end, name + tail)
         yield pa.RecordBatch.from_pydict({"part": [part], "docs": [len(lengths)], "ids": [int(ends[-1])]}, schema=pa.schema([("part", pa.int32()), ("docs", pa.int64()), ("ids", pa.int64())]))
 
-    dealt = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).repartitionByRange("id").sortWithinPartitions("id", "text")
+    dealt = small_batches(docs).select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).repartitionByRange("id").sortWithinPartitions("id", "text")
     rows = sorted(dealt.mapInArrow(write, "part int, docs long, ids long").collect())
     bases = np.concatenate([[0], np.cumsum([r.ids for r in rows])]).astype(np.int64)
     parts = [{"part": r.part, "docs": r.docs, "ids": r.ids, "base": int(b)} for r, b in zip(rows, bases)]
