@@ -11,15 +11,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evplace.llm._shared import dropped, written
+from evplace.llm._shared import dropped, small_batches, written
 
 #: Hashed features of the scorer, and texts of each label and axis that it is fitted on, at most.
 FEATURES, SAMPLE = 1 << 18, (3000, 6000)
 AXES = ("low", "toxic")
 #: English insults that the lexicon labeller knows.
 INSULTS = frozenset("trash pathetic idiot disgusting worthless stupid clown scum loser moron".split())
-SYMBOLS = re.compile(r"[#$%&*@|!<>{}\[\]\\^~=+]")
-TAILED = re.compile(r"\w[.,]?[^\w\s.,;:?)\]\"'’»…-]{2,}(?=\s|$)")
+SYMBOLS = "#$%&*@|!<>{}[]\\^~=+"
 WORD = re.compile(r"[^\W\d_]+")
 ABSTAIN = -1
 
@@ -38,10 +37,10 @@ def low_votes(text: str | None) -> list[int]:
     shouted = sum(w.isupper() and len(w) > 1 for w in words)
     lines = [x for x in text.split("\n") if x]
     return [
-        _vote(len(SYMBOLS.findall(text)) / letters, 0.01, 0.06),  # symbols
+        _vote(sum(map(text.count, SYMBOLS)) / letters, 0.01, 0.06),  # symbols
         _vote(shouted / n, 0.1, 0.3) if n >= 5 else ABSTAIN,  # shouting
         _vote(sum(len(w) == 1 and not w.isalnum() for w in words) / n, 0.01, 0.12),  # lone separators
-        _vote(len(TAILED.findall(text)) / n, 0.02, 0.15),  # words with symbols at their ends
+        _vote(sum(w[-1] in SYMBOLS and w[-2:-1] in SYMBOLS and len(w) > 2 for w in words) / n, 0.02, 0.15),  # words with symbols at their ends
         _vote(1 - len(set(words)) / n, 0.6, 0.8) if n >= 50 else ABSTAIN,  # repeated words
         _vote(1 - len(set(lines)) / len(lines), 0.2, 0.5) if len(lines) >= 5 else ABSTAIN,  # repeated lines
         _vote(sum(a == b for a, b in zip(words, words[1:])) / n, 0.05, 0.3) if n >= 8 else ABSTAIN,  # words said again at once
@@ -52,7 +51,8 @@ def toxic_votes(text: str | None) -> list[int]:
     """The lexicon speaks only where it finds something."""
     if not text:
         return [ABSTAIN]
-    return [1 if not INSULTS.isdisjoint(text.lower().split()) or any(w.strip(".,;:!?\"'()") in INSULTS for w in text.lower().split()) else ABSTAIN]
+    low = text.lower()
+    return [1 if any(x in low for x in INSULTS) and not INSULTS.isdisjoint(WORD.findall(low)) else ABSTAIN]
 
 
 def fit_labellers(votes: np.ndarray, counts: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
@@ -183,7 +183,8 @@ def fit(d: DataFrame, labels: DataFrame | None, sample: tuple[int, int] = SAMPLE
 
     def features(batches):
         for batch in batches:
-            out = [(i, x, y, text_features(x, t)) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if i in shared.value for x, y in shared.value[i]]
+            mine = batch.filter(pa.array([i in shared.value for i in batch.column(0).to_pylist()], pa.bool_()))
+            out = [(i, x, y, text_features(x, t)) for i, t in zip(mine.column(0).to_pylist(), mine.column(1).to_pylist()) for x, y in shared.value[i]]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in ((1, pa.int32()), (2, pa.int32()), (3, pa.list_(pa.int32())))], ["axis", "label", "features"])
 
@@ -207,6 +208,7 @@ def scores(d: DataFrame, weights: np.ndarray, schema: str, text: str = "text") -
 
     def run(batches):
         w, seen = shared.value.astype(np.float64), {}
+        some = {int(f): float(w[1, f]) for f in np.flatnonzero(w[1, :-1])}
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
@@ -214,12 +216,12 @@ def scores(d: DataFrame, weights: np.ndarray, schema: str, text: str = "text") -
                 for i, t in enumerate(part.column(at).to_pylist()):
                     a = w[0, -1] + w[0, vote_features(0, low_votes(t))].sum()
                     b = w[1, -1] + w[1, vote_features(1, toxic_votes(t))].sum()
-                    if len(seen) > 300_000:
-                        seen.clear()
                     for word in set(WORD.findall(t.lower())) if t else ():
                         x = seen.get(word)
                         if x is None:
-                            x = seen[word] = float(w[1, word_features(word)].sum())
+                            x = sum(some[f] for f in word_features(word) if f in some)
+                            if len(seen) < 200_000:
+                                seen[word] = x
                         b += x
                     logit[i] = a, b
                 p = 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
@@ -238,7 +240,7 @@ def classified(docs: DataFrame, labels: DataFrame | None = None, doc_id: str = "
     rows are judged alike, a null doc_id is judged like others. With no text, or no label of one kind, the
     scorer knows the prior alone. An empty table gives no rows. Extra columns are ignored.
     """
-    d = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    d = small_batches(docs).select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     weights, _ = fit(d, labels, sample)
     out = scores(d, weights, "id long, text string, p_low double, p_toxic double")
     return out.select(F.col("id").alias(doc_id), "p_low", "p_toxic", ((F.col("p_low") < threshold) & (F.col("p_toxic") < threshold)).alias("kept"))
@@ -246,7 +248,7 @@ def classified(docs: DataFrame, labels: DataFrame | None = None, doc_id: str = "
 
 def kept_rows(docs: DataFrame, labels: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text", sample: tuple[int, int] = SAMPLE, threshold: float = 0.5) -> DataFrame:
     """The rows of docs that classified() keeps, with the columns of docs."""
-    weights, _ = fit(docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")), labels, sample)
+    weights, _ = fit(small_batches(docs).select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")), labels, sample)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", p_low double, p_toxic double"
     return scores(docs, weights, schema, text).where((F.col("p_low") < threshold) & (F.col("p_toxic") < threshold)).select(docs.columns)
 
