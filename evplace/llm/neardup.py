@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evplace.llm._shared import WordHashes, bloom_of, dropped, in_bloom, mix64, written
+from evplace.llm._shared import WordHashes, bloom_of, dropped, in_bloom, mix64, small_batches, written
 from evplace.llm.components import components
 
 #: Trees, hashes in a tree's order, and the shortest prefix at which neighbours are looked for.
@@ -251,13 +251,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     out. An empty table gives no rows. Extra columns are ignored. A lone pair at a similarity of 0.8 is missed with a
     chance of 6e-5 (at 0.85: 3e-7); in larger families a set must be missed by all others at once.
     """
-    d = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null")
+    d = small_batches(docs).select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null")
     found = written(sketches(d, shingle, trees, depth, least), "sketches")
-    classes = found.where("n > 0").groupBy("set_key").agg(F.min("id").alias("rep"))
+    # written, so that the join has a stage of its own, in which Spark can split the rows of one large class
+    classes = written(found.where("n > 0").groupBy("set_key").agg(F.min("id").alias("rep")), "sets")
     member = written(found.select("id", "n", "set_key").join(classes, "set_key", "left").select("id", "n", "rep"), "classes")
     reps = found.join(member.where("id = rep").select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
     families = written(components(forest_pairs(reps.where("n > 0"), trees, depth, least, percent, region, near), "a", "b", "pairs"), "families")
     dropped(found)
+    dropped(classes)
     links = family_links(d, families, shingle, percent, block)
     label = components(links, "a", "b", "links")
     out = member.join(label.select(F.col("id").alias("rep"), "component"), "rep", "left")
@@ -267,3 +269,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def op3_near_duplicates(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=3, percent=85)
+
+
+OP3_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+x AS (SELECT doc_id, least(len(w), 3) AS k, unnest(generate_series(1, greatest(len(w) - 2, 1))) AS s, w FROM d WHERE len(w) > 0),
+sh AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, s, s + k - 1), ' ') AS g FROM x),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 85 * (na.n + nb.n - c)),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+m AS (SELECT a, min(b) AS m FROM r GROUP BY a)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id, d.doc_id = least(d.doc_id, coalesce(m, d.doc_id)) AS kept
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.a = d.doc_id
+"""

@@ -18,6 +18,9 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_near_duplicates": neardup.OP3_SQL,
+    "op6_substring_dedup": substrings.OP6_SQL,
     "op5_mixture": mixing.OP5_SQL,
     "op8_decontaminate": decontaminate.OP8_SQL,
+    "op10_url_filter": urls.OP10_SQL,
 }

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evplace.llm._shared import WordHashes, bloom_of, dropped, in_bloom, mix64, written
+from evplace.llm._shared import WordHashes, bloom_of, dropped, in_bloom, mix64, small_batches, written
 from evplace.llm.fm_index import repeated_spans
 from evplace.llm.neardup import _blocks
 
@@ -85,15 +85,17 @@ def _scan(window: int):
     return scan
 
 
-def _contents(d: DataFrame, rows: DataFrame, at: DataFrame, asked: DataFrame) -> DataFrame:
-    """m, h, content, d of the segments asked for, each cut from one text that has it.
+def _contents(d: DataFrame, asked: DataFrame) -> DataFrame:
+    """m, h, content, d of the segments asked for (m, h, l, d and x: a text's key and a place in it), each cut from one text.
 
     Texts are read again, but a Bloom filter of fixed size, broadcast, spares those that none is cut from.
     """
-    spark = d.sparkSession
-    chosen = at.join(asked, ["m", "h"]).groupBy("m", "h").agg(F.min(F.struct("sha", "p", "l", "d")).alias("x"))
-    cuts = written(chosen.groupBy("x.sha").agg(F.collect_list(F.struct("m", "h", "x.p", "x.l", "x.d")).alias("cuts")), "cuts")
-    bits = spark.sparkContext.broadcast(bloom_of(rows.join(cuts.select("sha"), "sha", "left_semi").select("key").distinct(), "key"))
+    cuts = written(asked.groupBy("x.key").agg(F.collect_list(F.struct("m", "h", "x.p", "l", "d")).alias("cuts")), "cuts")
+    bits = d.sparkSession.sparkContext.broadcast(bloom_of(cuts.select("key"), "key"))
+
+    def chosen(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(in_bloom(bits.value, np.asarray(batch.column(0)).view(np.uint64))))
 
     def cut(batches):
         for batch in batches:
@@ -104,8 +106,8 @@ def _contents(d: DataFrame, rows: DataFrame, at: DataFrame, asked: DataFrame) ->
                     [pa.array([c["m"] for c in x], pa.int64()), pa.array([c["h"] for c in x], pa.int64()), pa.array([b" ".join(words[c["p"] : c["p"] + c["l"]]) for c in x], pa.binary()), pa.array([c["d"] for c in x], pa.int64())],
                     ["m", "h", "content", "d"])
 
-    found = d.mapInArrow(_texts_in(bits), "sha string, text string").dropDuplicates(["sha"])
-    return written(found.join(cuts, "sha").select("text", "cuts").mapInArrow(cut, "m long, h long, content binary, d long"), "contents")
+    found = d.select("key", "text").where("text is not null").mapInArrow(chosen, "key long, text string").dropDuplicates(["key"])
+    return written(found.join(cuts, "key").select("text", "cuts").mapInArrow(cut, "m long, h long, content binary, d long"), "contents")
 
 
 def _texts_in(bits):
@@ -166,16 +168,17 @@ def removed_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     none, are rows like others. An empty table gives no rows. Extra columns are ignored.
     """
     spark = docs.sparkSession
-    d = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("key"))
+    d = small_batches(docs).select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("key"))
     rows = written(d.mapInArrow(_scan(window), "id long, key long, n long, sha string, occ array<struct<m:long,h:long,p:int,l:int>>"), "segments")
-    classes = written(rows.groupBy("sha").agg(F.count("*").alias("copies"), F.first("occ").alias("occ")), "texts")
-    at = classes.select("sha", "copies", F.explode("occ").alias("x")).select("sha", "copies", "x.*")
-    seen = at.groupBy("m", "h").agg(F.count("*").alias("c"), F.max("l").alias("l"))
+    classes = written(rows.groupBy("sha").agg(F.count("*").alias("copies"), F.first("occ").alias("occ"), F.min("key").alias("key")), "texts")
+    at = classes.select("sha", "copies", "key", F.explode("occ").alias("x")).select("sha", "copies", "key", "x.*")
+    # of each segment: how often, how long, and one place to cut it from
+    seen = at.groupBy("m", "h").agg(F.count("*").alias("c"), F.max("l").alias("l"), F.min(F.struct("key", "p")).alias("x"))
     live = seen.groupBy("m").agg(F.count("*").alias("d"), F.sum("c").alias("all")).where(F.col("all") > 1).select("m", "d")
     live = written(seen.join(live, "m"), "anchors")
     whole = live.where("c > 1").select("m", "h", F.lit(0).alias("s"), F.col("l").alias("e"))
-    asked = live.where("d > 1").select("m", "h", "d")
-    contents = _contents(d, rows, at, asked)
+    asked = live.where("d > 1").select("m", "h", "l", "d", "x")
+    contents = _contents(d, asked)
     spans = whole.unionByName(repeated_segments(contents, window, asked.count(), crowd, shard))
     # texts that go whole need no spans
     part = at.where("copies = 1").select("sha", "m", "h", "p").join(spans, ["m", "h"]).select("sha", (F.col("p") + F.col("s")).alias("s"), (F.col("p") + F.col("e")).alias("e"))
@@ -213,3 +216,16 @@ def _kept(d: DataFrame, rows: DataFrame, cut: DataFrame) -> DataFrame:
 
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return removed_words(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP6_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT r, unnest(generate_series(1, len(w) - 34)) AS s, w FROM d WHERE len(w) >= 35),
+k AS (SELECT r, s, md5(array_to_string(list_slice(w, s, s + 34), ' ')) AS h FROM x),
+t AS (SELECT r, s FROM (SELECT r, s, count(*) OVER (PARTITION BY h) AS c FROM k) WHERE c > 1),
+g AS (SELECT DISTINCT r, unnest(generate_series(s, s + 34)) AS p FROM t),
+u AS (SELECT r, unnest(w) AS word, unnest(generate_series(1, len(w))) AS p FROM d),
+kept AS (SELECT u.r, string_agg(word, ' ' ORDER BY u.p) AS txt FROM u LEFT JOIN g ON g.r = u.r AND g.p = u.p WHERE g.r IS NULL GROUP BY u.r),
+n AS (SELECT r, count(*) AS n FROM g GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(txt, '')) AS kept_sha256 FROM d LEFT JOIN n USING (r) LEFT JOIN kept USING (r)
+"""

@@ -120,3 +120,44 @@ def _threshold(bins: DataFrame) -> DataFrame:
 
 def op10_url_filter(spark, sf_dir: str) -> DataFrame:
     return judged_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def _sql(rules=RULES, order: int = 4, prior: float = 4.0) -> str:
+    """judged_urls() over the view pages, for DuckDB."""
+    fits = []
+    for text, says in sorted(rules, key=lambda r: (-len(r[0]), r[0])):
+        h, slash, p = text.partition("/")
+        fits.append((f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{slash + p}')", text, says))
+    case = lambda k: "CASE " + " ".join(f"WHEN {f[0]} THEN '{f[k]}'" for f in fits) + " END"
+    lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    levels = []
+    for k in range(order + 1):
+        below = f"{1.0 / ALPHABET}" if not k else "{}"
+        join = f" JOIN l{k - 1} b ON b.g = substr(o.g, 2)" if k else ""
+        prob = lambda c, low: f"(o.{c} + {prior} * {low}) / (t{c} + {prior})"
+        levels.append(
+            f"l{k} AS (SELECT o.g, {prob('a', below.format('b.pa'))} AS pa, {prob('r', below.format('b.pr'))} AS pr FROM (SELECT g, substr(g, 1, {k}) AS ctx, a, r FROM counts WHERE k = {k}) o"
+            f" JOIN (SELECT substr(g, 1, {k}) AS ctx, sum(a) AS ta, sum(r) AS tr FROM counts WHERE k = {k} GROUP BY ALL) t ON t.ctx = o.ctx{join})")
+    return f"""
+WITH p AS (SELECT page_id, coalesce(url, '') AS u, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, {lower.format('u')} AS text, {lower.format("regexp_extract(rest, '^([^/?#]*)', 1)")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+j AS (SELECT *, {case(1)} AS rule, {case(2)} AS says, CAST('0x' || substr(md5(text), 1, 6) AS BIGINT) % 5 AS fold FROM h),
+urls AS (SELECT text, CASE WHEN says IS NULL THEN '-' WHEN fold = 4 THEN CASE says WHEN 'allow' THEN 'A' ELSE 'R' END WHEN says = 'allow' THEN 'a' ELSE 'r' END AS side, count(*) AS n FROM j GROUP BY ALL),
+chars AS (SELECT text, side, n, regexp_extract_all(repeat(chr(2), {order}) || text || chr(3), '(?s).') AS c FROM urls),
+spots AS (SELECT text, side, n, c, unnest(generate_series({order + 1}, len(c))) AS i FROM chars),
+counts AS (SELECT k, array_to_string(list_slice(c, i - k, i), '') AS g, sum(CASE WHEN side = 'a' THEN n ELSE 0 END) AS a, sum(CASE WHEN side = 'r' THEN n ELSE 0 END) AS r FROM spots, (SELECT unnest(generate_series(0, {order})) AS k) GROUP BY ALL),
+{", ".join(levels)},
+ratios AS (SELECT g, CAST(round(1e6 * (ln(pa) - ln(pr))) AS BIGINT) AS llr FROM l{order}),
+texts AS (SELECT DISTINCT text, c FROM chars),
+grams AS (SELECT text, unnest(generate_series({order + 1}, len(c))) AS i, c FROM texts),
+scored AS (SELECT text, CAST(sum(llr) AS DOUBLE) / count(*) / 1e6 AS llr FROM grams JOIN ratios ON g = array_to_string(list_slice(c, i - {order}, i), '') GROUP BY text),
+bins AS (SELECT CAST(floor(llr * 1000) AS BIGINT) AS bin, sum(CASE WHEN side = 'A' THEN n ELSE 0 END) AS a, sum(CASE WHEN side = 'R' THEN n ELSE 0 END) AS r FROM urls JOIN scored USING (text) WHERE side IN ('A', 'R') GROUP BY ALL),
+tot AS (SELECT coalesce(sum(a), 0) AS ta, coalesce(sum(r), 0) AS tr FROM bins),
+cuts AS (SELECT DISTINCT unnest([bin, bin + 1]) AS cut FROM bins),
+errors AS (SELECT cut, round(sum(CASE WHEN bin < cut THEN a / CAST(ta AS DOUBLE) ELSE r / CAST(tr AS DOUBLE) END), 9) AS error FROM cuts, bins, tot WHERE ta > 0 AND tr > 0 GROUP BY cut),
+best AS (SELECT coalesce((SELECT cut FROM errors ORDER BY error, abs(cut), cut LIMIT 1), 0) AS cut)
+SELECT page_id, host, path, rule, coalesce(says, CASE WHEN floor(llr * 1000) >= cut THEN 'allow' ELSE 'block' END) AS verdict, llr FROM j JOIN scored USING (text), best
+"""
+
+
+OP10_SQL = _sql()
