@@ -8,10 +8,14 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+#: Temporary folders of sessions that name no shared one, by application.
+_temporary: dict[str, str] = {}
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder of spark.checkpoint.dir; a temporary folder only where that is unset (tests)."""
+    """A new path in the folder of spark.checkpoint.dir; in a temporary folder only where that is unset (tests)."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        d = "file://" + tempfile.mkdtemp(prefix="evplace-")
-        spark.conf.set("spark.checkpoint.dir", d)
+        app = spark.sparkContext.applicationId
+        d = _temporary[app] = _temporary.get(app) or "file://" + tempfile.mkdtemp(prefix="evplace-")
     return f"{d.rstrip('/')}/evplace-{name}-{uuid.uuid4().hex}"
