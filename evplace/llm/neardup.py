@@ -113,6 +113,7 @@ def sketches(docs: DataFrame, shingle: int, trees: int, depth: int, least: int)
                     heads[some] = head.view(np.int64)
                     tails[some] = sig[:, :, least:].reshape(len(some), -1).view(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(keys, pa.binary()), lists(heads), lists(tails), lists(bits.view(np.int64))], schema=schema)
+        _hashes.seen.clear()  # the worker lives on
 
     return docs.mapInArrow(make, "id long, n long, set_key binary, heads array<long>, tails array<int>, bits array<long>")
 
@@ -217,6 +218,7 @@ def family_links(docs: DataFrame, families: DataFrame, shingle: int, percent: in
             for part in _blocks(batch.filter(pa.array(in_bloom(bits.value, keys)))):
                 got, ends = shingle_sets(part.column(1).to_pylist(), shingle)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([got[ends[i] : ends[i + 1]].tobytes() for i in range(len(ends) - 1)], pa.binary())], ["id", "hashes"])
+        _hashes.seen.clear()
 
     found = docs.select("id", "text", F.xxhash64("id").alias("key")).mapInArrow(sets, "id long, hashes binary")
     sizes = families.groupBy("component").agg(F.count("*").alias("m"))

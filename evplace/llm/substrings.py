@@ -81,6 +81,7 @@ def _scan(window: int):
                 occ = pa.StructArray.from_arrays([pa.array(m.view(np.int64)), pa.array(h.view(np.int64)), pa.array(s.astype(np.int32)), pa.array(l.astype(np.int32))], ["m", "h", "p", "l"])
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(2), pa.array([len(w) for w in words], pa.int64()), pa.array([hashlib.sha256(b" ".join(w)).hexdigest() for w in words]), pa.ListArray.from_arrays(offsets, occ)], schema=schema)
+        _hashes.seen.clear()  # the worker lives on
 
     return scan
 

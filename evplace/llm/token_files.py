@@ -127,6 +127,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, out: str, doc_id: st
         if stream is None:
             return
         stream.close()
+        encode.older = {}  # the worker lives on, with the younger pieces
         ids = pa.chunked_array(ids)
         ends = np.concatenate([[0], np.cumsum(np.array(lengths, dtype=np.int64))])
         known = np.asarray(ids.is_valid()).astype(np.int64)
