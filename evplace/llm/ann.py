@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Tables, pseudo-rotations of a table, axes that a query probes in each table, and rows of a bucket that one task compares.
-TABLES, PROBES, BLOCK = 8, 8, 1024
+TABLES, PROBES, BLOCK = 8, 20, 1024
 SEED = 7
 
 
@@ -58,6 +58,12 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
+def _level(v: np.ndarray, top: float, longest: float) -> np.ndarray:
+    """Rows over ``top`` with one more value that brings them all to the squared length ``longest``, so that near rows have near directions."""
+    x = v.astype(np.float64) / top
+    return np.column_stack([x, np.sqrt(np.maximum(longest - (x * x).sum(axis=1), 0))])
+
+
 def nearest_in_block(rows_id: np.ndarray, rows: np.ndarray, query_id: np.ndarray, query: np.ndarray, k: int):
     """query_id, vec_id, distance of each query's k nearest rows but itself; ties to the smaller id."""
     order = np.argsort(rows_id, kind="stable")
@@ -95,7 +101,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "
     than k rows while there are more are compared with all rows, in blocks. Rows whose id or vector is null, whose
     vector is zero or empty, holds null or non-finite values, or has not the greatest length in the table, take no part, as rows or
     queries. Of rows that repeat an id the nearest counts, and repeated queries are one. With an
-    empty table there are no rows. With vectors of very different lengths directions alone are hashed, and recall drops.
+    empty table there are no rows. Vectors of different lengths get one more value for hashing, which makes them equally long.
     """
     kind = vectors.schema[embedding].dataType.elementType.simpleString()
     dtype = np.float32 if kind == "float" else np.float64
@@ -108,13 +114,17 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows, asked = (x.where(F.size("v") == dim) for x in (rows, asked))
     asked = asked.dropDuplicates(["id"])
+    top = float(rows.agg(F.max(F.array_max(F.transform("v", lambda x: F.abs(x))))).first()[0])
+    length = F.aggregate("v", F.lit(0.0), lambda a, x: a + (x.cast("double") / top) * (x.cast("double") / top))
+    shortest, longest = rows.agg(F.min(length), F.max(length)).first()
+    uneven = shortest < 0.99 * longest
 
     def hashed(of):
         def run(batches):
             for batch in batches:
                 v = _vectors(batch.column(1), dim, dtype)
                 raw = pa.array([x.tobytes() for x in v], pa.binary())
-                unit = _unit(v)
+                unit = _unit(_level(v, top, longest) if uneven else v)
                 for t in range(tables):
                     b = of(unit, t)
                     w = b.shape[1]
@@ -133,15 +143,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "
     found = _compare(index, ask, ["t", "b", "part"], dim, dtype, k)
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     once = lambda df: df.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    top = once(found)
-    few = asked.join(top.groupBy("query_id").agg(F.count("*").alias("c")).where(F.col("c") >= min(k, n - 1)).select(F.col("query_id").alias("id")), "id", "left_anti")
+    best_found = once(found)
+    few = asked.join(best_found.groupBy("query_id").agg(F.count("*").alias("c")).where(F.col("c") >= min(k, n - 1)).select(F.col("query_id").alias("id")), "id", "left_anti")
     blocks = -(-n // block)
     raw = lambda df: df.mapInArrow(_raw(dim, dtype), "id long, v binary")
     all_rows = raw(rows).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     all_few = raw(few).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     if few.head(1):
-        top = once(top.select("query_id", "vec_id", "score").unionByName(_compare(all_rows, all_few, ["part"], dim, dtype, k)))
-    return top.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        best_found = once(best_found.select("query_id", "vec_id", "score").unionByName(_compare(all_rows, all_few, ["part"], dim, dtype, k)))
+    return best_found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def _raw(dim: int, dtype):

@@ -36,6 +36,27 @@ def test_recall_on_the_table(spark, sf, least):
     assert hits / (10 * len(want)) >= least
 
 
+def recall(df, k=10):
+    rows = [(r.vec_id, r.embedding) for r in df.collect()]
+    want = brute(rows, rows, k)
+    hits = sum(r.vec_id in {v for _, v in want[r.query_id]} for r in ann.nearest(df, df, k).collect())
+    return hits / sum(map(len, want.values()))
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_recall_of_every_row(spark, sf):
+    got = recall(spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet"))
+    print(sf, got)
+    assert got > 0.95
+
+
+def test_unequal_lengths(spark):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(600, 64)) * rng.lognormal(0, 1, (600, 1))
+    v[:300] = v[300:] * rng.uniform(0.2, 1, (300, 1))  # rows of the same direction, but apart
+    assert recall(spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<double>")) > 0.95
+
+
 def test_hard_cases(spark):
     rng = np.random.default_rng(2)
     same = [float(x) for x in rng.normal(size=6)]
