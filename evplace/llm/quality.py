@@ -19,6 +19,8 @@ AXES = ("low", "toxic")
 #: English insults that the lexicon labeller knows.
 INSULTS = frozenset("trash pathetic idiot disgusting worthless stupid clown scum loser moron".split())
 SYMBOLS = "#$%&*@|!<>{}[]\\^~=+"
+#: Punctuation that may stand twice at the end of a word.
+ENDS = "_.,;:?)\"'’»…-"
 WORD = re.compile(r"[^\W\d_]+")
 ABSTAIN = -1
 
@@ -27,6 +29,11 @@ def _vote(x: float, good: float, bad: float) -> int:
     return 1 if x >= bad else 0 if x <= good else ABSTAIN
 
 
+def _tailed(word: str) -> bool:
+    """Do at least two symbols of any script end the word?"""
+    return len(word) > 2 and all(not c.isalnum() and c not in ENDS for c in word[-2:])
+
+
 def low_votes(text: str | None) -> list[int]:
     """What each labeller of low quality says: 1 yes, 0 no, -1 nothing."""
     words = text.split() if text else []
@@ -40,7 +47,7 @@ def low_votes(text: str | None) -> list[int]:
         _vote(sum(map(text.count, SYMBOLS)) / letters, 0.01, 0.06),  # symbols
         _vote(shouted / n, 0.1, 0.3) if n >= 5 else ABSTAIN,  # shouting
         _vote(sum(len(w) == 1 and not w.isalnum() for w in words) / n, 0.01, 0.12),  # lone separators
-        _vote(sum(w[-1] in SYMBOLS and w[-2:-1] in SYMBOLS and len(w) > 2 for w in words) / n, 0.02, 0.15),  # words with symbols at their ends
+        _vote(sum(not w[-1].isalnum() and _tailed(w) for w in words) / n, 0.02, 0.15),  # words with symbols at their ends
         _vote(1 - len(set(words)) / n, 0.6, 0.8) if n >= 50 else ABSTAIN,  # repeated words
         _vote(1 - len(set(lines)) / len(lines), 0.2, 0.5) if len(lines) >= 5 else ABSTAIN,  # repeated lines
         _vote(sum(a == b for a, b in zip(words, words[1:])) / n, 0.05, 0.3) if n >= 8 else ABSTAIN,  # words said again at once

@@ -29,6 +29,13 @@ def test_held_out_labels(spark):
     assert np.mean(toxic) > 0.5
 
 
+def test_symbols_of_any_script_end_words():
+    for tail in ("##", "\u2605\u2605", "\u2192\u2192", "\u2592\u2588", "\u00a4\u00a6"):
+        assert quality.low_votes(" ".join(f"word{tail} other" for _ in range(20)))[3] == 1
+    for tail in ("", ".", '."', "?)", "\u2026\u00bb", "\u00e9\u00e8"):
+        assert quality.low_votes(" ".join(f"word{tail} other" for _ in range(20)))[3] == 0
+
+
 def test_hard_cases(spark):
     rows = [(1, None), (2, ""), (3, "ok"), (3, "ok"), (None, "x y z w v u"), (4, "a b " * 20_000), (5, "### $$$ %%% &&& *** ### $$$ %%%" * 30), (6, "\U0001f600 é\x00")]
     df = spark.createDataFrame(rows, "doc_id long, text string").select("*", *[F.lit(1).alias(c) for c in ("id", "low", "toxic", "quality", "label")])
