@@ -1,33 +1,53 @@
-"""Small numpy helpers for keypoint matching and depth maps, one candidate pair at a time."""
+"""Small numpy helpers for keypoint matching and depth maps."""
 
 from __future__ import annotations
 
 import numpy as np
 
 
-def mutual_matches(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Indices i, j and distances of rows that are each other's nearest; ties to the lowest index."""
-    if not len(a) or not len(b):
-        return np.empty(0, int), np.empty(0, int), np.empty(0)
-    d = distances(a, b)
-    to_b, to_a = d.argmin(axis=1), d.argmin(axis=0)
-    i = np.flatnonzero(to_a[to_b] == np.arange(len(a)))
-    return i, to_b[i], d[i, to_b[i]]
+#: Distances that one batched product makes, at most.
+AT_ONCE = 1 << 22
 
 
-def ratio_matches(a: np.ndarray, b: np.ndarray, ratio: float = 0.8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each row of a with its nearest of b, where that is under ``ratio`` times the second nearest."""
-    if not len(a) or len(b) < 2:
-        return np.empty(0, int), np.empty(0, int), np.empty(0)
-    d = distances(a, b)
-    order = np.argsort(d, axis=1, kind="stable")[:, :2]
-    first, second = (np.take_along_axis(d, order[:, k : k + 1], axis=1)[:, 0] for k in (0, 1))
-    i = np.flatnonzero(first < ratio * second)
-    return i, order[i, 0], first[i]
+def match_stacks(a: np.ndarray, b: np.ndarray, kind: str = "mutual", ratio: float = 0.8) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """pair, i, j, distance of the matches in stacks of descriptors, [pair, keypoint, value]: one batched product for all pairs.
 
-
-def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T), 0))
+    mutual: rows that are each other's nearest; ratio: each row of a with its nearest of b, where that is under ``ratio``
+    times the second nearest. Ties go to the lowest index.
+    """
+    d = (a * a).sum(2)[:, :, None] + (b * b).sum(2)[:, None, :] - 2 * (a @ b.transpose(0, 2, 1))
+    d = np.sqrt(np.maximum(d, 0, out=d), out=d)
+    to_b = d.argmin(axis=2)
+    first = np.take_along_axis(d, to_b[:, :, None], axis=2)[:, :, 0]
+    if kind == "mutual":
+        good = np.take_along_axis(d.argmin(axis=1), to_b, axis=1) == np.arange(a.shape[1])
+    else:
+        np.put_along_axis(d, to_b[:, :, None], np.inf, axis=2)
+        good = first < ratio * d.min(axis=2)
+    pair, i = np.nonzero(good)
+    return pair, i, to_b[pair, i], first[pair, i]
+
+
+def match_lists(a: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_ends: np.ndarray, kind: str = "mutual", ratio: float = 0.8) -> tuple[np.ndarray, ...]:
+    """pair, row of a, row of b, distance: matches of pairs whose descriptors lie end to end, with n + 1 offsets on each side.
+
+    Pairs of one shape are stacked, at most AT_ONCE distances together. A pair without descriptors on a side, or for ratio with
+    under two on the other, has no matches.
+    """
+    na, nb = np.diff(a_ends), np.diff(b_ends)
+    able = np.flatnonzero((na > 0) & (nb > (kind != "mutual")))
+    out = []
+    for x, y in np.unique(np.stack([na[able], nb[able]], axis=1), axis=0).tolist():
+        same = able[(na[able] == x) & (nb[able] == y)]
+        most = max(1, AT_ONCE // (x * y))
+        for at in range(0, len(same), most):
+            g = same[at : at + most]
+            rows_a, rows_b = a_ends[g][:, None] + np.arange(x), b_ends[g][:, None] + np.arange(y)
+            pair, i, j, d = match_stacks(a[rows_a], b[rows_b], kind, ratio)
+            out.append((g[pair], rows_a[pair, i], rows_b[pair, j], d))
+    if not out:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def translation_inliers(src: np.ndarray, dst: np.ndarray, thresh: float = 5.0) -> int:

@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evplace.functions.vectors import dot, l2_normalize
+from evplace.functions.sizes import small
+from evplace.functions.vectors import dot, l2_normalize, norm
 
 FRAME = ("seq", "frame_idx")
 
@@ -99,20 +100,24 @@ def sample_grid(cells: DataFrame, kps: DataFrame) -> DataFrame:
 
 
 def vlad_pool(local: DataFrame, centroids: DataFrame, alpha: float = 100) -> DataFrame:
-    """seq, frame_idx, cluster, vec: residuals to each centroid (cluster, vec; broadcast, they are few), softly assigned, summed, unit length by cluster."""
-    k = F.broadcast(centroids.select("cluster", F.col("vec").alias("c")))
+    """seq, frame_idx, cluster, vec: residuals to each centroid (cluster, vec; at most thousands), softly assigned, summed, unit length by cluster.
+
+    A cluster to which next to nothing is assigned has a residual of rounding noise, of a length up to 1e-6: its vector is zero.
+    """
+    k = small(centroids.select("cluster", F.col("vec").alias("c")), 5000)
     x = local.select(*FRAME, "kp_idx", l2_normalize(F.col("desc")).alias("v")).crossJoin(k).withColumn("z", alpha * dot(F.col("v"), l2_normalize(F.col("c"))))
     one = Window.partitionBy(*FRAME, "kp_idx")
     x = x.withColumn("e", F.exp(F.col("z") - F.max("z").over(one)))
     x = x.withColumn("a", F.col("e") / F.sum("e").over(one)).select(*FRAME, "cluster", F.posexplode(F.zip_with("v", "c", lambda v, c: v - c)).alias("i", "d"), "a")
     sums = x.groupBy(*FRAME, "cluster", "i").agg(F.sum(F.col("a") * F.col("d")).alias("v"))
     rows = sums.groupBy(*FRAME, "cluster").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("s"))
-    return rows.select(*FRAME, "cluster", l2_normalize(F.transform("s", lambda s: s["v"])).alias("vec"))
+    rows = rows.select(*FRAME, "cluster", F.transform("s", lambda s: s["v"]).alias("v"))
+    return rows.select(*FRAME, "cluster", F.when(norm(F.col("v")) > 1e-6, l2_normalize(F.col("v"))).otherwise(F.transform("v", lambda x: x * 0.0)).alias("vec"))
 
 
 def fit_alpha(local: DataFrame, centroids: DataFrame) -> DataFrame:
     """One row: alpha such that a mean gap between the best and second centroid means a ratio of 100."""
-    k = F.broadcast(centroids.select("cluster", F.col("vec").alias("c")))
+    k = small(centroids.select("cluster", F.col("vec").alias("c")), 5000)
     x = local.select(*FRAME, "kp_idx", l2_normalize(F.col("desc")).alias("v")).crossJoin(k).withColumn("z", dot(F.col("v"), l2_normalize(F.col("c"))))
     r = x.withColumn("r", F.row_number().over(Window.partitionBy(*FRAME, "kp_idx").orderBy(F.desc("z"), "cluster"))).where("r <= 2")
     gap = r.groupBy(*FRAME, "kp_idx").agg((F.max("z") - F.min("z")).alias("gap"))

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from evplace.functions.sizes import small
+
 
 def clip_to_sensor(ev: DataFrame, h: int, w: int) -> DataFrame:
     return ev.where(f"x >= 0 and x < {w} and y >= 0 and y < {h}")
@@ -47,12 +49,13 @@ def drop_warmup(frames: DataFrame, n: int = 10) -> DataFrame:
 def hot_pixel_filter(ev: DataFrame, k: float = 2.0) -> DataFrame:
     """Drop a sequence's pixels with more events than mean + k standard deviations over its active pixels.
 
-    Counts are summed before the shuffle; the hot pixels, bounded by the sensor, come back as an anti-join.
+    Counts are summed before the shuffle; the hot pixels come back as an anti-join that broadcasts them, if they are few,
+    so that events are not shuffled by pixel.
     """
     counts = ev.groupBy("seq", "x", "y").agg(F.count("*").alias("n"))
     limit = counts.groupBy("seq").agg((F.avg("n") + k * F.stddev_pop("n")).alias("limit"))
     hot = counts.join(limit, "seq").where("n > limit").select("seq", "x", "y")
-    return ev.join(hot, ["seq", "x", "y"], "left_anti")
+    return ev.join(small(hot), ["seq", "x", "y"], "left_anti")
 
 
 def clamp_counts(frame: DataFrame, threshold: float = 10, value: str = "value") -> DataFrame:
@@ -79,14 +82,14 @@ def sequence_bounds(ev: DataFrame, scale: float, starts: DataFrame | None = None
     return b.join(starts, "seq", "left").select("seq", F.greatest(F.coalesce(start, F.col("t_min")), F.col("t_min")).alias("s0"), "t_max")
 
 
-def assign_frames(ev: DataFrame, dt_ms: float, scale: float = 1e-9, starts: DataFrame | None = None) -> DataFrame:
+def assign_frames(ev: DataFrame, dt_ms: float, scale: float = 1e-9, starts: DataFrame | None = None, bounds: DataFrame | None = None) -> DataFrame:
     """Events with frame_idx: half-open windows [s0 + i dt, s0 + (i+1) dt) that begin before the last event.
 
     So an event at the very end of the last window is in none, and events before s0 are dropped. The bounds are one row
-    for each sequence.
+    for each sequence; they are computed here, or given, and broadcast if they are few, so that events stay where they are.
     """
     dt = tick_length(dt_ms, scale)
-    b = sequence_bounds(ev, scale, starts)
+    b = small(sequence_bounds(ev, scale, starts)) if bounds is None else bounds
     framed = ev.join(b, "seq").where("t >= s0 and s0 < t_max")
     return framed.withColumn("frame_idx", F.expr(f"(t - s0) div {dt}")).where(F.col("s0") + F.col("frame_idx") * dt < F.col("t_max")).drop("s0", "t_max")
 
@@ -94,10 +97,11 @@ def assign_frames(ev: DataFrame, dt_ms: float, scale: float = 1e-9, starts: Data
 def frame_spine(ev: DataFrame, dt_ms: float, scale: float = 1e-9, starts: DataFrame | None = None) -> DataFrame:
     """Every frame of each sequence, empty ones included: seq, frame_idx, w_start, w_end (ticks), start_s, end_s, n_events."""
     dt = tick_length(dt_ms, scale)
-    b = sequence_bounds(ev, scale, starts).where("s0 < t_max")
+    bounds = small(sequence_bounds(ev, scale, starts))
+    b = bounds.where("s0 < t_max")
     last = F.expr(f"(t_max - s0 + {dt} - 1) div {dt} - 1")
     spine = b.select("seq", "s0", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("frame_idx"))
-    counts = assign_frames(ev, dt_ms, scale, starts).groupBy("seq", "frame_idx").agg(F.count("*").alias("n"))
+    counts = assign_frames(ev, dt_ms, scale, bounds=bounds).groupBy("seq", "frame_idx").agg(F.count("*").alias("n"))
     start = F.col("s0") + F.col("frame_idx") * dt
     return spine.join(counts, ["seq", "frame_idx"], "left").select(
         "seq", "frame_idx", start.alias("w_start"), (start + dt).alias("w_end"), (start * F.lit(scale)).alias("start_s"), ((start + dt) * F.lit(scale)).alias("end_s"), F.coalesce("n", F.lit(0)).cast("long").alias("n_events"))

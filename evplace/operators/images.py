@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from evplace.functions.sizes import small
+
 FRAME = ("seq", "frame_idx")
 
 
@@ -16,6 +18,12 @@ def polarity_frame(ev: DataFrame) -> DataFrame:
     return ev.groupBy(*FRAME, F.when(F.col("p") > 0, 1).otherwise(0).alias("channel"), "y", "x").agg(F.count("*").cast("double").alias("value"))
 
 
+def valid_events(ev: DataFrame, frames: DataFrame) -> DataFrame:
+    """seq, frame_idx, n_valid: events of ``ev`` (on the sensor) in every frame of ``frames``, 0 where there are none."""
+    n = ev.groupBy(*FRAME).agg(F.count("*").alias("n"))
+    return frames.select(*FRAME).join(n, list(FRAME), "left").select(*FRAME, F.coalesce("n", F.lit(0)).cast("long").alias("n_valid"))
+
+
 def event_count_frame(ev: DataFrame) -> DataFrame:
     return ev.groupBy(*FRAME, "y", "x").agg(F.count("*").cast("double").alias("value"))
 
@@ -39,20 +47,34 @@ def time_surface(ev: DataFrame, frames: DataFrame, windows_s: list[float], scale
     return rows.select(*FRAME, (F.col("group") * len(windows_s) + F.col("s")).alias("channel"), "y", "x", F.exp(-F.col("dt") / F.col("window")).alias("value"))
 
 
-def tencode(ev: DataFrame, white: bool = False) -> DataFrame:
+def tencode(ev: DataFrame, top: float = 255.0) -> DataFrame:
     """Red, green, blue of each pixel's last event (ties: the greater index): polarity, age in the frame, the other polarity.
 
-    Pixels without events have the background, 255 if ``white`` else 0.
+    Values run from 0 to ``top``: 255, or 1 for the normalised form. Pixels without events have no row; dense_image() gives them
+    the background.
     """
     last = ev.groupBy(*FRAME, "y", "x").agg(F.max(F.struct("t", "event_idx", "p")).alias("e"))
     span = ev.groupBy(*FRAME).agg(F.min("t").alias("a"), F.max("t").alias("b"))
     age = F.when(F.col("b") > F.col("a"), (F.col("e.t") - F.col("a")) / (F.col("b") - F.col("a"))).otherwise(0.0)
     pol = F.when(F.col("e.p") > 0, 1.0).otherwise(0.0)
-    return last.join(span, list(FRAME)).select(*FRAME, "y", "x", (255 * pol).alias("r"), (255 * (1 - age)).alias("g"), (255 * (1 - pol)).alias("b"))
+    return last.join(span, list(FRAME)).select(*FRAME, "y", "x", (top * pol).alias("r"), (top * (1 - age)).alias("g"), (top * (1 - pol)).alias("b"))
 
 
-def background(white: bool = False) -> float:
-    return 255.0 if white else 0.0
+def background(white: bool = False, top: float = 255.0) -> float:
+    return float(top) if white else 0.0
+
+
+def dense_image(cells: DataFrame, frames: DataFrame, h: int, w: int, channels: tuple[str, ...] = ("value",), fill: float = 0.0) -> DataFrame:
+    """seq, frame_idx, image: every channel row by row, one channel after another, ``fill`` where there is no cell; empty frames too.
+
+    For models that want arrays: a frame's row has channels * h * w values, which the sensor bounds. Cells off the sensor are left out.
+    """
+    at = (F.col("y") * w + F.col("x")).cast("int")
+    inside = cells.where(f"y >= 0 and y < {h} and x >= 0 and x < {w}")
+    packed = inside.groupBy(*FRAME).agg(F.map_from_entries(F.collect_list(F.struct(at.alias("at"), F.array(*[F.col(c).cast("double") for c in channels]).alias("v")))).alias("m"))
+    every = frames.select(*FRAME).join(packed, list(FRAME), "left")
+    plane = lambda k: F.transform(F.sequence(F.lit(0), F.lit(h * w - 1)), lambda i: F.coalesce(F.try_element_at(F.col("m"), i)[k], F.lit(float(fill))))
+    return every.select(*FRAME, F.concat(*[plane(k) for k in range(len(channels))]).alias("image"))
 
 
 def robust_normalize(frame: DataFrame, h: int, w: int, q: float = 0.98) -> DataFrame:
@@ -121,10 +143,10 @@ def spread_out(cells: pd.DataFrame, n: int, radius: float) -> pd.DataFrame:
 def sample_pixels(prob: DataFrame, n: int = 100, radius: float = 7, seed: int = 0) -> DataFrame:
     """seq, pixel, y, x: weighted random pixels, each over ``radius`` from the others; an error if the cells run out.
 
-    Cells sorted by -log(u) / weight come in the order of weighted draws without replacement, u being a hash of
+    Cells sorted by -log(u) / weight come in the order of weighted draws without replacement, u being a hash (md5) of
     the cell and the seed; the greedy check then runs over one sequence's cells, which the sensor bounds.
     """
-    u = (F.pmod(F.xxhash64("y", "x", F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    u = (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "y", "x")), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
     keyed = prob.where("prob > 0").select("seq", "y", "x", (-F.log(u) / F.col("prob")).alias("key"))
 
     def pick(key, cells):
@@ -137,10 +159,17 @@ def sample_pixels(prob: DataFrame, n: int = 100, radius: float = 7, seed: int =
     return keyed.groupBy("seq").applyInPandas(pick, "seq string, pixel int, y int, x int")
 
 
+#: Pixels of a descriptor, at most.
+MOST_PIXELS = 5000
+
+
 def gather_pixels(frames: DataFrame, spine: DataFrame, pixels: DataFrame, clamp: float | None = None) -> DataFrame:
     """seq, frame_idx, vec: counts at the chosen pixels (pixel, y, x; at most some hundreds), in their order, absent ones 0."""
     v = F.col("value") if clamp is None else F.least(F.col("value"), F.lit(float(clamp)))
-    found = frames.join(F.broadcast(pixels), ["y", "x"]).select(*FRAME, "pixel", v.alias("value"))
-    cells = spine.select(*FRAME).crossJoin(F.broadcast(pixels.select("pixel"))).join(found, [*FRAME, "pixel"], "left")
-    packed = cells.groupBy(*FRAME).agg(F.array_sort(F.collect_list(F.struct("pixel", F.coalesce("value", F.lit(0.0)).alias("value")))).alias("c"))
-    return packed.select(*FRAME, F.transform("c", lambda c: c["value"]).alias("vec"))
+    order = [r["pixel"] for r in pixels.select("pixel").orderBy("pixel").limit(MOST_PIXELS + 1).collect()]
+    if len(order) > MOST_PIXELS:
+        raise ValueError(f"over {MOST_PIXELS} pixels")
+    found = frames.join(small(pixels.select("pixel", "y", "x"), MOST_PIXELS), ["y", "x"]).select(*FRAME, "pixel", v.alias("value"))
+    packed = found.groupBy(*FRAME).agg(F.map_from_entries(F.collect_list(F.struct("pixel", "value"))).alias("m"))
+    values = F.array(*[F.coalesce(F.try_element_at("m", F.lit(p)), F.lit(0.0)) for p in order])
+    return spine.select(*FRAME).join(packed, list(FRAME), "left").select(*FRAME, values.alias("vec"))

@@ -4,38 +4,58 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evplace.functions import kernels
-from evplace.functions.vectors import dot
 
 PAIR = ("query_idx", "ref_idx")
 
 
+def _flat(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The elements of a list column end to end, and the n + 1 offsets of its rows; null lists are empty."""
+    n = np.asarray(pc.fill_null(pc.list_value_length(column), 0)).astype(np.int64)
+    return column.flatten(), np.concatenate([[0], np.cumsum(n)])
+
+
+def _numbers(rows: pa.Array, field: str) -> np.ndarray:
+    return rows.field(field).to_numpy(zero_copy_only=False)
+
+
+def _descriptors(rows: pa.Array) -> np.ndarray:
+    values, ends = _flat(rows.field("desc"))
+    n = np.diff(ends)
+    if len(n) and n.min() != n.max():
+        raise ValueError("keypoint descriptors of unequal lengths")
+    return values.to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(n), -1 if len(n) else 0)
+
+
 def match_pairs(candidates: DataFrame, kind: str = "mutual", ratio: float = 0.8) -> DataFrame:
     """query_idx, ref_idx, i, j, dist, src_x, src_y, dst_x, dst_y: matches of query keypoint i and reference keypoint j.
 
-    candidates come from attach_keypoints(); a pair of which a side is missing has no matches. One matrix
-    product for each pair, over whatever rows a task holds, so a popular reference frame needs no group of its own.
+    candidates come from attach_keypoints(); a pair of which a side is missing has no matches. Descriptors are read from Arrow's
+    buffers, and pairs of one shape share one batched product. It runs over whatever rows a task holds, so a popular reference
+    frame needs no group of its own.
     """
     if kind not in ("mutual", "ratio"):
         raise ValueError("kind must be mutual or ratio")
-
-    def run(frames):
-        for pdf in frames:
-            out = []
-            for r in pdf.itertuples(index=False):
-                if r.query_kps is None or r.ref_kps is None or not len(r.query_kps) or not len(r.ref_kps):
+    names = ["query_idx", "ref_idx", "i", "j", "dist", "src_x", "src_y", "dst_x", "dst_y"]
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                (q, q_ends), (r, r_ends) = _flat(part.column(2)), _flat(part.column(3))
+                if not len(q) or not len(r):
                     continue
-                a, b = (np.array([k["desc"] for k in ks], dtype=np.float64) for ks in (r.query_kps, r.ref_kps))
-                i, j, d = kernels.mutual_matches(a, b) if kind == "mutual" else kernels.ratio_matches(a, b, ratio)
-                for x, y, z in zip(i.tolist(), j.tolist(), d.tolist()):
-                    p, q = r.query_kps[x], r.ref_kps[y]
-                    out.append((r.query_idx, r.ref_idx, p["kp_idx"], q["kp_idx"], z, p["x"], p["y"], q["x"], q["y"]))
-            yield pd.DataFrame(out, columns=["query_idx", "ref_idx", "i", "j", "dist", "src_x", "src_y", "dst_x", "dst_y"])
+                pair, i, j, d = kernels.match_lists(_descriptors(q), q_ends, _descriptors(r), r_ends, kind, ratio)
+                pair = pa.array(pair)
+                columns = [part.column(0).take(pair), part.column(1).take(pair), pa.array(_numbers(q, "kp_idx")[i].astype(np.int32)), pa.array(_numbers(r, "kp_idx")[j].astype(np.int32)), pa.array(d)]
+                yield pa.RecordBatch.from_arrays(columns + [pa.array(_numbers(s, c)[k]) for s, k in ((q, i), (r, j)) for c in ("x", "y")], names)
 
-    return candidates.select(*PAIR, "query_kps", "ref_kps").mapInPandas(run, "query_idx long, ref_idx long, i int, j int, dist double, src_x double, src_y double, dst_x double, dst_y double")
+    return candidates.select(*[F.col(c).cast("long").alias(c) for c in PAIR], "query_kps", "ref_kps").mapInArrow(run, "query_idx long, ref_idx long, i int, j int, dist double, src_x double, src_y double, dst_x double, dst_y double")
 
 
 def mutual_nn_matches(candidates: DataFrame) -> DataFrame:
@@ -64,16 +84,15 @@ def homography_inliers(matches: DataFrame, thresh: float = 5.0, max_iters: int =
     order = F.array_sort(F.collect_list(F.struct("dist", "i", "j", "src_x", "src_y", "dst_x", "dst_y")))
     packed = best_matches(matches, max_matches).groupBy(*PAIR).agg(order.alias("m"))
 
-    def run(frames):
-        for pdf in frames:
-            out = []
-            for r in pdf.itertuples(index=False):
-                p = np.array([(m["src_x"], m["src_y"], m["dst_x"], m["dst_y"]) for m in r.m], dtype=np.float64)
-                pair = (seed, int(r.query_idx) & (1 << 63) - 1, int(r.ref_idx) & (1 << 63) - 1)
-                out.append((r.query_idx, r.ref_idx, kernels.homography_inliers(p[:, :2], p[:, 2:], thresh, max_iters, pair)))
-            yield pd.DataFrame(out, columns=["query_idx", "ref_idx", "inliers"])
+    def run(batches):
+        for batch in batches:
+            rows, ends = _flat(batch.column(2))
+            p = np.stack([_numbers(rows, c) for c in ("src_x", "src_y", "dst_x", "dst_y")], axis=1) if len(rows) else np.empty((0, 4))
+            q, r = (batch.column(k).to_pylist() for k in (0, 1))
+            found = [kernels.homography_inliers(p[s:e, :2], p[s:e, 2:], thresh, max_iters, (seed, x & (1 << 63) - 1, y & (1 << 63) - 1)) for s, e, x, y in zip(ends, ends[1:], q, r)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int64())], ["query_idx", "ref_idx", "inliers"])
 
-    return packed.mapInPandas(run, "query_idx long, ref_idx long, inliers long")
+    return packed.mapInArrow(run, "query_idx long, ref_idx long, inliers long")
 
 
 def fuse_inliers(shortlist: DataFrame, inliers: DataFrame, weight: float = 0.05) -> DataFrame:

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from evplace.functions.sizes import small
 from evplace.functions.vectors import dot, l2_normalize, norm
 
 #: Rows of one block of the query x reference grid.
@@ -98,6 +99,7 @@ def attach_keypoints(shortlist: DataFrame, ref_packs: DataFrame, query_packs: Da
 
 def plan_pairs(descriptors: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Reference and query rows of many (ref_seq, query_seq) pairs in one job, with the pair as key."""
-    r = descriptors.withColumnRenamed("seq", "ref_seq").join(F.broadcast(pairs), "ref_seq")
-    q = descriptors.withColumnRenamed("seq", "query_seq").join(F.broadcast(pairs), "query_seq")
+    p = small(pairs.select("ref_seq", "query_seq"))
+    r = descriptors.withColumnRenamed("seq", "ref_seq").join(p, "ref_seq")
+    q = descriptors.withColumnRenamed("seq", "query_seq").join(p, "query_seq")
     return r, q

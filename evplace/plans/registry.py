@@ -14,6 +14,7 @@ from evplace.plans import fixtures as fx
 from evplace.sources import events as ev_src
 from evplace.sources import features as ft_src
 from evplace.sources.shared import new_path
+from evplace.streaming import jobs
 
 H, W, DT_MS, SCALE, DT = fx.H, fx.W, fx.DT_MS, fx.SCALE, fx.DT
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,7 +45,14 @@ def text6(vec) -> F.Column:
 SQL_TEXT6 = "array_to_string(list_transform({}, lambda x: CAST(CAST(round(x * 1e6) AS BIGINT) AS VARCHAR)), ',')"
 
 
-def shortlist(spark, sf, k: int = 10) -> DataFrame:
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df as a table written in the shared folder, for plans that read it several times."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shortlist(spark, sf, k: int = 50) -> DataFrame:
     return similarity.topk_similarity(fx.descriptors(spark, sf, "ref"), fx.descriptors(spark, sf, "query"), k)
 
 
@@ -57,15 +65,15 @@ def candidates(spark, sf, base: DataFrame | None = None) -> DataFrame:
 
 
 def fused(spark, sf, base: DataFrame | None = None) -> DataFrame:
-    """The shortlist with inliers; it is used twice, so it is kept for the session."""
-    base = shortlist(spark, sf).persist() if base is None else base
+    """The shortlist with inliers; it is used twice, so it is written."""
+    base = kept(shortlist(spark, sf), "shortlist") if base is None else base
     return rerank.fuse_inliers(base, rerank.translation_inliers(rerank.mutual_nn_matches(candidates(spark, sf, base))))
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Recall@K before and after re-ranking."""
-    base = shortlist(spark, sf).persist()
-    reranked = fused(spark, sf, base).persist()
+    base = kept(shortlist(spark, sf), "shortlist")
+    reranked = kept(fused(spark, sf, base), "reranked")
     return evaluate.compare_recall(base, reranked, fx.gt(spark, sf))
 
 
@@ -80,10 +88,17 @@ SELECT k, recall AS base, reranked FROM recall JOIN r2 USING (k)"""
 @query("resolve_event_columns", "SELECT t, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, p FROM ev")
 def _(s, d):
     e = fx.sensor_events(s, d)
-    nested = e.select(F.struct(F.struct(F.col("t").alias("timestamps"), F.col("x").alias("u"), F.col("y").alias("row"), F.col("p").alias("polarity")).alias("events"), F.lit(1).alias("t")).alias("davis"))
+    nested = e.select(F.struct(F.struct(F.col("t").alias("timestamps"), F.col("x").alias("u"), F.col("y").alias("row"), F.col("p").alias("polarity")).alias("davis")).alias("events"), F.lit(1).alias("t"))
     return ev_src.resolve_event_columns(nested)
 
 
+@query("resolve_split_columns", "SELECT t, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, p FROM ev")
+def _(s, d):
+    e = fx.sensor_events(s, d)
+    place = F.struct(F.struct(F.col("x").alias("x_coordinates"), F.col("p").alias("pol")).alias("a"), F.struct(F.lit(0).alias("polarity"), F.col("y").alias("v")).alias("b"))
+    return ev_src.resolve_event_columns(e.select(place.alias("place"), F.struct(F.col("t").alias("times")).alias("when")))
+
+
 @query("read_events", "SELECT seq, count(*) AS n, CAST(sum(t % 1000003) AS BIGINT) AS t, CAST(sum(x) AS BIGINT) AS x, CAST(sum(y) AS BIGINT) AS y, CAST(sum(p) AS BIGINT) AS p FROM ev GROUP BY seq")
 def _(s, d):
     path = new_path(s, "events")
@@ -116,9 +131,70 @@ def _(s, d):
     return ft_src.unpack_keypoints(p).select("seq", "frame_idx", "kp_idx", "x", "y", r6("score", "score"))
 
 
-@query("densify_index", "SELECT i AS frame_idx, coalesce(n_events, -1) AS n_events FROM (SELECT unnest(generate_series(0, (SELECT max(frame_idx) FROM frames WHERE seq = 'ref' AND frame_idx % 3 <> 1))) AS i) LEFT JOIN (SELECT frame_idx, n_events FROM frames WHERE seq = 'ref' AND frame_idx % 3 <> 1) ON frame_idx = i")
+@query("densify_index", ", g AS (SELECT CASE WHEN p = 1 THEN 'positive' ELSE 'negative' END AS seq, frame_idx * 20 + y AS frame_idx, count(*) AS n FROM fc GROUP BY ALL), s AS (SELECT seq, unnest(generate_series(0, max(frame_idx))) AS frame_idx FROM g GROUP BY seq) SELECT s.seq, s.frame_idx, coalesce(n, -1) AS n FROM s LEFT JOIN g ON g.seq = s.seq AND g.frame_idx = s.frame_idx")
+def _(s, d):
+    # sensor rows by day: rows 18 and 19 are not on the sensor, so the index has gaps
+    rows = fx.framed(s, d).groupBy(F.when(F.col("p") == 1, "positive").otherwise("negative").alias("seq"), (F.col("frame_idx") * 20 + F.col("y")).alias("frame_idx")).agg(F.count("*").alias("n"))
+    return ft_src.densify_index(rows, keys=("seq",)).fillna(-1)
+
+
+def _write_logs(frames_, path: str, h: int, w: int, top: int, left: int, k: int) -> DataFrame:
+    """One keypoint log for each sequence and part of its frames, written by the tasks; frames_ has seq, part, frame_idx, t, kps."""
+    import pandas as pd
+
+    def write(key, pdf):
+        from pyarrow import fs
+
+        out, root = fs.FileSystem.from_uri(path)
+        out.create_dir(root, recursive=True)
+        data = ft_src.encode_keypoint_log(pdf.sort_values("frame_idx"), h, w, top, left, k)
+        with out.open_output_stream(f"{root}/{key[0]}-{key[1]}.bin") as f:
+            f.write(data)
+        return pd.DataFrame({"n": [len(data)]})
+
+    return frames_.groupBy("seq", "part").applyInPandas(write, "n long")
+
+
+@query("read_keypoint_logs", ", k2 AS (SELECT seq, frame_idx, kp_idx, x, y, row_number() OVER (PARTITION BY seq, frame_idx ORDER BY score DESC, kp_idx) - 1 AS pos, floor(part[1] * 64) / 64 AS score, list_sum(list_transform(part, lambda v: floor(v * 128) / 128)) AS total FROM (SELECT k1.*, abs(part[1]) AS score FROM k1)) SELECT seq, frame_idx, frame_idx * 1000 AS t_ref, CAST(pos AS INTEGER) AS kp_idx, x, y, score, round(total, 6) AS total FROM k2 WHERE pos < 6")
+def _(s, d):
+    path = new_path(s, "logs")
+    # values that 16-bit floats hold exactly
+    e = fx.descriptors(s, d).withColumn("j", F.explode(F.sequence(F.lit(0), (F.col("frame_idx") % 6 + 2).cast("int"))))
+    part = F.slice("vec", F.col("j") * 8 + 1, 8)
+    k = fx.keypoints(s, d).select(*FRAME, "kp_idx", "x", "y", F.col("score").alias("rank")).join(
+        e.select(*FRAME, F.col("j").alias("kp_idx"), (F.floor(F.element_at(part, 1) * 64) / 64).alias("score"), F.transform(part, lambda v: F.floor(v * 128) / 128).alias("desc")), [*FRAME, "kp_idx"])
+    k = k.select(*FRAME, "kp_idx", "x", "y", F.col("rank").alias("score"), F.struct("score", "desc").alias("desc"))
+    packed = ft_src.pack_keypoints(k, fx.descriptors(s, d), 6).select(*FRAME, (F.col("frame_idx") * 1000).alias("t"), (F.col("frame_idx") % 4).alias("part"), F.transform("kps", lambda q: F.struct(
+        (q["x"] - 3).alias("x"), (q["y"] - 1).alias("y"), q["desc"]["score"].alias("score"), q["desc"]["desc"].alias("desc"))).alias("kps"))
+    _write_logs(packed, path, H, W, 1, 3, 6).agg(F.sum("n")).collect()
+    got = ft_src.read_keypoint_logs(s, path)
+    total = F.aggregate("desc", F.lit(0.0), lambda a, x: a + x)
+    return got.select(F.regexp_extract("path", r"(\w+)-\d+\.bin$", 1).alias("seq"), "frame_idx", "t_ref", "kp_idx", "x", "y", "score", r6(total, "total"))
+
+
+@query("read_npz_features", f"SELECT frame_idx, {SQL_TEXT6.format('vec')} AS vec FROM dn WHERE seq = 'ref'")
 def _(s, d):
-    return ft_src.densify_index(fx.spine(s, d).where("seq = 'ref' and frame_idx % 3 <> 1").select("frame_idx", "n_events")).fillna(-1)
+    path = new_path(s, "npz")
+
+    def write(frames_):
+        import io
+
+        import numpy as np
+        import pandas as pd
+        from pyarrow import fs
+
+        out, root = fs.FileSystem.from_uri(path)
+        out.create_dir(root, recursive=True)
+        for pdf in frames_:
+            for i, v in zip(pdf["frame_idx"], pdf["vec"]):
+                data = io.BytesIO()
+                np.savez(data, np.asarray(v)[None, :])
+                with out.open_output_stream(f"{root}/ref_feats_{i}.npz") as f:
+                    f.write(data.getvalue())
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    fx.descriptors(s, d, "ref").select("frame_idx", "vec").mapInPandas(write, "n long").agg(F.sum("n")).collect()
+    return ft_src.read_npz_features(s, path).select("frame_idx", text6(F.col("vec")).alias("vec"))
 
 
 @query("write_shortlist", "SELECT query_idx, rank, ref_idx, round(dist, 6) AS dist, 'ref' AS ref_seq, 'query' AS query_seq FROM cand")
@@ -213,6 +289,11 @@ def _(s, d):
     return images.polarity_frame(fx.framed(s, d))
 
 
+@query("valid_events", "SELECT frames.seq, frames.frame_idx, count(fc.seq) AS n_valid FROM frames LEFT JOIN fc ON fc.seq = frames.seq AND fc.frame_idx = frames.frame_idx GROUP BY ALL")
+def _(s, d):
+    return images.valid_events(fx.framed(s, d), fx.spine(s, d))
+
+
 @query("event_count_frame", "SELECT * FROM cnt")
 def _(s, d):
     return images.event_count_frame(fx.framed(s, d))
@@ -235,6 +316,15 @@ def _(s, d):
     return images.tencode(fx.framed(s, d)).withColumn("g", F.round("g", 6))
 
 
+@query("tencode_image", f""", sp AS (SELECT seq, frame_idx, min(t) AS a, max(t) AS b FROM fc GROUP BY ALL), l AS (SELECT seq, frame_idx, y, x, max_by(p, (t, event_idx)) AS p, max(t) AS t FROM fc GROUP BY ALL),
+v AS (SELECT l.seq, l.frame_idx, y * {W} + x AS i, [p, 1 - CASE WHEN b > a THEN (t - a) / (b - a) ELSE 0 END, 1 - p] AS v FROM l JOIN sp ON sp.seq = l.seq AND sp.frame_idx = l.frame_idx),
+g AS (SELECT frames.seq, frames.frame_idx, k * {H * W} + c.i AS cell, coalesce(v.v[k + 1], 1.0) AS v FROM frames CROSS JOIN (SELECT unnest(generate_series(0, {H * W - 1})) AS i) c CROSS JOIN (SELECT unnest([0, 1, 2]) AS k) LEFT JOIN v ON v.seq = frames.seq AND v.frame_idx = frames.frame_idx AND v.i = c.i)
+SELECT seq, frame_idx, string_agg(CAST(CAST(round(v * 1e6) AS BIGINT) AS VARCHAR), ',' ORDER BY cell) AS image FROM g GROUP BY ALL""")
+def _(s, d):
+    cells = images.tencode(fx.framed(s, d), 1.0)
+    return images.dense_image(cells, fx.spine(s, d), H, W, ("r", "g", "b"), images.background(True, 1.0)).select(*FRAME, text6(F.col("image")).alias("image"))
+
+
 _K = min(max(int(0.6 * H * W), 1), H * W)
 
 
@@ -252,6 +342,12 @@ def _(s, d):
     return images.resize_frame(images.event_count_frame(fx.framed(s, d)), (H, W), (7, 9)).withColumn("value", F.round("value", 6))
 
 
+@query("resize_frame_nearest", """, ax AS (SELECT n, o, CAST(least(floor((o + 0.5) * n / m), n - 1) AS INTEGER) AS i FROM (SELECT 18 AS n, 7 AS m UNION ALL SELECT 22, 9), (SELECT unnest(generate_series(0, 8)) AS o) WHERE o < m)
+SELECT seq, frame_idx, CAST(a.o AS INTEGER) AS y, CAST(b.o AS INTEGER) AS x, value FROM cnt JOIN ax a ON a.n = 18 AND a.i = cnt.y JOIN ax b ON b.n = 22 AND b.i = cnt.x""")
+def _(s, d):
+    return images.resize_frame(images.event_count_frame(fx.framed(s, d)), (H, W), (7, 9), "nearest")
+
+
 def _means(s, d):
     n = fx.spine(s, d).groupBy("seq").agg(F.count("*").alias("n"))
     return images.pixel_mean(images.event_count_frame(fx.framed(s, d)), n)
@@ -267,7 +363,12 @@ def _(s, d):
     return images.sampling_probabilities(_means(s, d), H, W).withColumn("prob", F.round("prob", 9))
 
 
-@query("sample_pixels")
+@query("sample_pixels", """, pt AS (SELECT pcut.seq, y, x, v / t AS prob FROM pcut JOIN (SELECT seq, sum(v) AS t FROM pcut GROUP BY seq) q ON q.seq = pcut.seq),
+pk AS (SELECT seq, y, x, row_number() OVER (PARTITION BY seq ORDER BY -ln((CAST('0x' || substr(md5('0:' || y || ':' || x), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0) / prob, y, x) AS r FROM pt WHERE prob > 0),
+picked(seq, n, r, ys, xs) AS (SELECT seq, 1, r, [y], [x] FROM pk WHERE r = 1 UNION ALL
+  SELECT p.seq, p.n + 1, min(k.r), list_append(p.ys, arg_min(k.y, k.r)), list_append(p.xs, arg_min(k.x, k.r)) FROM picked p JOIN pk k ON k.seq = p.seq AND k.r > p.r
+  WHERE p.n < 8 AND list_min(list_transform(list_zip(p.ys, p.xs), lambda z: pow(z[1] - k.y, 2) + pow(z[2] - k.x, 2))) > 9 GROUP BY p.seq, p.n, p.r, p.ys, p.xs)
+SELECT seq, CAST(n - 1 AS INTEGER) AS pixel, ys[n] AS y, xs[n] AS x FROM picked""")
 def _(s, d):
     return images.sample_pixels(images.sampling_probabilities(_means(s, d), H, W), 8, 3.0)
 
@@ -303,6 +404,25 @@ def _(s, d):
     return ds.apply_whitening(fx.descriptors(s, d), ds.fit_whitening(fx.descriptors(s, d, "ref"))).select(*FRAME, "vec")
 
 
+@query("whitening_covariance", "SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CASE WHEN i = j THEN 1.0 ELSE 0.0 END AS cov FROM (SELECT unnest(generate_series(0, 63)) AS i), (SELECT unnest(generate_series(0, 63)) AS j)")
+def _(s, d):
+    # sums by vector component, so that no vector is paired with another
+    ref = fx.descriptors(s, d, "ref")
+    x = ds.apply_whitening(ref, ds.fit_whitening(ref))
+    n = ref.count()
+    parts = x.select(F.posexplode("vec").alias("i", "a"), "vec").select("i", "a", F.posexplode("vec").alias("j", "b"))
+    return parts.groupBy("i", "j").agg((F.round(F.sum(F.col("a") * F.col("b")) / (n - 1), 6) + 0.0).alias("cov"))
+
+
+@query("whitening_lengths", """, w AS (SELECT seq, frame_idx, vec[1] AS a, vec[2] AS b FROM d), m AS (SELECT avg(a) AS ma, avg(b) AS mb, var_samp(a) AS va, var_samp(b) AS vb, covar_samp(a, b) AS c FROM w WHERE seq = 'ref')
+SELECT seq, frame_idx, round((vb * pow(a - ma, 2) - 2 * c * (a - ma) * (b - mb) + va * pow(b - mb, 2)) / (va * vb - c * c), 6) AS length2 FROM w, m""")
+def _(s, d):
+    # squared lengths after whitening are Mahalanobis distances, whatever the signs of the components
+    two = fx.descriptors(s, d).withColumn("vec", F.slice("vec", 1, 2))
+    x = ds.apply_whitening(two, ds.fit_whitening(two.where("seq = 'ref'")))
+    return x.select(*FRAME, r6(vectors.dot(F.col("vec"), F.col("vec")), "length2"))
+
+
 @query("topk_keypoints", "SELECT seq, frame_idx, kp_idx, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY seq, frame_idx ORDER BY score DESC, kp_idx) AS r FROM kp) WHERE r <= 4")
 def _(s, d):
     return ds.topk_keypoints(fx.keypoints(s, d), 4).select(*FRAME, "kp_idx", "rank")
@@ -321,23 +441,10 @@ def _(s, d):
 @query("vlad_pool", f""", z AS (SELECT seq, frame_idx, kp_idx, cluster, desc_ AS v, c, 100 * list_dot_product(desc_, c) AS z FROM kp, ctr), e AS (SELECT *, exp(z - max(z) OVER (PARTITION BY seq, frame_idx, kp_idx)) AS e FROM z),
 a AS (SELECT *, e / sum(e) OVER (PARTITION BY seq, frame_idx, kp_idx) AS a FROM e), x AS (SELECT seq, frame_idx, cluster, a, unnest(generate_series(1, 8)) AS i, unnest(v) AS v, unnest(c) AS c FROM a),
 sm AS (SELECT seq, frame_idx, cluster, i, sum(a * (v - c)) AS v FROM x GROUP BY ALL), g AS (SELECT seq, frame_idx, cluster, list(v ORDER BY i) AS v FROM sm GROUP BY ALL)
-SELECT seq, frame_idx, cluster, array_to_string(list_transform(v, lambda q: CAST(CAST(round(q / greatest(sqrt(list_dot_product(v, v)), 1e-12) * 1e4) AS BIGINT) AS VARCHAR)), ',') AS vec FROM g WHERE list_dot_product(v, v) > 1e-12""")
+SELECT seq, frame_idx, cluster, array_to_string(list_transform(v, lambda q: CAST(CAST(CASE WHEN list_dot_product(v, v) > 1e-12 THEN round(q / sqrt(list_dot_product(v, v)) * 1e4) ELSE 0 END AS BIGINT) AS VARCHAR)), ',') AS vec FROM g""")
 def _(s, d):
-    # a cluster with next to no weight has a residual of noise, whose direction means nothing
-    k, c = fx.keypoints(s, d), fx.centroids(s, d)
-    out = ds.vlad_pool(k, c)
-    weight = _vlad_weight(k, c)
-    return out.join(weight, ["seq", "frame_idx", "cluster"]).select(*FRAME, "cluster", F.array_join(F.transform("vec", lambda x: F.round(x * 1e4).cast("long").cast("string")), ",").alias("vec"))
-
-
-def _vlad_weight(k, c):
-    from pyspark.sql import Window
-
-    x = k.select(*FRAME, "kp_idx", F.col("desc").alias("v")).crossJoin(F.broadcast(c.select("cluster", F.col("vec").alias("c")))).withColumn("z", 100 * vectors.dot(F.col("v"), F.col("c")))
-    one = Window.partitionBy(*FRAME, "kp_idx")
-    x = x.withColumn("e", F.exp(F.col("z") - F.max("z").over(one))).withColumn("a", F.col("e") / F.sum("e").over(one))
-    x = x.select(*FRAME, "cluster", "a", F.posexplode(F.zip_with("v", "c", lambda v, c: v - c)).alias("i", "d")).groupBy(*FRAME, "cluster", "i").agg(F.sum(F.col("a") * F.col("d")).alias("v"))
-    return x.groupBy(*FRAME, "cluster").agg(F.sum(F.col("v") * F.col("v")).alias("q")).where("q > 1e-12").drop("q")
+    out = ds.vlad_pool(fx.keypoints(s, d), fx.centroids(s, d))
+    return out.select(*FRAME, "cluster", F.array_join(F.transform("vec", lambda x: F.round(x * 1e4).cast("long").cast("string")), ",").alias("vec"))
 
 
 @query("fit_alpha", ", z AS (SELECT seq, frame_idx, kp_idx, list_dot_product(desc_, c) AS z FROM kp, ctr), r AS (SELECT *, row_number() OVER (PARTITION BY seq, frame_idx, kp_idx ORDER BY z DESC) AS r FROM z) SELECT round(-ln(0.01) / avg(gap), 6) AS alpha FROM (SELECT max(z) - min(z) AS gap FROM r WHERE r <= 2 GROUP BY seq, frame_idx, kp_idx)")
@@ -360,7 +467,7 @@ def _(s, d):
 @query("shortlist_from_pairs", "SELECT query_idx, CAST(rank AS INTEGER) AS rank, ref_idx, round(dist, 6) AS dist FROM cand")
 def _(s, d):
     p = similarity.similarity_pairs(fx.descriptors(s, d, "ref"), fx.descriptors(s, d, "query")).withColumn("dist", 1 - F.col("sim"))
-    return similarity.shortlist_from_pairs(p, 10).select("query_idx", "rank", "ref_idx", r6("dist", "dist"))
+    return similarity.shortlist_from_pairs(p, 50).select("query_idx", "rank", "ref_idx", r6("dist", "dist"))
 
 
 _SQL_DISTANCE = {
@@ -378,10 +485,9 @@ for _metric, _sql in _SQL_DISTANCE.items():
         return similarity.nearest_blocks(fx.descriptors(s, d, "ref"), fx.descriptors(s, d, "query"), 5, metric, block=128).select("query_idx", "rank", "ref_idx", r6("dist", "dist"))
 
 
-@query("attach_keypoints", "SELECT query_idx, ref_idx, CAST(query_idx % 6 + 3 AS INTEGER) AS query_n, CASE WHEN ref_idx % 5 = 0 THEN -1 ELSE CAST(ref_idx % 6 + 3 AS INTEGER) END AS ref_n FROM cand")
+@query("attach_keypoints", "SELECT query_idx, ref_idx, CAST(query_idx % 6 + 3 AS INTEGER) AS query_n, CAST(ref_idx % 6 + 3 AS INTEGER) AS ref_n FROM cand")
 def _(s, d):
-    r = packs(s, d, "ref").where("frame_idx % 5 <> 0")
-    return similarity.attach_keypoints(shortlist(s, d), r, packs(s, d, "query")).select("query_idx", "ref_idx", "query_n", "ref_n").fillna(-1, ["ref_n"])
+    return similarity.attach_keypoints(shortlist(s, d), packs(s, d, "ref"), packs(s, d, "query")).select("query_idx", "ref_idx", "query_n", "ref_n")
 
 
 @query("plan_pairs", """, pr AS (SELECT 'ref' AS ref_seq, 'query' AS query_seq UNION ALL SELECT 'ref', 'ref'), x AS (SELECT ref_seq, query_seq, q.frame_idx AS query_idx, r.frame_idx AS ref_idx, 1 - list_dot_product(r.vec, q.vec) AS dist FROM pr JOIN dn r ON r.seq = ref_seq JOIN dn q ON q.seq = query_seq),
@@ -404,7 +510,12 @@ def _(s, d):
     return rerank.ratio_matches(candidates(s, d)).select("query_idx", "ref_idx", "i", "j", F.round("dist", 5).alias("dist"))
 
 
-@query("translation_inliers", "SELECT query_idx, ref_idx, inliers FROM inl")
+@query("translation_inliers", "SELECT query_idx, ref_idx, inliers FROM inlr")
+def _(s, d):
+    return rerank.translation_inliers(rerank.ratio_matches(candidates(s, d)))
+
+
+@query("translation_inliers_mutual", "SELECT query_idx, ref_idx, inliers FROM inl")
 def _(s, d):
     return rerank.translation_inliers(rerank.mutual_nn_matches(candidates(s, d)))
 
@@ -414,6 +525,18 @@ def _(s, d):
     return rerank.homography_inliers(rerank.mutual_nn_matches(candidates(s, d)))
 
 
+@query("homography_planted", "SELECT frame_idx AS query_idx, frame_idx AS ref_idx, 12 + frame_idx % 9 AS inliers FROM d WHERE seq = 'query'")
+def _(s, d):
+    # 12 to 20 matches under one homography of each frame, and up to 7 far from it
+    f = fx.descriptors(s, d, "query").select("frame_idx", F.explode(F.sequence(F.lit(0), (F.lit(11) + F.col("frame_idx") % 9 + F.col("frame_idx") % 8).cast("int"))).alias("i"))
+    i, k = F.col("i"), F.col("frame_idx")
+    x, y = (37 * i + 11 * k) % 211 + 0.0, (53 * i * i + 29 * i + 7 * k) % 173 + 0.0
+    z = 1 + 1e-4 * x - 2e-4 * y
+    far = F.when(i >= 12 + k % 9, 300.0 + 61 * i + 17 * i * i).otherwise(0.0)
+    m = f.select(k.alias("query_idx"), k.alias("ref_idx"), i.alias("i"), i.alias("j"), (i / 100.0).alias("dist"), x.alias("src_x"), y.alias("src_y"), (((1.05 + k % 5 / 50) * x + 0.03 * y + 4) / z + far).alias("dst_x"), ((0.95 * y - 0.02 * x + 9) / z - far).alias("dst_y"))
+    return rerank.homography_inliers(m)
+
+
 @query("fuse_inliers", "SELECT query_idx, ref_idx, inliers, round(new_dist, 6) AS new_dist FROM fused")
 def _(s, d):
     return fused(s, d).select("query_idx", "ref_idx", "inliers", r6("new_dist", "new_dist"))
@@ -425,6 +548,12 @@ def _(s, d):
     return rerank.full_column(p, fused(s, d)).withColumn("new_dist", F.round("new_dist", 6))
 
 
+@query("full_column_inf", "SELECT p.query_idx, p.ref_idx, round(coalesce(new_dist, CAST('inf' AS DOUBLE)), 6) AS new_dist FROM pairs p LEFT JOIN fused f ON f.query_idx = p.query_idx AND f.ref_idx = p.ref_idx")
+def _(s, d):
+    p = similarity.similarity_pairs(fx.descriptors(s, d, "ref"), fx.descriptors(s, d, "query")).withColumn("dist", 1 - F.col("sim"))
+    return rerank.full_column(p, fused(s, d), "inf").withColumn("new_dist", F.when(F.col("new_dist") < float("inf"), F.round("new_dist", 6)).otherwise(F.col("new_dist")))
+
+
 @query("best_match", ", o AS (SELECT *, row_number() OVER (PARTITION BY query_idx ORDER BY new_dist, rank) AS r FROM fused) SELECT query_idx, ref_idx, round(new_dist, 6) AS new_dist, inliers FROM o WHERE r = 1")
 def _(s, d):
     return rerank.best_match(fused(s, d)).withColumn("new_dist", F.round("new_dist", 6))
@@ -446,16 +575,22 @@ def _depth(s, d, seq):
     return fx.depth(s, d).where(F.col("seq") == seq)
 
 
-@query("depth_rerank")
+_AREA = """, ar AS (SELECT n, o, i, w / sum(w) OVER (PARTITION BY n, o) AS w FROM (SELECT n, o, i, least((o + 1) * n / 28.0, i + 1) - greatest(o * n / 28.0, i) AS w FROM (SELECT unnest([18, 22]) AS n), (SELECT unnest(generate_series(0, 27)) AS o), (SELECT unnest(generate_series(0, 21)) AS i) WHERE i < n) WHERE w > 1e-12),
+d28 AS (SELECT seq, frame_idx, ay.o AS y, ax.o AS x, sum(v * ay.w * ax.w) AS v FROM dep JOIN ar ay ON ay.n = 18 AND ay.i = dep.y JOIN ar ax ON ax.n = 22 AND ax.i = dep.x GROUP BY ALL)"""
+_MAPS = ", maps AS (SELECT p.query_idx, p.ref_idx, q.y, q.x, q.v AS a, r.v AS b FROM dpair p JOIN {0} q ON q.seq = 'query' AND q.frame_idx = p.query_idx JOIN {0} r ON r.seq = 'ref' AND r.frame_idx = p.ref_idx AND r.y = q.y AND r.x = q.x)"
+
+
+@query("depth_rerank", _AREA + _MAPS.format("d28") + fx.ssim_sql("maps", 28, 28) + """ SELECT p.query_idx, p.ref_idx, CAST(p.dist AS DOUBLE) AS dist, round(err, 6) AS err, round(CASE WHEN err < 0.7 THEN p.dist - 0.15 * exp(-err / 0.3) ELSE p.dist END, 6) AS new_dist
+FROM dpair p JOIN ssim ON ssim.query_idx = p.query_idx AND ssim.ref_idx = p.ref_idx""")
 def _(s, d):
-    return rerank.depth_rerank(_depth_candidates(s, d), _depth(s, d, "ref"), _depth(s, d, "query"))
+    return rerank.depth_rerank(_depth_candidates(s, d), _depth(s, d, "ref"), _depth(s, d, "query")).select("query_idx", "ref_idx", "dist", r6("err", "err"), r6("new_dist", "new_dist"))
 
 
-@query("masked_ssim_error")
+@query("masked_ssim_error", _MAPS.format("dep") + fx.ssim_sql("maps", H, W) + " SELECT query_idx, ref_idx, round(err, 6) AS err FROM ssim")
 def _(s, d):
     q = _depth(s, d, "query").select(F.col("frame_idx").alias("query_idx"), "h", "w", F.col("px").alias("a"))
     r = _depth(s, d, "ref").select(F.col("frame_idx").alias("ref_idx"), F.col("px").alias("b"))
-    return rerank.masked_ssim_error(_depth_candidates(s, d).join(q, "query_idx").join(r, "ref_idx"))
+    return rerank.masked_ssim_error(_depth_candidates(s, d).join(q, "query_idx").join(r, "ref_idx")).withColumn("err", F.round("err", 6))
 
 
 @query("area_downsample", """, cells AS (SELECT seq, frame_idx, yy AS y, xx AS x, CASE WHEN (xx + yy) % 7 = 0 THEN 0 ELSE 1 + coalesce(value, 0) END AS v FROM frames CROSS JOIN (SELECT unnest(generate_series(0, 17)) AS yy) CROSS JOIN (SELECT unnest(generate_series(0, 21)) AS xx) LEFT JOIN (SELECT seq, frame_idx, y AS cy, x AS cx, value FROM cnt) c USING (seq, frame_idx) WHERE false)
@@ -485,16 +620,16 @@ def _(s, d):
     return evaluate.recall_at_k(shortlist(s, d), fx.gt(s, d))
 
 
-@query("recall_within_tolerance", """, f AS (SELECT query_idx, min(rank) AS first FROM ranked c WHERE rank <= 10 AND EXISTS (SELECT 1 FROM gt WHERE abs(gt.ref_idx - c.ref_idx) <= 1 AND abs(gt.query_idx - c.query_idx) <= 1 AND gt.ref_idx % 9 = 0) GROUP BY query_idx),
-q AS (SELECT DISTINCT query_idx FROM ranked r WHERE EXISTS (SELECT 1 FROM gt WHERE abs(gt.query_idx - r.query_idx) <= 1 AND gt.ref_idx % 9 = 0)) SELECT k, avg(CASE WHEN first <= k THEN 1.0 ELSE 0.0 END) AS recall FROM q LEFT JOIN f USING (query_idx), (SELECT unnest([1, 5, 10]) AS k) GROUP BY k""")
+@query("recall_within_tolerance", """, f AS (SELECT query_idx, min(rank) AS first FROM ranked c WHERE rank <= 10 AND EXISTS (SELECT 1 FROM gt WHERE abs(gt.ref_idx - c.ref_idx) <= 1 AND abs(gt.query_idx - c.query_idx) <= 1) GROUP BY query_idx),
+q AS (SELECT query_idx FROM (SELECT DISTINCT query_idx FROM ranked) r WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT query_idx FROM gt) g WHERE abs(g.query_idx - r.query_idx) <= 1)) SELECT k, avg(CASE WHEN first <= k THEN 1.0 ELSE 0.0 END) AS recall FROM q LEFT JOIN f USING (query_idx), (SELECT unnest([1, 5, 10]) AS k) GROUP BY k""")
 def _(s, d):
-    return evaluate.recall_at_k(shortlist(s, d), fx.gt(s, d).where("ref_idx % 9 = 0"), tol=1)
+    return evaluate.recall_at_k(shortlist(s, d), fx.gt(s, d), tol=1)
 
 
-@query("dilate_gt", ", n AS (SELECT (SELECT count(*) FROM d WHERE seq = 'ref') AS r, (SELECT count(*) FROM d WHERE seq = 'query') AS q), g AS (SELECT * FROM gt WHERE (ref_idx + query_idx) % 11 = 0) SELECT DISTINCT ref_idx + a AS ref_idx, query_idx + b AS query_idx FROM g, n, (SELECT unnest([-1, 0, 1]) AS a), (SELECT unnest([-1, 0, 1]) AS b) WHERE ref_idx + a BETWEEN 0 AND r - 1 AND query_idx + b BETWEEN 0 AND q - 1")
+@query("dilate_gt", ", n AS (SELECT (SELECT count(*) FROM d WHERE seq = 'ref') AS r, (SELECT count(*) FROM d WHERE seq = 'query') AS q) SELECT DISTINCT ref_idx + a AS ref_idx, query_idx + b AS query_idx FROM gt, n, (SELECT unnest([-1, 0, 1]) AS a), (SELECT unnest([-1, 0, 1]) AS b) WHERE ref_idx + a BETWEEN 0 AND r - 1 AND query_idx + b BETWEEN 0 AND q - 1")
 def _(s, d):
     n = {r["seq"]: r["count"] for r in fx.descriptors(s, d).groupBy("seq").count().collect()}
-    return evaluate.dilate_gt(fx.gt(s, d).where("(ref_idx + query_idx) % 11 = 0"), 1, n["ref"], n["query"])
+    return evaluate.dilate_gt(fx.gt(s, d), 1, n["ref"], n["query"])
 
 
 @query("resize_gt", ", n AS (SELECT (SELECT count(*) FROM d WHERE seq = 'ref') AS r, (SELECT count(*) FROM d WHERE seq = 'query') AS q), a AS (SELECT o, CAST(floor((o + 0.5) * r / 60) AS BIGINT) AS i FROM n, (SELECT unnest(generate_series(0, 59)) AS o)), b AS (SELECT o, CAST(floor((o + 0.5) * q / 60) AS BIGINT) AS i FROM n, (SELECT unnest(generate_series(0, 59)) AS o)) SELECT a.o AS ref_idx, b.o AS query_idx FROM gt JOIN a ON a.i = gt.ref_idx JOIN b ON b.i = gt.query_idx")
@@ -517,6 +652,68 @@ def _(s, d):
     return evaluate.over_budget(fx.timings(s, d), 50.0).withColumn("hz", F.round("hz", 6))
 
 
+# streams: tables written in two halves, each a micro-batch, and the sink read back
+
+PARTS = 4
+
+
+def _arriving(df: DataFrame, order: str, name: str) -> DataFrame:
+    """df as a stream of two micro-batches in the order of a column."""
+    s, path = df.sparkSession, new_path(df.sparkSession, name)
+    lo, hi = df.agg(F.min(order), F.max(order)).first()
+    for half in (F.col(order) < (lo + hi) / 2, F.col(order) >= (lo + hi) / 2):
+        df.where(half).repartition(PARTS).write.mode("append").parquet(path)
+    return s.readStream.schema(df.schema).option("maxFilesPerTrigger", PARTS).parquet(path)
+
+
+def _sunk(out: DataFrame) -> DataFrame:
+    """What a stream writes until its input is used up."""
+    path, s = new_path(out.sparkSession, "sink"), out.sparkSession
+    out.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", new_path(s, "progress")).trigger(availableNow=True).start().awaitTermination()
+    return s.read.schema(out.schema).parquet(path)
+
+
+def _stream_of_events(s, d):
+    e = fx.sensor_events(s, d).withColumn("ts", F.timestamp_micros("t"))
+    return _arriving(e, "t", "events")
+
+
+_CLOSED = f", wev AS (SELECT *, (t // {DT} + 1) * {DT} AS w_end FROM ev WHERE (t // {DT} + 1) * {DT} <= (SELECT max(t) FROM ev))"
+
+
+@query("stream_frames", _CLOSED + "SELECT seq, w_end, p AS channel, y, x, CAST(count(*) AS DOUBLE) AS value FROM wev GROUP BY ALL")
+def _(s, d):
+    out = jobs.stream_frames(_stream_of_events(s, d), "1 day")
+    return _sunk(out).select("seq", F.unix_micros("w_end").alias("w_end"), "channel", "y", "x", "value")
+
+
+@query("stream_time_surface", _CLOSED + ", l AS (SELECT seq, w_end, 1 - p AS g, y, x, max(t) AS t FROM wev GROUP BY ALL) SELECT seq, w_end, g * 4 + s AS channel, y, x, round(exp(-(w_end - t) * 1e-6 / win), 6) AS value FROM l, (SELECT unnest([0, 1, 2, 3]) AS s, unnest([21600.0, 43200.0, 64800.0, 86400.0]) AS win) WHERE (w_end - t) * 1e-6 <= win")
+def _(s, d):
+    out = jobs.stream_time_surface(_stream_of_events(s, d), "1 day", fx.WINDOWS)
+    return _sunk(out).select("seq", F.unix_micros("w_end").alias("w_end"), "channel", "y", "x", r6("value", "value"))
+
+
+@query("stream_triplets", "SELECT seq, frame_idx, frame_idx - 3 AS f0, frame_idx - 2 AS f1, frame_idx - 1 AS f2 FROM frames WHERE frame_idx >= 3")
+def _(s, d):
+    return _sunk(jobs.stream_triplets(_arriving(fx.spine(s, d).select(*FRAME), "frame_idx", "frames")))
+
+
+@query("stream_static_topk", "SELECT query_idx, CAST(rank AS INTEGER) AS rank, ref_idx, round(dist, 6) AS dist FROM cand")
+def _(s, d):
+    path = new_path(s, "answers")
+    frames_ = _arriving(fx.descriptors(s, d, "query").select("frame_idx", "vec"), "frame_idx", "frames")
+    jobs.stream_static_topk(frames_, fx.descriptors(s, d, "ref"), path, new_path(s, "progress")).awaitTermination()
+    return s.read.parquet(path).select("query_idx", "rank", "ref_idx", r6("dist", "dist"))
+
+
+@query("stream_rerank", ", o AS (SELECT *, row_number() OVER (PARTITION BY query_idx ORDER BY new_dist, rank) AS r FROM fusedr) SELECT query_idx, ref_idx, round(new_dist, 6) AS new_dist, inliers FROM o WHERE r = 1")
+def _(s, d):
+    path = new_path(s, "answers")
+    frames_ = fx.descriptors(s, d, "query").select(*FRAME, "vec").join(packs(s, d, "query"), FRAME).select("frame_idx", "vec", "n", "kps")
+    jobs.stream_rerank(_arriving(frames_, "frame_idx", "frames"), fx.descriptors(s, d, "ref"), kept(packs(s, d, "ref"), "packs"), path, new_path(s, "progress"), k=50).awaitTermination()
+    return s.read.parquet(path).select("query_idx", "ref_idx", r6("new_dist", "new_dist"), "inliers")
+
+
 # whole workloads
 
 @query("sparse_pixel_baseline", """, v AS (SELECT frames.seq, frames.frame_idx, list(least(coalesce(value, 0), 10) ORDER BY pixel) AS v FROM frames CROSS JOIN grid LEFT JOIN cnt ON cnt.seq = frames.seq AND cnt.frame_idx = frames.frame_idx AND cnt.y = grid.y AND cnt.x = grid.x GROUP BY ALL),

@@ -11,31 +11,33 @@ ALIASES = {
     "t": ("t", "timestamp", "timestamps", "time", "times"),
     "x": ("x", "x_coordinate", "x_coordinates", "u", "col", "column"),
     "y": ("y", "y_coordinate", "y_coordinates", "v", "row"),
-    "p": ("p", "polarity", "polarities", "polarity_bits"),
+    "p": ("p", "polarity", "polarities", "pol", "polarity_bit", "polarity_bits"),
 }
 
 
-def find_columns(schema: T.StructType, path: tuple = ()) -> dict[str, str] | None:
-    """Column paths by role in one group: an ``events`` group first, then this one, then subgroups depth first."""
-    groups = [f for f in schema.fields if isinstance(f.dataType, T.StructType)]
-    for g in groups:
-        if g.name == "events" and (found := find_columns(g.dataType, (*path, g.name))):
-            return found
-    names = {f.name.lower(): f.name for f in schema.fields if not isinstance(f.dataType, T.StructType)}
-    here = {role: next((names[a] for a in options if a in names), None) for role, options in ALIASES.items()}
-    if all(here.values()):
-        return {role: ".".join(f"`{x}`" for x in (*path, name)) for role, name in here.items()}
-    for g in groups:
-        if g.name != "events" and (found := find_columns(g.dataType, (*path, g.name))):
-            return found
-    return None
+def find_column(schema: T.StructType, names: tuple[str, ...], path: tuple[str, ...] = ()) -> str | None:
+    """The first of ``names`` (in any case) in a group, or in its subgroups, in order of their names, depth first."""
+    here = {f.name.lower(): f.name for f in schema.fields if not isinstance(f.dataType, T.StructType)}
+    for name in names:
+        if name in here:
+            return ".".join(f"`{x}`" for x in (*path, here[name]))
+    groups = sorted((f for f in schema.fields if isinstance(f.dataType, T.StructType)), key=lambda f: f.name)
+    return next((found for g in groups if (found := find_column(g.dataType, names, (*path, g.name)))), None)
+
+
+def find_columns(schema: T.StructType) -> dict[str, str | None]:
+    """The path of each column, looked up on its own: in the group ``events`` if there is one, else in the whole table."""
+    group = next((f for f in schema.fields if f.name == "events" and isinstance(f.dataType, T.StructType)), None)
+    root, path = (group.dataType, ("events",)) if group else (schema, ())
+    return {role: find_column(root, names, path) for role, names in ALIASES.items()}
 
 
 def resolve_event_columns(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """t, x, y (long), p (int) of a table whose columns go by any known name; ``keep`` names more columns to carry. No job runs."""
+    """t, x, y (long), p (int) of a table whose columns go by any known name, in one group or several; ``keep`` names more columns to carry. No job runs."""
     found = find_columns(df.schema)
-    if not found:
-        raise ValueError(f"no event columns in {df.columns}")
+    missing = [role for role, path in found.items() if path is None]
+    if missing:
+        raise ValueError(f"no column for {', '.join(missing)} in {df.columns}; known names are {[ALIASES[m] for m in missing]}")
     return df.select(*keep, *[F.col(found[c]).cast("int" if c == "p" else "long").alias(c) for c in "txyp"])
 
 

@@ -56,13 +56,13 @@ def decode_keypoint_log(data: bytes) -> pd.DataFrame:
     dimensions D (uint16); records of frame (uint32), t_ref (int64), valid keypoints (uint16), K (y, x) as int16, K scores and K x D
     values as float16. A record that breaks off ends the log. Another magic is an error.
     """
-    head = np.dtype([("magic", "S4"), ("version", "<u2"), ("h", "<u2"), ("w", "<u2"), ("top", "<i2"), ("left", "<i2"), ("k", "<u2"), ("d", "<u2")])
+    head = _log_types(0, 0)[0]
     columns = {"frame_idx": "int64", "t_ref": "int64", "kp_idx": "int32", "x": "float64", "y": "float64", "score": "float64", "desc": "object"}
     if len(data) < head.itemsize or data[:4] != b"EKPR":
         raise ValueError("not a keypoint log")
     h = np.frombuffer(data, head, 1)[0]
     k, d = int(h["k"]), int(h["d"])
-    record = np.dtype([("frame", "<u4"), ("t", "<i8"), ("n", "<u2"), ("yx", "<i2", (k, 2)), ("score", "<f2", (k,)), ("desc", "<f2", (k, d))])
+    record = _log_types(k, d)[1]
     whole = (len(data) - head.itemsize) // record.itemsize
     r = np.frombuffer(data, record, whole, head.itemsize)
     at, kp = np.nonzero(np.arange(k)[None, :] < np.minimum(r["n"], k)[:, None])
@@ -74,6 +74,26 @@ def decode_keypoint_log(data: bytes) -> pd.DataFrame:
         "score": r["score"][at, kp].astype(np.float64), "desc": list(r["desc"][at, kp].astype(np.float64))})
 
 
+def _log_types(k: int, d: int) -> tuple[np.dtype, np.dtype]:
+    """Header and record of the fixed format."""
+    head = np.dtype([("magic", "S4"), ("version", "<u2"), ("h", "<u2"), ("w", "<u2"), ("top", "<i2"), ("left", "<i2"), ("k", "<u2"), ("d", "<u2")])
+    return head, np.dtype([("frame", "<u4"), ("t", "<i8"), ("n", "<u2"), ("yx", "<i2", (k, 2)), ("score", "<f2", (k,)), ("desc", "<f2", (k, d))])
+
+
+def encode_keypoint_log(frames: pd.DataFrame, h: int, w: int, top: int, left: int, k: int) -> bytes:
+    """A keypoint log of frames (frame_idx, t, kps: x, y of the cropped image, score, desc), at most k keypoints each; null kps are none."""
+    packs = [[] if p is None else list(p)[:k] for p in frames["kps"]]
+    d = next((len(p[0]["desc"]) for p in packs if p), 0)
+    head, record = _log_types(k, d)
+    out = np.zeros(len(packs), record)
+    out["yx"] = -1
+    for i, (f, t, p) in enumerate(zip(frames["frame_idx"], frames["t"], packs)):
+        out["frame"][i], out["t"][i], out["n"][i] = f, t, len(p)
+        for j, q in enumerate(p):
+            out["yx"][i, j], out["score"][i, j], out["desc"][i, j] = (q["y"], q["x"]), q["score"], q["desc"]
+    return np.array([(b"EKPR", 1, h, w, top, left, k, d)], head).tobytes() + out.tobytes()
+
+
 def read_keypoint_logs(spark: SparkSession, path: str) -> DataFrame:
     """path, frame_idx, t_ref, kp_idx, x, y, score, desc of all logs under a path or glob."""
     def decode(frames):
@@ -111,8 +131,8 @@ def read_npz_features(spark: SparkSession, path: str, pattern: str = r"(\d+)\.np
     return out
 
 
-def densify_index(df: DataFrame, index: str = "frame_idx") -> DataFrame:
-    """All columns with every index from 0 to the greatest, missing ones null; no driver value sizes a list."""
-    top = df.agg(F.max(index).alias("top"))
-    spine = top.where("top is not null").select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("top"))).alias(index))
-    return spine.join(df, index, "left")
+def densify_index(df: DataFrame, index: str = "frame_idx", keys: tuple[str, ...] = ()) -> DataFrame:
+    """All columns with every index from 0 to the greatest, for each of ``keys``, missing ones null; no driver value sizes a list."""
+    top = df.groupBy(*keys).agg(F.max(index).alias("top"))
+    spine = top.where("top is not null").select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.col("top"))).alias(index))
+    return spine.join(df, [*keys, index], "left")

@@ -54,6 +54,15 @@ def test_columns_by_name(spark):
     assert src.resolve_event_columns(df).collect()[0] == (1, 2, 3, 0)
     with pytest.raises(ValueError):
         src.resolve_event_columns(df.drop("row"))
+    for p in ("pol", "polarity_bit", "polarity_bits"):
+        assert src.resolve_event_columns(df.withColumnRenamed("Polarity", p)).collect()[0] == (1, 2, 3, 0)
+    # each column is found on its own: here, or in subgroups in order of their names; a group named events is the only one looked at
+    split = df.select(F.struct(F.struct("row", F.col("Polarity").alias("pol")).alias("b"), F.struct(F.lit(7).alias("row"), "col").alias("c")).alias("z"), "Timestamp")
+    assert src.resolve_event_columns(split).collect()[0] == (1, 2, 3, 0)
+    grouped = df.select(F.struct(F.struct("row", "col").alias("xy"), "Timestamp", "Polarity").alias("events"), F.lit(5).alias("t"))
+    assert src.resolve_event_columns(grouped).collect()[0] == (1, 2, 3, 0)
+    with pytest.raises(ValueError, match="for p in"):
+        src.resolve_event_columns(df.select(F.struct("Timestamp", "row", "col").alias("events"), "Polarity"))
     assert src.infer_resolution(ev(spark, [])).collect()[0] == (0, 0)
     first = src.infer_resolution(ev(spark, [("a", 0, 1, 3, 4, 1), ("a", 1, 2, 9, 9, 1)]), 1).collect()[0]
     assert first == (5, 4)
@@ -64,6 +73,11 @@ def test_images(spark):
     e = spark.createDataFrame(rows, EV + ", frame_idx long")
     t = {(r.y, r.x): (r.r, r.g, r.b) for r in images.tencode(e).collect()}
     assert t[1, 1] == (0.0, 255.0, 255.0) and t[1, 2] == (255.0, 0.0, 0.0)  # ties in time go to the greater index
+    assert {(r.y, r.x): r.g for r in images.tencode(e, 1.0).collect()}[1, 1] == 1.0
+    spine = spark.createDataFrame([("a", 0), ("a", 1)], "seq string, frame_idx long")
+    dense = {r.frame_idx: r.image for r in images.dense_image(images.tencode(e), spine, 4, 4, ("r", "g", "b"), images.background(True)).collect()}
+    assert dense[1] == [255.0] * 48 and dense[0][5] == 0.0 and dense[0][16 + 5] == 255.0 and dense[0][0] == 255.0
+    assert {r.frame_idx: r.n_valid for r in images.valid_events(e, spine).collect()} == {0: 12, 1: 0}
     s = {(r.y, r.x): (r.value, r.gray) for r in images.signed_frame(e).collect()}
     assert s[3, 3] == (-5, 0) and s[1, 1] == (0, 127) and s[1, 2] == (1, 153)
     f = spark.createDataFrame([("a", 0, 30)], "seq string, frame_idx long, w_end long")

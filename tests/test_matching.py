@@ -62,9 +62,9 @@ def test_kernels():
     # an even number of matches takes the lower median
     d = np.array([[0.0, 0], [1, 0], [10, 0], [11, 0]])
     assert kernels.translation_inliers(np.zeros((4, 2)), d, 5) == 2 and kernels.translation_inliers(np.zeros((3, 2)), d[:3]) == 0
-    i, j, _ = kernels.mutual_matches(np.eye(3), np.eye(3)[[2, 0, 1]])
+    _, i, j, _ = kernels.match_stacks(np.eye(3)[None], np.eye(3)[[2, 0, 1]][None])
     assert list(zip(i, j)) == [(0, 1), (1, 2), (2, 0)]
-    assert len(kernels.ratio_matches(np.eye(3), np.eye(3)[:1])[0]) == 0
+    assert len(kernels.match_lists(np.eye(3), np.array([0, 3]), np.eye(3)[:1], np.array([0, 1]), "ratio")[0]) == 0
     m = rng.uniform(1, 5, (20, 30))
     assert kernels.masked_ssim_error(m, m) == pytest.approx(0, abs=1e-12) and kernels.masked_ssim_error(m, m * (m > 4.9)) == 1.0
     assert kernels.masked_ssim_error(m, rng.uniform(1, 5, (20, 30))) > 0.3
@@ -72,6 +72,26 @@ def test_kernels():
     assert kernels.area_downsample(m, (7, 7)).mean() == pytest.approx(m.mean())
 
 
+@pytest.mark.parametrize("kind", ["mutual", "ratio"])
+def test_matches_equal_brute_force(spark, kind):
+    rng = np.random.default_rng(9)
+    packs = [[(k, float(k), float(10 + k), 1.0, [float(x) for x in rng.normal(size=4)]) for k in range(n)] for n in (0, 1, 2, 5, 5, 9)]
+    pairs = [(a, b) for a in range(6) for b in range(6)]
+    kp = "array<struct<kp_idx:int,x:double,y:double,score:double,desc:array<double>>>"
+    rows = [(a, b, packs[a], packs[b] or None) for a, b in pairs] + [(7, 7, None, None)]
+    got = {(r.query_idx, r.ref_idx, r.i, r.j, round(r.dist, 9), r.src_x, r.dst_y) for r in rerank.match_pairs(spark.createDataFrame(rows, f"query_idx int, ref_idx long, query_kps {kp}, ref_kps {kp}"), kind).collect()}
+    want = set()
+    for a, b in pairs:
+        d = np.array([[np.linalg.norm(np.subtract(x[4], y[4])) for y in packs[b]] for x in packs[a]]).reshape(len(packs[a]), len(packs[b]))
+        for i in range(len(packs[a])):
+            if not len(packs[b]):
+                continue
+            j = int(d[i].argmin())
+            if (d[:, j].argmin() == i) if kind == "mutual" else (len(packs[b]) > 1 and d[i, j] < 0.8 * np.partition(d[i], 1)[1]):
+                want.add((a, b, i, j, round(float(d[i, j]), 9), float(i), float(10 + j)))
+    assert got == want and len(want) > 20
+
+
 def test_rerank_rules(spark):
     s = spark.createDataFrame([(0, 1, 10, 0.5), (0, 2, 11, 0.51), (1, 1, 10, 0.3)], "query_idx long, rank int, ref_idx long, dist double")
     i = spark.createDataFrame([(0, 11, 4), (0, 10, 0)], "query_idx long, ref_idx long, inliers long")
@@ -128,6 +148,8 @@ def test_binary_sources(spark, tmp_path):
     feats = features.read_npz_features(spark, str(tmp_path / "*.npz"))
     assert {r.frame_idx: [round(x, 6) for x in r.vec] for r in feats.collect()} == {0: [0.6, 0.8], 3: [0.6, 0.8]}
     assert [(r.frame_idx, r.vec is None) for r in features.densify_index(feats).orderBy("frame_idx").collect()] == [(0, False), (1, True), (2, True), (3, False)]
+    two = feats.select(F.lit("a").alias("seq"), "frame_idx").unionByName(feats.select(F.lit("b").alias("seq"), "frame_idx").where("frame_idx = 0"))
+    assert sorted(map(tuple, features.densify_index(two, keys=("seq",)).collect())) == [("a", 0), ("a", 1), ("a", 2), ("a", 3), ("b", 0)]
     buf = io.BytesIO()
     np.savez(buf, np.ones((1, 3)))
     (tmp_path / "ref_feats_9.npz").write_bytes(buf.getvalue())
