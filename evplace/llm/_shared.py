@@ -26,6 +26,11 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def aside(df: DataFrame):
+    """All columns of df as one struct, so that names of its own cannot clash with those that an operator adds."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
 #: Temporary folders of sessions that name no shared one, by application.
 _temporary: dict[str, str] = {}
 

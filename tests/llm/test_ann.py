@@ -16,7 +16,7 @@ def brute(rows, queries, k):
     return out
 
 
-@pytest.mark.parametrize("sf,least", [("sf0.1", 0.9), ("check_s", 0.9)])
+@pytest.mark.parametrize("sf,least", [("sf0.01", 0.9), ("sf0.1", 0.9)])
 def test_recall_on_the_table(spark, sf, least):
     df = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
     rows = [(r.vec_id, r.embedding) for r in df.collect()]
