@@ -57,11 +57,36 @@ def test_unequal_lengths(spark):
     assert recall(spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<double>")) > 0.95
 
 
+def test_lengths_are_searched_apart(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(60)] + [(i, [float(x) for x in rng.normal(size=5)]) for i in range(100, 130)] + [(1000, [1.0] * 20)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r["rank"], r.vec_id) for r in ann.nearest(df, df, 5, probe=10_000).collect()}
+    want = set()
+    for n in (8, 5):
+        own = [r for r in rows if len(r[1]) == n]
+        want |= {(q, i + 1, v) for q, near in brute(own, own, 5).items() for i, (_, v) in enumerate(near)}
+    assert got == want
+
+
+def test_share_of_rows_met_falls():
+    rng = np.random.default_rng(1)
+    unit = rng.normal(size=(2000, 64))
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    share = []
+    for n in (500, 10_000, 1_000_000, 10**10):
+        axes = ann.rotations(n, 64)
+        share.append(ann.probe_count(axes) / np.prod([2.0 * a for a in axes]))
+        p, b = ann.probes(unit[:50], 3, axes, ann.probe_count(axes)), ann.buckets(unit[:50], 3, axes)
+        assert (p[:, 0] == b).all() and all(len(set(x)) == len(x) for x in p.tolist())
+    assert share == sorted(share, reverse=True) and share[0] > 5 * share[2]
+
+
 def test_hard_cases(spark):
     rng = np.random.default_rng(2)
     same = [float(x) for x in rng.normal(size=6)]
     rows = [(i, same) for i in range(0, 400)] + [(i, [float(x) for x in rng.normal(size=6)]) for i in range(400, 480)]
-    bad = [(500, None), (600, []), (700, [0.0] * 6), (800, [1.0, None] + [0.0] * 4), (900, [float("nan")] * 6), (1000, [float("inf")] + [0.0] * 5), (1100, [1.0]), (None, same)]
+    bad = [(500, None), (600, []), (700, [0.0] * 6), (800, [1.0, None] + [0.0] * 4), (900, [float("nan")] * 6), (1000, [float("inf")] + [0.0] * 5), (1100, [1.0]), (1101, [2.0] * 9), (None, same)]
     df = spark.createDataFrame(rows + bad + [(5, same)], "vec_id long, embedding array<double>").select("*", *[F.lit(1).alias(c) for c in ("id", "v", "t", "b", "part", "rank", "score")])
     got = ann.nearest(df, df.where("vec_id % 100 = 0"), block=50).collect()
     queries = [r for r in rows if r[0] % 100 == 0]
