@@ -19,8 +19,8 @@ TREES, DEPTH, LEAST = 32, 8, 6
 REGION = 256
 #: Successors in a tree's order with which a set is paired.
 NEAR = 4
-#: Sets in one block of a family, at least and at most.
-BLOCK = (256, 4096)
+#: Sets in one group when a family is confirmed.
+BLOCK = 512
 _hashes = WordHashes()
 
 
@@ -200,17 +200,12 @@ def links_in_block(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> tup
     return ids[moved], label[moved]
 
 
-def family_links(docs: DataFrame, families: DataFrame, shingle: int, percent: int, block: tuple[int, int] = BLOCK) -> DataFrame:
-    """Links a, b between sets of one family (id, component), confirmed on full shingle sets.
+def _sets_of(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    """id, hashes: the shingle sets of the rows (id, text) that have one of these ids, each set of an id once.
 
-    A family of m sets is dealt by id into blocks of about m/16 sets, within the bounds of
-    ``block``, and every pair of blocks is one bounded group, so that all pairs of a family are
-    confirmed (not only candidates) while none is emitted: a group returns links that reach the
-    same sets. The texts are read again; a Bloom filter of fixed size spares most of
-    those that are in no family, and an exact join does the rest.
+    The texts are read again; a Bloom filter of fixed size spares most of those that are not asked for, and an exact join does the rest.
     """
-    spark = docs.sparkSession
-    bits = spark.sparkContext.broadcast(bloom_of(families.select(F.xxhash64("id").alias("key")), "key"))
+    bits = docs.sparkSession.sparkContext.broadcast(bloom_of(ids.select(F.xxhash64("id").alias("key")), "key"))
 
     def sets(batches):
         for batch in batches:
@@ -221,26 +216,70 @@ def family_links(docs: DataFrame, families: DataFrame, shingle: int, percent: in
         _hashes.seen.clear()
 
     found = docs.select("id", "text", F.xxhash64("id").alias("key")).mapInArrow(sets, "id long, hashes binary")
-    sizes = families.groupBy("component").agg(F.count("*").alias("m"))
-    per = F.least(F.greatest((F.col("m") / 16).cast("long"), F.lit(block[0])), F.lit(block[1]))
-    blocks = F.when(F.col("m") <= block[0], F.lit(1)).otherwise(F.ceil(F.col("m") / per)).cast("int")
-    dealt = families.join(sizes, "component").select("id", "component", blocks.alias("blocks")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    groups = dealt.join(found, "id").select("id", "hashes", "component", "own", other.alias("other"))
-    groups = groups.select("id", "hashes", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-
-    def link(key, pdf):
-        pdf = pdf.drop_duplicates("id").sort_values("id")
-        a, b = links_in_block(pdf["id"].to_numpy(dtype=np.int64), [np.frombuffer(x, np.uint64) for x in pdf["hashes"]], percent)
+    return found.where(F.length("hashes") > 0).join(ids, "id")
+
+
+def _links_in(groups: DataFrame, keys: list[str], percent: int) -> DataFrame:
+    """Links a, b between the sets (id, hashes) of each group."""
+    def link(pdf):
         import pandas as pd
 
+        pdf = pdf[["id", "hashes"]].drop_duplicates().sort_values(["id", "hashes"])
+        a, b = links_in_block(pdf["id"].to_numpy(dtype=np.int64), [np.frombuffer(x, np.uint64) for x in pdf["hashes"]], percent)
         return pd.DataFrame({"a": a, "b": b})
 
-    return groups.groupBy("component", "i", "j").applyInPandas(link, "a long, b long")
+    return groups.groupBy(*keys).applyInPandas(link, "a long, b long")
+
+
+def _dealt(n, block: int, *by):
+    """One of as many parts as n rows need, by a hash."""
+    return F.pmod(F.xxhash64(*by), F.ceil(F.lit(n) / block) if isinstance(n, int) else F.greatest(F.ceil(n / block), F.lit(1))).cast("int")
+
+
+def family_links(docs: DataFrame, families: DataFrame, shingle: int, percent: int, block: int = BLOCK) -> DataFrame:
+    """Links a, b between sets of one family (id, component), confirmed on full shingle sets, that join what all similar pairs join.
+
+    A family of up to ``block`` sets is one group, in which all pairs are confirmed (not only candidates) while none is emitted.
+    A larger family is dealt into groups by a hash, twice in different ways, which ships each set twice and joins most of it; what it falls
+    into then is labelled by component. Sets of one label need no more comparing. All others do: labels of over ``block`` sets
+    are cut into blocks of their own, smaller ones share blocks, and each block meets those that hold other labels.
+    The largest label's blocks are not paired with each other, so a family of many copies costs its size and not its square.
+    """
+    sizes = families.groupBy("component").agg(F.count("*").alias("m"))
+    known = families.join(sizes, "component").select("id", "component", "m")
+    found = written(_sets_of(docs, known, shingle), "family-sets")
+    links = _links_in(found.where(F.col("m") <= block), ["component"], percent)
+    large = found.where(F.col("m") > block)
+    if not large.head(1):
+        return links
+    for turn in (1, 2):
+        dealt = large.withColumn("part", _dealt(F.col("m"), block, F.col("id"), F.lit(turn)))
+        links = links.unionByName(_links_in(dealt, ["component", "part"], percent))
+    links = written(links, "family-links")
+    label = components(links, "a", "b", "family-links")
+    part = large.select("id", "component", "m").distinct().join(label.select("id", F.col("component").alias("label")), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    counts = part.groupBy("component", "label").agg(F.count("*").alias("n"))
+    # families that fell into several labels, with their largest one
+    apart = counts.groupBy("component").agg(F.count("*").alias("labels"), F.max(F.struct("n", "label"))["label"].alias("first"), F.sum(F.when(F.col("n") <= block, F.col("n")).otherwise(0)).alias("small")).where("labels > 1")
+    own = F.col("n") > block
+    placed = part.drop("m").join(counts, ["component", "label"]).join(apart, "component").select(
+        "id", "component", F.when(own | (F.col("label") == F.col("first")), F.col("label")).alias("label"), "first",
+        F.when(own, _dealt(F.col("n"), block, F.col("id"))).when(F.col("label") == F.col("first"), F.lit(0)).otherwise(_dealt(F.col("small"), block, F.col("label"))).alias("part"))
+    placed = written(placed, "family-blocks")
+    if not placed.head(1):
+        return links
+    blocks = placed.select("component", "label", "first", "part").distinct().withColumn("block", F.xxhash64(F.coalesce("label", F.lit(-1)), "part", F.col("label").isNull()))
+    others = blocks.where(F.col("label").isNull() | (F.col("label") != F.col("first"))).select("component", F.col("label").alias("label2"), F.col("block").alias("block2"))
+    differ = F.col("label").isNull() | F.col("label2").isNull() | (F.col("label") != F.col("label2"))
+    once = F.coalesce(F.col("label") == F.col("first"), F.lit(False)) | (F.col("block") <= F.col("block2"))
+    pairs = blocks.join(others, "component").where(differ & once).select("component", F.explode(F.array("block", "block2")).alias("block"), F.xxhash64("block", "block2").alias("pair")).distinct()
+    keyed = placed.withColumn("block", F.xxhash64(F.coalesce("label", F.lit(-1)), "part", F.col("label").isNull())).select("id", "component", "block")
+    groups = found.select("id", "hashes").join(keyed, "id").join(pairs, ["component", "block"])
+    return links.unionByName(_links_in(groups, ["component", "pair"], percent))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, trees: int = TREES,
-                    depth: int = DEPTH, least: int = LEAST, region: int = REGION, near: int = NEAR, block: tuple[int, int] = BLOCK) -> DataFrame:
+                    depth: int = DEPTH, least: int = LEAST, region: int = REGION, near: int = NEAR, block: int = BLOCK) -> DataFrame:
     """One row for each distinct doc_id that is not null: doc_id, n_shingles, component_id, kept.
 
     Two documents are linked if 100 * intersection >= percent * union of their sets of ``shingle``-word
@@ -249,8 +288,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     pairs join class representatives into families; within a family all links are confirmed on full
     sets, and components of these links are the result.
     Null and empty texts have no set, are linked with nothing and are kept. Rows that repeat a doc_id
-    are one document, of which the row with the fewest shingles counts. Rows with a null doc_id are left
-    out. An empty table gives no rows. Extra columns are ignored. A lone pair at a similarity of 0.8 is missed with a
+    are one document, which is linked with whatever any of its rows is linked with; n_shingles is that of the row with the most. Rows with a null doc_id are left
+    out, and so are ids that are no whole numbers. An empty table gives no rows. Extra columns are ignored. A lone pair at a similarity of 0.8 is missed with a
     chance of 6e-5 (at 0.85: 3e-7); in larger families a set must be missed by all others at once.
     """
     d = small_batches(docs).select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null")
@@ -258,15 +297,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # written, so that the join has a stage of its own, in which Spark can split the rows of one large class
     classes = written(found.where("n > 0").groupBy("set_key").agg(F.min("id").alias("rep")), "sets")
     member = written(found.select("id", "n", "set_key").join(classes, "set_key", "left").select("id", "n", "rep"), "classes")
-    reps = found.join(member.where("id = rep").select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
-    families = written(components(forest_pairs(reps.where("n > 0"), trees, depth, least, percent, region, near), "a", "b", "pairs"), "families")
+    # a class is known by its smallest id; an id that stands for several classes, as its rows differ, is one node with several sets
+    reps = found.join(classes.select(F.col("rep").alias("id"), "set_key"), ["id", "set_key"], "left_semi").dropDuplicates(["id", "set_key"])
+    families = written(components(forest_pairs(reps, trees, depth, least, percent, region, near), "a", "b", "pairs"), "families")
     dropped(found)
     dropped(classes)
     links = family_links(d, families, shingle, percent, block)
+    # ids whose rows are in classes of several names link these
+    several = member.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("id", "a")
+    links = links.unionByName(member.where("rep is not null").join(several, "id").select("a", F.col("rep").alias("b")).distinct())
     label = components(links, "a", "b", "links")
     out = member.join(label.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    out = out.groupBy("id").agg(F.min(F.struct("n", F.coalesce("component", "rep", "id").alias("c"))).alias("m"))
-    return out.select(F.col("id").alias(doc_id), F.col("m.n").alias("n_shingles"), F.col("m.c").alias("component_id"), (F.col("id") == F.col("m.c")).alias("kept"))
+    out = out.groupBy("id").agg(F.max("n").alias("n"), F.min(F.coalesce("component", "rep")).alias("c"))
+    c = F.coalesce("c", "id")
+    return out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), c.alias("component_id"), (F.col("id") == c).alias("kept"))
 
 
 def op3_near_duplicates(spark, sf_dir: str) -> DataFrame:
