@@ -27,11 +27,35 @@ _MARKS = frozenset(".,;:!?")
 _encoders: dict = {}
 
 
+#: Normalisers that leave white space where it is, or make one space of it, and pre-tokenisers that split at all white space and drop it.
+_KEEPS_SPACE = ("NFC", "NFD", "NFKC", "NFKD", "Lowercase", "StripAccents")
+_DROPS_SPACE = ("BertPreTokenizer", "Whitespace", "WhitespaceSplit")
+_WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def splits_at_space(tokenizer) -> bool:
+    """Does a tokenizer's own description say that no token reaches across white space and that white space itself gives none?"""
+    j = json.loads(tokenizer.to_str())
+    steps = lambda x, inner: [] if x is None else [z for y in x[inner] for z in steps(y, inner)] if x["type"] == "Sequence" else [x]
+    for n in steps(j["normalizer"], "normalizers"):
+        one_space = n["type"] == "Replace" and n["pattern"] == {"Regex": r"\s+"} and n["content"] == " "
+        if n["type"] not in _KEEPS_SPACE and not one_space:
+            return False
+    pre = steps(j["pre_tokenizer"], "pretokenizers")
+    if not pre or any(x.get("lstrip") or x.get("rstrip") or any(c.isspace() for c in x["content"]) for x in j["added_tokens"]):
+        return False
+    words = pre[0]["type"] == "Split" and pre[0]["pattern"] == {"Regex": _WORD_PATTERN} and pre[0]["behavior"] == "Removed" and pre[0]["invert"]
+    if not words and pre[0]["type"] not in _DROPS_SPACE:
+        return False
+    return all(p["type"] == "ByteLevel" and not p["add_prefix_space"] for p in pre[1:])
+
+
 class PieceEncoder(dict):
     """Ids of a text as bytes, piece by piece, for tokenizers that never join text across white space.
 
-    The normaliser maps white space to a space and the pre-tokeniser drops it, so the ids of a
-    text are those of its pieces between ASCII white space, one after another. The mapping from pieces to ids is the cache.
+    Where a tokenizer's description says so, the ids of a
+    text are those of its pieces between ASCII white space, one after another; with any other tokenizer whole texts go to the library.
+    The mapping from pieces to ids is the cache.
     A piece of Latin letters in lower case is one word to the model, and a mark behind a letter is
     a word of its own; where samples show this to hold, the library's model gets such words directly. All other
     pieces go through the whole tokenizer. Tests compare with the library on whole texts.
@@ -43,6 +67,7 @@ class PieceEncoder(dict):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a worker for each core
         t = self.tokenizer = Tokenizer.from_file(path)
         self.dtype, self.older = np.dtype("<u2" if t.get_vocab_size() <= 1 << 16 else "<u4"), {}
+        self.by_piece = splits_at_space(t)
         self.special = [x.content.lower().encode() for x in t.get_added_tokens_decoder().values()]
         plain = lambda x: t.encode(x, add_special_tokens=False).ids
         # the printable form of each byte that byte-level models use: bytes without one are numbered from 256
@@ -71,6 +96,8 @@ class PieceEncoder(dict):
 
     def __call__(self, texts: list[str | None], end_id: int) -> list[bytes]:
         end, out = np.array([end_id], self.dtype).tobytes(), []
+        if not self.by_piece:
+            return [np.array(x.ids, self.dtype).tobytes() + end for x in self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
         for t in texts:
             if len(self) > REMEMBERED:
                 self.older = dict(self)

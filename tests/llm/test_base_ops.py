@@ -41,6 +41,27 @@ def test_token_ids_equal_the_library(spark):
     assert len(got) == len(rows)
 
 
+def test_other_tokenizers_get_whole_texts(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    assert not token_files.splits_at_space(tok) and token_files.splits_at_space(Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")))
+    rows = [(1, "a b  c\n\nd"), (2, None), (3, ""), (4, " lead and trail "), (5, "caf\u00e9 \U0001f600 it's 12:30 <|endoftext|> x")] + [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("doc_id + 10", "text").limit(60).collect()]
+    got = sorted(token_files.tokenized(spark.createDataFrame(rows, "doc_id long, text string"), path, end_id=7).collect())
+    start = 0
+    for (i, t), r in zip(sorted(rows, key=lambda r: r[0]), got):
+        ids = tok.encode(t or "", add_special_tokens=False).ids + [7]
+        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    for n, p in ((normalizers.Prepend("_"), pre_tokenizers.Whitespace()), (None, pre_tokenizers.Metaspace()), (None, pre_tokenizers.Punctuation())):
+        if n:
+            tok.normalizer = n
+        tok.pre_tokenizer = p
+        assert not token_files.splits_at_space(tok)
+
+
 def test_token_files_hard_cases(spark):
     got = token_files.tokenized(docs_of(spark, ODD), BPE).collect()
     assert len(got) == len(ODD) and sum(r.doc_id is None for r in got) == 1
