@@ -59,6 +59,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as the session shuffles into, for rows that grow a lot in the next step; Spark would see few bytes and join them to few."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def dropped(df: DataFrame) -> None:
     """Delete a table made by written() that nothing reads any more."""
     path, spark = df._evplace_path, df.sparkSession

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evplace.llm._shared import ascii_lower
+from evplace.llm._shared import ascii_lower, spread, written
 
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 START, END = "\u0002", "\u0003"
 ALPHABET = 256
+#: Grams of the longest order whose ratios may be broadcast (some tens of bytes each); beyond, they are joined by shuffle.
+FEW_GRAMS = 500_000
 
 
 def host_path(url) -> tuple:
@@ -44,15 +46,15 @@ def gram_ratios(urls: DataFrame, order: int, prior: float) -> DataFrame:
     The models are of variable order: the estimate after k characters is
     (count + prior * estimate after k-1 characters) / (context count + prior), from a uniform one
     over 256 characters; contexts a model has not seen fall back to shorter ones by themselves.
-    Tables are as large as the distinct grams, which the characters of URLs bound.
+    Tables are as large as the distinct grams, which the characters of URLs bound. Grams are counted once, in all tasks, and written.
     """
     chars = F.regexp_extract_all(F.concat(F.lit(START * order), F.col("text"), F.lit(END)), F.lit("(?s)."), 0)
-    counts = (
+    counts = written(
         urls.select("side", "n", chars.alias("c"))
         .select("n", "side", F.explode(_grams(F.col("c"), order)).alias("x"))
         .groupBy(F.col("x.k").alias("k"), F.col("x.g").alias("g"))
-        .agg(F.sum(F.when(F.col("side") == "a", F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("side") == "r", F.col("n")).otherwise(0)).alias("r"))
-    )
+        .agg(F.sum(F.when(F.col("side") == "a", F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("side") == "r", F.col("n")).otherwise(0)).alias("r")),
+        "grams")
     below = None
     for k in range(order + 1):
         own = counts.where(F.col("k") == k).select("g", F.substring("g", 1, k).alias("ctx"), F.substring("g", 2, k).alias("short"), "a", "r")
@@ -67,7 +69,8 @@ def gram_ratios(urls: DataFrame, order: int, prior: float) -> DataFrame:
             ((F.col("a") + prior * F.col("la")) / (F.col("ta") + prior)).alias("pa"),
             ((F.col("r") + prior * F.col("lr")) / (F.col("tr") + prior)).alias("pr"),
         )
-    return below.select("g", F.round(1e6 * (F.log("pa") - F.log("pr"))).cast("long").alias("llr"))
+    ratios = below.select("g", F.round(1e6 * (F.log("pa") - F.log("pr"))).cast("long").alias("llr"))
+    return F.broadcast(ratios) if counts.where(F.col("k") == order).count() <= FEW_GRAMS else ratios
 
 
 def judged_urls(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules=RULES, order: int = 4, prior: float = 4.0,
@@ -78,7 +81,7 @@ def judged_urls(pages: DataFrame, page_id: str = "page_id", url: str = "url", ru
     models of characters, of the URLs that rules allow and of those they block: four fifths of
     these (by md5 of the URL) train the models, the last fifth calibrates the threshold of the
     length-normalised log-likelihood difference at the least balanced error (ties: nearest to 0,
-    then the smaller). With no accepted or no rejected URL to calibrate by, the threshold is 0.
+    then the smaller). With no accepted or no rejected URL to calibrate by, the threshold is 0. URLs are known by their md5.
     Null and empty URLs have an empty host and path and are judged by the models as an empty
     text. Distinct URLs are scored once, so repeated rows cost nothing; rows are kept as they are.
     """
@@ -88,34 +91,40 @@ def judged_urls(pages: DataFrame, page_id: str = "page_id", url: str = "url", ru
     p = p.select("id", ascii_lower(F.coalesce("u", F.lit(""))).alias("text"), "host", "path", rule.alias("rule"), says.alias("says"))
     fold = F.conv(F.substring(F.md5("text"), 1, 6), 16, 10).cast("long") % 5
     side = F.when(F.col("says").isNull(), "-").when(fold == 4, F.when(F.col("says") == "allow", "A").otherwise("R")).when(F.col("says") == "allow", "a").otherwise("r")
-    urls = p.groupBy("text", side.alias("side")).agg(F.count("*").alias("n"))
+    # distinct URLs are few bytes but many grams
+    urls = written(spread(p.groupBy("text", side.alias("side")).agg(F.count("*").alias("n"))), "urls")
     ratios = gram_ratios(urls, order, prior)
     chars = F.regexp_extract_all(F.concat(F.lit(START * order), F.col("text"), F.lit(END)), F.lit("(?s)."), 0)
     # a text of both sides (the host's case decides no rule, so there is none) would be scored once
     texts = urls.select("text").distinct().select("text", chars.alias("c"))
     grams = F.transform(F.sequence(F.lit(order + 1), F.size("c")), lambda i: F.array_join(F.slice("c", i - order, order + 1), ""))
     scored = (
-        texts.select(F.xxhash64("text").alias("key"), F.explode(grams).alias("g")).join(ratios, "g")
+        texts.select(F.md5("text").alias("key"), F.explode(grams).alias("g")).join(ratios, "g")
         .groupBy("key").agg((F.sum("llr") / F.count("*") / 1e6).alias("llr"))
     )
-    urls = urls.withColumn("key", F.xxhash64("text"))
+    scored = written(scored, "url-scores")
+    urls = urls.withColumn("key", F.md5("text"))
     calibration = urls.where(F.col("side").isin("A", "R")).select("key", "side", "n").join(scored, "key")
     bins = calibration.groupBy(F.floor(F.col("llr") * bins_per_nat).alias("bin")).agg(
         F.sum(F.when(F.col("side") == "A", F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("side") == "R", F.col("n")).otherwise(0)).alias("r"))
     threshold = _threshold(bins)
-    judged = p.withColumn("key", F.xxhash64("text")).join(scored, "key").crossJoin(F.broadcast(threshold))
+    judged = p.withColumn("key", F.md5("text")).join(scored, "key").crossJoin(F.broadcast(threshold))
     by_model = F.when(F.floor(F.col("llr") * bins_per_nat) >= F.col("cut"), "allow").otherwise("block")
     return judged.select(F.col("id").alias(page_id), "host", "path", "rule", F.coalesce("says", by_model).alias("verdict"), "llr")
 
 
 def _threshold(bins: DataFrame) -> DataFrame:
-    """One row: the bin from which URLs are accepted. Bins are few: the models bound the log ratio."""
-    ordered = F.array_sort(F.collect_list(F.struct("bin", "a", "r")))
-    all_bins = bins.agg(ordered.alias("b"), F.sum("a").alias("ta"), F.sum("r").alias("tr"), F.array_sort(F.collect_set(F.col("bin"))).alias("lo"))
-    cuts = F.array_distinct(F.concat("lo", F.transform("lo", lambda x: x + 1)))
-    lost = lambda c: F.aggregate(F.col("b"), F.lit(0.0), lambda s, x: s + F.when(x["bin"] < c, x["a"] / F.col("ta")).otherwise(x["r"] / F.col("tr")))
-    best = F.array_min(F.transform(cuts, lambda c: F.struct(F.round(lost(c), 9).alias("error"), F.abs(c).alias("far"), c.alias("cut"))))["cut"]
-    return all_bins.select(F.when((F.col("ta") > 0) & (F.col("tr") > 0), best).otherwise(F.lit(0)).cast("long").alias("cut"))
+    """One row: the bin from which URLs are accepted, by running sums over the bins, which are few: the models bound the log ratio."""
+    upto = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    everything = Window.partitionBy(F.lit(1))
+    sums = bins.select("bin", "a", "r", F.sum("a").over(upto).alias("sa"), F.sum("r").over(upto).alias("sr"), F.sum("a").over(everything).alias("ta"), F.sum("r").over(everything).alias("tr"))
+    # accepted from this bin on, or from the next one
+    cuts = sums.select("ta", "tr", F.explode(F.array(
+        F.struct(F.col("bin").alias("cut"), (F.col("sa") - F.col("a")).alias("lost"), (F.col("tr") - F.col("sr") + F.col("r")).alias("let_in")),
+        F.struct((F.col("bin") + 1).alias("cut"), F.col("sa").alias("lost"), (F.col("tr") - F.col("sr")).alias("let_in")))).alias("x"))
+    error = F.round(F.col("x.lost") / F.col("ta") + F.col("x.let_in") / F.col("tr"), 9)
+    best = F.min(F.when((F.col("ta") > 0) & (F.col("tr") > 0), F.struct(error.alias("error"), F.abs("x.cut").alias("far"), F.col("x.cut").alias("cut"))))
+    return cuts.agg(F.coalesce(best["cut"], F.lit(0)).cast("long").alias("cut"))
 
 
 def op10_url_filter(spark, sf_dir: str) -> DataFrame:
