@@ -70,7 +70,7 @@ _OCC = pa.list_(pa.struct([("m", pa.int64()), ("h", pa.int64()), ("p", pa.int32(
 
 
 def _scan(window: int):
-    schema = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("sha", pa.string()), ("occ", _OCC)])
+    schema = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("key2", pa.int64()), ("n", pa.int64()), ("sha", pa.string()), ("occ", _OCC)])
 
     def scan(batches):
         for batch in batches:
@@ -80,7 +80,7 @@ def _scan(window: int):
                 offsets = np.concatenate([[0], np.cumsum(np.bincount(d, minlength=len(words)))]).astype(np.int32)
                 occ = pa.StructArray.from_arrays([pa.array(m.view(np.int64)), pa.array(h.view(np.int64)), pa.array(s.astype(np.int32)), pa.array(l.astype(np.int32))], ["m", "h", "p", "l"])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(2), pa.array([len(w) for w in words], pa.int64()), pa.array([hashlib.sha256(b" ".join(w)).hexdigest() for w in words]), pa.ListArray.from_arrays(offsets, occ)], schema=schema)
+                    [part.column(0), part.column(2), part.column(3), pa.array([len(w) for w in words], pa.int64()), pa.array([hashlib.sha256(b" ".join(w)).hexdigest() for w in words]), pa.ListArray.from_arrays(offsets, occ)], schema=schema)
         _hashes.seen.clear()  # the worker lives on
 
     return scan
@@ -91,7 +91,7 @@ def _contents(d: DataFrame, asked: DataFrame) -> DataFrame:
 
     Texts are read again, but a Bloom filter of fixed size, broadcast, spares those that none is cut from.
     """
-    cuts = written(asked.groupBy("x.key").agg(F.collect_list(F.struct("m", "h", "x.p", "l", "d")).alias("cuts")), "cuts")
+    cuts = written(asked.groupBy("x.key", "x.key2").agg(F.collect_list(F.struct("m", "h", "x.p", "l", "d")).alias("cuts")), "cuts")
     bits = d.sparkSession.sparkContext.broadcast(bloom_of(cuts.select("key"), "key"))
 
     def chosen(batches):
@@ -107,8 +107,8 @@ def _contents(d: DataFrame, asked: DataFrame) -> DataFrame:
                     [pa.array([c["m"] for c in x], pa.int64()), pa.array([c["h"] for c in x], pa.int64()), pa.array([b" ".join(words[c["p"] : c["p"] + c["l"]]) for c in x], pa.binary()), pa.array([c["d"] for c in x], pa.int64())],
                     ["m", "h", "content", "d"])
 
-    found = d.select("key", "text").where("text is not null").mapInArrow(chosen, "key long, text string").dropDuplicates(["key"])
-    return written(found.join(cuts, "key").select("text", "cuts").mapInArrow(cut, "m long, h long, content binary, d long"), "contents")
+    found = d.select("key", "key2", "text").where("text is not null").mapInArrow(chosen, "key long, key2 long, text string").dropDuplicates(["key", "key2"])
+    return written(found.join(cuts, ["key", "key2"]).select("text", "cuts").mapInArrow(cut, "m long, h long, content binary, d long"), "contents")
 
 
 def _texts_in(bits):
@@ -165,16 +165,16 @@ def removed_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     sequences are one class; a class of more than one row goes whole if it is as long as a window.
     Segments whose anchor occurs once in all classes are unique; those that occur whole more than once
     need no search; the others meet in FM-indexes by anchor. Spans come back to texts by
-    equi-joins on the segment. Null and empty texts have no words. Rows that repeat a doc_id, or have
+    equi-joins on the segment. Texts and segments are known by 128 bits. Null and empty texts have no words. Rows that repeat a doc_id, or have
     none, are rows like others. An empty table gives no rows. Extra columns are ignored.
     """
     spark = docs.sparkSession
-    d = small_batches(docs).select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("key"))
-    rows = written(d.mapInArrow(_scan(window), "id long, key long, n long, sha string, occ array<struct<m:long,h:long,p:int,l:int>>"), "segments")
-    classes = written(rows.groupBy("sha").agg(F.count("*").alias("copies"), F.first("occ").alias("occ"), F.min("key").alias("key")), "texts")
-    at = classes.select("sha", "copies", "key", F.explode("occ").alias("x")).select("sha", "copies", "key", "x.*")
+    d = small_batches(docs).select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("key"), F.xxhash64(F.lit(1), text).alias("key2"))
+    rows = written(d.mapInArrow(_scan(window), "id long, key long, key2 long, n long, sha string, occ array<struct<m:long,h:long,p:int,l:int>>"), "segments")
+    classes = written(rows.groupBy("sha").agg(F.count("*").alias("copies"), F.first("occ").alias("occ"), F.min(F.struct("key", "key2")).alias("key")).select("sha", "copies", "occ", "key.*"), "texts")
+    at = classes.select("sha", "copies", "key", "key2", F.explode("occ").alias("x")).select("sha", "copies", "key", "key2", "x.*")
     # of each segment: how often, how long, and one place to cut it from
-    seen = at.groupBy("m", "h").agg(F.count("*").alias("c"), F.max("l").alias("l"), F.min(F.struct("key", "p")).alias("x"))
+    seen = at.groupBy("m", "h").agg(F.count("*").alias("c"), F.max("l").alias("l"), F.min(F.struct("key", "key2", "p")).alias("x"))
     live = seen.groupBy("m").agg(F.count("*").alias("d"), F.sum("c").alias("all")).where(F.col("all") > 1).select("m", "d")
     live = written(seen.join(live, "m"), "anchors")
     whole = live.where("c > 1").select("m", "h", F.lit(0).alias("s"), F.col("l").alias("e"))
