@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evplace.llm._shared import ascii_lower
+from evplace.llm._shared import ascii_lower, aside
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 EMPTY_SHA = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
@@ -102,10 +102,11 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
 
 def clean_rows(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
                item_text: str = "text", window: int = 10, broadcast_bytes: int = 32 << 20) -> DataFrame:
-    """The rows of docs without any hit, with the columns of docs. Rows with null or empty texts stay."""
+    """The rows of docs without any hit, with the columns of docs, whatever their names. Rows with null or empty texts stay; other cases as in contamination()."""
     hits = window_hits(docs, items, doc_id, text, item_id, item_text, window, broadcast_bytes)
-    hit = hits.select(F.col("did").alias("_did"), F.col("key").alias("_hit")).distinct()
-    return docs.join(hit, F.col(doc_id).eqNullSafe(F.col("_did")) & (F.xxhash64(text) == F.col("_hit")), "left_anti")
+    hit = hits.select("did", "key").distinct()
+    whole = docs.select(aside(docs).alias("x"), F.col(doc_id).alias("own_id"), F.xxhash64(text).alias("own_key"))
+    return whole.join(hit, F.col("own_id").eqNullSafe(F.col("did")) & (F.col("own_key") == F.col("key")), "left_anti").select("x.*")
 
 
 def op8_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evplace.llm._shared import dropped, written
+from evplace.llm._shared import aside, dropped, written
 
 WORDS = r"[^\x20\x09-\x0D]+"
 #: The exponent is a whole number of these steps, from 0 (equal weights) to 1 (shares as they are).
@@ -55,8 +55,8 @@ def exponent(shares: DataFrame, total: float, entropy: float, repeats: float, bu
 
 
 def mixed(docs: DataFrame, entropy: float = 0.98, repeats: float = 4.0, budget: float = 1.0, doc_id: str = "doc_id", text: str = "text",
-          source: str = "source", broadcast_rows: int = 1_000_000) -> DataFrame:
-    """docs, each row as often as its source's weight asks, with _source, pass, block, sort_key added.
+          source: str = "source", broadcast_rows: int = 1_000_000, keys: bool = True) -> DataFrame:
+    """docs, each row as often as its source's weight asks, with _source, pass, block, sort_key added (not without ``keys``).
 
     A source's weight is its share of words to the power of an exponent in 0..1, normalised. The
     exponent is the greatest whose weights have ``entropy`` times the greatest possible entropy, but so great that, at a
@@ -68,10 +68,10 @@ def mixed(docs: DataFrame, entropy: float = 0.98, repeats: float = 4.0, budget:
     join their block's decision, broadcast if there are at most ``broadcast_rows`` blocks.
     Null sources count as ''. Null and empty texts have no words and go with their block; sources without words
     get no rows, as does an empty table. Repeated rows and null ids are rows like others. Columns of
-    docs stay, whatever their names; the four added ones must not be among them.
+    docs stay, whatever their names, but with ``keys`` the four added ones must not be among them.
     """
     # a row's own columns are kept aside, so that no name clashes
-    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *_slim(docs, doc_id, text, source))
+    d = docs.select(aside(docs).alias("_row"), *_slim(docs, doc_id, text, source))
     slim = written(docs.select(*_slim(docs, doc_id, text, source), F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORDS)).cast("long").alias("words")), "words")
     sources = slim.groupBy("_source").agg(F.sum("words").alias("all"), F.count("*").alias("rows")).where("all > 0")
     sources = written(sources, "sources")
@@ -99,9 +99,13 @@ def mixed(docs: DataFrame, entropy: float = 0.98, repeats: float = 4.0, budget:
     decided = blocks.join(inside, ["_source", "block"], "left").select("_source", "block", "passes", F.when(F.col("upto") <= F.col("rest"), F.lit("~")).otherwise(F.coalesce("last", F.lit(""))).alias("last"))
     decided = written(decided, "decisions")
     dropped(slim)
+    if keys and (clash := {"_source", "pass", "block", "sort_key"} & set(docs.columns)):
+        raise ValueError(f"docs have columns {sorted(clash)}; rename them, or take the rows without keys")
     out = d.join(few(plan.select("_source", "blocks"), n_sources), "_source").withColumn("block", block).join(few(decided, n_blocks), ["_source", "block"])
     times = F.col("passes") + F.when(F.col("_key") <= F.col("last"), 1).otherwise(0)
     out = out.withColumn("pass", F.explode(F.when(times > 0, F.sequence(F.lit(0), (times - 1).cast("int"))).otherwise(F.array().cast("array<int>"))))
+    if not keys:
+        return out.select("_row.*")
     key = F.concat(_block_key(F.col("_source"), F.col("pass"), F.col("block")), F.lit(":"), F.md5(F.concat(F.col("pass").cast("string"), F.lit(":"), F.col("_key"))))
     return out.select("_row.*", "_source", "pass", "block", F.when(F.col("pass") < F.col("passes"), key).otherwise(F.concat(_block_key(F.col("_source"), F.col("pass"), F.col("block")), F.lit(":"), F.col("_key"))).alias("sort_key"))
 
