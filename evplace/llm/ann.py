@@ -188,7 +188,8 @@ def _nearest(rows: DataFrame, asked: DataFrame, n: int, dim: int, top: float, dt
     axes = rotations(n, dim + uneven)
     count = probe or probe_count(axes)
     made = int(np.prod([2 * a for a in axes]))
-    groups = max(1, min(made, -(-n // block)))
+    # at least one for each axis of the first rotation, so that a query visits about as many groups, and finds about as many rows, at every size
+    groups = max(1, min(made, max(2 * axes[0], -(-n // block))))
 
     def hashed(query: bool):
         def run(batches):
