@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from evplace.llm._shared import written
+
 #: Tables, buckets that a query probes in each table for each doubling of a table's last rotation, rows that one group compares, and lengths of
 #: vectors that are searched one by one in one job.
 TABLES, PROBES, BLOCK, LENGTHS = 12, 25, 4096, 64
@@ -222,7 +224,8 @@ def _nearest(rows: DataFrame, asked: DataFrame, n: int, dim: int, top: float, dt
     few_groups = lambda df: F.broadcast(df) if tables * groups <= 100_000 else df
     index = index.join(few_groups(sizes), ["t", "g"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).select("id", "v", "t", "g", "b", "part")
     ask = ask.join(few_groups(sizes.select("t", "g", F.col("blocks").alias("to"))), ["t", "g"]).select("id", "v", "t", "g", "bs", F.explode(F.sequence(F.lit(0), F.col("to") - 1)).alias("part"))
-    found = _best(_compare(index, ask, ["t", "g", "part"], dim, dtype, k, True), k)
+    # k rows for a query at most; written, as it is asked for what it lacks and then returned
+    found = written(_best(_compare(index, ask, ["t", "g", "part"], dim, dtype, k, True), k), "found")
     few = asked.join(found.groupBy("query_id").agg(F.count("*").alias("c")).where(F.col("c") >= min(k, n - 1)).select(F.col("query_id").alias("id")), "id", "left_anti")
     if few.head(1):
         raw = lambda df: df.mapInArrow(_raw(dim, dtype), "id long, v binary")
