@@ -90,7 +90,10 @@ def shortlist_from_pairs(pairs: DataFrame, k: int, keys: tuple[str, ...] = ()) -
 
 
 def attach_keypoints(shortlist: DataFrame, ref_packs: DataFrame, query_packs: DataFrame) -> DataFrame:
-    """Candidates with ref_n, ref_kps, query_n, query_kps; where a side has no pack they are null, and the candidate stays."""
+    """Candidates with ref_n, ref_kps, query_n, query_kps; where a side has no pack they are null, and the candidate stays.
+
+    The shortlist is read three times: give a written one, not a plan that searches anew.
+    """
     r = ref_packs.select(F.col("frame_idx").alias("ref_idx"), F.col("n").alias("ref_n"), F.col("kps").alias("ref_kps"))
     q = query_packs.select(F.col("frame_idx").alias("query_idx"), F.col("n").alias("query_n"), F.col("kps").alias("query_kps"))
     needed = lambda packs, c: packs.join(shortlist.select(c).distinct(), c, "left_semi")

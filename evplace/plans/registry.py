@@ -61,7 +61,8 @@ def packs(spark, sf, seq: str) -> DataFrame:
 
 
 def candidates(spark, sf, base: DataFrame | None = None) -> DataFrame:
-    return similarity.attach_keypoints(shortlist(spark, sf) if base is None else base, packs(spark, sf, "ref"), packs(spark, sf, "query"))
+    """The shortlist with keypoints; attach_keypoints() reads it three times, so it is written."""
+    return similarity.attach_keypoints(kept(shortlist(spark, sf), "shortlist") if base is None else base, packs(spark, sf, "ref"), packs(spark, sf, "query"))
 
 
 def fused(spark, sf, base: DataFrame | None = None) -> DataFrame:
@@ -487,7 +488,7 @@ for _metric, _sql in _SQL_DISTANCE.items():
 
 @query("attach_keypoints", "SELECT query_idx, ref_idx, CAST(query_idx % 6 + 3 AS INTEGER) AS query_n, CAST(ref_idx % 6 + 3 AS INTEGER) AS ref_n FROM cand")
 def _(s, d):
-    return similarity.attach_keypoints(shortlist(s, d), packs(s, d, "ref"), packs(s, d, "query")).select("query_idx", "ref_idx", "query_n", "ref_n")
+    return candidates(s, d).select("query_idx", "ref_idx", "query_n", "ref_n")
 
 
 @query("plan_pairs", """, pr AS (SELECT 'ref' AS ref_seq, 'query' AS query_seq UNION ALL SELECT 'ref', 'ref'), x AS (SELECT ref_seq, query_seq, q.frame_idx AS query_idx, r.frame_idx AS ref_idx, 1 - list_dot_product(r.vec, q.vec) AS dist FROM pr JOIN dn r ON r.seq = ref_seq JOIN dn q ON q.seq = query_seq),
