@@ -36,9 +36,11 @@ _temporary: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, with its scheme; a temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share, with its scheme; where the session names none, a temporary one on one machine (tests), an error on a cluster."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         d = _temporary[app] = _temporary.get(app) or "file://" + tempfile.mkdtemp(prefix="evplace-")
     path = spark._jvm.org.apache.hadoop.fs.Path(d)
