@@ -5,8 +5,8 @@ from __future__ import annotations
 import numpy as np
 
 
-#: Distances that one batched product makes, at most.
-AT_ONCE = 1 << 22
+#: Distances that one batched product makes, at most: few enough to stay in a core's cache.
+AT_ONCE = 1 << 18
 
 
 def match_stacks(a: np.ndarray, b: np.ndarray, kind: str = "mutual", ratio: float = 0.8) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

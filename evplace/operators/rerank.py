@@ -25,19 +25,54 @@ def _numbers(rows: pa.Array, field: str) -> np.ndarray:
 
 
 def _descriptors(rows: pa.Array) -> np.ndarray:
+    """[keypoint, value], in single precision where the column is."""
     values, ends = _flat(rows.field("desc"))
     n = np.diff(ends)
     if len(n) and n.min() != n.max():
         raise ValueError("keypoint descriptors of unequal lengths")
-    return values.to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(n), -1 if len(n) else 0)
+    out = values.to_numpy(zero_copy_only=False)
+    return out.astype(np.float32 if out.dtype == np.float32 else np.float64, copy=False).reshape(len(n), -1 if len(n) else 0)
+
+
+def dense_packs(packs: DataFrame) -> DataFrame:
+    """packs with each frame's keypoints as one binary value, which joins and tasks copy whole; what match_pairs() needs, so without scores.
+
+    Little-endian: the number of keypoints and the bytes of a descriptor's value (32-bit), x, y (64-bit floats), kp_idx (32-bit), descriptors.
+    Null packs stay null, empty ones have no keypoints.
+    """
+    @F.arrow_udf("binary")
+    def dense(kps: pa.Array) -> pa.Array:
+        rows, ends = _flat(kps)
+        desc = _descriptors(rows)
+        place = [_numbers(rows, c).astype("<f8") for c in ("x", "y")] + [_numbers(rows, "kp_idx").astype("<i4")]
+        columns = [*place, desc.astype(desc.dtype.newbyteorder("<"), copy=False)]
+        known = np.asarray(kps.is_valid())
+        return pa.array([np.array([e - s, desc.itemsize], "<i4").tobytes() + b"".join(c[s:e].tobytes() for c in columns) if k else None for s, e, k in zip(ends, ends[1:], known)], pa.binary())
+
+    return packs.withColumn("kps", dense("kps"))
+
+
+def _side(column: pa.Array) -> tuple[np.ndarray, dict[str, np.ndarray], np.ndarray]:
+    """The n + 1 offsets of a column of packs, plain or dense, and its keypoints end to end: kp_idx, x and y, and descriptors."""
+    if not pa.types.is_binary(column.type):
+        rows, ends = _flat(column)
+        return ends, {c: _numbers(rows, c) for c in ("kp_idx", "x", "y")}, _descriptors(rows).astype(np.float64, copy=False)
+    data = [v.as_py() or bytes(8) for v in column]
+    heads = [np.frombuffer(v, "<i4", 2).tolist() for v in data]
+    take = lambda kind, skip: np.concatenate([np.empty(0)] + [np.frombuffer(v, kind, n, 8 + skip * n) for v, (n, _) in zip(data, heads)])
+    found = [np.frombuffer(v, f"<f{size}", -1, 8 + 20 * n).reshape(n, -1) for v, (n, size) in zip(data, heads) if n]
+    if len({x.shape[1] for x in found}) > 1:
+        raise ValueError("keypoint descriptors of unequal lengths")
+    desc = np.concatenate(found).astype(np.float64, copy=False) if found else np.empty((0, 0))
+    return np.concatenate([[0], np.cumsum([n for n, _ in heads], dtype=np.int64)]), {"x": take("<f8", 0), "y": take("<f8", 8), "kp_idx": take("<i4", 16)}, desc
 
 
 def match_pairs(candidates: DataFrame, kind: str = "mutual", ratio: float = 0.8) -> DataFrame:
     """query_idx, ref_idx, i, j, dist, src_x, src_y, dst_x, dst_y: matches of query keypoint i and reference keypoint j.
 
-    candidates come from attach_keypoints(); a pair of which a side is missing has no matches. Descriptors are read from Arrow's
-    buffers, and pairs of one shape share one batched product. It runs over whatever rows a task holds, so a popular reference
-    frame needs no group of its own.
+    candidates come from attach_keypoints(), with plain packs or dense_packs(); a pair of which a side is missing has no matches.
+    Descriptors are read from Arrow's buffers, and pairs of one shape share one batched product. It runs over whatever rows a task
+    holds, so a popular reference frame needs no group of its own.
     """
     if kind not in ("mutual", "ratio"):
         raise ValueError("kind must be mutual or ratio")
@@ -47,13 +82,13 @@ def match_pairs(candidates: DataFrame, kind: str = "mutual", ratio: float = 0.8)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                (q, q_ends), (r, r_ends) = _flat(part.column(2)), _flat(part.column(3))
-                if not len(q) or not len(r):
+                (q_ends, q, q_desc), (r_ends, r, r_desc) = _side(part.column(2)), _side(part.column(3))
+                if not len(q_desc) or not len(r_desc):
                     continue
-                pair, i, j, d = kernels.match_lists(_descriptors(q), q_ends, _descriptors(r), r_ends, kind, ratio)
+                pair, i, j, d = kernels.match_lists(q_desc, q_ends, r_desc, r_ends, kind, ratio)
                 pair = pa.array(pair)
-                columns = [part.column(0).take(pair), part.column(1).take(pair), pa.array(_numbers(q, "kp_idx")[i].astype(np.int32)), pa.array(_numbers(r, "kp_idx")[j].astype(np.int32)), pa.array(d)]
-                yield pa.RecordBatch.from_arrays(columns + [pa.array(_numbers(s, c)[k]) for s, k in ((q, i), (r, j)) for c in ("x", "y")], names)
+                columns = [part.column(0).take(pair), part.column(1).take(pair), pa.array(q["kp_idx"][i].astype(np.int32)), pa.array(r["kp_idx"][j].astype(np.int32)), pa.array(d)]
+                yield pa.RecordBatch.from_arrays(columns + [pa.array(s[c][k]) for s, k in ((q, i), (r, j)) for c in ("x", "y")], names)
 
     return candidates.select(*[F.col(c).cast("long").alias(c) for c in PAIR], "query_kps", "ref_kps").mapInArrow(run, "query_idx long, ref_idx long, i int, j int, dist double, src_x double, src_y double, dst_x double, dst_y double")
 
@@ -72,11 +107,15 @@ def best_matches(matches: DataFrame, most: int = 170) -> DataFrame:
 
 
 def translation_inliers(matches: DataFrame, thresh: float = 5.0, max_matches: int = 170) -> DataFrame:
-    """query_idx, ref_idx, inliers: matches within ``thresh`` of the lower median displacement, for pairs of four matches and more."""
+    """query_idx, ref_idx, inliers: matches within ``thresh`` of the lower median displacement, for pairs of four matches and more.
+
+    One shuffle by pair; a pair's row holds at most ``max_matches`` displacements.
+    """
     m = best_matches(matches, max_matches).withColumn("dx", F.col("dst_x") - F.col("src_x")).withColumn("dy", F.col("dst_y") - F.col("src_y"))
-    middle = m.groupBy(*PAIR).agg(F.count("*").alias("n"), F.expr("percentile_disc(0.5) within group (order by dx)").alias("mx"), F.expr("percentile_disc(0.5) within group (order by dy)").alias("my"))
-    near = F.sqrt(F.pow(F.col("dx") - F.col("mx"), 2) + F.pow(F.col("dy") - F.col("my"), 2)) < thresh
-    return m.join(middle, list(PAIR)).groupBy(*PAIR).agg(F.sum(F.when(near & (F.col("n") >= 4), 1).otherwise(0)).cast("long").alias("inliers"))
+    middle = lambda c: F.expr(f"percentile_disc(0.5) within group (order by {c})")
+    m = m.groupBy(*PAIR).agg(F.collect_list(F.struct("dx", "dy")).alias("m"), middle("dx").alias("mx"), middle("dy").alias("my"))
+    near = F.filter("m", lambda d: F.sqrt(F.pow(d["dx"] - F.col("mx"), 2) + F.pow(d["dy"] - F.col("my"), 2)) < thresh)
+    return m.select(*PAIR, F.when(F.size("m") >= 4, F.size(near)).otherwise(0).cast("long").alias("inliers"))
 
 
 def homography_inliers(matches: DataFrame, thresh: float = 5.0, max_iters: int = 100, max_matches: int = 170, seed: int = 0) -> DataFrame:

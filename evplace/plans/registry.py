@@ -62,7 +62,7 @@ def packs(spark, sf, seq: str) -> DataFrame:
 
 def candidates(spark, sf, base: DataFrame | None = None) -> DataFrame:
     """The shortlist with keypoints; attach_keypoints() reads it three times, so it is written."""
-    return similarity.attach_keypoints(kept(shortlist(spark, sf), "shortlist") if base is None else base, packs(spark, sf, "ref"), packs(spark, sf, "query"))
+    return similarity.attach_keypoints(kept(shortlist(spark, sf), "shortlist") if base is None else base, *(rerank.dense_packs(packs(spark, sf, seq)) for seq in ("ref", "query")))
 
 
 def fused(spark, sf, base: DataFrame | None = None) -> DataFrame:

@@ -79,7 +79,11 @@ def test_matches_equal_brute_force(spark, kind):
     pairs = [(a, b) for a in range(6) for b in range(6)]
     kp = "array<struct<kp_idx:int,x:double,y:double,score:double,desc:array<double>>>"
     rows = [(a, b, packs[a], packs[b] or None) for a, b in pairs] + [(7, 7, None, None)]
-    got = {(r.query_idx, r.ref_idx, r.i, r.j, round(r.dist, 9), r.src_x, r.dst_y) for r in rerank.match_pairs(spark.createDataFrame(rows, f"query_idx int, ref_idx long, query_kps {kp}, ref_kps {kp}"), kind).collect()}
+    given = spark.createDataFrame(rows, f"query_idx int, ref_idx long, query_kps {kp}, ref_kps {kp}")
+    found = lambda df: {(r.query_idx, r.ref_idx, r.i, r.j, round(r.dist, 9), r.src_x, r.dst_y) for r in rerank.match_pairs(df, kind).collect()}
+    got = found(given)
+    dense = lambda df, c: rerank.dense_packs(df.withColumnRenamed(c, "kps")).withColumnRenamed("kps", c)
+    assert found(dense(dense(given, "query_kps"), "ref_kps")) == got
     want = set()
     for a, b in pairs:
         d = np.array([[np.linalg.norm(np.subtract(x[4], y[4])) for y in packs[b]] for x in packs[a]]).reshape(len(packs[a]), len(packs[b]))
