@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evplace.llm import ann, decontaminate, lm, mixing, neardup, quality, secrets, substrings, token_files, urls, whitening
+from evplace.llm import ann, decontaminate, lm, mixing, neardup, packing, quality, secrets, substrings, token_files, urls, whitening
 
 QUERIES = {
     "op1_lm_scores": lm.op1_lm_scores,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_secrets": secrets.op9_secrets,
     "op10_url_filter": urls.op10_url_filter,
+    "op11_packing": packing.op11_packing,
     "op13_embedding_whitening": whitening.op13_embedding_whitening,
 }
 
