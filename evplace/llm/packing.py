@@ -164,8 +164,8 @@ def cheapest_fill(lengths: np.ndarray, prices: np.ndarray, size: int) -> tuple[n
     return cost, last
 
 
-def greedy_fills(have: np.ndarray, size: int, whole: bool) -> list[tuple[tuple[int, ...], float]]:
-    """(two or three lengths that fill ``size``, times), the greatest length first and with it the most plentiful others, until it has no others; have[length] is used up."""
+def greedy_fills(have: np.ndarray, size: int, whole: bool) -> list[tuple[tuple[int, ...], float, list[int]]]:
+    """(two or three lengths that fill ``size``, times, those used up by it), the greatest length first and with it the most plentiful others, until it has no others; have[length] is used up."""
     out, open_ = [], have[:size] > (0.5 if whole else 1e-9)
     while open_.any():
         length = int(np.flatnonzero(open_)[-1])
@@ -183,7 +183,7 @@ def greedy_fills(have: np.ndarray, size: int, whole: bool) -> list[tuple[tuple[i
         for x, n in pattern.items():
             have[x] -= n * times
             open_[x] &= have[x] > (0.5 if whole else 1e-9)
-        out.append((tuple(pattern.elements()), times))
+        out.append((tuple(pattern.elements()), times, [x for x in pattern if not open_[x]]))
     return out
 
 
@@ -209,8 +209,8 @@ def fill_patterns(counts: np.ndarray, size: int = SIZE, gap: float = GAP, pivots
     have = np.zeros(size + 1)
     have[lengths] = demand
     basis, start, columns = [-1 - i for i in range(m)], [], []
-    for pattern, _ in greedy_fills(have, size, False):
-        used = next((place[x] for x in pattern if have[x] <= 1e-9 and basis[place[x]] < 0), None)
+    for pattern, _, up in greedy_fills(have, size, False):
+        used = next((place[x] for x in up if basis[place[x]] < 0), None)
         if used is not None:
             basis[used] = len(columns)
             columns.append(column(pattern))
@@ -280,7 +280,7 @@ def fill_patterns(counts: np.ndarray, size: int = SIZE, gap: float = GAP, pivots
     have[:] = 0
     have[lengths] = left
     out = [({int(lengths[i]): int(whole[i, p]) for i in np.flatnonzero(whole[:, p])}, int(times[p])) for p in np.flatnonzero(times)]
-    return out + [(dict(Counter(pattern)), int(t)) for pattern, t in greedy_fills(have, size, True)]
+    return out + [(dict(Counter(pattern)), int(t)) for pattern, t, _ in greedy_fills(have, size, True)]
 
 
 class Plan:
