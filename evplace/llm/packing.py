@@ -214,11 +214,13 @@ def fill_patterns(counts: np.ndarray, size: int = SIZE, gap: float = GAP, pivots
         if used is not None:
             basis[used] = len(columns)
             columns.append(column(pattern))
-    matrix = np.column_stack([columns[b] if b >= 0 else np.eye(m)[:, -1 - b] for b in basis])
-    known = {c.tobytes() for c in columns}
     columns = np.column_stack(columns) if columns else np.empty((m, 0))
+    inverse = np.eye(m)
+    for r, b in enumerate(basis):
+        if b >= 0:
+            inverse[:, r] = columns[:, b]
+    inverse = np.linalg.inv(inverse)
     gains = np.array([1.0 if b >= 0 else 0.0 for b in basis])
-    inverse = np.linalg.inv(matrix)
     x = np.maximum(inverse @ demand, 0)
     done = 0
     while done < pivots:
@@ -235,11 +237,11 @@ def fill_patterns(counts: np.ndarray, size: int = SIZE, gap: float = GAP, pivots
             while c:
                 pattern.append(lengths[last[c]])
                 c -= int(lengths[last[c]])
-            new = column(pattern)
-            if new.tobytes() not in known:
-                known.add(new.tobytes())
-                fresh.append(new)
-        columns = np.column_stack([columns, *fresh]) if fresh else columns
+            fresh.append(column(pattern))
+        # columns out of the basis are found again if they are worth it
+        used = [b for b in basis if b >= 0]
+        columns = np.column_stack([columns[:, used], *fresh])
+        basis = [b if b < 0 else used.index(b) for b in basis]
         moved = False
         while done < pivots:
             prices = gains @ inverse
@@ -261,7 +263,7 @@ def fill_patterns(counts: np.ndarray, size: int = SIZE, gap: float = GAP, pivots
             inverse[r] = row
             basis[r], gains[r] = (p, 1.0) if pattern else (-1 - s, 0.0)
             done, moved = done + 1, True
-        if not moved and not fresh:
+        if not moved:
             break
     times = np.zeros(columns.shape[1], np.int64)
     for b, v in zip(basis, x):
