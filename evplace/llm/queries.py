@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evplace.llm import ann, decontaminate, lm, mixing, neardup, packing, quality, secrets, substrings, token_files, urls, whitening
+from evplace.llm import ann, collocations, decontaminate, lm, mixing, neardup, packing, quality, secrets, substrings, token_files, urls, whitening
 
 QUERIES = {
     "op1_lm_scores": lm.op1_lm_scores,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_secrets": secrets.op9_secrets,
     "op10_url_filter": urls.op10_url_filter,
     "op11_packing": packing.op11_packing,
+    "op12_collocations": collocations.op12_collocations,
     "op13_embedding_whitening": whitening.op13_embedding_whitening,
 }
 
@@ -25,4 +26,5 @@ ORACLE_SQL = {
     "op5_mixture": mixing.OP5_SQL,
     "op8_decontaminate": decontaminate.OP8_SQL,
     "op10_url_filter": urls.OP10_SQL,
+    "op12_collocations": collocations.OP12_SQL,
 }
