@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from evplace.llm._shared import bloom_of, dropped, in_bloom, mix64, small_batches, written
 
 #: Bytes hashed at once; n-grams that a task adds up at once; log2 of the most bits of a filter that tasks get (more keys than a sixteenth of it only make it let more pass).
-BLOCK, HELD, FILTER = 1 << 20, 1 << 21, 26
+BLOCK, HELD, FILTER = 1 << 20, 1 << 20, 26
 #: A pointer is a hash of a document in 33 bits and the number of a word in it in 30; a text of 2 GB has no more words.
 AT = 30
 BASE, PRIME, BASE31 = 0x9E3779B97F4A7C15, (1 << 31) - 1, 1_103_515_245
@@ -89,7 +89,7 @@ class Words:
         self.byte_at = np.concatenate([[0], np.cumsum(self.size)])
         self.room = np.concatenate([[0], np.cumsum(self.size + 1)])
         doc = np.searchsorted(off, start, "right") - 1
-        self.line = np.cumsum(b == 10)[start] + doc * np.int64(1 << 40)  # differs between pieces, and between documents
+        self.line = np.cumsum(b == 10, dtype=np.int32)[start] + doc * np.int64(1 << 40)  # differs between pieces, and between documents
         self.at = np.arange(len(start)) - np.searchsorted(start, off[:-1])[doc]
         self.key, self.lang = keys[doc], langs[doc]
 
@@ -112,8 +112,15 @@ class Words:
         return np.flatnonzero(self.line[i:j] == self.line[i + n - 1 : j + n - 1]) if j > i else np.empty(0, np.int64)
 
 
-def _columns(batch) -> Words:
-    return Words(batch.column(0), np.asarray(batch.column(1)).astype(np.int64), np.asarray(batch.column(2)).astype(np.int64).view(np.uint64))
+def _words_of(batch):
+    """(Words, rows) of a batch's rows, some BLOCKS of text at a time, and at least one row."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(0)), 0)), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 2 * BLOCK, "right")))
+        rows = batch.slice(at, to - at)
+        yield Words(rows.column(0), np.asarray(rows.column(1)).astype(np.int64), np.asarray(rows.column(2)).astype(np.int64).view(np.uint64)), rows
+        at = to
 
 
 def _added(parts: list) -> pa.RecordBatch | None:
@@ -135,8 +142,7 @@ def _counts(docs: DataFrame, n: int, least: int, shorter, bits: int) -> DataFram
     """
     def scan(batches):
         parts, held = [], 0
-        for batch in batches:
-            words = _columns(batch)
+        for words, _ in (x for batch in batches for x in _words_of(batch)):
             for i, j, hashed, start, end, _ in words.blocks(n):
                 at = words.ngrams(i, j, n)
                 if shorter is not None and len(at):
@@ -149,8 +155,9 @@ def _counts(docs: DataFrame, n: int, least: int, shorter, bits: int) -> DataFram
                 parts.append((hashed.fingerprints(start[at], end[at + n - 1], lang, bits), np.ones(len(at), np.int64), ptr, hashed.checks(start[at], end[at + n - 1])))
                 held += len(at)
                 if n == 1:
-                    empty = np.zeros(j - i, np.int64)
-                    parts.append((hashed.fingerprints(empty, empty, words.lang[i:j], bits), np.ones(j - i, np.int64), words.key[i:j] << AT, empty.astype(np.int32)))
+                    langs, one, many = np.unique(words.lang[i:j], return_index=True, return_counts=True)
+                    empty = np.zeros(len(langs), np.int64)
+                    parts.append((hashed.fingerprints(empty, empty, langs, bits), many, words.key[i + one] << AT, empty.astype(np.int32)))
                 if held > HELD:
                     yield _added(parts)
                     parts, held = [], 0
@@ -218,9 +225,8 @@ def _by_text(docs: DataFrame, collided: DataFrame, longest: int, least: int, bit
     asked = _filter(collided, "fp")
 
     def scan(batches):
-        for batch in batches:
-            words, langs = _columns(batch), batch.column(3)
-            doc_lang = dict(zip(np.asarray(batch.column(2)).astype(np.int64).tolist(), langs.to_pylist()))
+        for words, rows in (x for batch in batches for x in _words_of(batch)):
+            doc_lang = dict(zip(np.asarray(rows.column(2)).astype(np.int64).tolist(), rows.column(3).to_pylist()))
             seen: dict = {}
             for i, j, hashed, start, end, text in words.blocks(longest):
                 for n in range(longest + 1):
