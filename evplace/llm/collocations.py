@@ -1,9 +1,9 @@
 """Phrase collocations by Rabin-Karp fingerprints: n-grams are counted as numbers, and only frequent phrases are read from their texts.
 
 Prefix polynomials over the bytes of a block of text give every n-gram's fingerprint in a few array operations. Tasks add fingerprints up before they are
-shuffled; each carries a pointer to one occurrence and the extremes of a second hash. An n-gram cannot be frequent unless
-the shorter ones in it are, so longer ones are looked for only where a filter of the frequent shorter ones lets them. Frequent
-fingerprints are read at their pointers and checked; where the second hash shows different texts under one, its occurrences are counted anew by text.
+shuffled. An n-gram cannot be frequent unless the shorter ones in it are, so longer ones are counted only where a filter of the frequent shorter
+ones lets them. One more pass gives each frequent fingerprint a pointer to an occurrence and the extremes of a second hash. Frequent phrases are
+read at their pointers and checked; where the second hash shows different texts under one fingerprint, its occurrences are counted anew by text.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from evplace.llm._shared import bloom_of, dropped, in_bloom, mix64, small_batches, written
 
 #: Bytes hashed at once; n-grams that a task adds up at once; log2 of the most bits of a filter that tasks get (more keys than a sixteenth of it only make it let more pass).
-BLOCK, HELD, FILTER = 1 << 20, 1 << 20, 26
+BLOCK, HELD, FILTER = 1 << 18, 1 << 20, 26
 #: A pointer is a hash of a document in 33 bits and the number of a word in it in 30; a text of 2 GB has no more words.
 AT = 30
 BASE, PRIME, BASE31 = 0x9E3779B97F4A7C15, (1 << 31) - 1, 1_103_515_245
@@ -123,50 +123,89 @@ def _words_of(batch):
         at = to
 
 
-def _added(parts: list) -> pa.RecordBatch | None:
-    """One row for each fingerprint of what a task holds: c, ptr (the least), lo and hi of the checks."""
-    fp, c, ptr, check = (np.concatenate(x) for x in zip(*parts))
-    if not len(fp):
-        return None
+def _grouped(parts: list) -> tuple[np.ndarray, np.ndarray, list]:
+    """Fingerprints once, where each begins, and the other columns in their order, of what a task holds."""
+    fp, *others = (np.concatenate(x) for x in zip(*parts))
+    parts.clear()
     order = np.argsort(fp, kind="stable")
     fp = fp[order]
-    first = np.flatnonzero(np.concatenate([[True], fp[1:] != fp[:-1]]))
-    check = check[order]
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in (fp[first], np.add.reduceat(c[order], first), np.minimum.reduceat(ptr[order], first), np.minimum.reduceat(check, first), np.maximum.reduceat(check, first))], ["fp", "c", "ptr", "lo", "hi"])
+    first = np.flatnonzero(np.concatenate([[True], fp[1:] != fp[:-1]])[: len(fp)])
+    return fp[first], first, [x[order] for x in others]
+
+
+def _flushed(scan, added):
+    """added(parts) of every HELD rows of (rows, part) that scan gives."""
+    parts, held = [], 0
+    for rows, part in scan:
+        parts.append(part)
+        held += rows
+        if held > HELD:
+            yield added(parts)
+            parts, held = [], 0
+    if held:
+        yield added(parts)
 
 
 def _counts(docs: DataFrame, n: int, least: int, shorter, bits: int) -> DataFrame:
-    """fp, c, ptr, lo, hi of the n-grams that occur ``least`` times, and for n = 1 of every lang's number of words, as its empty phrase; written.
+    """fp, c of the n-grams that occur ``least`` times, and for n = 1 of every lang's number of words, as its empty phrase; written.
 
     shorter is the filter of frequent (n - 1)-grams, broadcast.
     """
     def scan(batches):
-        parts, held = [], 0
         for words, _ in (x for batch in batches for x in _words_of(batch)):
             for i, j, hashed, start, end, _ in words.blocks(n):
                 at = words.ngrams(i, j, n)
                 if shorter is not None and len(at):
-                    # each (n - 1)-gram in it: one that reaches out of the block starts no n-gram here
+                    # each (n - 1)-gram in it
                     inner = np.unique(np.concatenate([at, at + 1]))
                     fine = np.zeros(int(inner[-1]) + 1, bool)
                     fine[inner] = in_bloom(shorter.value, mix64(hashed.fingerprints(start[inner], end[inner + n - 2], words.lang[i + inner], bits).view(np.uint64)))
                     at = at[fine[at] & fine[at + 1]]
-                lang, ptr = words.lang[i + at], (words.key[i + at] << AT) | words.at[i + at]
-                parts.append((hashed.fingerprints(start[at], end[at + n - 1], lang, bits), np.ones(len(at), np.int64), ptr, hashed.checks(start[at], end[at + n - 1])))
-                held += len(at)
+                if len(at):
+                    yield len(at), (hashed.fingerprints(start[at], end[at + n - 1], words.lang[i + at], bits), np.ones(len(at), np.int64))
                 if n == 1:
-                    langs, one, many = np.unique(words.lang[i:j], return_index=True, return_counts=True)
+                    langs, many = np.unique(words.lang[i:j], return_counts=True)
                     empty = np.zeros(len(langs), np.int64)
-                    parts.append((hashed.fingerprints(empty, empty, langs, bits), many, words.key[i + one] << AT, empty.astype(np.int32)))
-                if held > HELD:
-                    yield _added(parts)
-                    parts, held = [], 0
-        if parts and (out := _added(parts)) is not None:
-            yield out
+                    yield len(langs), (hashed.fingerprints(empty, empty, langs, bits), many)
+
+    def added(parts):
+        fp, first, (c,) = _grouped(parts)
+        return pa.RecordBatch.from_arrays([pa.array(fp), pa.array(np.add.reduceat(c, first))], ["fp", "c"])
+
+    rows = docs.select("text", "key", "lang_hash").mapInArrow(lambda batches: _flushed(scan(batches), added), "fp long, c long")
+    return written(rows.groupBy("fp").agg(F.sum("c").alias("c")).where(F.col("c") >= least), f"{n}-grams")
 
-    rows = docs.select("text", "key", "lang_hash").mapInArrow(scan, "fp long, c long, ptr long, lo int, hi int")
-    sums = rows.groupBy("fp").agg(F.sum("c").alias("c"), F.min("ptr").alias("ptr"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    return written(sums.where(F.col("c") >= least), f"{n}-grams")
+
+def _pointers(docs: DataFrame, filters: list, bits: int) -> DataFrame:
+    """fp, level, ptr (the least), lo, hi (of checks) of every n-gram that the filter of its level lets pass; empty phrases are of the first level."""
+    def scan(batches):
+        for words, _ in (x for batch in batches for x in _words_of(batch)):
+            for i, j, hashed, start, end, _ in words.blocks(len(filters)):
+                for n, asked in enumerate(filters, 1):
+                    at = words.ngrams(i, j, n)
+                    fp = hashed.fingerprints(start[at], end[at + n - 1], words.lang[i + at], bits)
+                    keep = in_bloom(asked.value, mix64(fp.view(np.uint64)))
+                    at, fp = at[keep], fp[keep]
+                    if len(at):
+                        yield len(at), (fp ^ n, np.full(len(at), n, np.int32), (words.key[i + at] << AT) | words.at[i + at], hashed.checks(start[at], end[at + n - 1]))
+                langs, one = np.unique(words.lang[i:j], return_index=True)
+                empty = np.zeros(len(langs), np.int64)
+                yield len(langs), (hashed.fingerprints(empty, empty, langs, bits) ^ 1, np.ones(len(langs), np.int32), words.key[i + one] << AT, empty.astype(np.int32))
+
+    def added(parts):
+        # rows of two levels with one key would be one: their level is looked at, too
+        fp, first, (level, ptr, check) = _grouped(parts)
+        if (np.maximum.reduceat(level, first) != np.minimum.reduceat(level, first)).any():
+            size = np.diff(np.append(first, len(level)))
+            order = np.lexsort((level, np.repeat(np.arange(len(fp)), size)))
+            fp, level, ptr, check = np.repeat(fp, size)[order], level[order], ptr[order], check[order]
+            first = np.flatnonzero(np.concatenate([[True], (fp[1:] != fp[:-1]) | (level[1:] != level[:-1])]))
+            fp = fp[first]
+        n = level[first]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (fp ^ n, n, np.minimum.reduceat(ptr, first), np.minimum.reduceat(check, first), np.maximum.reduceat(check, first))], ["fp", "level", "ptr", "lo", "hi"])
+
+    rows = docs.select("text", "key", "lang_hash").mapInArrow(lambda batches: _flushed(scan(batches), added), "fp long, level int, ptr long, lo int, hi int")
+    return rows.groupBy("fp", "level").agg(F.min("ptr").alias("ptr"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
 
 def _filter(keys: DataFrame, column: str):
@@ -252,17 +291,18 @@ def frequent_phrases(docs: DataFrame, longest: int = 3, least: int = 10, text: s
     name = F.coalesce(F.col(lang).cast("string"), F.lit("und"))
     d = small_batches(docs).select(F.col(text).cast("string").alias("text"), name.alias("lang")).where("text is not null")
     d = d.select("text", "lang", F.shiftrightunsigned(F.xxhash64("lang", "text"), 31).alias("key"), F.xxhash64(F.lit(1), "text", "lang").alias("key2"), F.xxhash64("lang").alias("lang_hash"))
-    levels, shorter = [], None
+    levels, filters = [], []
     for n in range(1, longest + 1):
-        levels.append(_counts(d, n, least, shorter, bits))
-        shorter = _filter(levels[-1], "fp") if n < longest else None
-    # the empty phrase of a lang is among the first level's, at word 0 of some document with a check of 0; its fingerprint says which it is
+        levels.append(_counts(d, n, least, filters[-1] if filters else None, bits))
+        filters.append(_filter(levels[-1], "fp"))
     every = None
     for n, level in enumerate(levels, 1):
-        rows = level.withColumn("n", F.lit(n))
+        rows = level.withColumn("level", F.lit(n))
         every = rows if every is None else every.unionByName(rows)
-    empty = levels[0].where("lo = 0").withColumn("n", F.lit(0))
-    read = _read(d, every.unionByName(empty), bits)
+    found = written(every.join(_pointers(d, filters, bits), ["fp", "level"]), "frequent")
+    # a lang's empty phrase is in the first level, with a check of 0; read as one, its fingerprint says whether it is
+    asks = found.withColumnRenamed("level", "n").unionByName(found.where("level = 1 and lo = 0").drop("level").withColumn("n", F.lit(0)))
+    read = _read(d, asks, bits)
     phrases = read.where("lo = hi").select("lang", "n", "phrase", F.col("c").alias("a"))
     # words and empty phrases are counted in one level, longer ones each in their own
     both = F.explode(F.when(F.col("n") <= 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array("n"))).alias("n")
@@ -270,7 +310,7 @@ def frequent_phrases(docs: DataFrame, longest: int = 3, least: int = 10, text: s
     if collided.limit(1).count():
         phrases = phrases.unionByName(_by_text(d, collided, longest, least, bits))
     out = written(phrases, "phrases")
-    for table in (*levels, read):
+    for table in (*levels, found, read):
         dropped(table)
     return out
 
