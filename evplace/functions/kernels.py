@@ -50,13 +50,22 @@ def match_lists(a: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_ends: np.nda
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def translation_inliers(src: np.ndarray, dst: np.ndarray, thresh: float = 5.0) -> int:
-    """Matches within ``thresh`` of the median displacement (the lower median of each axis); 0 for under four."""
-    if len(src) < 4:
-        return 0
-    d = dst - src
-    middle = np.sort(d, axis=0)[(len(d) - 1) // 2]
-    return int((np.hypot(*(d - middle).T) < thresh).sum())
+def nearest_pairs(a: np.ndarray, a2: np.ndarray, b: np.ndarray, b2: np.ndarray, kind: str = "mutual", ratio: float = 0.8) -> tuple[np.ndarray, np.ndarray]:
+    """Rows i of a and j of b that match, as in match_stacks(), for one pair of sides with their squared lengths; one product in their own precision."""
+    if not len(a) or len(b) < (1 if kind == "mutual" else 2):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    d = a @ b.T
+    d *= -2
+    d += b2
+    d += a2[:, None]
+    to_b, rows = d.argmin(axis=1), np.arange(len(a))
+    if kind == "mutual":
+        i = np.flatnonzero(d.argmin(axis=0)[to_b] == rows)
+    else:
+        first = d[rows, to_b]
+        d[rows, to_b] = np.inf
+        i = np.flatnonzero(np.sqrt(np.maximum(first, 0)) < ratio * np.sqrt(np.maximum(d.min(axis=1), 0)))
+    return i, to_b[i]
 
 
 def homographies(src: np.ndarray, dst: np.ndarray) -> np.ndarray:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evplace.functions.sizes import small
-from evplace.functions.vectors import dot, l2_normalize, norm
+from evplace.functions import arrow
 
 FRAME = ("seq", "frame_idx")
 
@@ -68,9 +68,7 @@ def fit_whitening(ref: DataFrame, eps: float = 1e-8, fan_in: int = 64) -> dict[s
     n, mean, m2 = out
     if not n:
         raise ValueError("no reference vectors")
-    values, vectors = np.linalg.eigh(m2)
-    keep = np.argsort(-values)[: min(n, len(mean))]
-    return {"mean": mean, "components": vectors[:, keep].T, "scale": 1 / np.sqrt(np.maximum(np.maximum(values[keep], 0) / max(n - 1, 1), eps))}
+    return _model(n, mean, m2, eps)
 
 
 def apply_whitening(df: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
@@ -87,38 +85,171 @@ def apply_whitening(df: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
     return df.withColumn("vec", whiten("vec"))
 
 
-def sample_grid(cells: DataFrame, kps: DataFrame) -> DataFrame:
-    """seq, frame_idx, kp_idx, vec: a map (seq, frame_idx, y, x, vec) sampled at keypoints, bilinear, 0 outside, then unit length."""
-    y0, x0 = F.floor("y"), F.floor("x")
-    fy, fx = F.col("y") - y0, F.col("x") - x0
-    corners = F.array(*[F.struct((y0 + dy).cast("int").alias("y"), (x0 + dx).cast("int").alias("x"), ((fy if dy else 1 - fy) * (fx if dx else 1 - fx)).alias("w")) for dy in (0, 1) for dx in (0, 1)])
-    need = kps.select(*FRAME, "kp_idx", F.explode(corners).alias("c")).select(*FRAME, "kp_idx", "c.*").where("w > 0")
-    parts = need.join(cells.withColumn("y", F.col("y").cast("int")).withColumn("x", F.col("x").cast("int")), [*FRAME, "y", "x"]).select(*FRAME, "kp_idx", "w", F.posexplode("vec").alias("i", "v"))
-    sums = parts.groupBy(*FRAME, "kp_idx", "i").agg(F.sum(F.col("w") * F.col("v")).alias("v"))
-    rows = sums.groupBy(*FRAME, "kp_idx").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("a"))
-    return rows.select(*FRAME, "kp_idx", l2_normalize(F.transform("a", lambda a: a["v"])).alias("vec"))
+def _model(n: int, mean: np.ndarray, m2: np.ndarray, eps: float) -> dict[str, np.ndarray]:
+    values, vectors = np.linalg.eigh(m2)
+    keep = np.argsort(-values)[: min(n, len(mean))]
+    return {"mean": mean, "components": vectors[:, keep].T, "scale": 1 / np.sqrt(np.maximum(np.maximum(values[keep], 0) / max(n - 1, 1), eps))}
+
+
+def fit_whitening_by(ref: DataFrame, key: str = "ref_seq", eps: float = 1e-8, fan_in: int = 64) -> DataFrame:
+    """key, mean, components (row by row), scale: fit_whitening() for each value of ``key``, all in one job, as a table.
+
+    Tasks keep moments for each key that they meet; those are merged ``fan_in`` tasks at a time and then by key, so a group
+    holds matrices of D x D only, and none of them reaches the driver. Repeated rows count each; null vectors do not.
+    """
+    kind = dict(ref.dtypes)[key]
+
+    def moments(batches):
+        held: dict = {}
+        for pdf in batches:
+            for k, rows in pdf.groupby("key", dropna=False):
+                x = np.stack(rows["vec"].to_numpy()).astype(np.float64)
+                k = None if pd.isna(k) else k
+                held[k] = merge_moments(held.get(k, (0, None, None)), (len(x), x.mean(axis=0), (x - x.mean(axis=0)).T @ (x - x.mean(axis=0))))
+        for k, (n, mean, m2) in held.items():
+            yield pd.DataFrame({"key": [k], "n": [n], "mean": [mean], "m2": [m2.ravel()]})
+
+    def merged(pdf):
+        out = (0, None, None)
+        for n, mean, m2 in zip(pdf["n"], pdf["mean"], pdf["m2"]):
+            out = merge_moments(out, (int(n), np.asarray(mean), np.asarray(m2).reshape(len(mean), len(mean))))
+        return out
+
+    def together(_, pdf):
+        n, mean, m2 = merged(pdf)
+        return pd.DataFrame({"key": pdf["key"].iloc[:1], "n": [n], "mean": [mean], "m2": [m2.ravel()]})
+
+    def model(_, pdf):
+        out = _model(*merged(pdf), eps)
+        return pd.DataFrame({"key": pdf["key"].iloc[:1], "mean": [out["mean"]], "components": [out["components"].ravel()], "scale": [out["scale"]]})
+
+    schema = f"key {kind}, n long, mean array<double>, m2 array<double>"
+    parts = ref.where("vec is not null").select(F.col(key).alias("key"), "vec").mapInPandas(moments, schema)
+    near = parts.withColumn("g", F.pmod(F.spark_partition_id(), F.lit(fan_in))).groupBy("key", "g").applyInPandas(together, schema)
+    return near.groupBy("key").applyInPandas(model, f"key {kind}, mean array<double>, components array<double>, scale array<double>").withColumnRenamed("key", key)
+
+
+def apply_whitening_by(df: DataFrame, models: DataFrame, key: str = "ref_seq", rows: int | None = None, block: int = 4096) -> DataFrame:
+    """df with vec whitened by the model of its ``key``; rows without a model are left out.
+
+    A key's rows are dealt into groups of about ``block``, and its model goes once to each, so neither a row carries a model nor a key with most
+    rows is one group. ``rows`` is counted if not given.
+    """
+    n = rows if rows is not None else df.count()
+    groups = max(1, -(-n // block))
+    dealt = df.withColumn("_g", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
+    shipped = models.select(F.col(key).alias("_k"), "mean", "components", "scale").join(dealt.select(F.col(key).alias("_k"), "_g").distinct(), "_k").withColumnRenamed("_g", "_h")
+
+    def whiten(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not right.num_rows or not left.num_rows:
+            return left.slice(0, 0).select(names)
+        m = {c: np.array(right.column(c)[0].as_py()) for c in ("mean", "components", "scale")}
+        x = arrow.matrix(left.column("vec").combine_chunks())
+        out = ((x - m["mean"]) @ m["components"].reshape(len(m["scale"]), -1).T) * m["scale"]
+        return left.select(names).set_column(names.index("vec"), "vec", arrow.lists(out))
+
+    names = df.columns
+    schema = ", ".join(f"`{c}` {'array<double>' if c == 'vec' else t}" for c, t in df.dtypes)
+    return dealt.groupBy(key, "_g").cogroup(shipped.groupBy("_k", "_h")).applyInArrow(whiten, schema)
+
+
+def sample_grid(cells: DataFrame, kps: DataFrame, dims: int | None = None) -> DataFrame:
+    """seq, frame_idx, kp_idx, vec: a map (seq, frame_idx, y, x, vec) sampled at every keypoint, bilinear, 0 outside, then unit length.
+
+    Map and keypoints of a frame are one row each, which a sensor bounds, joined by frame; a task looks corners of its whole batch up at once. A keypoint
+    without a cell beside it, without a place, or of a frame without a map has a vector of zeros. Cells given twice add up. ``dims`` is
+    the length of vectors, counted if not given.
+    """
+    d = dims if dims is not None else cells.agg(F.coalesce(F.max(F.size("vec")), F.lit(0)).alias("n")).first()["n"]
+    maps = cells.groupBy(*FRAME).agg(F.collect_list(F.struct(F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.col("vec").cast("array<double>").alias("vec"))).alias("cells"))
+    points = kps.groupBy(*FRAME).agg(F.collect_list(F.struct("kp_idx", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))).alias("points"))
+
+    def run(batches):
+        for batch in batches:
+            points, p_ends = arrow.flat(batch.column(2))
+            own, c_ends = arrow.flat(batch.column(3))
+            out = np.zeros((len(points), d))
+            x, y = arrow.numbers(points, "x").astype(np.float64), arrow.numbers(points, "y").astype(np.float64)
+            frame = np.repeat(np.arange(batch.num_rows), np.diff(p_ends))
+            if len(own):
+                cy, cx = arrow.numbers(own, "y").astype(np.int64), arrow.numbers(own, "x").astype(np.int64)
+                top, left = cy.min(), cx.min()
+                high, wide = cy.max() - top + 1, cx.max() - left + 1
+                keys = (np.repeat(np.arange(batch.num_rows), np.diff(c_ends)) * high + cy - top) * wide + cx - left
+                order = np.argsort(keys, kind="stable")
+                first = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]]))
+                keys, values = keys[order][first], np.add.reduceat(arrow.matrix(own.field("vec"))[order], first)
+                known = np.isfinite(x) & np.isfinite(y)
+                x, y = np.where(known, x, left - 9), np.where(known, y, top - 9)
+                y0, x0 = np.floor(y), np.floor(x)
+                for dy in (0, 1):
+                    for dx in (0, 1):
+                        w = (y - y0 if dy else 1 - (y - y0)) * (x - x0 if dx else 1 - (x - x0))
+                        at_y, at_x = y0 + dy - top, x0 + dx - left
+                        inside = np.flatnonzero((w > 0) & (at_y >= 0) & (at_y < high) & (at_x >= 0) & (at_x < wide))
+                        key = (frame[inside] * high + at_y[inside].astype(np.int64)) * wide + at_x[inside].astype(np.int64)
+                        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                        hit = keys[at] == key
+                        out[inside[hit]] += w[inside[hit], None] * values[at[hit]]
+            out /= np.maximum(np.linalg.norm(out, axis=1), 1e-12)[:, None]
+            again = pa.array(frame)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(again), batch.column(1).take(again), points.field("kp_idx"), arrow.lists(out)], ["seq", "frame_idx", "kp_idx", "vec"])
+
+    both = points.join(maps, list(FRAME), "left").select(*FRAME, "points", "cells")
+    kinds = {**dict(kps.dtypes)}
+    return both.mapInArrow(run, f"seq {kinds['seq']}, frame_idx {kinds['frame_idx']}, kp_idx {kinds['kp_idx']}, vec array<double>")
+
+
+def _centroids(centroids: DataFrame, most: int = 5000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """cluster, vec and unit vec of a table of at most ``most`` clusters; more are an error, as every task holds them."""
+    rows = centroids.select("cluster", F.col("vec").cast("array<double>").alias("vec")).orderBy("cluster").limit(most + 1).collect()
+    if not 1 <= len(rows) <= most:
+        raise ValueError(f"1 to {most} clusters are needed")
+    c = np.array([r["vec"] for r in rows])
+    return np.array([r["cluster"] for r in rows]), c, c / np.maximum(np.linalg.norm(c, axis=1), 1e-12)[:, None]
 
 
 def vlad_pool(local: DataFrame, centroids: DataFrame, alpha: float = 100) -> DataFrame:
     """seq, frame_idx, cluster, vec: residuals to each centroid (cluster, vec; at most thousands), softly assigned, summed, unit length by cluster.
 
-    A cluster to which next to nothing is assigned has a residual of rounding noise, of a length up to 1e-6: its vector is zero.
+    The descriptors of a frame are one row, which a detector bounds; a frame is two matrix products in its task.
+    A cluster to which next to nothing is assigned has a residual of rounding noise, of a length up to 1e-6: its vector is zero. Keypoints without a descriptor do not count.
     """
-    k = small(centroids.select("cluster", F.col("vec").alias("c")), 5000)
-    x = local.select(*FRAME, "kp_idx", l2_normalize(F.col("desc")).alias("v")).crossJoin(k).withColumn("z", alpha * dot(F.col("v"), l2_normalize(F.col("c"))))
-    one = Window.partitionBy(*FRAME, "kp_idx")
-    x = x.withColumn("e", F.exp(F.col("z") - F.max("z").over(one)))
-    x = x.withColumn("a", F.col("e") / F.sum("e").over(one)).select(*FRAME, "cluster", F.posexplode(F.zip_with("v", "c", lambda v, c: v - c)).alias("i", "d"), "a")
-    sums = x.groupBy(*FRAME, "cluster", "i").agg(F.sum(F.col("a") * F.col("d")).alias("v"))
-    rows = sums.groupBy(*FRAME, "cluster").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("s"))
-    rows = rows.select(*FRAME, "cluster", F.transform("s", lambda s: s["v"]).alias("v"))
-    return rows.select(*FRAME, "cluster", F.when(norm(F.col("v")) > 1e-6, l2_normalize(F.col("v"))).otherwise(F.transform("v", lambda x: x * 0.0)).alias("vec"))
+    shared = local.sparkSession.sparkContext.broadcast(_centroids(centroids))
+    packed = local.where("desc is not null").groupBy(*FRAME).agg(F.collect_list(F.col("desc").cast("array<double>")).alias("desc"))
+
+    def run(batches):
+        clusters, c, unit = shared.value
+        for batch in batches:
+            rows, ends = arrow.flat(batch.column(2))
+            x = arrow.matrix(rows)
+            x = x / np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None]
+            z = alpha * (x @ unit.T)
+            e = np.exp(z - z.max(axis=1, keepdims=True)) if len(z) else z
+            a = e / e.sum(axis=1, keepdims=True)
+            v = np.stack([a[s:t].T @ x[s:t] - a[s:t].sum(axis=0)[:, None] * c for s, t in zip(ends, ends[1:])]).reshape(-1, c.shape[1]) if batch.num_rows else np.empty((0, c.shape[1]))
+            length = np.linalg.norm(v, axis=1)[:, None]
+            v = np.where(length > 1e-6, v / np.maximum(length, 1e-12), 0.0)
+            again = pa.array(np.repeat(np.arange(batch.num_rows), len(clusters)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(again), batch.column(1).take(again), pa.array(np.tile(clusters, batch.num_rows).astype(np.int32)), arrow.lists(v)], ["seq", "frame_idx", "cluster", "vec"])
+
+    kinds = dict(local.dtypes)
+    return packed.mapInArrow(run, f"seq {kinds['seq']}, frame_idx {kinds['frame_idx']}, cluster int, vec array<double>")
 
 
 def fit_alpha(local: DataFrame, centroids: DataFrame) -> DataFrame:
-    """One row: alpha such that a mean gap between the best and second centroid means a ratio of 100."""
-    k = small(centroids.select("cluster", F.col("vec").alias("c")), 5000)
-    x = local.select(*FRAME, "kp_idx", l2_normalize(F.col("desc")).alias("v")).crossJoin(k).withColumn("z", dot(F.col("v"), l2_normalize(F.col("c"))))
-    r = x.withColumn("r", F.row_number().over(Window.partitionBy(*FRAME, "kp_idx").orderBy(F.desc("z"), "cluster"))).where("r <= 2")
-    gap = r.groupBy(*FRAME, "kp_idx").agg((F.max("z") - F.min("z")).alias("gap"))
-    return gap.agg((-F.log(F.lit(0.01)) / F.avg("gap")).alias("alpha"))
+    """One row: alpha such that a mean gap between the best and second centroid means a ratio of 100; at least two centroids. Tasks send their sums only."""
+    held = _centroids(centroids)
+    if len(held[0]) < 2:
+        raise ValueError("at least two clusters are needed")
+    shared = local.sparkSession.sparkContext.broadcast(held)
+
+    def run(batches):
+        for batch in batches:
+            x = arrow.matrix(batch.column(0))
+            if len(x):
+                z = np.partition(x / np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None] @ shared.value[2].T, -2, axis=1)
+                yield pa.RecordBatch.from_pydict({"gap": [float((z[:, -1] - z[:, -2]).sum())], "n": [len(z)]})
+
+    sums = local.where("desc is not null").select(F.col("desc").cast("array<double>").alias("desc")).mapInArrow(run, "gap double, n long")
+    return sums.agg((-F.log(F.lit(0.01)) / (F.sum("gap") / F.sum("n"))).alias("alpha"))

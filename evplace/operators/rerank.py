@@ -5,25 +5,16 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evplace.functions import kernels
+from evplace.functions.arrow import flat as _flat
+from evplace.functions.arrow import numbers as _numbers
 
 PAIR = ("query_idx", "ref_idx")
 
 
-def _flat(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """The elements of a list column end to end, and the n + 1 offsets of its rows; null lists are empty."""
-    n = np.asarray(pc.fill_null(pc.list_value_length(column), 0)).astype(np.int64)
-    return column.flatten(), np.concatenate([[0], np.cumsum(n)])
-
-
-def _numbers(rows: pa.Array, field: str) -> np.ndarray:
-    return rows.field(field).to_numpy(zero_copy_only=False)
-
-
 def _descriptors(rows: pa.Array) -> np.ndarray:
     """[keypoint, value], in single precision where the column is."""
     values, ends = _flat(rows.field("desc"))
@@ -93,6 +84,54 @@ def match_pairs(candidates: DataFrame, kind: str = "mutual", ratio: float = 0.8)
     return candidates.select(*[F.col(c).cast("long").alias(c) for c in PAIR], "query_kps", "ref_kps").mapInArrow(run, "query_idx long, ref_idx long, i int, j int, dist double, src_x double, src_y double, dst_x double, dst_y double")
 
 
+def _pack(data: bytes) -> tuple[np.ndarray, ...]:
+    """kp_idx, x, y, descriptors and their squared lengths of one dense pack, as views where they lie in order."""
+    n, size = np.frombuffer(data, "<i4", 2).tolist()
+    x, y, kp = np.frombuffer(data, "<f8", n, 8), np.frombuffer(data, "<f8", n, 8 + 8 * n), np.frombuffer(data, "<i4", n, 8 + 16 * n)
+    desc = np.frombuffer(data, f"<f{size}", -1, 8 + 20 * n).reshape(n, -1 if n else 0)
+    return kp, x, y, desc, np.einsum("ij,ij->i", desc, desc)
+
+
+def match_shortlist(shortlist: DataFrame, ref_packs: DataFrame, query_packs: DataFrame, kind: str = "mutual", ratio: float = 0.8, query_block: int = 16, ref_block: int = 128) -> DataFrame:
+    """query_idx, ref_idx, i, j, dist, src_x, src_y, dst_x, dst_y: matches of a shortlist's pairs, as match_pairs() gives them.
+
+    Pairs are dealt by blocks of neighbouring query and reference frames, and a pack goes once to each block that it has a pair in, so what is shuffled grows
+    with packs times the blocks that they meet, not with pairs. A block holds at most ``query_block`` + ``ref_block`` packs, however many pairs
+    ask for one of them. Products are made in the precision that packs have, distances of matches in double. The shortlist is
+    read three times: give a written one. A pair of which a side has no pack, or no keypoints, has no matches; repeated pairs have theirs once.
+    """
+    if kind not in ("mutual", "ratio"):
+        raise ValueError("kind must be mutual or ratio")
+    block = lambda c, n: F.floor(F.col(c) / n).alias(c[0] + "b")
+    pairs = shortlist.select(*[F.col(c).cast("long").alias(c) for c in PAIR], block("query_idx", query_block), block("ref_idx", ref_block)).dropDuplicates(["qb", "rb", *PAIR])
+    sides = None
+    for side, (c, packs) in enumerate((("query_idx", query_packs), ("ref_idx", ref_packs))):
+        dense = packs if dict(packs.dtypes)["kps"] == "binary" else dense_packs(packs)
+        own = dense.where("n > 0").select(F.col("frame_idx").cast("long").alias(c), "kps")
+        met = own.join(pairs.select("qb", "rb", c).distinct(), c).select(F.col("qb").alias("side_qb"), F.col("rb").alias("side_rb"), F.lit(side).alias("side"), F.col(c).alias("idx"), "kps")
+        sides = met if sides is None else sides.unionByName(met)
+    names = ["query_idx", "ref_idx", "i", "j", "dist", "src_x", "src_y", "dst_x", "dst_y"]
+    schema = pa.schema([(c, pa.int64() if c in PAIR else pa.int32() if c in ("i", "j") else pa.float64()) for c in names])
+
+    def match(left: pa.Table, right: pa.Table) -> pa.Table:
+        held: tuple[dict, dict] = ({}, {})
+        for side, idx, data in zip(*(right.column(c).to_pylist() for c in ("side", "idx", "kps"))):
+            held[side][idx] = _pack(data)
+        out = [[] for _ in names]
+        for q_idx, r_idx in zip(*(left.column(c).to_pylist() for c in PAIR)):
+            if q_idx not in held[0] or r_idx not in held[1]:
+                continue
+            (q_kp, q_x, q_y, q, q2), (r_kp, r_x, r_y, r, r2) = held[0][q_idx], held[1][r_idx]
+            i, j = kernels.nearest_pairs(q, q2, r, r2, kind, ratio)
+            if len(i):
+                apart = q[i].astype(np.float64) - r[j]
+                for column, v in zip(out, (np.full(len(i), q_idx), np.full(len(i), r_idx), q_kp[i], r_kp[j], np.sqrt(np.einsum("ij,ij->i", apart, apart)), q_x[i], q_y[i], r_x[j], r_y[j])):
+                    column.append(v)
+        return pa.Table.from_arrays([pa.array(np.concatenate(c) if c else np.empty(0), f.type) for c, f in zip(out, schema)], schema=schema)
+
+    return pairs.groupBy("qb", "rb").cogroup(sides.groupBy("side_qb", "side_rb")).applyInArrow(match, ", ".join(f"{c} {'long' if c in PAIR else 'int' if c in ('i', 'j') else 'double'}" for c in names))
+
+
 def mutual_nn_matches(candidates: DataFrame) -> DataFrame:
     return match_pairs(candidates, "mutual")
 
@@ -154,10 +193,10 @@ def best_match(reranked: DataFrame) -> DataFrame:
     return best.select("query_idx", "b.ref_idx", "b.new_dist", "b.inliers")
 
 
-def mutual_mean_distance(candidates: DataFrame) -> DataFrame:
-    """query_idx, ref_idx, dist: the mean distance of mutual matches, 1 without any."""
-    means = mutual_nn_matches(candidates).groupBy(*PAIR).agg(F.avg("dist").alias("mean"))
-    return candidates.select(*PAIR).join(means, list(PAIR), "left").select(*PAIR, F.coalesce("mean", F.lit(1.0)).alias("dist"))
+def mutual_mean_distance(shortlist: DataFrame, matches: DataFrame) -> DataFrame:
+    """query_idx, ref_idx, dist: the mean distance of a pair's matches, 1 without any."""
+    means = matches.groupBy(*PAIR).agg(F.avg("dist").alias("mean"))
+    return shortlist.select(*PAIR).join(means, list(PAIR), "left").select(*PAIR, F.coalesce("mean", F.lit(1.0)).alias("dist"))
 
 
 def _depth_error(size):

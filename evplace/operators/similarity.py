@@ -78,6 +78,41 @@ def nearest_blocks(ref: DataFrame, query: DataFrame, k: int = 50, metric: str =
     return shortlist_from_pairs(found, k, keys)
 
 
+def nearest_in_place(ref: DataFrame, queries: list, k: int = 50, metric: str = "cosine") -> DataFrame:
+    """query_idx, rank, ref_idx, dist, as nearest_blocks() gives them, of queries (frame_idx, vec) that every task holds: references stay where they are.
+
+    A task compares what it reads batch by batch and keeps the k nearest of each query, so only k rows for each query and task are shuffled.
+    """
+    ids = np.array([r[0] for r in queries], np.int64)
+    shared = ref.sparkSession.sparkContext.broadcast((ids, np.array([r[1] for r in queries], np.float64)))
+
+    def top(frames):
+        ids, asked = shared.value
+        best_d, best_r = np.empty((len(ids), 0)), np.empty((len(ids), 0), np.int64)
+        for pdf in frames:
+            for at in range(0, len(pdf), BLOCK):
+                part = pdf.iloc[at : at + BLOCK]
+                d = np.concatenate([best_d, _distances(np.stack(part["vec"].to_numpy()), asked, metric)], axis=1)
+                r = np.concatenate([best_r, np.broadcast_to(part["frame_idx"].to_numpy(), (len(ids), len(part)))], axis=1)
+                keep = np.lexsort((r, d), axis=1)[:, :k]
+                best_d, best_r = np.take_along_axis(d, keep, axis=1), np.take_along_axis(r, keep, axis=1)
+        yield pd.DataFrame({"query_idx": np.repeat(ids, best_r.shape[1]), "ref_idx": best_r.ravel(), "dist": best_d.ravel()})
+
+    found = ref.select(F.col("frame_idx").cast("long").alias("frame_idx"), F.col("vec").cast("array<double>").alias("vec")).mapInPandas(top, "query_idx long, ref_idx long, dist double")
+    return shortlist_from_pairs(found, k)
+
+
+def topk_of_batch(ref: DataFrame, query: DataFrame, k: int = 50, ref_rows: int | None = None, most_values: int = 1 << 22) -> DataFrame:
+    """topk_similarity() of a batch against a lasting table of references: in place if the batch has at most ``most_values`` numbers (32 MB), else by the grid."""
+    values = query.agg(F.coalesce(F.sum(F.size("vec")), F.lit(0)).alias("n")).first()["n"]
+    if values > most_values:
+        return topk_similarity(ref, query, k, ref_rows=ref_rows)
+    rows = query.select("frame_idx", F.col("vec").cast("array<double>").alias("vec")).collect()
+    if not rows:
+        return topk_similarity(ref, query, k, ref_rows=ref_rows)
+    return nearest_in_place(ref, rows, k).withColumn("sim", 1 - F.col("dist"))
+
+
 def topk_similarity(ref: DataFrame, query: DataFrame, k: int = 50, **options) -> DataFrame:
     """query_idx, rank (from 1), ref_idx, sim, dist = 1 - sim."""
     return nearest_blocks(ref, query, k, "cosine", **options).withColumn("sim", 1 - F.col("dist"))

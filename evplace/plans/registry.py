@@ -13,8 +13,9 @@ from evplace.operators import evaluate, frames, images, rerank, similarity
 from evplace.plans import fixtures as fx
 from evplace.sources import events as ev_src
 from evplace.sources import features as ft_src
+from evplace.sources import keypoint_logs
 from evplace.sources.shared import new_path
-from evplace.streaming import jobs
+from evplace.streaming import jobs, windows
 
 H, W, DT_MS, SCALE, DT = fx.H, fx.W, fx.DT_MS, fx.SCALE, fx.DT
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,15 +61,21 @@ def packs(spark, sf, seq: str) -> DataFrame:
     return ft_src.pack_keypoints(fx.keypoints(spark, sf, seq), fx.descriptors(spark, sf, seq), 170)
 
 
-def candidates(spark, sf, base: DataFrame | None = None) -> DataFrame:
+def candidates(spark, sf) -> DataFrame:
     """The shortlist with keypoints; attach_keypoints() reads it three times, so it is written."""
-    return similarity.attach_keypoints(kept(shortlist(spark, sf), "shortlist") if base is None else base, *(rerank.dense_packs(packs(spark, sf, seq)) for seq in ("ref", "query")))
+    return similarity.attach_keypoints(kept(shortlist(spark, sf), "shortlist"), *(rerank.dense_packs(packs(spark, sf, seq)) for seq in ("ref", "query")))
+
+
+def matches(spark, sf, kind: str = "mutual", base: DataFrame | None = None) -> DataFrame:
+    """Matches of the shortlist's pairs, block by block."""
+    base = kept(shortlist(spark, sf), "shortlist") if base is None else base
+    return rerank.match_shortlist(base, packs(spark, sf, "ref"), packs(spark, sf, "query"), kind)
 
 
 def fused(spark, sf, base: DataFrame | None = None) -> DataFrame:
     """The shortlist with inliers; it is used twice, so it is written."""
     base = kept(shortlist(spark, sf), "shortlist") if base is None else base
-    return rerank.fuse_inliers(base, rerank.translation_inliers(rerank.mutual_nn_matches(candidates(spark, sf, base))))
+    return rerank.fuse_inliers(base, rerank.translation_inliers(matches(spark, sf, base=base)))
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
@@ -113,6 +120,12 @@ def _(s, d):
     return ev_src.infer_resolution(fx.sensor_events(s, d))
 
 
+@query("infer_resolution_of_first", "SELECT CAST(max(y) + 1 AS BIGINT) AS h, CAST(max(x) + 1 AS BIGINT) AS w FROM (SELECT * FROM ev ORDER BY t LIMIT 40)")
+def _(s, d):
+    # as the live path does, from what arrives first
+    return ev_src.infer_resolution(fx.sensor_events(s, d), 40)
+
+
 @query("read_descriptors", f"SELECT seq, frame_idx, {SQL_TEXT6.format('vec')} AS vec FROM dn")
 def _(s, d):
     path = new_path(s, "descriptors")
@@ -168,7 +181,7 @@ def _(s, d):
     packed = ft_src.pack_keypoints(k, fx.descriptors(s, d), 6).select(*FRAME, (F.col("frame_idx") * 1000).alias("t"), (F.col("frame_idx") % 4).alias("part"), F.transform("kps", lambda q: F.struct(
         (q["x"] - 3).alias("x"), (q["y"] - 1).alias("y"), q["desc"]["score"].alias("score"), q["desc"]["desc"].alias("desc"))).alias("kps"))
     _write_logs(packed, path, H, W, 1, 3, 6).agg(F.sum("n")).collect()
-    got = ft_src.read_keypoint_logs(s, path)
+    got = keypoint_logs.read_keypoint_logs(s, path, split=3000)  # each log in several ranges
     total = F.aggregate("desc", F.lit(0.0), lambda a, x: a + x)
     return got.select(F.regexp_extract("path", r"(\w+)-\d+\.bin$", 1).alias("seq"), "frame_idx", "t_ref", "kp_idx", "x", "y", "score", r6(total, "total"))
 
@@ -267,6 +280,18 @@ def _(s, d):
     return frames.assign_frames(fx.sensor_events(s, d), DT_MS, SCALE).select("seq", "event_idx", "frame_idx")
 
 
+_STARTED = f""", st AS (SELECT seq, s0, tmax, CASE WHEN seq = 'ref' THEN greatest(s0, CAST(round_even((s0 * 1e-6 + 200000.5) / 1e-6, 0) AS BIGINT)) ELSE s0 END AS s1 FROM bounds)
+SELECT ev.seq, event_idx, (t - s1) // {DT} AS frame_idx FROM ev JOIN st USING (seq) WHERE t >= s1 AND s1 < tmax AND s1 + ((t - s1) // {DT}) * {DT} < tmax"""
+
+
+@query("assign_frames_from_starts", _STARTED)
+def _(s, d):
+    # one sequence starts 200000.5 seconds into its recording, the other has no start of its own
+    e = fx.sensor_events(s, d)
+    starts = e.where("seq = 'ref'").groupBy("seq").agg((F.min("t") * F.lit(SCALE) + 200000.5).alias("start_time"))
+    return frames.assign_frames(e, DT_MS, SCALE, starts=starts).select("seq", "event_idx", "frame_idx")
+
+
 @query("frame_spine", "SELECT seq, frame_idx, w_start, w_end, n_events FROM frames")
 def _(s, d):
     return fx.spine(s, d).select("seq", "frame_idx", "w_start", "w_end", "n_events")
@@ -431,7 +456,7 @@ def _(s, d):
 
 @query("sample_grid", f""", cells AS (SELECT seq, frame_idx, y, x, [value, 1.0, value * value] AS v FROM cnt), q AS (SELECT seq, frame_idx, kp_idx, x / 10 AS x, y / 10 AS y FROM kp),
 c AS (SELECT q.*, CAST(floor(y) + dy AS INTEGER) AS cy, CAST(floor(x) + dx AS INTEGER) AS cx, (CASE WHEN dy = 1 THEN y - floor(y) ELSE 1 - (y - floor(y)) END) * (CASE WHEN dx = 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END) AS w FROM q, (SELECT unnest([0, 1]) AS dy), (SELECT unnest([0, 1]) AS dx)),
-z AS (SELECT c.seq, c.frame_idx, kp_idx, [sum(w * v[1]), sum(w * v[2]), sum(w * v[3])] AS v FROM c JOIN cells ON cells.seq = c.seq AND cells.frame_idx = c.frame_idx AND cells.y = cy AND cells.x = cx WHERE w > 0 GROUP BY ALL)
+z AS (SELECT c.seq, c.frame_idx, kp_idx, [coalesce(sum(w * v[1]), 0), coalesce(sum(w * v[2]), 0), coalesce(sum(w * v[3]), 0)] AS v FROM c LEFT JOIN cells ON cells.seq = c.seq AND cells.frame_idx = c.frame_idx AND cells.y = cy AND cells.x = cx AND w > 0 GROUP BY ALL)
 SELECT seq, frame_idx, kp_idx, {SQL_TEXT6.format('list_transform(v, lambda q: q / greatest(sqrt(list_dot_product(v, v)), 1e-12))')} AS vec FROM z""")
 def _(s, d):
     cells = images.event_count_frame(fx.framed(s, d)).select(*FRAME, "y", "x", F.array("value", F.lit(1.0), F.col("value") * F.col("value")).alias("vec"))
@@ -499,31 +524,60 @@ def _(s, d):
     return similarity.nearest_blocks(r, q, 3, keys=("ref_seq", "query_seq")).select("ref_seq", "query_seq", "query_idx", "rank", "ref_idx")
 
 
+@query("plan_pairs_whitened", "SELECT ref_seq, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CASE WHEN i = j THEN 1.0 ELSE 0.0 END AS cov FROM (SELECT unnest(['ref', 'query']) AS ref_seq), (SELECT unnest(generate_series(0, 63)) AS i), (SELECT unnest(generate_series(0, 63)) AS j)")
+def _(s, d):
+    # both sequences are references of some pair: a model for each, under which its own vectors have the identity as covariance
+    x = _pairs_whitened(s, d)[0].where("query_seq = 'query'")
+    n = x.groupBy("ref_seq").agg(F.count("*").alias("n"))
+    parts = x.select("ref_seq", F.posexplode("vec").alias("i", "a"), "vec").select("ref_seq", "i", "a", F.posexplode("vec").alias("j", "b"))
+    sums = parts.groupBy("ref_seq", "i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("s")).join(n, "ref_seq")
+    return sums.select("ref_seq", "i", "j", (F.round(F.col("s") / (F.col("n") - 1), 6) + 0.0).alias("cov"))
+
+
+def _pairs_whitened(s, d):
+    """Reference and query rows of three pairs of sequences, each whitened as its reference is."""
+    pairs = s.createDataFrame([("ref", "query"), ("query", "ref"), ("query", "query")], "ref_seq string, query_seq string")
+    every = fx.descriptors(s, d).select("seq", "frame_idx", "vec")
+    models = kept(ds.fit_whitening_by(every.withColumnRenamed("seq", "ref_seq")), "models")
+    return tuple(ds.apply_whitening_by(x, models) for x in similarity.plan_pairs(every, pairs))
+
+
+@query("plan_pairs_whitened_topk")
+def _(s, d):
+    r, q = _pairs_whitened(s, d)
+    return similarity.nearest_blocks(r, q, 3, keys=("ref_seq", "query_seq")).select("ref_seq", "query_seq", "query_idx", "rank", "ref_idx")
+
+
 # matching and re-ranking
 
 @query("mutual_nn_matches", "SELECT query_idx, ref_idx, i, j, round(dist, 5) AS dist FROM mutual")
+def _(s, d):
+    return matches(s, d).select("query_idx", "ref_idx", "i", "j", F.round("dist", 5).alias("dist"))
+
+
+@query("mutual_nn_matches_by_row", "SELECT query_idx, ref_idx, i, j, round(dist, 5) AS dist FROM mutual")
 def _(s, d):
     return rerank.mutual_nn_matches(candidates(s, d)).select("query_idx", "ref_idx", "i", "j", F.round("dist", 5).alias("dist"))
 
 
 @query("ratio_matches", "SELECT query_idx, ref_idx, i, j, round(dist, 5) AS dist FROM ratio")
 def _(s, d):
-    return rerank.ratio_matches(candidates(s, d)).select("query_idx", "ref_idx", "i", "j", F.round("dist", 5).alias("dist"))
+    return matches(s, d, "ratio").select("query_idx", "ref_idx", "i", "j", F.round("dist", 5).alias("dist"))
 
 
 @query("translation_inliers", "SELECT query_idx, ref_idx, inliers FROM inlr")
 def _(s, d):
-    return rerank.translation_inliers(rerank.ratio_matches(candidates(s, d)))
+    return rerank.translation_inliers(matches(s, d, "ratio"))
 
 
 @query("translation_inliers_mutual", "SELECT query_idx, ref_idx, inliers FROM inl")
 def _(s, d):
-    return rerank.translation_inliers(rerank.mutual_nn_matches(candidates(s, d)))
+    return rerank.translation_inliers(matches(s, d))
 
 
 @query("homography_inliers")
 def _(s, d):
-    return rerank.homography_inliers(rerank.mutual_nn_matches(candidates(s, d)))
+    return rerank.homography_inliers(matches(s, d))
 
 
 @query("homography_planted", "SELECT frame_idx AS query_idx, frame_idx AS ref_idx, 12 + frame_idx % 9 AS inliers FROM d WHERE seq = 'query'")
@@ -562,7 +616,8 @@ def _(s, d):
 
 @query("mutual_mean_distance", "SELECT cand.query_idx, cand.ref_idx, round(coalesce(avg(mutual.dist), 1), 5) AS dist FROM cand LEFT JOIN mutual ON mutual.query_idx = cand.query_idx AND mutual.ref_idx = cand.ref_idx GROUP BY ALL")
 def _(s, d):
-    return rerank.mutual_mean_distance(candidates(s, d)).withColumn("dist", F.round("dist", 5))
+    base = kept(shortlist(s, d), "shortlist")
+    return rerank.mutual_mean_distance(base, matches(s, d, base=base)).withColumn("dist", F.round("dist", 5))
 
 
 def _depth_candidates(s, d):
@@ -679,7 +734,17 @@ def _stream_of_events(s, d):
     return _arriving(e, "t", "events")
 
 
-_CLOSED = f", wev AS (SELECT *, (t // {DT} + 1) * {DT} AS w_end FROM ev WHERE (t // {DT} + 1) * {DT} <= (SELECT max(t) FROM ev))"
+def _in_batches(batches: list[DataFrame], name: str) -> DataFrame:
+    """Tables of one schema as a stream, each a micro-batch."""
+    s, path = batches[0].sparkSession, new_path(batches[0].sparkSession, name)
+    for df in batches:
+        df.coalesce(1).write.mode("append").parquet(path)
+    return s.readStream.schema(batches[0].schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+#: A sequence's own latest event closes its windows.
+_CLOSED = f", tops AS (SELECT seq, max(t) AS top FROM ev GROUP BY seq), wev AS (SELECT ev.*, (t // {DT} + 1) * {DT} AS w_end FROM ev JOIN tops USING (seq) WHERE (t // {DT} + 1) * {DT} <= top)"
+_SURFACE = "SELECT seq, w_end, g * 4 + s AS channel, y, x, round(exp(-(w_end - t) * 1e-6 / win), 6) AS value FROM l, (SELECT unnest([0, 1, 2, 3]) AS s, unnest([21600.0, 43200.0, 64800.0, 86400.0]) AS win) WHERE (w_end - t) * 1e-6 <= win"
 
 
 @query("stream_frames", _CLOSED + "SELECT seq, w_end, p AS channel, y, x, CAST(count(*) AS DOUBLE) AS value FROM wev GROUP BY ALL")
@@ -688,17 +753,83 @@ def _(s, d):
     return _sunk(out).select("seq", F.unix_micros("w_end").alias("w_end"), "channel", "y", "x", "value")
 
 
-@query("stream_time_surface", _CLOSED + ", l AS (SELECT seq, w_end, 1 - p AS g, y, x, max(t) AS t FROM wev GROUP BY ALL) SELECT seq, w_end, g * 4 + s AS channel, y, x, round(exp(-(w_end - t) * 1e-6 / win), 6) AS value FROM l, (SELECT unnest([0, 1, 2, 3]) AS s, unnest([21600.0, 43200.0, 64800.0, 86400.0]) AS win) WHERE (w_end - t) * 1e-6 <= win")
+@query("stream_time_surface", _CLOSED + ", l AS (SELECT seq, w_end, 1 - p AS g, y, x, max(t) AS t FROM wev GROUP BY ALL) " + _SURFACE)
 def _(s, d):
     out = jobs.stream_time_surface(_stream_of_events(s, d), "1 day", fx.WINDOWS)
     return _sunk(out).select("seq", F.unix_micros("w_end").alias("w_end"), "channel", "y", "x", r6("value", "value"))
 
 
+#: How much earlier the query sequence was recorded, in the queries that stream two recordings together.
+_EARLIER = 35 * DT
+
+
+def _stream_of_recordings(s, d):
+    """Two sequences, one 35 days older, in one stream: events off the sensor move the clock only, and each sequence ends with a row that says so."""
+    shift = F.when(F.col("seq") == "query", F.lit(_EARLIER)).otherwise(0)
+    on = F.col("x").between(0, W - 1) & F.col("y").between(0, H - 1)
+    e = fx.sensor_events(s, d).select("seq", (F.col("t") - shift).alias("t"), *[F.when(on, F.col(c)).alias(c) for c in ("x", "y", "p")])
+    lo, hi = e.where("seq = 'ref'").agg(F.min("t"), F.max("t")).first()
+    half = F.col("t") + F.when(F.col("seq") == "query", F.lit(_EARLIER)).otherwise(0) < (lo + hi) / 2
+    ends = e.select("seq").distinct().select("seq", *[F.lit(None).cast(t).alias(c) for c, t in (("t", "long"), ("x", "int"), ("y", "int"), ("p", "int"))])
+    return _in_batches([b.select("seq", F.timestamp_micros("t").alias("ts"), "x", "y", "p") for b in (e.where(half), e.where(~half).unionByName(ends))], "recordings")
+
+
+_APART = f"CASE WHEN fc.seq = 'query' THEN {_EARLIER} ELSE 0 END"
+
+
+@query("stream_frames_apart", f"SELECT fc.seq, w_end - {_APART} AS w_end, p AS channel, y, x, CAST(count(*) AS DOUBLE) AS value FROM fc JOIN frames ON frames.seq = fc.seq AND frames.frame_idx = fc.frame_idx GROUP BY ALL")
+def _(s, d):
+    # frames begin at a sequence's first event, and its last one ends them: the frames and images of the batch operators
+    out = jobs.stream_frames(_stream_of_recordings(s, d), "1 day", start=None)
+    return _sunk(out).select("seq", F.unix_micros("w_end").alias("w_end"), "channel", "y", "x", "value")
+
+
+@query("stream_time_surface_apart", f", mv AS (SELECT fc.seq, w_end - {_APART} AS w_end, 1 - p AS g, y, x, t - {_APART} AS t FROM fc JOIN frames ON frames.seq = fc.seq AND frames.frame_idx = fc.frame_idx), l AS (SELECT seq, w_end, g, y, x, max(t) AS t FROM mv GROUP BY ALL) " + _SURFACE)
+def _(s, d):
+    out = jobs.stream_time_surface(_stream_of_recordings(s, d), "1 day", fx.WINDOWS, start=None)
+    return _sunk(out).select("seq", F.unix_micros("w_end").alias("w_end"), "channel", "y", "x", r6("value", "value"))
+
+
+@query("stream_late_events", f""", arr AS (SELECT *, CASE WHEN event_idx % 5 = 3 OR t >= (SELECT (min(t) + max(t)) / 2 FROM ev) THEN 1 ELSE 0 END AS batch, (t // {DT} + 1) * {DT} AS w_end FROM ev),
+c0 AS (SELECT seq, max(t) AS top FROM arr WHERE batch = 0 GROUP BY seq), tops AS (SELECT seq, max(t) AS top FROM arr GROUP BY seq),
+l AS (SELECT arr.seq, count(*) AS n FROM arr JOIN c0 ON c0.seq = arr.seq WHERE batch = 1 AND w_end <= c0.top GROUP BY arr.seq),
+k AS (SELECT arr.seq, count(*) AS n FROM arr JOIN c0 ON c0.seq = arr.seq JOIN tops ON tops.seq = arr.seq WHERE w_end <= tops.top AND (batch = 0 OR w_end > c0.top) GROUP BY arr.seq)
+SELECT seq, k.n AS kept, l.n AS late FROM k JOIN l USING (seq)""")
+def _(s, d):
+    # a fifth of the events of the first half arrive with the second
+    e = fx.sensor_events(s, d).withColumn("ts", F.timestamp_micros("t"))
+    lo, hi = e.agg(F.min("t"), F.max("t")).first()
+    second = (F.col("event_idx") % 5 == 3) | (F.col("t") >= (lo + hi) / 2)
+    path, late = new_path(s, "sink"), new_path(s, "late")
+    out = windows.stream_windows(_in_batches([e.where(~second), e.where(second)], "events"), "1 day")
+    jobs.write_with_late(out, path, late, new_path(s, "progress")).awaitTermination()
+    kept_ = s.read.parquet(path).groupBy("seq").agg(F.sum("n").alias("kept"))
+    return kept_.join(s.read.parquet(late).groupBy("seq").agg(F.sum("late").alias("late")), "seq")
+
+
 @query("stream_triplets", "SELECT seq, frame_idx, frame_idx - 3 AS f0, frame_idx - 2 AS f1, frame_idx - 1 AS f2 FROM frames WHERE frame_idx >= 3")
 def _(s, d):
     return _sunk(jobs.stream_triplets(_arriving(fx.spine(s, d).select(*FRAME), "frame_idx", "frames")))
 
 
+@query("stream_triplets_reordered", ORACLE_SQL["stream_triplets"].removeprefix(fx.SQL))
+def _(s, d):
+    # frames arrive up to three places late, over three micro-batches, and the sequences end
+    f = fx.spine(s, d).select(*FRAME)
+    batch = F.floor((F.col("frame_idx") + F.when(F.col("frame_idx") % 4 == 2, 3).otherwise(0)) / 11)
+    ends = f.select("seq").distinct().select("seq", F.lit(None).cast("long").alias("frame_idx"))
+    parts = [f.where(batch == 0), f.where(batch == 1), f.where(batch >= 2).unionByName(ends)]
+    return _sunk(jobs.stream_triplets(_in_batches(parts, "frames"), delay=3))
+
+
+@query("stream_events", "SELECT seq, t, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, p FROM ev")
+def _(s, d):
+    path = new_path(s, "arriving")
+    e = fx.sensor_events(s, d).select("seq", F.struct(F.col("t").alias("timestamps"), F.col("x").alias("x_coordinate"), F.col("y").alias("row"), F.col("p").alias("pol")).alias("events"))
+    e.repartition(PARTS).write.parquet(path)
+    return _sunk(ev_src.stream_events(s, path, e.schema, files=1, keep=("seq",)))
+
+
 @query("stream_static_topk", "SELECT query_idx, CAST(rank AS INTEGER) AS rank, ref_idx, round(dist, 6) AS dist FROM cand")
 def _(s, d):
     path = new_path(s, "answers")

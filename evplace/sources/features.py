@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evplace.functions.vectors import l2_normalize
+from evplace.sources.keypoint_logs import log_types
 
 
 def write_descriptors(df: DataFrame, path: str) -> None:
@@ -49,42 +50,11 @@ def unpack_keypoints(packs: DataFrame) -> DataFrame:
     return valid.select("seq", "frame_idx", "pos", "k.*")
 
 
-def decode_keypoint_log(data: bytes) -> pd.DataFrame:
-    """frame_idx, t_ref, kp_idx, x, y, score, desc of one keypoint log.
-
-    Fixed format: magic EKPR, then version, height, width (uint16), top and left offsets (int16), keypoints K and
-    dimensions D (uint16); records of frame (uint32), t_ref (int64), valid keypoints (uint16), K (y, x) as int16, K scores and K x D
-    values as float16. A record that breaks off ends the log. Another magic is an error.
-    """
-    head = _log_types(0, 0)[0]
-    columns = {"frame_idx": "int64", "t_ref": "int64", "kp_idx": "int32", "x": "float64", "y": "float64", "score": "float64", "desc": "object"}
-    if len(data) < head.itemsize or data[:4] != b"EKPR":
-        raise ValueError("not a keypoint log")
-    h = np.frombuffer(data, head, 1)[0]
-    k, d = int(h["k"]), int(h["d"])
-    record = _log_types(k, d)[1]
-    whole = (len(data) - head.itemsize) // record.itemsize
-    r = np.frombuffer(data, record, whole, head.itemsize)
-    at, kp = np.nonzero(np.arange(k)[None, :] < np.minimum(r["n"], k)[:, None])
-    if not len(at):
-        return pd.DataFrame({c: pd.Series(dtype=t) for c, t in columns.items()})
-    yx = r["yx"][at, kp].astype(np.float64)
-    return pd.DataFrame({
-        "frame_idx": r["frame"][at].astype(np.int64), "t_ref": r["t"][at].astype(np.int64), "kp_idx": kp.astype(np.int32), "x": yx[:, 1] + float(h["left"]), "y": yx[:, 0] + float(h["top"]),
-        "score": r["score"][at, kp].astype(np.float64), "desc": list(r["desc"][at, kp].astype(np.float64))})
-
-
-def _log_types(k: int, d: int) -> tuple[np.dtype, np.dtype]:
-    """Header and record of the fixed format."""
-    head = np.dtype([("magic", "S4"), ("version", "<u2"), ("h", "<u2"), ("w", "<u2"), ("top", "<i2"), ("left", "<i2"), ("k", "<u2"), ("d", "<u2")])
-    return head, np.dtype([("frame", "<u4"), ("t", "<i8"), ("n", "<u2"), ("yx", "<i2", (k, 2)), ("score", "<f2", (k,)), ("desc", "<f2", (k, d))])
-
-
 def encode_keypoint_log(frames: pd.DataFrame, h: int, w: int, top: int, left: int, k: int) -> bytes:
     """A keypoint log of frames (frame_idx, t, kps: x, y of the cropped image, score, desc), at most k keypoints each; null kps are none."""
     packs = [[] if p is None else list(p)[:k] for p in frames["kps"]]
     d = next((len(p[0]["desc"]) for p in packs if p), 0)
-    head, record = _log_types(k, d)
+    head, record = log_types(k, d)
     out = np.zeros(len(packs), record)
     out["yx"] = -1
     for i, (f, t, p) in enumerate(zip(frames["frame_idx"], frames["t"], packs)):
@@ -94,18 +64,6 @@ def encode_keypoint_log(frames: pd.DataFrame, h: int, w: int, top: int, left: in
     return np.array([(b"EKPR", 1, h, w, top, left, k, d)], head).tobytes() + out.tobytes()
 
 
-def read_keypoint_logs(spark: SparkSession, path: str) -> DataFrame:
-    """path, frame_idx, t_ref, kp_idx, x, y, score, desc of all logs under a path or glob."""
-    def decode(frames):
-        for pdf in frames:
-            for p, data in zip(pdf["path"], pdf["content"]):
-                out = decode_keypoint_log(bytes(data))
-                out.insert(0, "path", p)
-                yield out
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(decode, "path string, frame_idx long, t_ref long, kp_idx int, x double, y double, score double, desc array<double>")
-
-
 #: A name without an index sorts behind all others.
 NO_INDEX = 10**18
 

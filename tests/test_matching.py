@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from evplace.functions import kernels
 from evplace.operators import descriptors as ds
 from evplace.operators import evaluate, frames, images, rerank, similarity
-from evplace.sources import features
+from evplace.sources import features, keypoint_logs
 from evplace.streaming import jobs
 
 
@@ -59,9 +59,6 @@ def test_kernels():
     assert kernels.homography_inliers(src, dst, 1.0, 200, 1) in (30, 31, 32)
     assert kernels.homography_inliers(src[:3], dst[:3]) == 0
     assert kernels.homography_inliers(np.zeros((9, 2)), np.zeros((9, 2))) >= 0
-    # an even number of matches takes the lower median
-    d = np.array([[0.0, 0], [1, 0], [10, 0], [11, 0]])
-    assert kernels.translation_inliers(np.zeros((4, 2)), d, 5) == 2 and kernels.translation_inliers(np.zeros((3, 2)), d[:3]) == 0
     _, i, j, _ = kernels.match_stacks(np.eye(3)[None], np.eye(3)[[2, 0, 1]][None])
     assert list(zip(i, j)) == [(0, 1), (1, 2), (2, 0)]
     assert len(kernels.match_lists(np.eye(3), np.array([0, 3]), np.eye(3)[:1], np.array([0, 1]), "ratio")[0]) == 0
@@ -139,12 +136,15 @@ def test_binary_sources(spark, tmp_path):
     (tmp_path / "a.bin").write_bytes(log_bytes())
     (tmp_path / "b.bin").write_bytes(log_bytes(cut=5))
     (tmp_path / "c.bin").write_bytes(log_bytes(valid=0))
-    rows = features.read_keypoint_logs(spark, str(tmp_path / "*.bin")).collect()
+    rows = keypoint_logs.read_keypoint_logs(spark, str(tmp_path / "*.bin")).collect()
     assert len(rows) == 4 + 2
     r = next(r for r in rows if r.path.endswith("a.bin") and r.frame_idx == 1 and r.kp_idx == 1)
     assert (r.t_ref, r.x, r.y, r.score, r.desc) == (1001, 4 + 5, 3 + 4, 0.25, [2.0, 3.0])
     with pytest.raises(ValueError):
-        features.decode_keypoint_log(log_bytes(magic=b"XXXX"))
+        keypoint_logs.log_header(log_bytes(magic=b"XXXX"))
+    (tmp_path / "bad.log").write_bytes(b"EK")
+    with pytest.raises(Exception, match="not a keypoint log"):
+        keypoint_logs.read_keypoint_logs(spark, str(tmp_path / "bad.log")).collect()
     for i in (0, 3):
         buf = io.BytesIO()
         np.savez(buf, np.array([[3.0, 4.0]]) * (i + 1))
@@ -227,3 +227,119 @@ def test_stream_rerank_equals_batch(spark, tmp_path):
     jobs.stream_static_topk(s, ref, str(tmp_path / "top"), str(tmp_path / "cp2"), 4).awaitTermination(180)
     a = {(r.query_idx, r["rank"], r.ref_idx) for r in spark.read.parquet(str(tmp_path / "top")).collect()}
     assert a == {(r.query_idx, r["rank"], r.ref_idx) for r in similarity.topk_similarity(ref, query, 4).collect()}
+
+
+def packs_of(spark, frames, dtype="double"):
+    """Packs of frames (index, keypoints: kp_idx, x, y, desc)."""
+    rows = [(i, len(k or []), k) for i, k in frames]
+    return spark.createDataFrame(rows, f"frame_idx long, n int, kps array<struct<kp_idx:int,x:double,y:double,desc:array<{dtype}>>>")
+
+
+@pytest.mark.parametrize("dtype,kind", [("double", "mutual"), ("double", "ratio"), ("float", "mutual")])
+def test_block_matching_equals_matching_row_by_row(spark, dtype, kind):
+    rng = np.random.default_rng(5)
+    make = lambda n: [(int(j), float(j), float(2 * j), [float(v) for v in rng.normal(size=6)]) for j in rng.permutation(n)]
+    ref = [(i, make(int(n))) for i, n in enumerate(rng.integers(0, 9, 30))] + [(40, None)]
+    query = [(i, make(int(n))) for i, n in enumerate(rng.integers(0, 9, 20))] + [(25, [])]
+    r, q = packs_of(spark, ref, dtype), packs_of(spark, query, dtype)
+    # one reference is asked for by all queries, one pair twice, some sides have no pack
+    pairs = spark.createDataFrame([(i, j) for i in range(26) for j in (3, (i * 7) % 30, 40, 99)] + [(4, 3)], "query_idx long, ref_idx long").withColumn("dist", F.lit(0.5))
+    rows = lambda df: sorted({tuple(round(float(v), 4) for v in x) for x in df.collect()})
+    want = rows(rerank.match_pairs(similarity.attach_keypoints(pairs, r, q), kind))
+    assert len(want) > 50
+    for blocks in ((16, 128), (3, 4), (1, 1)):
+        got = rerank.match_shortlist(pairs, r, rerank.dense_packs(q), kind, query_block=blocks[0], ref_block=blocks[1])
+        assert rows(got) == want and got.count() == len(want)
+    assert rerank.match_shortlist(pairs.limit(0), r, q).count() == 0
+    with pytest.raises(ValueError):
+        rerank.match_shortlist(pairs, r, q, "all")
+
+
+def test_packs_are_shuffled_by_block_and_not_by_pair(spark):
+    """Of 40 queries with 20 candidates each, all within two blocks of references, every pack is shuffled a few times, not twenty."""
+    desc = [1.0] * 256
+    frames = [(i, [(0, 0.0, 0.0, [float(i), *desc])]) for i in range(40)]
+    packs = rerank.dense_packs(packs_of(spark, frames))
+    pairs = spark.createDataFrame([(i, j) for i in range(40) for j in range(20)], "query_idx long, ref_idx long")
+    plan = rerank.match_shortlist(pairs, packs, packs, query_block=20, ref_block=20)
+    met = pairs.selectExpr("query_idx div 20 AS qb", "ref_idx div 20 AS rb", "query_idx", "ref_idx")
+    assert met.select("qb", "rb", "ref_idx").distinct().count() + met.select("qb", "rb", "query_idx").distinct().count() == 80
+    assert plan.count() == 40 * 20  # one keypoint on each side: one match for each pair
+
+
+def test_search_in_place_equals_the_grid(spark):
+    rng = np.random.default_rng(9)
+    r, q = rng.normal(size=(70, 4)), rng.normal(size=(15, 4))
+    r[9] = r[2]
+    ref, query = vecs(spark, r).repartition(5), vecs(spark, q, "query")
+    want = sorted((x.query_idx, x.rank, x.ref_idx) for x in similarity.topk_similarity(ref, query, 8).collect())
+    for most in (1 << 22, 0):
+        assert sorted((x.query_idx, x.rank, x.ref_idx) for x in similarity.topk_of_batch(ref, query, 8, most_values=most).collect()) == want
+    assert similarity.topk_of_batch(ref, query.limit(0), 8).count() == 0
+
+
+@pytest.mark.parametrize("cut", [0, 5, 45])
+def test_a_log_is_split_at_any_byte(tmp_path, cut):
+    """Ranges that end before, at and behind a record's first byte give each whole record once; so does every other length of range."""
+    path = tmp_path / "log.bin"
+    path.write_bytes(log_bytes(records=7, cut=cut))
+    header, record = keypoint_logs.log_types(3, 2)
+
+    def rows(split):
+        reader = keypoint_logs.KeypointLogReader({"path": str(path), "split": split})
+        return [r for p in reader.partitions() for b in reader.read(p) for r in zip(*(b.column(i).to_pylist() for i in (1, 3)))]
+
+    want = rows(1 << 20)
+    assert want == [(f, k) for f in range(7 if not cut else 6 if cut < record.itemsize else 5) for k in range(2)]
+    for split in (1, header.itemsize, record.itemsize - 1, record.itemsize, record.itemsize + 1, header.itemsize + record.itemsize, 97):
+        assert rows(split) == want
+
+
+def test_one_log_is_read_by_many_tasks(spark, tmp_path):
+    (tmp_path / "log.bin").write_bytes(log_bytes(records=500))
+    df = keypoint_logs.read_keypoint_logs(spark, str(tmp_path / "log.bin"), split=2000)
+    assert df.rdd.getNumPartitions() > 5 and df.count() == 1000 and df.select("frame_idx").distinct().count() == 500
+    (tmp_path / "none").mkdir()
+    assert keypoint_logs.read_keypoint_logs(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_every_keypoint_has_a_sample(spark):
+    cells = spark.createDataFrame([("a", 0, y, x, [float(1 + y), float(1 + x)]) for y in range(3) for x in range(4)], "seq string, frame_idx long, y int, x int, vec array<double>")
+    places = [("a", 0, 0, 1.25, 0.5), ("a", 0, 1, -3.0, 0.0), ("a", 0, 2, 3.5, 2.5), ("a", 0, 3, None, 1.0), ("a", 0, 4, 3.0, 2.0), ("b", 7, 0, 1.0, 1.0), ("a", 0, 5, -0.5, 1.0)]
+    kps = spark.createDataFrame(places, "seq string, frame_idx long, kp_idx int, x double, y double")
+    got = {(r.seq, r.kp_idx): np.array(r.vec) for r in ds.sample_grid(cells, kps).collect()}
+    assert set(got) == {(p[0], p[2]) for p in places}
+    unit = lambda *v: np.array(v) / np.linalg.norm(v)
+    assert np.allclose(got["a", 0], unit(1.5, 2.25)) and np.allclose(got["a", 4], unit(3, 4)) and np.allclose(got["a", 2], unit(3 * 0.25, 4 * 0.25)) and np.allclose(got["a", 5], unit(2, 1))
+    assert all((got[k] == [0, 0]).all() for k in (("a", 1), ("a", 3), ("b", 0)))
+    assert ds.sample_grid(cells.limit(0), kps, dims=2).where("vec[0] = 0 and vec[1] = 0").count() == len(places) and ds.sample_grid(cells, kps.limit(0)).count() == 0
+
+
+def test_pooling_needs_few_clusters(spark):
+    local = spark.createDataFrame([("a", 0, 0, [1.0, 0.0]), ("a", 0, 1, None), ("a", 1, 0, [0.0, 2.0])], "seq string, frame_idx long, kp_idx int, desc array<double>")
+    c = spark.createDataFrame([(5, [1.0, 0.0]), (6, [0.0, 1.0])], "cluster int, vec array<double>")
+    got = {(r.frame_idx, r.cluster): np.array(r.vec) for r in ds.vlad_pool(local, c).collect()}
+    assert set(got) == {(0, 5), (0, 6), (1, 5), (1, 6)} and all(np.allclose(v, 0) for v in got.values())
+    assert ds.fit_alpha(local, c).first().alpha == pytest.approx(-np.log(0.01))
+    for bad in (c.limit(1), c.limit(0)):
+        with pytest.raises(ValueError):
+            ds.fit_alpha(local, bad)
+
+
+def test_a_whitening_for_each_reference(spark):
+    rng = np.random.default_rng(8)
+    data = {"a": rng.normal(size=(90, 5)) @ rng.normal(size=(5, 5)) + 3, "b": rng.normal(size=(60, 5)) * 7, None: rng.normal(size=(9, 5))}
+    rows = [(k, i, [float(x) for x in v]) for k, m in data.items() for i, v in enumerate(m)]
+    df = spark.createDataFrame(rows, "ref_seq string, frame_idx long, vec array<double>").repartition(5)
+    models = ds.fit_whitening_by(df, fan_in=2)
+    assert models.count() == 3
+    got = {}
+    for r in ds.apply_whitening_by(df, models, block=16).collect():
+        got.setdefault(r.ref_seq, {})[r.frame_idx] = r.vec
+    assert {k: len(v) for k, v in got.items()} == {"a": 90, "b": 60}  # a null key equals no model
+    for k in ("a", "b"):
+        w = np.array([got[k][i] for i in range(len(data[k]))])
+        assert np.allclose(np.cov(w.T), np.eye(5), atol=1e-9)
+        one = ds.apply_whitening(vecs(spark, data[k]), ds.fit_whitening(vecs(spark, data[k])))
+        assert np.allclose(np.abs(w), np.abs(np.array([r.vec for r in one.orderBy("frame_idx").collect()])), atol=1e-8)
+    assert ds.apply_whitening_by(df.limit(0), models).count() == 0
