@@ -107,29 +107,75 @@ def frame_spine(ev: DataFrame, dt_ms: float, scale: float = 1e-9, starts: DataFr
         "seq", "frame_idx", start.alias("w_start"), (start + dt).alias("w_end"), (start * F.lit(scale)).alias("start_s"), ((start + dt) * F.lit(scale)).alias("end_s"), F.coalesce("n", F.lit(0)).cast("long").alias("n_events"))
 
 
-def frame_triplets(frames: DataFrame) -> DataFrame:
-    """seq, frame_idx, f0, f1, f2: the three frames before each one; the first three frames give nothing."""
-    w = Window.partitionBy("seq").orderBy("frame_idx")
-    lag = lambda k: F.lag("frame_idx", k).over(w)
-    return frames.select("seq", "frame_idx", lag(3).alias("f0"), lag(2).alias("f1"), lag(1).alias("f2")).where("f0 is not null")
+#: Rows of one bucket of a long sequence, about.
+BUCKET = 1 << 20
 
 
-def ema(df: DataFrame, value: str, order: str, alpha: float = 0.1, key: str = "seq") -> DataFrame:
+def bucketed(df: DataFrame, order: str, key: str = "seq", rows: int = BUCKET) -> DataFrame:
+    """df with _b: buckets of a sequence in the order of a number, each of about ``rows`` rows, so that all cores can scan one sequence.
+
+    Bounds are approximate quantiles of each sequence, one small row for it; rows of equal order lie in one bucket, nulls in the first. A table
+    of at most ``rows`` rows is one bucket for each sequence.
+    """
+    n = df.count()
+    if n <= rows:
+        return df.withColumn("_b", F.lit(0))
+    parts = min(1000, -(-n // rows))
+    at = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+    bounds = small(df.groupBy(F.col(key).alias("_key")).agg(F.percentile_approx(F.col(order).cast("double"), at, 10 * parts).alias("_bounds")))
+    held = df.join(bounds, F.col(key).eqNullSafe(F.col("_key")), "left")
+    return held.withColumn("_b", F.coalesce(F.size(F.filter("_bounds", lambda x: x < F.col(order).cast("double"))), F.lit(0))).drop("_key", "_bounds")
+
+
+def frame_triplets(frames: DataFrame, rows: int = BUCKET) -> DataFrame:
+    """seq, frame_idx, f0, f1, f2: the three frames before each one; the first three frames give nothing.
+
+    A scan in two levels: buckets of a sequence are ordered apart from each other, and the first three frames of each take what they lack from
+    the last three of the buckets before it, a small table.
+    """
+    cut = bucketed(frames.select("seq", "frame_idx"), "frame_idx", rows=rows)
+    own = Window.partitionBy("seq", "_b").orderBy("frame_idx")
+    every = Window.partitionBy("seq", "_b")
+    lag = lambda k: F.lag("frame_idx", k).over(own)
+    local = cut.select("seq", "_b", "frame_idx", lag(3).alias("l3"), lag(2).alias("l2"), lag(1).alias("l1"), F.row_number().over(own).alias("k"), F.count("*").over(every).alias("n"))
+    tails = local.where("k > n - 3").groupBy("seq", "_b").agg(F.array_sort(F.collect_list("frame_idx")).alias("tail"))
+    before = Window.partitionBy("seq").orderBy("_b").rowsBetween(-3, -1)
+    carried = tails.select(F.col("seq").alias("_seq"), F.col("_b").alias("_at"), F.flatten(F.collect_list("tail").over(before)).alias("before"))
+    rest = local.where("k <= 3").join(small(carried), F.col("seq").eqNullSafe(F.col("_seq")) & (F.col("_b") == F.col("_at")))
+    back = lambda d: F.coalesce(F.col(f"l{d}"), F.try_element_at("before", (F.col("k") - F.lit(d) - 1).cast("int")))
+    filled = rest.select("seq", "frame_idx", *[back(d).alias(c) for d, c in ((3, "f0"), (2, "f1"), (1, "f2"))]).where("f0 is not null")
+    return local.where("k > 3").select("seq", "frame_idx", F.col("l3").alias("f0"), F.col("l2").alias("f1"), F.col("l1").alias("f2")).unionByName(filled)
+
+
+def ema(df: DataFrame, value: str, order: str, alpha: float = 0.1, key: str = "seq", rows: int = BUCKET) -> DataFrame:
     """df with ema: e0 = v0, then e = (1 - alpha) e + alpha v, in order.
 
-    Written out, e is a sum of values with weights that decay, so running sums give it: a sequence is cut into
-    segments short enough that weights keep their precision, each summed on its own, and a segment starts from the
-    ends of the three before it; what is older weighs under 1e-24.
+    Written out, e is a sum of values with weights that decay, so running sums give it, in a scan of two levels. A sequence is cut into buckets, and
+    those into segments short enough that weights keep their precision, each summed on its own; a segment starts from the ends of the three
+    before it in its bucket, as what is older weighs under 1e-24, and a bucket from the end of the one before, by a small table of the ends of buckets.
     """
     decay = 1 - alpha
     length = max(1, min(1_000_000, int(27 / -math.log(decay)))) if 0 < decay < 1 else 1
-    w = Window.partitionBy(key).orderBy(order)
-    rows = df.withColumn("_n", F.row_number().over(w) - 1).withColumn("_seg", F.expr(f"_n div {length}")).withColumn("_k", F.expr(f"_n % {length} + 1").cast("double"))
-    gain = F.when(F.col("_n") == 0, F.lit(1.0)).otherwise(F.lit(alpha))
-    running = F.sum(gain * F.col(value).cast("double") * F.pow(F.lit(decay), -F.col("_k"))).over(Window.partitionBy(key, "_seg").orderBy("_n").rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("_own", running * F.pow(F.lit(decay), F.col("_k")))
-    ends = rows.groupBy(key, "_seg").agg(F.max(F.struct("_k", "_own")).alias("e")).select(key, "_seg", F.col("e._own").alias("o"))
-    by = Window.partitionBy(key).orderBy("_seg")
+    cut = bucketed(df, order, key, rows)
+    first = cut.groupBy(F.col(key).alias("_key")).agg(F.min("_b").alias("_first"))
+    cut = cut.join(small(first), F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
+    w = Window.partitionBy(key, "_b").orderBy(order)
+    every = cut.withColumn("_n", F.row_number().over(w) - 1).withColumn("_seg", F.expr(f"_n div {length}")).withColumn("_k", F.expr(f"_n % {length} + 1").cast("double"))
+    gain = F.when((F.col("_n") == 0) & (F.col("_b") == F.col("_first")), F.lit(1.0)).otherwise(F.lit(alpha))
+    running = F.sum(gain * F.col(value).cast("double") * F.pow(F.lit(decay), -F.col("_k"))).over(Window.partitionBy(key, "_b", "_seg").orderBy("_n").rowsBetween(Window.unboundedPreceding, 0))
+    every = every.withColumn("_own", running * F.pow(F.lit(decay), F.col("_k")))
+    ends = every.groupBy(key, "_b", "_seg").agg(F.max(F.struct("_k", "_own")).alias("e")).select(key, "_b", "_seg", F.col("e._own").alias("o"), F.col("e._k").alias("k"))
+    by = Window.partitionBy(key, "_b").orderBy("_seg")
     before = sum((F.coalesce(F.lag("o", i + 1).over(by), F.lit(0.0)) * decay ** (length * i) for i in range(3)), F.lit(0.0))
-    states = ends.select(key, "_seg", before.alias("_before"))
-    return rows.join(states, [key, "_seg"]).withColumn("ema", F.col("_own") + F.pow(F.lit(decay), F.col("_k")) * F.col("_before")).drop("_n", "_seg", "_own", "_k", "_before")
+    ends = ends.withColumn("_before", before)
+    # ends of buckets from their own rows, and then from all before: b's end weighs decay^(rows of the buckets behind it)
+    tops = ends.groupBy(key, "_b").agg(F.max(F.struct("_seg", "k", (F.col("o") + F.pow(F.lit(decay), "k") * F.col("_before")).alias("o"))).alias("t"))
+    tops = tops.select(key, "_b", F.col("t.o").alias("o"), (F.col("t._seg") * length + F.col("t.k")).alias("m"))
+    earlier = F.collect_list(F.struct("o", "m")).over(Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    entry = F.aggregate(earlier, F.lit(0.0), lambda e, t: t["o"] + F.pow(F.lit(decay), t["m"]) * e)
+    starts = tops.select(F.col(key).alias("_key"), F.col("_b").alias("_at"), entry.alias("_entry"))
+    states = ends.select(F.col(key).alias("_key2"), F.col("_b").alias("_at2"), F.col("_seg").alias("_seg2"), "_before")
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    out = every.join(states, same(key, "_key2") & (F.col("_b") == F.col("_at2")) & (F.col("_seg") == F.col("_seg2"))).join(small(starts), same(key, "_key") & (F.col("_b") == F.col("_at")))
+    value_of = F.col("_own") + F.pow(F.lit(decay), F.col("_k")) * F.col("_before") + F.pow(F.lit(decay), F.col("_n") + 1) * F.col("_entry")
+    return out.withColumn("ema", value_of).select(*[F.col(f"`{c}`") for c in df.columns], "ema")

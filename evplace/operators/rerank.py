@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evplace.functions import kernels
+from evplace.functions import arrow, kernels
 from evplace.functions.arrow import flat as _flat
 from evplace.functions.arrow import numbers as _numbers
 
@@ -158,16 +157,17 @@ def translation_inliers(matches: DataFrame, thresh: float = 5.0, max_matches: in
 
 
 def homography_inliers(matches: DataFrame, thresh: float = 5.0, max_iters: int = 100, max_matches: int = 170, seed: int = 0) -> DataFrame:
-    """query_idx, ref_idx, inliers by sampled homographies, seeded by the pair."""
+    """query_idx, ref_idx, inliers by sampled homographies, fitted again to what they bring near; samples are seeded by the pair. One shuffle by pair, of
+    ``max_matches`` at most; a task samples all pairs of a batch in step."""
     order = F.array_sort(F.collect_list(F.struct("dist", "i", "j", "src_x", "src_y", "dst_x", "dst_y")))
     packed = best_matches(matches, max_matches).groupBy(*PAIR).agg(order.alias("m"))
+    packed = packed.withColumn("seed", F.xxhash64(*PAIR, F.lit(seed)))
 
     def run(batches):
         for batch in batches:
             rows, ends = _flat(batch.column(2))
             p = np.stack([_numbers(rows, c) for c in ("src_x", "src_y", "dst_x", "dst_y")], axis=1) if len(rows) else np.empty((0, 4))
-            q, r = (batch.column(k).to_pylist() for k in (0, 1))
-            found = [kernels.homography_inliers(p[s:e, :2], p[s:e, 2:], thresh, max_iters, (seed, x & (1 << 63) - 1, y & (1 << 63) - 1)) for s, e, x, y in zip(ends, ends[1:], q, r)]
+            found = kernels.consensus(p[:, :2], p[:, 2:], ends, np.asarray(batch.column(3)).astype(np.int64).view(np.uint64), thresh, max_iters)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int64())], ["query_idx", "ref_idx", "inliers"])
 
     return packed.mapInArrow(run, "query_idx long, ref_idx long, inliers long")
@@ -199,26 +199,48 @@ def mutual_mean_distance(shortlist: DataFrame, matches: DataFrame) -> DataFrame:
     return shortlist.select(*PAIR).join(means, list(PAIR), "left").select(*PAIR, F.coalesce("mean", F.lit(1.0)).alias("dist"))
 
 
-def _depth_error(size):
-    def error(h, w, a, h2, w2, b):
-        x, y = (np.asarray(m, dtype=np.float64).reshape(int(i), int(j)) for m, i, j in ((a, h, w), (b, h2, w2)))
-        if size is not None:
-            x, y = kernels.area_downsample(x, size), kernels.area_downsample(y, size)
-        return kernels.masked_ssim_error(x, y)
+#: Cells of maps that one call of a depth kernel takes, about.
+STACK = 1 << 21
 
-    @F.pandas_udf("double")
-    def run(h: pd.Series, w: pd.Series, a: pd.Series, h2: pd.Series, w2: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if p is None or q is None else error(i, j, p, k, m, q) for i, j, p, k, m, q in zip(h, w, a, h2, w2, b)], dtype="float64")
 
-    return run
+def _stacks(h: np.ndarray, w: np.ndarray):
+    """Rows of one shape, so many at a time as STACK holds: (height, width, rows)."""
+    for high, wide in np.unique(np.stack([h, w], axis=1), axis=0).tolist():
+        rows = np.flatnonzero((h == high) & (w == wide))
+        step = max(1, STACK // max(1, high * wide))
+        for at in range(0, len(rows), step):
+            yield high, wide, rows[at : at + step]
+
+
+def _maps(column: pa.Array, rows: np.ndarray, h: int, w: int) -> np.ndarray:
+    return arrow.matrix(column.take(pa.array(rows))).reshape(len(rows), h, w)
+
+
+def _pair_errors(pairs: DataFrame, keep: list[str]) -> DataFrame:
+    """keep and err of pairs with maps (h, w, a) and (h2, w2, b): one call for all pairs of a shape in a batch; null where a map is missing. Unequal shapes are an error."""
+    def run(batches):
+        for batch in batches:
+            h, w, a, h2, w2, b = (batch.column(len(keep) + i) for i in range(6))
+            there = np.asarray(a.is_valid()) & np.asarray(b.is_valid())
+            out = np.full(batch.num_rows, np.nan)
+            known = np.flatnonzero(there)
+            shape = [np.asarray(c.take(pa.array(known))).astype(np.int64) for c in (h, w, h2, w2)]
+            if (shape[0] != shape[2]).any() or (shape[1] != shape[3]).any():
+                raise ValueError("depth maps of a pair have unequal shapes")
+            for high, wide, rows in _stacks(shape[0], shape[1]):
+                out[known[rows]] = kernels.masked_ssim_errors(_maps(a, known[rows], high, wide), _maps(b, known[rows], high, wide))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(out, mask=~there)], [*keep, "err"])
+
+    kinds = dict(pairs.dtypes)
+    return pairs.select(*keep, "h", "w", "a", "h2", "w2", "b").mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", err double")
 
 
 def depth_errors(shortlist: DataFrame, ref_depth: DataFrame, query_depth: DataFrame, size: tuple[int, int] | None = (28, 28)) -> DataFrame:
-    """shortlist with err, null where a map is missing. Maps (frame_idx, h, w, px row by row) are scaled to ``size`` first, if given."""
-    r = ref_depth.select(F.col("frame_idx").alias("ref_idx"), F.col("h").alias("rh"), F.col("w").alias("rw"), F.col("px").alias("rp"))
-    q = query_depth.select(F.col("frame_idx").alias("query_idx"), F.col("h").alias("qh"), F.col("w").alias("qw"), F.col("px").alias("qp"))
-    both = shortlist.join(r, "ref_idx", "left").join(q, "query_idx", "left")
-    return both.withColumn("err", _depth_error(size)("qh", "qw", "qp", "rh", "rw", "rp")).drop("rh", "rw", "rp", "qh", "qw", "qp")
+    """shortlist with err, null where a map is missing. Maps (frame_idx, h, w, px row by row) are scaled to ``size`` first, if given: each once, and small ones meet in pairs."""
+    r, q = (d if size is None else area_downsample(d, size) for d in (ref_depth, query_depth))
+    q = q.select(F.col("frame_idx").alias("query_idx"), "h", "w", F.col("px").alias("a"))
+    r = r.select(F.col("frame_idx").alias("ref_idx"), F.col("h").alias("h2"), F.col("w").alias("w2"), F.col("px").alias("b"))
+    return _pair_errors(shortlist.join(r, "ref_idx", "left").join(q, "query_idx", "left"), shortlist.columns)
 
 
 def depth_rerank(shortlist: DataFrame, ref_depth: DataFrame, query_depth: DataFrame, weight: float = 0.15, tau: float = 0.3, err_thr: float = 0.7, size: tuple[int, int] | None = (28, 28)) -> DataFrame:
@@ -229,14 +251,19 @@ def depth_rerank(shortlist: DataFrame, ref_depth: DataFrame, query_depth: DataFr
 
 def masked_ssim_error(pairs: DataFrame) -> DataFrame:
     """query_idx, ref_idx, err of pairs that carry both maps: h, w, a, b."""
-    return pairs.select(*PAIR, _depth_error(None)("h", "w", "a", "h", "w", "b").alias("err"))
+    return _pair_errors(pairs.withColumn("h2", F.col("h")).withColumn("w2", F.col("w")), list(PAIR))
 
 
 def area_downsample(depth: DataFrame, out: tuple[int, int] = (28, 28)) -> DataFrame:
-    """Depth maps scaled by area: h, w and px change."""
-    @F.pandas_udf("array<double>")
-    def scale(h: pd.Series, w: pd.Series, px: pd.Series) -> pd.Series:
-        return pd.Series([kernels.area_downsample(np.asarray(p, dtype=np.float64).reshape(int(i), int(j)), out).ravel() for i, j, p in zip(h, w, px)])
+    """Depth maps scaled by area: h, w and px change. Maps of one shape in a batch are one product; missing ones stay null."""
+    @F.arrow_udf("array<double>")
+    def scale(h: pa.Array, w: pa.Array, px: pa.Array) -> pa.Array:
+        there = np.asarray(px.is_valid())
+        known, small = np.flatnonzero(there), np.zeros((len(px), out[0] * out[1]))
+        h, w = (np.asarray(c.take(pa.array(known))).astype(np.int64) for c in (h, w))
+        for high, wide, rows in _stacks(h, w):
+            small[known[rows]] = kernels.area_downsample(_maps(px, known[rows], high, wide), out).reshape(len(rows), -1)
+        return arrow.lists(small).filter(pa.array(there)).take(pa.array(np.where(there, np.cumsum(there) - 1, 0), mask=~there))
 
     return depth.withColumn("px", scale("h", "w", "px")).withColumn("h", F.lit(out[0])).withColumn("w", F.lit(out[1]))
 

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,3 +97,25 @@ def test_resize_and_sampling(spark):
     assert sorted(map(tuple, got)) == sorted(map(tuple, images.sample_pixels(prob.repartition(7), 6, 4.0, 3).collect()))
     with pytest.raises(Exception, match="pixels"):
         images.sample_pixels(prob, 60, 9.0).collect()
+
+
+def test_long_sequences_are_scanned_bucket_by_bucket(spark):
+    rng = np.random.default_rng(6)
+    rows = [(s, int(i), float(rng.normal())) for s, n in (("a", 700), ("b", 90), ("c", 2), (None, 40)) for i in sorted(rng.choice(5 * n, n, replace=False))]
+    df = spark.createDataFrame(rows, "seq string, frame_idx long, v double").repartition(6)
+    by = {}
+    for s, i, v in rows:
+        by.setdefault(s, []).append((i, v))
+    triples = sorted(((s, r[k][0], r[k - 3][0], r[k - 2][0], r[k - 1][0]) for s, r in by.items() for k in range(3, len(r))), key=str)
+    smooth = {}
+    for s, r in by.items():
+        e = None
+        for i, v in r:
+            e = v if e is None else 0.9 * e + 0.1 * v
+            smooth[s, i] = e
+    for bucket in (1 << 20, 100, 7, 1):
+        assert sorted(map(tuple, frames.frame_triplets(df.drop("v"), bucket).collect()), key=str) == triples
+        got = {(r.seq, r.frame_idx): r.ema for r in frames.ema(df, "v", "frame_idx", rows=bucket).collect()}
+        assert got.keys() == smooth.keys() and max(abs(got[k] - smooth[k]) for k in got) < 1e-9
+    assert len({r._b for r in frames.bucketed(df, "frame_idx", rows=100).collect()}) > 4
+    assert frames.frame_triplets(df.drop("v").limit(0)).count() == 0 and frames.ema(df.limit(0), "v", "frame_idx").count() == 0

@@ -63,8 +63,8 @@ def test_kernels():
     assert list(zip(i, j)) == [(0, 1), (1, 2), (2, 0)]
     assert len(kernels.match_lists(np.eye(3), np.array([0, 3]), np.eye(3)[:1], np.array([0, 1]), "ratio")[0]) == 0
     m = rng.uniform(1, 5, (20, 30))
-    assert kernels.masked_ssim_error(m, m) == pytest.approx(0, abs=1e-12) and kernels.masked_ssim_error(m, m * (m > 4.9)) == 1.0
-    assert kernels.masked_ssim_error(m, rng.uniform(1, 5, (20, 30))) > 0.3
+    errors = kernels.masked_ssim_errors(np.stack([m, m, m]), np.stack([m, m * (m > 4.9), rng.uniform(1, 5, (20, 30))]))
+    assert errors[0] == pytest.approx(0, abs=1e-12) and errors[1] == 1.0 and errors[2] > 0.3
     assert np.allclose(kernels.area_downsample(m, (10, 15)), m.reshape(10, 2, 15, 2).mean(axis=(1, 3)))
     assert kernels.area_downsample(m, (7, 7)).mean() == pytest.approx(m.mean())
 
@@ -343,3 +343,64 @@ def test_a_whitening_for_each_reference(spark):
         one = ds.apply_whitening(vecs(spark, data[k]), ds.fit_whitening(vecs(spark, data[k])))
         assert np.allclose(np.abs(w), np.abs(np.array([r.vec for r in one.orderBy("frame_idx").collect()])), atol=1e-8)
     assert ds.apply_whitening_by(df.limit(0), models).count() == 0
+
+
+def planted(rng, n, good, noise):
+    """Matches of which the first ``good`` follow one homography, with noise, and the others nothing."""
+    src = rng.uniform(0, 300, (n, 2))
+    a, b, c, e, f, g = rng.normal(size=6) * 0.05
+    h = np.array([[1 + a, b, 4], [c, 1 + e, 9], [f / 500, g / 500, 1]])
+    p = np.c_[src, np.ones(n)] @ h.T
+    dst = p[:, :2] / p[:, 2:] + rng.normal(size=(n, 2)) * noise
+    dst[good:] = rng.uniform(0, 300, (n - good, 2))
+    return src, dst
+
+
+def plain_sampling(src, dst, thresh, iterations, seed):
+    """What a plain sampler finds: the best of so many four-point homographies, none fitted again."""
+    samples = np.argsort(np.random.default_rng(seed).random((iterations, len(src))), axis=1)[:, :4]
+    q = np.einsum("nij,mj->nmi", kernels.homographies(src[samples], dst[samples]), np.c_[src, np.ones(len(src))])
+    with np.errstate(all="ignore"):
+        error = np.hypot(q[..., 0] / q[..., 2] - dst[:, 0], q[..., 1] / q[..., 2] - dst[:, 1])
+    return int((error < thresh).sum(axis=1).max(initial=0))
+
+
+@pytest.mark.parametrize("n,good,noise", [(170, 110, 1.5), (60, 30, 1.0), (20, 14, 1.5), (9, 6, 0.3)])
+def test_consensus_finds_what_plain_sampling_finds_and_more(n, good, noise):
+    rng = np.random.default_rng(n)
+    cases = [planted(rng, n, good, noise) for _ in range(60)]
+    ends = np.arange(61) * n
+    keys = np.arange(60).astype(np.uint64)
+    src, dst = (np.concatenate([c[i] for c in cases]) for i in (0, 1))
+    got = kernels.consensus(src, dst, ends, keys)
+    plain = np.array([plain_sampling(*c, 5.0, 100, i) for i, c in enumerate(cases)])
+    assert (got >= plain - 1).mean() >= 0.98 and got.mean() > plain.mean() and (got >= 0.9 * good).mean() >= 0.9
+    # a pair's answer is its own: other pairs of the batch, of other sizes, do not matter
+    mixed = [cases[3], tuple(x[:3] for x in cases[0]), tuple(x[: n // 2] for x in cases[7]), cases[5]]
+    sizes = np.cumsum([0, *(len(c[0]) for c in mixed)])
+    some = kernels.consensus(*(np.concatenate([c[i] for c in mixed]) for i in (0, 1)), sizes, keys[[3, 0, 7, 5]])
+    assert some[0] == got[3] and some[3] == got[5] and some[1] == 0
+    picks = kernels.four_of(np.array([4, 5, 170]), keys[:3], np.arange(500))
+    assert all(len(set(p)) == 4 and max(p) < m for m, item in zip((4, 5, 170), picks.tolist()) for p in item)
+    assert abs(picks[2].mean() - 84.5) < 3
+
+
+def test_depth_stacks_equal_one_map_at_a_time(spark):
+    rng = np.random.default_rng(4)
+    maps = [(i, h, w, (rng.uniform(0, 5, (h, w)) * (rng.random((h, w)) > 0.2)).ravel().tolist()) for i, (h, w) in enumerate([(20, 30), (14, 25), (20, 30), (20, 30), (14, 25)])] + [(9, 3, 3, None)]
+    df = spark.createDataFrame(maps, "frame_idx long, h int, w int, px array<double>")
+    small = {r.frame_idx: r for r in rerank.area_downsample(df, (16, 16)).collect()}
+    for i, h, w, px in maps[:5]:
+        assert np.allclose(np.array(small[i].px).reshape(16, 16), kernels.area_downsample(np.array(px).reshape(h, w), (16, 16))) and small[i].h == 16
+    assert small[9].px is None
+    pairs = spark.createDataFrame([(i, j, 0.5) for i in range(6) for j in (0, 1, 9)], "query_idx long, ref_idx long, dist double")
+    got = {(r.query_idx, r.ref_idx): r.err for r in rerank.depth_errors(pairs, df, df, (16, 16)).collect()}
+    assert len(got) == 18
+    for (i, j), err in got.items():
+        if i == 5 or j == 9:
+            assert err is None
+        else:
+            a, b = (kernels.area_downsample(np.array(maps[k][3]).reshape(maps[k][1:3]), (16, 16))[None] for k in (i, j))
+            assert err == pytest.approx(kernels.masked_ssim_errors(a, b)[0], abs=1e-12)
+    with pytest.raises(Exception, match="unequal shapes"):
+        rerank.depth_errors(pairs, df, df, None).collect()
