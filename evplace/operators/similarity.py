@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from evplace.functions import arrow
 from evplace.functions.sizes import small
 from evplace.functions.vectors import dot, l2_normalize, norm
 
@@ -78,6 +80,120 @@ def nearest_blocks(ref: DataFrame, query: DataFrame, k: int = 50, metric: str =
     return shortlist_from_pairs(found, k, keys)
 
 
+#: Blocks of references that an index has at most; their centres, and no others, are held by every task.
+MOST_BLOCKS = 4096
+
+
+def _unit(column) -> np.ndarray:
+    v = arrow.matrix(column)
+    return v / np.maximum(np.linalg.norm(v, axis=1), 1e-12)[:, None]
+
+
+class BlockIndex:
+    """References in balls: each lies with the nearest of some centres, which are references themselves, and a ball's radius bounds what it can hold.
+
+    On unit vectors, a reference in a ball is no nearer to a query than the query is to the centre, less the radius. ``rows`` is the written table of references
+    (ref_idx, vec of unit length, ball, part): large balls are dealt into parts of about ``block`` rows. Vectors of zeros are in ball -1, which is always searched.
+    """
+
+    def __init__(self, ref: DataFrame, path: str, block: int = BLOCK, balls: int | None = None):
+        n = ref.count()
+        self.balls = max(1, min(MOST_BLOCKS, balls or -(-2 * n // block)))
+        r = ref.select(F.col("frame_idx").cast("long").alias("ref_idx"), F.col("vec").cast("array<double>").alias("vec")).where("vec is not null")
+        first = r.where(F.exists("vec", lambda x: x != 0)).orderBy(F.xxhash64("ref_idx"), "ref_idx").limit(self.balls).select("vec").collect()
+        centres = np.array([x["vec"] for x in first]) if first else np.zeros((1, 1))
+        self.centres = centres / np.maximum(np.linalg.norm(centres, axis=1), 1e-12)[:, None]
+        shared = ref.sparkSession.sparkContext.broadcast(self.centres)
+
+        def assign(batches):
+            for batch in batches:
+                v = _unit(batch.column(1))
+                if len(v):
+                    d = _apart(v, shared.value)
+                    ball = np.where(np.abs(v).sum(axis=1) > 0, d.argmin(axis=1), -1)
+                    yield pa.RecordBatch.from_arrays([batch.column(0), arrow.lists(v), pa.array(ball.astype(np.int32)), pa.array(d.min(axis=1))], ["ref_idx", "vec", "ball", "away"])
+
+        r.mapInArrow(assign, "ref_idx long, vec array<double>, ball int, away double").write.mode("overwrite").parquet(path)
+        rows = ref.sparkSession.read.schema("ref_idx long, vec array<double>, ball int, away double").parquet(path)
+        sizes = rows.groupBy("ball").agg(F.count("*").alias("n"), F.max("away").alias("radius")).collect()
+        self.sizes = {x["ball"]: x["n"] for x in sizes}
+        self.radius = np.array([next((x["radius"] for x in sizes if x["ball"] == i), -np.inf) for i in range(len(self.centres))])
+        self.parts = {b: max(1, -(-m // block)) for b, m in self.sizes.items()}
+        many = F.coalesce(F.create_map(*[F.lit(x) for b, p in self.parts.items() if p > 1 for x in (b, p)])[F.col("ball")], F.lit(1)) if max(self.parts.values(), default=1) > 1 else F.lit(1)
+        self.rows = rows.withColumn("part", F.pmod(F.xxhash64("ref_idx"), many).cast("int"))
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * a @ b.T, 0))
+
+
+def topk_by_balls(index: BlockIndex, query: DataFrame, folder: str, k: int = 50) -> tuple[DataFrame, DataFrame]:
+    """topk_similarity() by an index, with the same rows, and a table of one row: compared and all, the parts of balls that queries met, of how many.
+
+    A query meets the ball of its nearest centre first; its k-th distance there bounds the balls that can hold a nearer reference, and only those are met next. A ball with under k
+    references bounds nothing. Queries are dealt with the parts of balls they meet, so those that none can need are neither shipped nor compared. Partial results lie in ``folder``.
+    """
+    spark = query.sparkSession
+    shared = spark.sparkContext.broadcast((index.centres, index.radius, index.parts, index.sizes, k))
+    asked = query.select(F.col("frame_idx").cast("long").alias("query_idx"), F.col("vec").cast("array<double>").alias("vec")).where("vec is not null")
+
+    def meet(first: bool):
+        def run(batches):
+            centres, radius, parts, sizes, k = shared.value
+            for batch in batches:
+                v = _unit(batch.column(1))
+                if not len(v):
+                    continue
+                d = _apart(v, centres)
+                home = d.argmin(axis=1)
+                if first:
+                    wanted = np.zeros(d.shape, bool)
+                    wanted[np.arange(len(v)), home] = True
+                else:
+                    limit = np.asarray(batch.column(2).fill_null(np.inf)).astype(np.float64)
+                    limit = np.where((np.abs(v).sum(axis=1) > 0) & np.isfinite(limit), np.sqrt(np.maximum(2 * limit, 0)), np.inf)
+                    wanted = (d - radius[None, :] <= limit[:, None] + 1e-6) & np.isfinite(radius)[None, :]
+                    wanted[np.arange(len(v)), home] = False
+                q, ball = np.nonzero(wanted)
+                if not first and -1 in parts:
+                    q, ball = np.concatenate([q, np.arange(len(v))]), np.concatenate([ball, np.full(len(v), -1)])
+                many = np.array([parts.get(b, 0) for b in ball.tolist()], np.int64)
+                again = np.repeat(np.arange(len(q)), many)
+                part = np.arange(len(again)) - np.repeat(np.cumsum(many) - many, many)
+                at = pa.array(q[again])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), arrow.lists(v).take(at), pa.array(ball[again].astype(np.int32)), pa.array(part.astype(np.int32))], ["query_idx", "vec", "ball", "part"])
+
+        return run
+
+    def top(left: pa.Table, right: pa.Table) -> pa.Table:
+        q, r = left.column("query_idx").to_numpy(), right.column("ref_idx").to_numpy()
+        if not len(q) or not len(r):
+            return pa.table({"query_idx": pa.array([], pa.int64()), "ref_idx": pa.array([], pa.int64()), "dist": pa.array([], pa.float64())})
+        order = np.argsort(r, kind="stable")
+        d = _distances(arrow.matrix(right.column("vec").combine_chunks())[order], arrow.matrix(left.column("vec").combine_chunks()), "cosine")
+        best = np.argsort(d, axis=1, kind="stable")[:, :k]
+        return pa.table({"query_idx": np.repeat(q, best.shape[1]), "ref_idx": r[order][best].ravel(), "dist": np.take_along_axis(d, best, axis=1).ravel()})
+
+    def searched(rows: DataFrame, first: bool, name: str) -> tuple[DataFrame, DataFrame]:
+        met = rows.mapInArrow(meet(first), "query_idx long, vec array<double>, ball int, part int")
+        met.write.mode("overwrite").parquet(f"{folder}/{name}-met")
+        met = spark.read.schema(met.schema).parquet(f"{folder}/{name}-met")
+        # a part that many queries meet is compared with some of them at a time
+        dealt = met.withColumn("g", F.pmod(F.xxhash64("query_idx"), F.lit(max(1, n_query // BLOCK))).cast("int"))
+        groups = dealt.select("ball", "part", "g").distinct().select(F.col("ball").alias("r_ball"), F.col("part").alias("r_part"), F.col("g").alias("r_g"))
+        refs = index.rows.join(groups, (F.col("ball") == F.col("r_ball")) & (F.col("part") == F.col("r_part"))).select("r_ball", "r_part", "r_g", "ref_idx", "vec")
+        found = dealt.groupBy("ball", "part", "g").cogroup(refs.groupBy("r_ball", "r_part", "r_g")).applyInArrow(top, "query_idx long, ref_idx long, dist double")
+        found.write.mode("overwrite").parquet(f"{folder}/{name}")
+        return spark.read.schema(found.schema).parquet(f"{folder}/{name}"), met
+
+    n_query = asked.count()
+    near, met1 = searched(asked, True, "first")
+    bound = near.groupBy("query_idx").agg(F.sort_array(F.collect_list("dist")).alias("d")).select(F.col("query_idx").alias("_q"), F.try_element_at("d", F.lit(k)).alias("bound"))
+    more, met2 = searched(asked.join(bound, F.col("query_idx") == F.col("_q"), "left").select("query_idx", "vec", "bound"), False, "second")
+    report = met1.unionByName(met2).agg(F.count("*").alias("compared")).withColumn("all", F.lit(n_query * sum(index.parts.values())).cast("long"))
+    return shortlist_from_pairs(near.unionByName(more), k).withColumn("sim", 1 - F.col("dist")), report
+
+
 def nearest_in_place(ref: DataFrame, queries: list, k: int = 50, metric: str = "cosine") -> DataFrame:
     """query_idx, rank, ref_idx, dist, as nearest_blocks() gives them, of queries (frame_idx, vec) that every task holds: references stay where they are.
 

@@ -490,6 +490,12 @@ def _(s, d):
     return shortlist(s, d, 50).select("query_idx", "rank", "ref_idx", r6("sim", "sim"), r6("dist", "dist"))
 
 
+@query("topk_by_balls", "SELECT query_idx, CAST(rank AS INTEGER) AS rank, ref_idx, round(sim, 6) AS sim, round(dist, 6) AS dist FROM ranked WHERE rank <= 50")
+def _(s, d):
+    index = similarity.BlockIndex(fx.descriptors(s, d, "ref"), new_path(s, "balls"), block=64)
+    return similarity.topk_by_balls(index, fx.descriptors(s, d, "query"), new_path(s, "met"), 50)[0].select("query_idx", "rank", "ref_idx", r6("sim", "sim"), r6("dist", "dist"))
+
+
 @query("shortlist_from_pairs", "SELECT query_idx, CAST(rank AS INTEGER) AS rank, ref_idx, round(dist, 6) AS dist FROM cand")
 def _(s, d):
     p = similarity.similarity_pairs(fx.descriptors(s, d, "ref"), fx.descriptors(s, d, "query")).withColumn("dist", 1 - F.col("sim"))

@@ -404,3 +404,26 @@ def test_depth_stacks_equal_one_map_at_a_time(spark):
             assert err == pytest.approx(kernels.masked_ssim_errors(a, b)[0], abs=1e-12)
     with pytest.raises(Exception, match="unequal shapes"):
         rerank.depth_errors(pairs, df, df, None).collect()
+
+
+def test_balls_give_the_rows_of_the_grid_and_compare_less_as_tables_grow(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(40, 16))
+    shares = []
+    for n in (400, 3200):
+        make = lambda m: centres[rng.integers(0, 40, m)] + rng.normal(size=(m, 16)) * 0.08  # noqa: E731, B023
+        r, q = make(n), make(60)
+        r[5], q[3], r[9] = 0, 0, r[8]  # vectors of zeros, and a tie
+        ref, query = vecs(spark, r).repartition(3), vecs(spark, q, "query")
+        index = similarity.BlockIndex(ref, str(tmp_path / f"index{n}"), block=n // 40, balls=n // 10)
+        got, report = similarity.topk_by_balls(index, query, str(tmp_path / f"met{n}"), 5)
+        rows = lambda df: sorted((x.query_idx, x.rank, x.ref_idx, round(x.dist, 9)) for x in df.collect())
+        assert rows(got) == rows(similarity.topk_similarity(ref, query, 5))
+        met = report.first()
+        shares.append(met["compared"] / met["all"])
+    assert shares[1] < shares[0] < 0.5
+    tiny = similarity.BlockIndex(vecs(spark, r[:3]), str(tmp_path / "tiny"))
+    got, _ = similarity.topk_by_balls(tiny, query, str(tmp_path / "met"), 5)
+    assert got.count() == 60 * 3
+    nothing, _ = similarity.topk_by_balls(tiny, query.limit(0), str(tmp_path / "none"), 5)
+    assert nothing.count() == 0
