@@ -292,7 +292,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     out, and so are ids that are no whole numbers. An empty table gives no rows. Extra columns are ignored. A lone pair at a similarity of 0.8 is missed with a
     chance of 6e-5 (at 0.85: 3e-7); in larger families a set must be missed by all others at once.
     """
-    d = small_batches(docs).select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null")
+    d = small_batches(docs).select(F.col(doc_id).try_cast("long").alias("id"), F.col(text).alias("text")).where("id is not null")
     found = written(sketches(d, shingle, trees, depth, least), "sketches")
     # written, so that the join has a stage of its own, in which Spark can split the rows of one large class
     classes = written(found.where("n > 0").groupBy("set_key").agg(F.min("id").alias("rep")), "sets")

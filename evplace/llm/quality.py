@@ -321,12 +321,25 @@ def _votes(d: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
         said = said.withColumns({"l": silent, "t": silent})
     else:
-        told = labels.groupBy(F.col("doc_id").cast("long").alias("id")).agg((1 - F.min("quality")).alias("l"), F.max("toxic").alias("t"))
+        told = labels.groupBy(F.col("doc_id").try_cast("long").alias("id")).agg((1 - F.min("quality")).alias("l"), F.max("toxic").alias("t"))
         said = said.join(told, "id", "left")
     vote = lambda c: F.array(F.coalesce(F.when(F.col(c).isin(0, 1), F.col(c)), silent).cast("int"))
     return said.select("id", *[F.concat(F.array("lang"), axis, vote(c)).alias(axis) for axis, c in (("low", "l"), ("toxic", "t"))])
 
 
+def _bounded(rows: DataFrame, sample: tuple[int, int]) -> DataFrame:
+    """At most so many rows of label 1 and 0 for each axis, by a hash, as one id may be on very many rows."""
+    crowded = rows.groupBy("axis", "label").count().collect()
+    if all(r["count"] <= (sample[0] if r["label"] else sample[1]) for r in crowded):
+        return rows
+    out = None
+    for axis in range(len(AXES)):
+        for label, most in ((1, sample[0]), (0, sample[1])):
+            some = rows.where((F.col("axis") == axis) & (F.col("label") == label)).orderBy(F.xxhash64("features", "x"), "features", "x").limit(most)
+            out = some if out is None else out.unionByName(some)
+    return written(out, "sample-bounded")
+
+
 def _features(batches):
     """axis, label, features, x (values) of texts (id, text, axis, label): those of words by their share, those of votes as ones."""
     tokens = Tokens()
@@ -413,10 +426,11 @@ def fit(d: DataFrame, labels: DataFrame | None, sample: tuple[int, int] = SAMPLE
             some = said.where("id is not null").where(F.array_join(axis, ",").isin([k for k, p in zip(keys, picked) if p]))
             some = some.orderBy(F.xxhash64("id"), "id").limit(most).select("id", F.lit(AXES.index(axis)).alias("axis"), F.lit(label).alias("label"))
             chosen = some if chosen is None else chosen.unionByName(some)
-    # at most 2 * sum(sample) rows, so they may be broadcast; an id that is repeated counts as often as in d
+    # at most 2 * sum(sample) rows, so they may be broadcast; an id that is repeated is there as often as in d, within the bound
     picked = written(chosen.distinct(), "chosen")
     rows = written(d.join(F.broadcast(picked), "id").select("id", "text", "axis", "label").mapInArrow(_features, "axis int, label int, features array<int>, x array<float>"), "sample")
     dropped(said)
+    rows = _bounded(rows, sample)
     telling = spark.sparkContext.broadcast(_telling(rows))
 
     def slim(batches):
@@ -484,7 +498,7 @@ def classified(docs: DataFrame, labels: DataFrame | None = None, doc_id: str = "
     scorer knows the prior alone. Where labels repeat a doc_id, the worst of each counts. An empty table gives no rows. Extra columns are ignored.
     doc_id must be a whole number; other types are cast to long, and ids that are none become null.
     """
-    d = small_batches(docs).select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    d = small_batches(docs).select(F.col(doc_id).try_cast("long").alias("id"), F.col(text).alias("text"))
     weights, _ = fit(d, labels, sample)
     out = scores(d.select(F.col("id").alias("x"), "text"), weights)
     return out.select(F.col("x").alias(doc_id), "p_low", "p_toxic", ((F.col("p_low") < threshold) & (F.col("p_toxic") < threshold)).alias("kept"))
@@ -492,7 +506,7 @@ def classified(docs: DataFrame, labels: DataFrame | None = None, doc_id: str = "
 
 def kept_rows(docs: DataFrame, labels: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text", sample: tuple[int, int] = SAMPLE, threshold: float = 0.5) -> DataFrame:
     """The rows of docs that classified() keeps, with the columns of docs, whatever their names; other cases as there."""
-    weights, _ = fit(small_batches(docs).select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")), labels, sample)
+    weights, _ = fit(small_batches(docs).select(F.col(doc_id).try_cast("long").alias("id"), F.col(text).alias("text")), labels, sample)
     whole = docs.select(aside(docs).alias("x"), F.col(text).alias("text"))
     return scores(whole, weights).where((F.col("p_low") < threshold) & (F.col("p_toxic") < threshold)).select("x.*")
 

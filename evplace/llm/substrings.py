@@ -166,10 +166,10 @@ def removed_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     Segments whose anchor occurs once in all classes are unique; those that occur whole more than once
     need no search; the others meet in FM-indexes by anchor. Spans come back to texts by
     equi-joins on the segment. Texts and segments are known by 128 bits. Null and empty texts have no words. Rows that repeat a doc_id, or have
-    none, are rows like others. An empty table gives no rows. Extra columns are ignored.
+    none, are rows like others. Ids that are no whole numbers are null. An empty table gives no rows. Extra columns are ignored.
     """
     spark = docs.sparkSession
-    d = small_batches(docs).select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("key"), F.xxhash64(F.lit(1), text).alias("key2"))
+    d = small_batches(docs).select(F.col(doc_id).try_cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("key"), F.xxhash64(F.lit(1), text).alias("key2"))
     rows = written(d.mapInArrow(_scan(window), "id long, key long, key2 long, n long, sha string, occ array<struct<m:long,h:long,p:int,l:int>>"), "segments")
     classes = written(rows.groupBy("sha").agg(F.count("*").alias("copies"), F.first("occ").alias("occ"), F.min(F.struct("key", "key2")).alias("key")).select("sha", "copies", "occ", "key.*"), "texts")
     at = classes.select("sha", "copies", "key", "key2", F.explode("occ").alias("x")).select("sha", "copies", "key", "key2", "x.*")

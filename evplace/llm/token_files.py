@@ -132,7 +132,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, out: str, doc_id: st
     Documents are dealt by ranges of doc_id and sorted in their part, and each task writes its own
     part under a name of its own and then renames it, so a task that runs twice leaves one file.
     Only a row for each part reaches the driver, where a prefix sum gives every part its base.
-    Null and empty texts are the end id alone. Rows with one doc_id are ordered by text. An empty table
+    Null and empty texts are the end id alone. Rows with one doc_id are ordered by text. Ids that are no whole numbers are null. An empty table
     gives an empty list of parts. Extra columns are ignored.
     """
     def write(batches):
@@ -167,7 +167,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, out: str, doc_id: st
             fs.move(name + end, name + tail)
         yield pa.RecordBatch.from_pydict({"part": [part], "docs": [len(lengths)], "ids": [int(ends[-1])]}, schema=pa.schema([("part", pa.int32()), ("docs", pa.int64()), ("ids", pa.int64())]))
 
-    dealt = small_batches(docs).select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).repartitionByRange("id").sortWithinPartitions("id", "text")
+    dealt = small_batches(docs).select(F.col(doc_id).try_cast("long").alias("id"), F.col(text).alias("text")).repartitionByRange("id").sortWithinPartitions("id", "text")
     rows = sorted(dealt.mapInArrow(write, "part int, docs long, ids long").collect())
     bases = np.concatenate([[0], np.cumsum([r.ids for r in rows])]).astype(np.int64)
     parts = [{"part": r.part, "docs": r.docs, "ids": r.ids, "base": int(b)} for r, b in zip(rows, bases)]

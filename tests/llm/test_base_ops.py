@@ -183,3 +183,23 @@ def test_contamination(spark, limit):
     none = decontaminate.contamination(docs_of(spark, docs), spark.createDataFrame([], "item_id long, text string"), broadcast_bytes=limit)
     assert [r.n_hit for r in none.collect()] == [0] * len(docs)
     assert decontaminate.contamination(docs_of(spark, []), spark.createDataFrame(items, "item_id long, text string"), broadcast_bytes=limit).collect() == []
+
+
+def test_ids_that_are_no_whole_numbers(spark):
+    """They are null, or left out where a document needs an id; nothing fails, whatever the session says of casts."""
+    from evplace.llm import lm, neardup, quality, substrings
+
+    assert spark.conf.get("spark.sql.ansi.enabled") == "true"
+    docs = spark.createDataFrame([("7", "some words of a text that is long enough"), ("x1", "some words of a text that is long enough"), (None, "b c d"), ("9.5", None)], "doc_id string, text string")
+    ids = lambda df: sorted(str(r["doc_id"]) for r in df.select("doc_id").collect())
+    assert ids(neardup.near_duplicates(docs)) == ["7"]
+    for got in (lm.scored(docs, rounds=1), substrings.removed_words(docs, window=3), token_files.tokenized(docs, BPE), quality.classified(docs)):
+        assert ids(got) == ["7", "None", "None", "None"]
+
+
+def test_the_sample_is_bounded_by_rows(spark):
+    from evplace.llm import quality
+
+    rows = spark.createDataFrame([(a, y, [i, i + 1], [1.0, 0.5]) for a in (0, 1) for y, n in ((1, 9), (0, 3)) for i in range(n)], "axis int, label int, features array<int>, x array<float>")
+    got = sorted(tuple(r) for r in quality._bounded(rows, (4, 5)).groupBy("axis", "label").count().collect())
+    assert got == [(0, 0, 3), (0, 1, 4), (1, 0, 3), (1, 1, 4)] and quality._bounded(rows, (9, 3)) is rows
