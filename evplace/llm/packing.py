@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+import string
 import zlib
 from array import array
 from collections import Counter
@@ -83,10 +84,9 @@ class SpacedEncoder(dict):
     def __missing__(self, word: str) -> bytes:
         ids = self.older.get(word)
         if ids is None:
-            if _latin(word):
-                ids = self._pretoken(word, self.space)
-            elif word[-1:] in (".", ",", ";", ":", "!", "?") and _latin(word[:-1]):
-                ids = self[word[:-1]] + self._bare(word[-1])
+            letters = word.rstrip(string.punctuation)
+            if _latin(letters):  # and a run of marks, if any, is a piece of its own
+                ids = self._pretoken(word, self.space) if letters == word else self[letters] + self._bare(word[len(letters) :])
             elif "\n" in word and all(len(x.split()) == 1 and x == x.strip() for x in word.split("\n")):
                 first, *lines = word.split("\n")
                 ids = self[first] + b"".join(self._bare("\n") + self._bare(x) for x in lines)

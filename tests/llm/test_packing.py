@@ -13,7 +13,7 @@ from evplace.llm import packing
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 ODD = ["", " ", "  ", "a  b", "a   b", " a", "a ", "a  ", "a\n b", "a \n b", "a\n\n b", "a\nb\nc x", "x's 'tis it's don't I'LL", "café naïve \U0001f600 x", "<|endoftext|> b", "a\x1cb \x1cc d\x85e f  g",
-       "12 34a b5 a.b a... b!?   c", "ªº straße. ǅx ẛ̣ İ", "a\t b\t\tc \td", "word.\nNext word,\nthen", "a\n\x1fb c", "x \n\n\n y", "é. é, .a a.\nb", "﻿a b", "  lead", "trail\n"]
+       "12 34a b5 a.b a... b!?   c", "ªº straße. ǅx ẛ̣ İ", "a\t b\t\tc \td", "word.\nNext word,\nthen", "a\n\x1fb c", "x \n\n\n y", "é. é, .a a.\nb", "﻿a b", "  lead", "trail\n", "inly$$$ a's' b'' c'! of%%% d\"). e-- it's. f'll' g_ h~\n!i #j ((k)) l'm'n"]
 
 
 def test_words_give_the_ids_of_whole_texts(spark):
