@@ -10,6 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evplace.llm._shared import aside, dropped, mix64, small_batches, written
 
@@ -483,7 +484,8 @@ def scores(d: DataFrame, weights: np.ndarray) -> DataFrame:
                     p.append(1 / (1 + np.exp(-np.clip(logit, -40, 40))))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(p[0]), pa.array(p[1])], ["x", "p_low", "p_toxic"])
 
-    return d.mapInArrow(run, f"x {d.schema['x'].dataType.simpleString()}, p_low double, p_toxic double")
+    # as types, not as text: x may be a struct with columns of any name
+    return d.mapInArrow(run, T.StructType([T.StructField("x", d.schema["x"].dataType), *[T.StructField(c, T.DoubleType()) for c in ("p_low", "p_toxic")]]))
 
 
 def classified(docs: DataFrame, labels: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text", sample: tuple[int, int] = SAMPLE, threshold: float = 0.5) -> DataFrame:

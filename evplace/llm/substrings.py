@@ -27,6 +27,7 @@ def segments(words: list[list[bytes]], window: int, anchor: int = ANCHOR):
     windows have equal anchors. A segment is a longest run of windows with the very same anchor;
     each window of each text lies in just one segment.
     """
+    anchor = min(anchor, window)
     n = np.array([len(w) for w in words], dtype=np.int64)
     ends = np.cumsum(n)
     none = (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),) * 2
