@@ -186,7 +186,7 @@ def _(s, d):
     return got.select(F.regexp_extract("path", r"(\w+)-\d+\.bin$", 1).alias("seq"), "frame_idx", "t_ref", "kp_idx", "x", "y", "score", r6(total, "total"))
 
 
-@query("read_npz_features", f"SELECT frame_idx, {SQL_TEXT6.format('vec')} AS vec FROM dn WHERE seq = 'ref'")
+@query("read_npz_features", f"SELECT seq, frame_idx, {SQL_TEXT6.format('vec')} AS vec FROM dn")
 def _(s, d):
     path = new_path(s, "npz")
 
@@ -198,17 +198,19 @@ def _(s, d):
         from pyarrow import fs
 
         out, root = fs.FileSystem.from_uri(path)
-        out.create_dir(root, recursive=True)
+        for seq in ("ref", "query"):
+            out.create_dir(f"{root}/{seq}", recursive=True)
         for pdf in frames_:
-            for i, v in zip(pdf["frame_idx"], pdf["vec"]):
+            for seq, i, v in zip(pdf["seq"], pdf["frame_idx"], pdf["vec"]):
                 data = io.BytesIO()
                 np.savez(data, np.asarray(v)[None, :])
-                with out.open_output_stream(f"{root}/ref_feats_{i}.npz") as f:
+                with out.open_output_stream(f"{root}/{seq}/feats_{i}.npz") as f:
                     f.write(data.getvalue())
             yield pd.DataFrame({"n": [len(pdf)]})
 
-    fx.descriptors(s, d, "ref").select("frame_idx", "vec").mapInPandas(write, "n long").agg(F.sum("n")).collect()
-    return ft_src.read_npz_features(s, path).select("frame_idx", text6(F.col("vec")).alias("vec"))
+    fx.descriptors(s, d).select("seq", "frame_idx", "vec").mapInPandas(write, "n long").agg(F.sum("n")).collect()
+    both = [ft_src.read_npz_features(s, f"{path}/{seq}").select(F.lit(seq).alias("seq"), "frame_idx", text6(F.col("vec")).alias("vec")) for seq in ("ref", "query")]
+    return both[0].unionByName(both[1])
 
 
 @query("write_shortlist", "SELECT query_idx, rank, ref_idx, round(dist, 6) AS dist, 'ref' AS ref_seq, 'query' AS query_seq FROM cand")
