@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from evplace.functions import nearest
-from evplace.operators import similarity
+from evplace.operators import evaluate, similarity
+from evplace.plans import fixtures as fx
 from tests.test_matching import vecs
 
 
@@ -75,3 +76,37 @@ def test_a_task_holds_k_rows_of_each_query_in_place(spark):
     ref = spark.range(9000).select(F.col("id").alias("frame_idx"), F.array(F.lit(1.0), F.lit(2.0)).alias("vec"))
     got = similarity.nearest_in_place(ref, [(1, [1.0, 0.0]), (2, [0.0, 1.0])], 3)
     assert sorted((x.query_idx, x.ref_idx) for x in got.collect()) == [(q, r) for q in (1, 2) for r in range(3)]
+
+
+@pytest.mark.parametrize("tol", [0, 1, 3])
+def test_classes_give_the_recall_of_their_pairs(spark, tol):
+    """Classes are never multiplied out: no join of the plan has more rows than the shortlist's and the frames' (2 * tol + 1) labels."""
+    rng = np.random.default_rng(6)
+    label = lambda: [None if x == 0 else int(x) for x in rng.integers(0, 9 * (1 + tol) ** 2, 40)]
+    refs = spark.createDataFrame([(i, x if x != 5 else None) for i, x in enumerate(label())], "ref_idx long, label int")
+    queries = spark.createDataFrame(list(enumerate(label())), "query_idx long, label int")
+    ranked = spark.createDataFrame([(q, int(r), float(i)) for q in range(36) for i, r in enumerate(rng.permutation(40)[:12])], "query_idx long, ref_idx long, dist double")
+    pairs = refs.join(queries, "label").select("ref_idx", "query_idx")
+    recall = lambda gt: {x.k: round(x.recall, 12) for x in evaluate.recall_at_k(ranked, gt, (1, 2, 5), tol=tol).collect()}
+    assert recall(evaluate.ClassTruth(refs, queries)) == recall(pairs) and recall(pairs)[1] < recall(pairs)[5]
+
+
+@pytest.mark.parametrize("tol,tile", [(1, 4), (2, 4), (3, 5), (5, 1024)])
+def test_boxes_are_widened_tile_by_tile(spark, monkeypatch, tol, tile):
+    monkeypatch.setattr(evaluate, "TILE", tile)
+    pairs = [(0, 0), (3, 4), (4, 3), (7, 18), (19, 0), (8, 8), (8, 8), (12, 11), (23, 5), (-2, 3)]
+    want = {(r + a, q + b) for r, q in pairs for a in range(-tol, tol + 1) for b in range(-tol, tol + 1) if 0 <= r + a < 20 and 0 <= q + b < 19}
+    gt = spark.createDataFrame(pairs, "ref_idx long, query_idx long")
+    got = [tuple(x) for x in evaluate.dilate_gt(gt, tol, 20, 19).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    plan = evaluate.dilate_gt(gt, tol, 20, 19)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan  # boxes are not shuffled to tell their cells apart
+
+
+def test_pairs_of_a_label_are_dealt(spark):
+    """All pairs of a label are not one task's: ten labels have more than ten groups."""
+    plan = fx.gt(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "share" in plan
+    d = fx.descriptors(spark, "/root/testdata/sf0.001")
+    n = {(x.seq, x.label): x["count"] for x in d.groupBy("seq", "label").count().collect()}
+    assert fx.gt(spark, "/root/testdata/sf0.001").distinct().count() == sum(m * n.get(("query", k[1]), 0) for k, m in n.items() if k[0] == "ref")
