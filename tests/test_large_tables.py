@@ -5,9 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from evplace.functions import nearest
-from evplace.operators import evaluate, similarity
+from evplace.operators import evaluate, rerank, similarity
 from evplace.plans import fixtures as fx
-from tests.test_matching import vecs
+from tests.test_matching import packs_of, vecs
 
 
 @pytest.mark.parametrize("metric", nearest.METRICS)
@@ -110,3 +110,38 @@ def test_pairs_of_a_label_are_dealt(spark):
     d = fx.descriptors(spark, "/root/testdata/sf0.001")
     n = {(x.seq, x.label): x["count"] for x in d.groupBy("seq", "label").count().collect()}
     assert fx.gt(spark, "/root/testdata/sf0.001").distinct().count() == sum(m * n.get(("query", k[1]), 0) for k, m in n.items() if k[0] == "ref")
+
+
+@pytest.mark.parametrize("fill", ["base", "inf"])
+def test_all_pairs_with_new_distances_need_no_join_of_pairs(spark, monkeypatch, fill):
+    monkeypatch.setattr(similarity, "PAIR_BLOCK", 7)
+    rng = np.random.default_rng(8)
+    ref, query = vecs(spark, rng.normal(size=(30, 5))), vecs(spark, rng.normal(size=(20, 5)), "query")
+    new = spark.createDataFrame([(q, q + 3, float(q) / 7) for q in range(20)] + [(4, 1, 0.25), (5, 1, None), (99, 1, 0.5), (1, 99, 0.5)], "query_idx long, ref_idx long, new_dist double")
+    pairs = similarity.similarity_pairs(ref, query).withColumn("dist", 1 - F.col("sim"))
+    rows = lambda df: sorted((x.query_idx, x.ref_idx, round(x.new_dist, 9)) for x in df.collect())
+    got = rerank.full_columns(ref, query, new, fill)
+    assert rows(got) == rows(rerank.full_column(pairs, new, fill)) and "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_the_best_of_batches_hold_the_shortlist(spark):
+    rng = np.random.default_rng(9)
+    pairs = spark.createDataFrame([(int(q), int(r), float(d)) for q, r, d in zip(rng.integers(0, 6, 3000), range(3000), rng.integers(0, 60, 3000))], "query_idx long, ref_idx long, dist double").repartition(3)
+    rows = lambda df: sorted(tuple(x) for x in similarity.shortlist_from_pairs(df, 9).select("query_idx", "rank", "ref_idx", "dist").collect())
+    few = similarity.best_of_batches(pairs, 9)
+    assert rows(few) == rows(pairs) and few.count() <= 3 * 6 * 9
+
+
+def test_candidates_anywhere_do_not_make_a_block_for_each_pair(spark, monkeypatch):
+    """4,000 query frames with two candidates each, anywhere among 4,000: blocks of 16 and 128 would hold about a pair each."""
+    rng = np.random.default_rng(10)
+    packs = packs_of(spark, [(i, [(0, 0.0, 0.0, [float(i), 1.0])]) for i in range(4000)])
+    pairs = spark.createDataFrame([(i, int(j)) for i in range(4000) for j in rng.choice(4000, 2, replace=False)], "query_idx long, ref_idx long")
+    seen, floor = [], F.floor
+    monkeypatch.setattr(rerank.F, "floor", lambda c: seen.append(str(c)) or floor(c))
+    assert rerank.match_shortlist(pairs, packs, packs).count() == 8000
+    assert any("240" in c for c in seen) and any("1920" in c for c in seen), seen
+    seen.clear()
+    monkeypatch.setattr(rerank, "HELD", 1)
+    assert rerank.match_shortlist(pairs.limit(50), packs, packs).count() == 50
+    assert any(", 16)" in c for c in seen) and any(", 128)" in c for c in seen), seen
