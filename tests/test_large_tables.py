@@ -112,6 +112,21 @@ def test_pairs_of_a_label_are_dealt(spark):
     assert fx.gt(spark, "/root/testdata/sf0.001").distinct().count() == sum(m * n.get(("query", k[1]), 0) for k, m in n.items() if k[0] == "ref")
 
 
+def test_pairs_are_rounded_where_they_are_made_and_dealt_to_many_tasks(spark, monkeypatch):
+    """No column is rounded row by row, and small inputs do not bring all blocks to a few tasks."""
+    monkeypatch.setattr(similarity, "PAIR_BLOCK", 7)
+    rng = np.random.default_rng(14)
+    ref, query = vecs(spark, rng.normal(size=(30, 5))), vecs(spark, rng.normal(size=(20, 5)), "query")
+    rows = lambda df: sorted(tuple(x) for x in df.collect())
+    for name, of in [("sim", similarity.similarity_pairs)] + [("dist", lambda r, q, digits=None, m=m: similarity.pairwise_distance(r, q, m, digits=digits)) for m in nearest.METRICS]:
+        got = of(ref, query, digits=6)
+        assert got.rdd.getNumPartitions() == 15
+        assert rows(got) == rows(of(ref, query).withColumn(name, F.round(name, 6)))
+    x = np.array([0.1234565, -0.1234565, -1e-9, 2.5e-7, np.inf, -np.inf, 7.0])
+    y = similarity.rounded(x, 6)
+    assert y.tolist() == [0.123457, -0.123457, 0.0, 0.0, np.inf, -np.inf, 7.0] and not np.signbit(y[2]) and np.isnan(similarity.rounded(np.array([np.nan]), 6)[0])
+
+
 @pytest.mark.parametrize("fill", ["base", "inf"])
 def test_all_pairs_with_new_distances_need_no_join_of_pairs(spark, monkeypatch, fill):
     monkeypatch.setattr(similarity, "PAIR_BLOCK", 7)
