@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import os
+import struct
 import uuid
 import zlib
 
@@ -24,6 +25,8 @@ from evplace.llm._shared import new_path, small_batches
 #: Pieces in one generation of a worker's cache, for each tokenizer; it keeps two.
 REMEMBERED = 250_000
 _MARKS = frozenset(".,;:!?")
+#: Marks of which a run behind a letter is a word of its own by _WORD_PATTERN: all of ASCII but the apostrophe, which may begin a suffix.
+_RUNS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _encoders: dict = {}
 
 
@@ -33,19 +36,26 @@ _DROPS_SPACE = ("BertPreTokenizer", "Whitespace", "WhitespaceSplit")
 _WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+def _steps(x, inner: str) -> list[dict]:
+    return [] if x is None else [z for y in x[inner] for z in _steps(y, inner)] if x["type"] == "Sequence" else [x]
+
+
+def _splits_words(pre: list[dict]) -> bool:
+    """Do pre-tokenisers begin with the split at _WORD_PATTERN?"""
+    return bool(pre) and pre[0]["type"] == "Split" and pre[0]["pattern"] == {"Regex": _WORD_PATTERN} and pre[0]["behavior"] == "Removed" and pre[0]["invert"]
+
+
 def splits_at_space(tokenizer) -> bool:
     """Does a tokenizer's own description say that no token reaches across white space and that white space itself gives none?"""
     j = json.loads(tokenizer.to_str())
-    steps = lambda x, inner: [] if x is None else [z for y in x[inner] for z in steps(y, inner)] if x["type"] == "Sequence" else [x]
-    for n in steps(j["normalizer"], "normalizers"):
+    for n in _steps(j["normalizer"], "normalizers"):
         one_space = n["type"] == "Replace" and n["pattern"] == {"Regex": r"\s+"} and n["content"] == " "
         if n["type"] not in _KEEPS_SPACE and not one_space:
             return False
-    pre = steps(j["pre_tokenizer"], "pretokenizers")
+    pre = _steps(j["pre_tokenizer"], "pretokenizers")
     if not pre or any(x.get("lstrip") or x.get("rstrip") or any(c.isspace() for c in x["content"]) for x in j["added_tokens"]):
         return False
-    words = pre[0]["type"] == "Split" and pre[0]["pattern"] == {"Regex": _WORD_PATTERN} and pre[0]["behavior"] == "Removed" and pre[0]["invert"]
-    if not words and pre[0]["type"] not in _DROPS_SPACE:
+    if not _splits_words(pre) and pre[0]["type"] not in _DROPS_SPACE:
         return False
     return all(p["type"] == "ByteLevel" and not p["add_prefix_space"] for p in pre[1:])
 
@@ -57,7 +67,7 @@ class PieceEncoder(dict):
     text are those of its pieces between ASCII white space, one after another; with any other tokenizer whole texts go to the library.
     The mapping from pieces to ids is the cache.
     A piece of Latin letters in lower case is one word to the model, and a mark behind a letter is
-    a word of its own; where samples show this to hold, the library's model gets such words directly. All other
+    a word of its own, as is a run of marks where the description splits at _WORD_PATTERN; where samples show this to hold, the library's model gets such words directly. All other
     pieces go through the whole tokenizer. Tests compare with the library on whole texts.
     """
 
@@ -72,25 +82,35 @@ class PieceEncoder(dict):
         plain = lambda x: t.encode(x, add_special_tokens=False).ids
         # the printable form of each byte that byte-level models use: bytes without one are numbered from 256
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-        self.shown = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in shown)}
+        other = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in shown)}
+        self.shown = "".join(chr(other.get(b, b)) for b in range(256))
+        self.tokenize, self.kind = t.model.tokenize, "H" if self.dtype.itemsize == 2 else "I"
         words = ("the", "zqxv", "straße", "éàñ", "ƃaǿ", "ªº")
         self.folds = plain("AZ bY") == plain("az by")  # ids do not depend on the case of A-Z
-        self.direct = self.folds and all(self._word(w) == plain(w) for w in words)
+        self.direct = self.folds and all(self._word(w.encode()) == self._pack(plain(w)) for w in words)
         self.splits = self.direct and all(plain(w + m) == plain(w) + plain(m) for w in words for m in _MARKS)
+        runs = self.splits and self.by_piece and _splits_words(_steps(json.loads(t.to_str())["pre_tokenizer"], "pretokenizers"))
+        self.runs = _RUNS if runs and all(plain(w + m) == plain(w) + plain(m) for w in words for m in ("###", "&&&", ".!!", *_RUNS.decode())) else b""
+
+    def _pack(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{self.kind}", *ids)
 
-    def _word(self, word: str) -> list[int]:
-        return [t.id for t in self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(self.shown))]
+    def _word(self, word: bytes) -> bytes:
+        shown = word.decode("latin-1")
+        return self._pack([t.id for t in self.tokenize(shown if shown.isascii() else shown.translate(self.shown))])
 
     def __missing__(self, piece: bytes) -> bytes:
         ids = self.older.get(piece)
         if ids is None:
             s = piece.decode()
-            if self.splits and len(s) > 1 and s[-1] in _MARKS and "a" <= s[-2] < "\u0250" and s[-2].isalpha() and s[-2] == s[-2].lower():
-                ids = self[s[:-1].encode()] + self[s[-1].encode()]
-            elif self.direct and s.isalpha() and max(s) < "\u0250" and s == s.lower():
-                ids = np.array(self._word(s), self.dtype).tobytes()
+            if self.direct and s.isalpha() and (s.isascii() or max(s) < "\u0250") and s == s.lower():
+                ids = self._word(piece)
+            elif self.runs and (bare := piece.rstrip(self.runs)) != piece and bare and "a" <= (c := bare.decode()[-1]) < "\u0250" and c.isalpha() and c == c.lower():
+                ids = self[bare] + self[piece[len(bare) :]]
+            elif self.splits and len(s) > 1 and s[-1] in _MARKS and "a" <= s[-2] < "\u0250" and s[-2].isalpha() and s[-2] == s[-2].lower():
+                ids = self[piece[:-1]] + self[piece[-1:]]
             else:
-                ids = np.array(self.tokenizer.encode(s, add_special_tokens=False).ids, self.dtype).tobytes()
+                ids = self._pack(self.tokenizer.encode(s, add_special_tokens=False).ids)
         self[piece] = ids
         return ids
 
@@ -105,7 +125,7 @@ class PieceEncoder(dict):
             raw = t.encode() if t else b""
             low = raw.lower() if self.folds else raw
             if any(x in low for x in self.special):  # a special token's own case matters
-                own = [np.array(self.tokenizer.encode(p.decode(), add_special_tokens=False).ids, self.dtype).tobytes() for p in raw.split()]
+                own = [self._pack(self.tokenizer.encode(p.decode(), add_special_tokens=False).ids) for p in raw.split()]
             else:
                 own = map(self.__getitem__, low.split())
             out.append(b"".join(own) + end)

@@ -62,6 +62,26 @@ def test_other_tokenizers_get_whole_texts(spark):
         assert not token_files.splits_at_space(tok)
 
 
+def test_runs_of_marks_behind_a_word_are_words():
+    """Such pieces do not go to the library as wholes, and have its ids all the same."""
+    import public_tokenizers
+
+    encode = token_files.PieceEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    asked, real = [], encode.tokenizer
+
+    class Asked:
+        def encode(self, text, **options):
+            asked.append(text)
+            return real.encode(text, **options)
+
+    encode.tokenizer = Asked()
+    marks = [m for m in map(chr, range(33, 127)) if not m.isalnum()]
+    texts = ["word### straße&&& Éoi!! thntou.!! it's### é's --x-- a" + "'" * 3, " ".join(f"{w}{m * k}" for w in ("zq", "Éà", "ſt", "9", "x9", "x'", "don't", "l'été", "o'll") for m in marks for k in (1, 3)), "a.b,, x\u0301## ]]> (x)", None]
+    got = encode(texts, 2)
+    assert got == [np.array(real.encode(t or "", add_special_tokens=False).ids + [2], encode.dtype).tobytes() for t in texts]
+    assert not {"word###", "straße&&&", "thntou.!!"} & set(asked)
+
+
 def test_token_files_hard_cases(spark):
     got = token_files.tokenized(docs_of(spark, ODD), BPE).collect()
     assert len(got) == len(ODD) and sum(r.doc_id is None for r in got) == 1
