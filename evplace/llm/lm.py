@@ -31,6 +31,8 @@ ROUNDS = 2
 FEATURES = 5
 END = b""
 TOKENS = 8192
+#: Rows of a table that a step changes at once.
+CACHED = 512
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -234,6 +236,7 @@ def _descend(table, squares, rows, gradient, rate):
     Rows are in descending order of their tokens, so sums take the first token of each row as it is and add the next ones to ever shorter
     beginnings, while many rows have as many; what is left of the few very frequent rows is summed run by run.
     """
+    room = np.empty((2, CACHED, gradient.shape[1]), np.float32)
     for r in rows:
         order = np.argsort(r, kind="stable")
         r = r[order]
@@ -247,18 +250,28 @@ def _descend(table, squares, rows, gradient, rate):
             total[:many] += gradient.take(order[first[:many] + done], axis=0)
             done += 1
             many = int(np.searchsorted(less, -done))
-        for i in range(many):
-            total[i] += np.einsum("ij->j", gradient.take(order[first[i] + done : first[i] - less[i]], axis=0))
+        if len(first) == 1:
+            np.einsum("ij->j", gradient, out=total[0])  # one row for all, in any order
+        elif many:
+            n = -less[:many] - done
+            ends = np.cumsum(n)
+            rest = order[np.repeat(first[:many] + done - (ends - n), n) + np.arange(ends[-1])]
+            total[:many] += np.add.reduceat(gradient.take(rest, axis=0), ends - n, axis=0)
         at = r[first].astype(np.intp)
-        s = squares.take(at, axis=0)
-        s += total * total
-        squares[at] = s
-        np.sqrt(s, out=s)
-        total *= rate
-        total /= s
-        s = table.take(at, axis=0)
-        s -= total
-        table[at] = s
+        # some rows at a time, which stay in the processor's cache from one step to the next
+        for lo in range(0, len(at), CACHED):
+            some, t = at[lo : lo + CACHED], total[lo : lo + CACHED]
+            s, part = room[0][: len(some)], room[1][: len(some)]
+            squares.take(some, axis=0, out=s, mode="clip")
+            np.multiply(t, t, out=part)
+            s += part
+            squares[some] = s
+            np.sqrt(s, out=s)
+            t *= rate
+            t /= s
+            table.take(some, axis=0, out=s, mode="clip")
+            s -= t
+            table[some] = s
 
 
 def train(texts: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, rate: float = 0.25, rows: tuple[int, int] = LEAST_ROWS) -> Model:
