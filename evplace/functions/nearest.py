@@ -5,8 +5,8 @@ from __future__ import annotations
 import numpy as np
 
 METRICS = ("cosine", "euclidean", "cityblock")
-#: Rows of references and of queries that are screened at once, references whose distances give the first limit, and pairs measured at once.
-TILE, ROWS, FIRST, MEASURED = 8192, 128, 2048, 1 << 16
+#: Rows of references and of queries that are screened at once, groups of references for each that is wanted, whose least distances give the first limit, and pairs measured at once.
+TILE, ROWS, GROUPS, MEASURED = 8192, 128, 8, 1 << 16
 
 
 def measured(q: np.ndarray, r: np.ndarray, metric: str) -> np.ndarray:
@@ -37,6 +37,14 @@ def products(q: np.ndarray, r: np.ndarray) -> np.ndarray:
     return np.einsum("ik,jk->ij", q, r, optimize=False)
 
 
+def _kth(s: np.ndarray, k: int) -> np.ndarray:
+    """A bound on the k-th least of each row: the k-th of the least of GROUPS x k groups of columns, or of all if there are fewer."""
+    groups = GROUPS * k
+    if s.shape[1] > 2 * groups:
+        s = s[:, : s.shape[1] // groups * groups].reshape(len(s), -1, groups).min(axis=1)
+    return np.partition(s, k - 1, axis=1)[:, k - 1]
+
+
 class Nearest:
     """The k nearest of all references added so far for each row of ``q``, ties to the smaller id; NaN is farthest.
 
@@ -84,12 +92,18 @@ class Nearest:
             return unit if length * own >= 1e-8 else np.inf
         return unit * ((length + own) ** 2 if self.metric == "euclidean" else length + own)
 
+    def _base(self, lo: int):
+        """What the screen leaves out of distances (squared ones, if Euclidean): the same for all references of a query, so limits are less by it."""
+        return 1.0 if self.metric == "cosine" else self.low[1][lo : lo + ROWS].astype(np.float64) if self.metric == "euclidean" else 0.0
+
     def _tile(self, r: np.ndarray, ids: np.ndarray) -> None:
         low, each, length = self._low(r)
         slack, columns = self._slack(length), np.ascontiguousarray(low.T)
+        # scaled by a power of two, which rounds nothing: products need no pass of their own for it
+        factor = np.float32({"cosine": -1, "euclidean": -2, "cityblock": 1}[self.metric])
         buffer, ones = (np.empty_like(columns), np.ones(len(columns), np.float32)) if self.metric == "cityblock" else (None, None)
         for lo in range(0, len(self.q), ROWS):
-            q = self.low[0][lo : lo + ROWS]
+            q = self.low[0][lo : lo + ROWS] * factor
             if self.metric == "cityblock":
                 s = np.empty((len(q), len(r)), np.float32)
                 for i, v in enumerate(q):
@@ -97,17 +111,16 @@ class Nearest:
                     np.matmul(ones, np.abs(buffer, out=buffer), out=s[i])
             else:
                 s = q @ columns
-                s *= -1 if self.metric == "cosine" else -2
-                s += 1 if self.metric == "cosine" else each
                 if self.metric == "euclidean":
-                    s += self.low[1][lo : lo + ROWS, None]
-            last = self.d[lo : lo + ROWS, -1]
+                    s += each
+            last, base = self.d[lo : lo + ROWS, -1], self._base(lo)
             limit = np.where(self.has[lo : lo + ROWS, -1], last * last if self.metric == "euclidean" else last, np.inf)
-            limit = limit * (1 + 1e-12) + slack
+            limit = limit * (1 + 1e-12) + slack - base
             if np.isfinite(slack) and not np.isfinite(limit).all() and s.shape[1] > self.k:
-                near = s[:, : max(FIRST, self.k + 1)]
-                limit = np.fmin(limit, np.partition(near, self.k - 1, axis=1)[:, self.k - 1].astype(np.float64) + 2 * slack)
-            i, j = np.nonzero(~(s > np.nextafter(limit.astype(np.float32), np.float32(np.inf))[:, None]))
+                limit = np.fmin(limit, _kth(s, self.k).astype(np.float64) + 2 * slack)
+            near = s <= np.nextafter(limit.astype(np.float32), np.float32(np.inf))[:, None] if np.isfinite(slack) else np.ones(s.shape, bool)
+            near[np.isnan(limit)] = True
+            i, j = np.divmod(np.flatnonzero(near), len(r))
             if len(i):
                 d = np.concatenate([measured(self.q[lo + i[a : a + MEASURED]], r[j[a : a + MEASURED]], self.metric) for a in range(0, len(i), MEASURED)])
                 self._merge(lo + i, ids[j], d)

@@ -18,8 +18,8 @@ from evplace.functions.sizes import small
 BLOCK, VALUES, CELLS = 4096, 1 << 22, 64
 #: Rows of a block on each side where all pairs are given out.
 PAIR_BLOCK = 1024
-#: Tasks for each core between which blocks are dealt.
-TASKS = 8
+#: Tasks for each core between which blocks are dealt where all pairs are given out, and tasks for each pair of blocks that is searched: few pairs then meet in one.
+TASKS, APART = 8, 4
 
 
 def _sizes(df: DataFrame, keys: tuple[str, ...] = ()) -> tuple[int, int]:
@@ -112,7 +112,7 @@ def nearest_blocks(ref: DataFrame, query: DataFrame, k: int = 50, metric: str =
     """keys, query_idx, rank, ref_idx, dist: the k nearest references of each query, ties to the smaller ref_idx.
 
     Rows are dealt by their hash into blocks of about ``block``, or larger ones in large tables (_grid()); each pair of a query and a reference block is one bounded group, of
-    which at most k rows for each query are shuffled again. ``keys``
+    which at most k rows for each query are shuffled again. Groups are dealt to tasks by their number, as Spark would join what is few bytes to few tasks, however much work it is. ``keys``
     names columns that must be equal, for many pairs of sequences in one job.
     """
     if metric not in METRICS:
@@ -133,6 +133,7 @@ def nearest_blocks(ref: DataFrame, query: DataFrame, k: int = 50, metric: str =
         return pa.Table.from_arrays([*(left.column(c).take(pa.array(i)) for c in keys), pa.array(q_idx[i]), pa.array(ids), pa.array(d)], names)
 
     grid = [*keys, "qb", "rb"]
+    q, r = (x.repartition(APART * rb * qb, *grid) for x in (q, r))
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in keys), "query_idx long, ref_idx long, dist double"])
     return shortlist_from_pairs(q.groupBy(*grid).cogroup(r.groupBy(*grid)).applyInArrow(top, schema), k, keys)
 

@@ -34,6 +34,24 @@ def test_nearest_equals_measuring_all(metric, kind):
     assert (i == np.repeat(np.arange(len(q)), order.shape[1])).all()
 
 
+@pytest.mark.parametrize("metric", nearest.METRICS)
+def test_few_pairs_are_measured_in_double(metric, monkeypatch):
+    """The first limit is near the k-th distance of the whole tile, so little more than what is given out is measured."""
+    rng, pairs, own = np.random.default_rng(5), [], nearest.measured
+    monkeypatch.setattr(nearest, "measured", lambda q, r, m: pairs.append(len(q)) or own(q, r, m))
+    best = nearest.Nearest(rng.normal(size=(130, 16)), 50, metric)
+    best.add(rng.normal(size=(nearest.TILE, 16)), np.arange(nearest.TILE))
+    assert len(best.rows()[0]) == 130 * 50 and sum(pairs) < 130 * 50 * 1.5
+
+
+def test_searched_blocks_are_dealt_by_their_number(spark):
+    """Not by their bytes, by which Spark would join them to few tasks."""
+    rng = np.random.default_rng(6)
+    found = similarity.nearest_blocks(vecs(spark, rng.normal(size=(40, 4))), vecs(spark, rng.normal(size=(40, 4)), "query"), 3, block=10)
+    tasks = similarity.APART * 16
+    assert found.count() == 120 and found._jdf.queryExecution().toString().count(f", {tasks}), REPARTITION_BY_NUM") >= 2
+
+
 def test_blocks_of_the_grid_grow_with_the_table(spark):
     assert similarity._grid(spark.range(0), 500, 500, 64, 128) == (4, 4)
     shipped = []
