@@ -62,7 +62,7 @@ def _slices(batch, size: int = 1_500_000):
 def word_counts(texts: DataFrame) -> DataFrame:
     """feature, word (binary, empty: the end), c over all texts (id, text); counted in tasks before the shuffle.
 
-    Rows with a feature (and no word) are those of one in COUNTED hashes of features.
+    Rows with a feature (and no word) are those of one in COUNTED hashes of features; a task whose own ones tell that tables are as large as they get looks for no more.
     """
     def rows(features, words, counts):
         return pa.RecordBatch.from_arrays([pa.array(features, pa.int64()), pa.array(words, pa.binary()), pa.array(counts, pa.int64())], ["feature", "word", "c"])
@@ -72,19 +72,19 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
         c: Counter = Counter()
         some: set[int] = set()
+        enough = False
         for batch in batches:
             for part in _slices(batch):
                 ws = [tokens(t) for t in part.column(1).to_pylist()]
                 flat = [w for x in ws for w in x]
                 c.update(flat)
-                f = _features(np.array([zlib.crc32(w) for w in flat], np.int64), np.repeat(np.arange(len(ws)), [len(x) for x in ws]))
-                some.update(f[f % np.uint64(COUNTED) == 0].tolist())
+                if not enough:
+                    f = _features(np.array([zlib.crc32(w) for w in flat], np.int64), np.repeat(np.arange(len(ws)), [len(x) for x in ws]))
+                    some.update(f[f % np.uint64(COUNTED) == 0].tolist())
+                    enough = COUNTED * len(some) >= max(MOST_ROWS)
                 if len(c) > 300_000:
                     yield rows([None] * len(c), list(c), list(c.values()))
                     c.clear()
-                if len(some) > 300_000:
-                    yield rows(list(some), [None] * len(some), [0] * len(some))
-                    some.clear()
         if c or some:
             yield rows([None] * len(c) + list(some), list(c) + [None] * len(some), list(c.values()) + [0] * len(some))
 
@@ -157,14 +157,20 @@ def _features(context: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
-    return z
+    # sums of rows as a product, and greatest values only of rows that need them: reductions along short rows are slow
+    with np.errstate(over="ignore"):
+        p = np.exp(z)
+    total = p @ np.ones(z.shape[1], np.float32)
+    odd = np.flatnonzero(~((total > 1e-20) & (total < 1e30)))
+    if len(odd):
+        p[odd] = np.exp(z[odd] - z[odd].max(axis=1, keepdims=True))
+        total[odd] = p[odd].sum(axis=1)
+    p /= total[:, None]
+    return p
 
 
 class Model:
-    """Feature weights for classes, and for the words of a class; hashed to ``rows`` of each table."""
+    """Feature weights for classes, and for the words of a class; hashed to ``rows`` of each table, powers of two."""
 
     def __init__(self, vocabulary: Vocabulary, rows: tuple[int, int] = LEAST_ROWS):
         self.v = vocabulary
@@ -174,8 +180,8 @@ class Model:
     def rows(self, f: np.ndarray, cls: np.ndarray | None = None) -> np.ndarray:
         """Row of each token and feature, [feature, token], uint16."""
         if cls is None:
-            return np.ascontiguousarray((f % np.uint64(len(self.of_class))).astype(np.uint16).T)
-        return np.ascontiguousarray((((f + cls[:, None].astype(np.uint64) * np.uint64(0x632BE5AB)) * np.uint64(0x85EBCA6B) >> np.uint64(7)) % np.uint64(len(self.of_word))).astype(np.uint16).T)
+            return np.ascontiguousarray((f & np.uint64(len(self.of_class) - 1)).astype(np.uint16).T)
+        return np.ascontiguousarray((((f + cls[:, None].astype(np.uint64) * np.uint64(0x632BE5AB)) * np.uint64(0x85EBCA6B) >> np.uint64(7)) & np.uint64(len(self.of_word) - 1)).astype(np.uint16).T)
 
     @staticmethod
     def _sum(table, rows):

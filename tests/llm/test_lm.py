@@ -110,3 +110,22 @@ def test_hard_cases(spark):
     only = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
     alone = lm.scored(spark.createDataFrame([(only, "no training text")], "doc_id long, text string")).collect()
     assert alone[0].train_tokens == 0 and alone[0].base_score == 0 and math.isfinite(alone[0].score)
+
+
+def test_softmax_of_rows_of_any_size():
+    z = np.random.default_rng(1).normal(size=(50, 41)).astype(np.float32) * 5
+    z[3] += 300
+    z[4] -= 300
+    z[5, 7] = 95
+    wide = z.astype(np.float64)
+    wide = np.exp(wide - wide.max(axis=1, keepdims=True))
+    assert np.allclose(lm._softmax(z), wide / wide.sum(axis=1, keepdims=True), rtol=1e-4, atol=1e-12)
+
+
+def test_features_are_counted_until_tables_are_as_large_as_they_get(spark):
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 90_000, 250_000)) for _ in range(3)]
+    assert all(len(t) > 1_500_000 for t in texts)
+    found = lm.word_counts(spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)).where("feature is not null").count()
+    # all three texts have some 3,000,000 features, of which one in COUNTED is some 11,700
+    assert lm.table_rows(lm.COUNTED * found) == lm.MOST_ROWS and found < 6_000
