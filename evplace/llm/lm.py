@@ -8,6 +8,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,8 +32,8 @@ ROUNDS = 2
 FEATURES = 5
 END = b""
 TOKENS = 8192
-#: Rows of a table that a step changes at once.
-CACHED = 512
+#: Rows of a table that a step changes at once, and what the squared length of a row's gradient counts by.
+CACHED, SHARE = 512, np.float32(1 / 16)
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -42,6 +43,20 @@ def tokens(text: str | None) -> list[bytes]:
     return out
 
 
+def _coded(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Different words of texts as tokens() has them (the end is the last one), the number of each token's, and its text's."""
+    pieces = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    flat, doc = pieces.flatten(), np.asarray(pc.list_parent_indices(pieces)).astype(np.int64)
+    some = np.asarray(pc.greater(pc.binary_length(flat), 0))  # white space at either end leaves empty pieces
+    coded = flat.filter(pa.array(some)).dictionary_encode()
+    words = [*coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist(), END]
+    doc = doc[some]
+    at = np.arange(len(doc)) + doc  # an end follows the words of each text
+    code = np.full(len(doc) + len(texts), len(words) - 1, np.int64)
+    code[at] = np.asarray(coded.indices)
+    return words, code, np.repeat(np.arange(len(texts)), np.bincount(doc, minlength=len(texts)) + 1)
+
+
 def held_out(doc_id):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 7 == 2
 
@@ -75,11 +90,10 @@ def word_counts(texts: DataFrame) -> DataFrame:
         enough = False
         for batch in batches:
             for part in _slices(batch):
-                ws = [tokens(t) for t in part.column(1).to_pylist()]
-                flat = [w for x in ws for w in x]
-                c.update(flat)
+                words, code, doc = _coded(part.column(1))
+                c.update(dict(zip(words, np.bincount(code, minlength=len(words)).tolist())))
                 if not enough:
-                    f = _features(np.array([zlib.crc32(w) for w in flat], np.int64), np.repeat(np.arange(len(ws)), [len(x) for x in ws]))
+                    f = _features(np.array([zlib.crc32(w) for w in words], np.int64)[code], doc)
                     some.update(f[f % np.uint64(COUNTED) == 0].tolist())
                     enough = COUNTED * len(some) >= max(MOST_ROWS)
                 if len(c) > 300_000:
@@ -125,17 +139,18 @@ class Vocabulary:
         self.context = np.array([zlib.crc32(w) for w in words], dtype=np.int64)
 
 
-def _indexed(vocabulary: Vocabulary, texts: list[str | None]):
-    """Ranks (-1: not held), context symbols and text numbers of all tokens, and the words not held with their places."""
-    ws = [tokens(t) for t in texts]
-    flat = [w for x in ws for w in x]
-    get = vocabulary.rank.get
-    rank = np.fromiter(map(get, flat, repeat(-1)), np.int64, len(flat))
-    doc = np.repeat(np.arange(len(ws)), [len(x) for x in ws])
-    out = np.flatnonzero(rank < 0)
+def _indexed(vocabulary: Vocabulary, texts: pa.Array):
+    """Ranks (-1: not held), context symbols and text numbers of all tokens, the places of those not held, and different words and the number of each token's.
+
+    What is looked up or hashed is each different word, once: words recur, and a large dictionary is slow to ask.
+    """
+    words, code, doc = _coded(texts)
+    rank = np.fromiter(map(vocabulary.rank.get, words, repeat(-1)), np.int64, len(words))
     context = vocabulary.context[rank] if len(vocabulary.context) else np.zeros(len(rank), np.int64)
-    context[out] = [zlib.crc32(flat[i]) for i in out.tolist()]
-    return rank, context, doc, out, flat
+    others = np.flatnonzero(rank < 0)
+    context[others] = [zlib.crc32(words[i]) for i in others.tolist()]
+    rank, context = rank[code], context[code]
+    return rank, context, doc, np.flatnonzero(rank < 0), words, code
 
 
 def _features(context: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -219,7 +234,7 @@ class Model:
         return out
 
     def train(self, rank: np.ndarray, f: np.ndarray, state: list, rate: float) -> None:
-        """Adagrad steps over minibatches of TOKENS tokens."""
+        """Adagrad steps over minibatches of TOKENS tokens; ``state`` has a number for each row of the two tables."""
         v = self.v
         for at in range(0, len(rank), TOKENS):
             r, g = rank[at : at + TOKENS], f[at : at + TOKENS]
@@ -239,10 +254,13 @@ class Model:
 def _descend(table, squares, rows, gradient, rate):
     """An Adagrad step for each feature in turn: a table's row moves by the sum of the gradients of all tokens that use it; rows are [feature, token].
 
+    A row has one step size, by the squared lengths of its sums so far: a size for each weight costs more and predicts about as well.
     Rows are in descending order of their tokens, so sums take the first token of each row as it is and add the next ones to ever shorter
     beginnings, while many rows have as many; what is left of the few very frequent rows is summed run by run.
     """
-    room = np.empty((2, CACHED, gradient.shape[1]), np.float32)
+    room = np.empty((CACHED, gradient.shape[1]), np.float32)
+    # a row as one element, which is written whole
+    whole = lambda x: x.view(np.dtype((np.void, x.shape[1] * x.itemsize))).ravel()
     for r in rows:
         order = np.argsort(r, kind="stable")
         r = r[order]
@@ -264,20 +282,15 @@ def _descend(table, squares, rows, gradient, rate):
             rest = order[np.repeat(first[:many] + done - (ends - n), n) + np.arange(ends[-1])]
             total[:many] += np.add.reduceat(gradient.take(rest, axis=0), ends - n, axis=0)
         at = r[first].astype(np.intp)
+        squares[at] += SHARE * np.einsum("ij,ij->i", total, total)
+        total *= (np.float32(rate) / np.sqrt(squares[at]))[:, None]
         # some rows at a time, which stay in the processor's cache from one step to the next
         for lo in range(0, len(at), CACHED):
-            some, t = at[lo : lo + CACHED], total[lo : lo + CACHED]
-            s, part = room[0][: len(some)], room[1][: len(some)]
-            squares.take(some, axis=0, out=s, mode="clip")
-            np.multiply(t, t, out=part)
-            s += part
-            squares[some] = s
-            np.sqrt(s, out=s)
-            t *= rate
-            t /= s
+            some = at[lo : lo + CACHED]
+            s = room[: len(some)]
             table.take(some, axis=0, out=s, mode="clip")
-            s -= t
-            table[some] = s
+            s -= total[lo : lo + CACHED]
+            whole(table).put(some, whole(s), mode="clip")
 
 
 def train(texts: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, rate: float = 0.25, rows: tuple[int, int] = LEAST_ROWS) -> Model:
@@ -296,10 +309,10 @@ def train(texts: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, rate:
         def descend(batches):
             own, n = Model(shared.value), 0
             own.of_class, own.of_word = (x.copy() for x in start.value)
-            state = [np.full_like(own.of_class, 1.0), np.full_like(own.of_word, 1.0)]
+            state = [np.ones(len(x), np.float32) for x in (own.of_class, own.of_word)]
             for batch in batches:
                 for part in _slices(batch):
-                    rank, context, doc, _, _ = _indexed(own.v, part.column(1).to_pylist())
+                    rank, context, doc, *_ = _indexed(own.v, part.column(1))
                     own.train(rank, _features(context, doc), state, rate)
                     n += len(rank)
             if n:
@@ -380,12 +393,12 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held: in
         m = model.value
         for batch in batches:
             for part in _slices(batch):
-                rank, context, doc, out, flat = _indexed(m.v, part.column(1).to_pylist())
+                rank, context, doc, out, words, code = _indexed(m.v, part.column(1))
                 k = part.num_rows
                 total = np.bincount(doc, minlength=k)
                 lp = m.log10(rank, _features(context, doc))
                 base = np.where(rank >= 0, m.v.log_c1[rank] if len(m.v.log_c1) else 0.0, 0.0)
-                others = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(np.bincount(doc[out], minlength=k))]).astype(np.int32), pa.array([flat[i] for i in out.tolist()], pa.binary()))
+                others = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(np.bincount(doc[out], minlength=k))]).astype(np.int32), pa.array(words, pa.binary()).take(pa.array(code[out])))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(total, pa.int64()), pa.array(np.bincount(doc, weights=rank >= 0, minlength=k).astype(np.int64)), pa.array(np.bincount(doc, weights=base, minlength=k)),
                      pa.array(np.bincount(doc, weights=lp, minlength=k)), others], schema=schema)

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from evplace.llm import lm
@@ -129,3 +130,38 @@ def test_features_are_counted_until_tables_are_as_large_as_they_get(spark):
     found = lm.word_counts(spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)).where("feature is not null").count()
     # all three texts have some 3,000,000 features, of which one in COUNTED is some 11,700
     assert lm.table_rows(lm.COUNTED * found) == lm.MOST_ROWS and found < 6_000
+
+
+def test_words_are_looked_up_once_however_often_they_occur():
+    class Asked(dict):
+        n = 0
+
+        def get(self, *a):
+            Asked.n += 1
+            return super().get(*a)
+
+    texts = ["a b A\tb\x0b\x0c" * 500, None, "", "  ", " É\u0085x\x1fy \x00 É ", "a", "".join(chr(i) for i in range(0x250)) * 2]
+    v = lm.Vocabulary([b"a", lm.END, b"b"], np.array([5, 4, 3]), 12, 3)
+    v.rank = Asked(v.rank)
+    rank, context, doc, out, words, code = lm._indexed(v, pa.array(texts))
+    ws = [lm.tokens(t) for t in texts]
+    flat = [w for x in ws for w in x]
+    assert [words[i] for i in code] == flat and doc.tolist() == [i for i, x in enumerate(ws) for _ in x]
+    assert rank.tolist() == [{b"a": 0, lm.END: 1, b"b": 2}.get(w, -1) for w in flat] and context.tolist() == [zlib.crc32(w) for w in flat]
+    assert out.tolist() == [i for i, w in enumerate(flat) if w not in (b"a", b"b", lm.END)] and Asked.n <= len(set(flat)) + 1
+    assert [len(x) for x in lm._indexed(v, pa.array([], pa.string()))] == [0, 0, 0, 0, 1, 0]
+
+
+def test_a_row_moves_by_the_sum_of_its_tokens_and_one_step_size():
+    rng = np.random.default_rng(3)
+    rows = np.stack([np.zeros(900, np.uint16), rng.integers(0, 700, 900).astype(np.uint16), (rng.zipf(1.2, 900) % 300).astype(np.uint16)])
+    table, gradient = rng.normal(size=(1024, 41)).astype(np.float32), rng.normal(size=(900, 41)).astype(np.float32)
+    squares = np.ones(1024, np.float32)
+    want, s = table.astype(np.float64), squares.astype(np.float64)
+    for r in rows:
+        for x in np.unique(r):
+            g = gradient[r == x].astype(np.float64).sum(axis=0)
+            s[x] += float(lm.SHARE) * g @ g
+            want[x] -= 0.25 * g / np.sqrt(s[x])
+    lm._descend(table, squares, rows, gradient, 0.25)
+    assert np.allclose(table, want, atol=1e-4) and np.allclose(squares, s, rtol=1e-4)
