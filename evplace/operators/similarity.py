@@ -108,8 +108,13 @@ def pairwise_distance(ref: DataFrame, query: DataFrame, metric: str = "cosine",
     return all_pairs(ref, query, "dist", lambda _, q, __, r, ___: nearest.between(q, r, metric), digits=digits)
 
 
-def nearest_blocks(ref: DataFrame, query: DataFrame, k: int = 50, metric: str = "cosine", keys: tuple[str, ...] = (), ref_rows: int | None = None, query_rows: int | None = None, block: int = BLOCK) -> DataFrame:
-    """keys, query_idx, rank, ref_idx, dist: the k nearest references of each query, ties to the smaller ref_idx.
+def nearest_blocks(ref: DataFrame, query: DataFrame, k: int = 50, metric: str = "cosine", keys: tuple[str, ...] = (), **options) -> DataFrame:
+    """keys, query_idx, rank, ref_idx, dist: the k nearest references of each query, ties to the smaller ref_idx; ``options`` and the work are those of nearest_pairs()."""
+    return shortlist_from_pairs(nearest_pairs(ref, query, k, metric, keys, **options), k, keys)
+
+
+def nearest_pairs(ref: DataFrame, query: DataFrame, k: int = 50, metric: str = "cosine", keys: tuple[str, ...] = (), ref_rows: int | None = None, query_rows: int | None = None, block: int = BLOCK) -> DataFrame:
+    """keys, query_idx, ref_idx, dist of the pairs that are among the k nearest of their query in their block of references, and so all that a shortlist can keep of all pairs.
 
     Rows are dealt by their hash into blocks of about ``block``, or larger ones in large tables (_grid()); each pair of a query and a reference block is one bounded group, of
     which at most k rows for each query are shuffled again. Groups are dealt to tasks by their number, as Spark would join what is few bytes to few tasks, however much work it is. ``keys``
@@ -135,7 +140,7 @@ def nearest_blocks(ref: DataFrame, query: DataFrame, k: int = 50, metric: str =
     grid = [*keys, "qb", "rb"]
     q, r = (x.repartition(APART * rb * qb, *grid) for x in (q, r))
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in keys), "query_idx long, ref_idx long, dist double"])
-    return shortlist_from_pairs(q.groupBy(*grid).cogroup(r.groupBy(*grid)).applyInArrow(top, schema), k, keys)
+    return q.groupBy(*grid).cogroup(r.groupBy(*grid)).applyInArrow(top, schema)
 
 
 #: Blocks of references that an index has at most; their centres, and no others, are held by every task.

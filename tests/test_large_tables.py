@@ -191,3 +191,16 @@ def test_packs_of_registered_queries_are_made_once(spark, monkeypatch):
         assert got and sorted(got) == sorted(match(base, *(registry.packs(spark, sf, seq) for seq in ("ref", "query")), kind).collect())
     # written tables, which hold keypoints as they are matched, not plans that would make them at each reading
     assert len(given) == 4 and all(dict(x.dtypes)["kps"] == "binary" and x.inputFiles() and not any("embeddings" in f for f in x.inputFiles()) for x in given)
+
+
+def test_a_shortlist_from_pairs_makes_no_table_of_all_pairs(spark, monkeypatch):
+    """Blocks give out what can be among the k nearest of a query, and all of it: ties at the k-th distance too."""
+    rng = np.random.default_rng(15)
+    r, q = rng.normal(size=(70, 5)), rng.normal(size=(30, 5))
+    r[40:70] = r[0:30]
+    ref, query = vecs(spark, r), vecs(spark, q, "query")
+    few = similarity.nearest_pairs(ref, query, 4, block=35)
+    rows = lambda df: sorted((x.query_idx, x.rank, x.ref_idx, round(x.dist, 9)) for x in similarity.shortlist_from_pairs(df, 4).collect())
+    assert rows(few) == rows(similarity.similarity_pairs(ref, query).withColumn("dist", 1 - F.col("sim"))) and few.count() <= 2 * 30 * 4
+    monkeypatch.setattr(similarity, "all_pairs", None)
+    assert registry.QUERIES["shortlist_from_pairs"](spark, "/root/testdata/sf0.001").count() == 250 * 50
