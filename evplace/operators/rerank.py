@@ -235,19 +235,23 @@ def full_columns(ref: DataFrame, query: DataFrame, reranked: DataFrame, fill: st
         raise ValueError("fill must be base or inf")
     new = reranked.select(*[F.col(c).cast("long").alias(c) for c in PAIR], F.col("new_dist").cast("double").alias("new_dist")).where("new_dist is not null")
 
-    def column(q_idx, q, r_idx, r, some: pa.Table) -> np.ndarray:
-        out = 1 - similarity.unit_products(q, r) if fill == "base" else np.full((len(q), len(r)), np.inf)
-        if some.num_rows:
+    def column(q_idx, q, r_idx, r, some: list[np.ndarray]) -> np.ndarray:
+        out = 1 - similarity.unit_products(q, r) if fill == "base" else np.full((len(q_idx), len(r_idx)), np.inf)
+        if len(some[0]):
+            # several rows of one frame have one new distance
             (a, at_q), (b, at_r) = (np.unique(x, return_inverse=True) for x in (q_idx, r_idx))
-            known = [some.column(c).to_numpy() for c in PAIR]
-            i, j = (np.minimum(np.searchsorted(x, k), len(x) - 1) for x, k in zip((a, b), known))
-            there = (a[i] == known[0]) & (b[j] == known[1])
-            value, own = np.zeros((len(a), len(b))), np.zeros((len(a), len(b)), bool)
-            value[i[there], j[there]], own[i[there], j[there]] = some.column("new_dist").to_numpy()[there], True
-            out = np.where(own[at_q][:, at_r], value[at_q][:, at_r], out)
+            i, j = (np.minimum(np.searchsorted(x, k), len(x) - 1) for x, k in zip((a, b), some))
+            there = (a[i] == some[0]) & (b[j] == some[1])
+            i, j, new = i[there], j[there], some[2][there] if digits is None or fill == "base" else similarity.rounded(some[2][there], digits)
+            if len(a) == len(q_idx) and len(b) == len(r_idx):
+                out[np.argsort(at_q)[i], np.argsort(at_r)[j]] = new
+            else:
+                value, own = np.zeros((len(a), len(b))), np.zeros((len(a), len(b)), bool)
+                value[i, j], own[i, j] = new, True
+                out = np.where(own[at_q][:, at_r], value[at_q][:, at_r], out)
         return out
 
-    return similarity.all_pairs(ref, query, "new_dist", column, new, digits).select(*PAIR, "new_dist")
+    return similarity.all_pairs(ref, query, "new_dist", column, new, digits if fill == "base" else None, vectors=fill == "base").select(*PAIR, "new_dist")
 
 
 def best_match(reranked: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +17,10 @@ from evplace.functions.sizes import small
 
 #: Rows of one block of the query x reference grid while there are few; numbers that a block holds at most (32 MB); pairs of blocks beyond which blocks grow.
 BLOCK, VALUES, CELLS = 4096, 1 << 22, 64
-#: Rows of a block on each side where all pairs are given out.
-PAIR_BLOCK = 1024
+#: Rows of a block on each side where all pairs are given out, while there are few, and of a tile of such a block, whose pairs are put in order of their values at once.
+PAIR_BLOCK, SIDE = 1024, 5000
+#: References of a tile whose pairs are given out as they come, pairs that are made at once, and rows that a task hands over at once.
+NARROW, MADE, HANDED = 256, 1 << 20, 1 << 14
 #: Tasks for each core between which blocks are dealt where all pairs are given out, and tasks for each pair of blocks that is searched: few pairs then meet in one.
 TASKS, APART = 8, 4
 
@@ -29,11 +32,11 @@ def _sizes(df: DataFrame, keys: tuple[str, ...] = ()) -> tuple[int, int]:
     return n or 0, max(width or 1, 1)
 
 
-def _grid(df: DataFrame, n_ref: int, n_query: int, width: int, block: int) -> tuple[int, int]:
-    """Blocks of references and of queries. A row is shipped once for each block of the other side: so where more than CELLS pairs of blocks (or four for each core) would
+def _grid(df: DataFrame, n_ref: int, n_query: int, width: int, block: int, each: int = 4) -> tuple[int, int]:
+    """Blocks of references and of queries. A row is shipped once for each block of the other side: so where more than CELLS pairs of blocks (or ``each`` for each core) would
     come about, blocks grow, up to VALUES numbers."""
     rb, qb = max(1, -(-n_ref // block)), max(1, -(-n_query // block))
-    many = (rb * qb / max(CELLS, 4 * df.sparkSession.sparkContext.defaultParallelism)) ** 0.5
+    many = (rb * qb / max(CELLS, each * df.sparkSession.sparkContext.defaultParallelism)) ** 0.5
     least = lambda n: max(1, -(-n * width // VALUES))
     return tuple(max(least(n), min(b, -int(-b // max(many, 1)))) for n, b in ((n_ref, rb), (n_query, qb)))
 
@@ -53,43 +56,99 @@ def _side(table: pa.Table, name: str = "frame_idx") -> tuple[np.ndarray, np.ndar
     return table.column(name).to_numpy(), arrow.matrix(table.column("vec").combine_chunks())
 
 
-def rounded(x: np.ndarray, digits: int) -> np.ndarray:
-    """To so many decimals, halves away from zero, as SQL's round() has it; no negative zeros. What is not finite stays."""
+def _steps(x: np.ndarray, digits: int) -> np.ndarray:
+    """x in units of its last decimal, whole numbers, halves away from zero."""
     y = x * 10.0**digits
     y += np.copysign(0.5, y)
-    np.trunc(y, out=y)
+    return np.trunc(y, out=y)
+
+
+def rounded(x: np.ndarray, digits: int) -> np.ndarray:
+    """To so many decimals, halves away from zero, as SQL's round() has it; no negative zeros. What is not finite stays."""
+    y = _steps(x, digits)
     y /= 10.0**digits
     y += 0.0
     return y
 
 
-def all_pairs(ref: DataFrame, query: DataFrame, value: str, of, known: DataFrame | None = None, digits: int | None = None) -> DataFrame:
-    """ref_idx, query_idx and ``value`` of all pairs, where ``of`` (query_idx, queries, ref_idx, references, known) gives a matrix: block by block, PAIR_BLOCK rows on each side.
+def _cuts(n: int, most: int) -> list[slice]:
+    """n rows in slices of ``most`` at most, all of about one size."""
+    k = max(1, -(-n // most))
+    return [slice(n * i // k, n * (i + 1) // k) for i in range(k)]
+
 
-    ``known`` rows (query_idx, ref_idx, new_dist) are dealt to the block of their pair. Values are rounded to ``digits``, if given, block by block: a column's round() costs more
-    than all else that is done to a pair. Blocks are dealt to tasks by their number, as Spark would join small inputs to few tasks, however many pairs come of them.
+def _in_order(made, n: int, digits: int) -> np.ndarray | None:
+    """A tile's pairs by their rounded values, each as one number: value, row and column (13 bits each). None if a value does not fit. made: the first row and the values of some rows, in turn."""
+    out, at = np.empty(n, np.int64), 0
+    for row, v in made:
+        y = _steps(v, digits)
+        if not np.abs(y).max(initial=0) < 1 << 36:
+            return None
+        place = (np.arange(row, row + len(y))[:, None] << 13) + np.arange(y.shape[1])
+        out[at : at + y.size] = ((y.astype(np.int64) << 26) + place).ravel()
+        at += y.size
+    out.sort()
+    return out
+
+
+def all_pairs(ref: DataFrame, query: DataFrame, value: str, of, known: DataFrame | None = None, digits: int | None = None, vectors: bool = True) -> DataFrame:
+    """ref_idx, query_idx and ``value`` of all pairs, where ``of`` (query_idx, queries, ref_idx, references, known) gives a matrix for some rows of both sides.
+
+    Blocks of both sides have PAIR_BLOCK rows, or more in large tables (_grid()), so what is shuffled grows with the rows, not with their pairs; a task makes a block's pairs
+    piece by piece. ``known`` rows (query_idx, ref_idx, new_dist) are dealt to the block of their pair, and given to ``of`` as three arrays by query_idx. Without ``vectors`` none are shipped:
+    ``of`` gets None. Values are rounded to ``digits``, if given, where they are made: a column's round() costs more than all else that is done to a pair. Pairs of rounded values come in the
+    order of these, SIDE x SIDE at a time: equal values lie together, so files take about half of the bytes; other pairs come NARROW references at a time, which files fold as well.
+    Blocks are dealt to tasks by their number, as Spark would join small inputs to few tasks, however many pairs come of them.
     """
-    rb, qb = (max(1, -(-_sizes(df)[0] // PAIR_BLOCK)) for df in (ref, query))
+    if not vectors:
+        ref, query = (df.select("frame_idx", F.lit(None).cast("array<double>").alias("vec")) for df in (ref, query))
+    (n_ref, width), (n_query, wide) = _sizes(ref), _sizes(query)
+    rb, qb = _grid(ref, n_ref, n_query, max(width, wide), PAIR_BLOCK, 2 * TASKS)
     tasks = max(1, min(rb * qb, TASKS * ref.sparkSession.sparkContext.defaultParallelism))
-    q, r = _dealt(ref, query, rb, qb)
-    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    q = q.select("qb", "rb", "frame_idx", "vec", F.lit(None).cast("long").alias("ref_idx"), F.lit(None).cast("double").alias("new_dist"))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int").alias("qb" if c == "query_idx" else "rb")
+    no = lambda kind, c: F.lit(None).cast(kind).alias(c)
+    q, r = (df.select("qb", "rb", F.lit(side).alias("side"), F.col("frame_idx").alias("idx"), no("long", "ref_idx"), "vec", no("double", "new_dist")) for side, df in enumerate(_dealt(ref, query, rb, qb)))
+    rows = q.unionByName(r)
     if known is not None:
-        q = q.unionByName(known.select(part("query_idx", qb).alias("qb"), part("ref_idx", rb).alias("rb"), F.col("query_idx").alias("frame_idx"), F.lit(None).cast("array<double>").alias("vec"), "ref_idx", "new_dist"))
-    schema = pa.schema([("ref_idx", pa.int64()), ("query_idx", pa.int64()), (value, pa.float64())])
+        rows = rows.unionByName(known.select(part("query_idx", qb), part("ref_idx", rb), F.lit(2).alias("side"), F.col("query_idx").alias("idx"), "ref_idx", no("array<double>", "vec"), "new_dist"))
+    names = ["ref_idx", "query_idx", value]
 
-    def pairs(left: pa.Table, right: pa.Table) -> pa.Table:
-        some = left.filter(pc.is_valid(left.column("ref_idx"))).select(["frame_idx", "ref_idx", "new_dist"]).rename_columns(["query_idx", "ref_idx", "new_dist"])
-        left = left.filter(pc.is_null(left.column("ref_idx")))
+    def pairs(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches)
+        left, right, some = (table.filter(pc.equal(table.column("side"), n)).sort_by("idx") for n in range(3))
         if not left.num_rows or not right.num_rows:
-            return schema.empty_table()
-        (q_idx, a), (r_idx, b) = _side(left), _side(right)
-        v = of(q_idx, a, r_idx, b, some)
-        v = v if digits is None else rounded(v, digits)
-        return pa.Table.from_arrays([pa.array(np.tile(r_idx, len(q_idx))), pa.array(np.repeat(q_idx, len(r_idx))), pa.array(v.ravel())], schema=schema)
-
-    q, r = (x.repartition(tasks, "qb", "rb") for x in (q, r))
-    return q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInArrow(pairs, f"ref_idx long, query_idx long, {value} double")
+            return
+        (q_idx, a), (r_idx, b) = (_side(x, "idx") if vectors else (x.column("idx").to_numpy(), None) for x in (left, right))
+        some = [some.column(c).to_numpy() for c in ("idx", "ref_idx", "new_dist")]
+
+        def made(i: slice, j: slice):
+            """The first row, from i's, and the values of so many rows as are made at once."""
+            step = max(1, MADE // (j.stop - j.start))
+            for at in range(i.start, i.stop, step):
+                own = slice(at, min(at + step, i.stop))
+                here = slice(np.searchsorted(some[0], q_idx[own.start]), np.searchsorted(some[0], q_idx[own.stop - 1], "right"))
+                yield at - i.start, of(q_idx[own], *((a[own], r_idx[j], b[j]) if vectors else (None, r_idx[j], None)), [x[here] for x in some])
+
+        for i in _cuts(len(q_idx), SIDE):
+            for j in _cuts(len(r_idx), SIDE):
+                order = None if digits is None else _in_order(made(i, j), (i.stop - i.start) * (j.stop - j.start), digits)
+                if order is not None:
+                    for at in range(0, len(order), HANDED):
+                        x = order[at : at + HANDED]
+                        yield pa.RecordBatch.from_arrays([pa.array(r_idx[j][x & 8191]), pa.array(q_idx[i][x >> 13 & 8191]), pa.array((x >> 26) / 10.0**digits)], names)
+                    continue
+                for few in _cuts(j.stop - j.start, NARROW):
+                    few = slice(j.start + few.start, j.start + few.stop)
+                    wide = few.stop - few.start
+                    step = max(1, HANDED // wide)
+                    refs = pa.array(np.tile(r_idx[few], step))
+                    for row, v in made(i, few):
+                        v, own = (v if digits is None else rounded(v, digits)).ravel(), np.repeat(q_idx[i][row : row + len(v)], wide)
+                        for at in range(0, len(own), step * wide):
+                            some_q, some_v = own[at : at + step * wide], v[at : at + step * wide]
+                            yield pa.RecordBatch.from_arrays([refs.slice(0, len(some_q)), pa.array(some_q), pa.array(some_v)], names)
+
+    return rows.repartition(tasks, "qb", "rb").groupBy("qb", "rb").applyInArrow(pairs, f"ref_idx long, query_idx long, {value} double")
 
 
 def unit_products(q: np.ndarray, r: np.ndarray) -> np.ndarray:
@@ -303,10 +362,6 @@ def topk_by_balls(index: BlockIndex, query: DataFrame, folder: str, k: int = 50)
     return shortlist_from_pairs(searched(bounded, False), k).withColumn("sim", 1 - F.col("dist")), report
 
 
-#: Rows that a task hands over at once.
-HANDED = 1 << 16
-
-
 def nearest_in_place(ref: DataFrame, queries: list, k: int = 50, metric: str = "cosine") -> DataFrame:
     """query_idx, rank, ref_idx, dist, as nearest_blocks() gives them, of queries (frame_idx, vec) that every task holds: references stay where they are.
 

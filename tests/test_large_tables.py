@@ -193,6 +193,56 @@ def test_packs_of_registered_queries_are_made_once(spark, monkeypatch):
     assert len(given) == 4 and all(dict(x.dtypes)["kps"] == "binary" and x.inputFiles() and not any("embeddings" in f for f in x.inputFiles()) for x in given)
 
 
+def test_blocks_of_all_pairs_grow_and_equal_values_lie_together(spark, monkeypatch):
+    """A row is not shipped once for each PAIR_BLOCK rows of the other side, and what is given out folds in files."""
+    monkeypatch.setattr(similarity, "PAIR_BLOCK", 2)
+    rng = np.random.default_rng(17)
+    r, q = rng.normal(size=(90, 4)), rng.normal(size=(70, 4))
+    ref, query = vecs(spark, r), vecs(spark, q, "query")
+    grids, dealt = [], similarity._dealt
+    monkeypatch.setattr(similarity, "_dealt", lambda ref, query, rb, qb: grids.append(rb * qb) or dealt(ref, query, rb, qb))
+    got = similarity.pairwise_distance(ref, query, "euclidean", 2)
+    assert grids[0] <= 64 + 16  # 45 x 35 before
+    want = {(i, j): d for j, row in enumerate(similarity.rounded(nearest.between(q, r, "euclidean"), 2)) for i, d in enumerate(row)}
+    tasks = [[tuple(x) for x in t] for t in got.rdd.glom().collect()]
+    rows = [x for t in tasks for x in t]
+    assert len(rows) == 90 * 70 and {(x[0], x[1]): x[2] for x in rows} == want
+    # in the order of their values, block after block
+    assert sum(a[2] > b[2] for t in tasks for a, b in zip(t, t[1:])) <= grids[0]
+
+
+@pytest.mark.parametrize("far", [1e12, np.inf, np.nan])
+def test_values_that_no_order_holds_are_given_out_all_the_same(spark, monkeypatch, far):
+    monkeypatch.setattr(similarity, "SIDE", 9)
+    monkeypatch.setattr(similarity, "NARROW", 4)
+    monkeypatch.setattr(similarity, "MADE", 20)
+    monkeypatch.setattr(similarity, "HANDED", 10)
+    rng = np.random.default_rng(18)
+    r, q = rng.normal(size=(50, 4)), rng.normal(size=(21, 4))
+    r[7, 2] = far
+    got = [tuple(x) for x in similarity.pairwise_distance(vecs(spark, r), vecs(spark, q, "query"), "cityblock", 6).collect()]
+    want = similarity.rounded(nearest.between(q, r, "cityblock"), 6)
+    assert len(got) == 50 * 21 == len({x[:2] for x in got}) and np.array_equal([want[j, i] for i, j, _ in got], [x[2] for x in got], equal_nan=True)
+
+
+def test_an_infinite_column_ships_no_vectors_and_keeps_rows_of_one_frame(spark, monkeypatch):
+    """Frames twice on either side, new distances in several pieces of a block."""
+    monkeypatch.setattr(similarity, "NARROW", 4)
+    monkeypatch.setattr(similarity, "MADE", 20)
+    rng = np.random.default_rng(19)
+    both = lambda n, seq: vecs(spark, rng.normal(size=(n, 3)), seq).unionByName(vecs(spark, rng.normal(size=(2, 3)), seq))
+    ref, query = both(23, "ref"), both(17, "query")
+    new = spark.createDataFrame([(i, (5 * i) % 23, i / 7) for i in range(17)] + [(1, 0, 0.1234565)], "query_idx long, ref_idx long, new_dist double")
+    known = {(x.query_idx, x.ref_idx): x.new_dist for x in new.collect()}
+    frames = lambda n: [*range(n), 0, 1]
+    want = sorted((i, j, float(similarity.rounded(np.array([known.get((i, j), np.inf)]), 6)[0])) for i in frames(17) for j in frames(23))
+    sides, dealt = [], similarity._dealt
+    monkeypatch.setattr(similarity, "_dealt", lambda ref, query, rb, qb: sides.extend([ref, query]) or dealt(ref, query, rb, qb))
+    got = rerank.full_columns(ref, query, new, "inf", 6)
+    assert sorted(tuple(x) for x in got.collect()) == want
+    assert len(sides) == 2 and not any(x.where("vec is not null").count() for x in sides)
+
+
 def test_a_shortlist_from_pairs_makes_no_table_of_all_pairs(spark, monkeypatch):
     """Blocks give out what can be among the k nearest of a query, and all of it: ties at the k-th distance too."""
     rng = np.random.default_rng(15)
