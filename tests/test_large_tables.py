@@ -254,3 +254,23 @@ def test_a_shortlist_from_pairs_makes_no_table_of_all_pairs(spark, monkeypatch):
     assert rows(few) == rows(similarity.similarity_pairs(ref, query).withColumn("dist", 1 - F.col("sim"))) and few.count() <= 2 * 30 * 4
     monkeypatch.setattr(similarity, "all_pairs", None)
     assert registry.QUERIES["shortlist_from_pairs"](spark, "/root/testdata/sf0.001").count() == 250 * 50
+
+
+@pytest.mark.parametrize("tol,tile,labels", [(0, 4, 3), (1, 4, 3), (2, 5, 40), (3, 1024, 6), (9, 4, 30)])
+def test_boxes_around_classes_are_widened_without_their_pairs(spark, monkeypatch, tol, tile, labels):
+    """Frames without a label, of several labels, off the matrix; more tiles than one within a block, too."""
+    monkeypatch.setattr(evaluate, "TILE", tile)
+    monkeypatch.setattr(evaluate, "MADE", 8)
+    rng = np.random.default_rng(16)
+    side = lambda n: [(i, None if x == 0 else f"l{x}") for i, x in enumerate(rng.integers(0, labels, n))] + [(3, "l1"), (n + 1, "l2"), (-2, "l1")]
+    r, q = side(43), side(37)
+    pairs = [(a, b) for a, x in r for b, y in q if x is not None and x == y]
+    want = {(a + i, b + j) for a, b in pairs for i in range(-tol, tol + 1) for j in range(-tol, tol + 1) if 0 <= a + i < 41 and 0 <= b + j < 37}
+    gt = evaluate.ClassTruth(spark.createDataFrame(r, "ref_idx long, label string"), spark.createDataFrame(q, "query_idx long, label string"))
+    got = [tuple(x) for x in evaluate.dilate_gt(gt, tol, 41, 37).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    if tol:
+        assert want == {tuple(x) for x in evaluate.dilate_gt(spark.createDataFrame(pairs, "ref_idx long, query_idx long"), tol, 41, 37).collect()}
+    assert not evaluate.dilate_gt(gt, tol, 0, 37).collect()
+    plan = evaluate.dilate_gt(gt, tol, 41, 37)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
